@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -14,6 +13,8 @@ BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_BYTES = 32 << 20
+#: Keys (some 100 bytes each at most) are broadcast up to this number.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +79,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_dir() -> str:
-    """A folder for tests on one machine."""
-    path = tempfile.mkdtemp(prefix="ledgerleaf-")
-    atexit.register(lambda: None)
-    return path
+def small_or_not(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Staged key rows, marked to be broadcast if they are at most ``most``, else to be joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerleaf.llm.common import bound_batches, lower_ascii, staged
+from ledgerleaf.llm.common import bound_batches, lower_ascii, small_or_not, staged
 
 
 def _runs_of(id_type: pa.DataType, keep_largest: bool):
@@ -99,11 +99,24 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """``df`` without the rows that ``exact_dedup`` drops; all columns stay.
 
-    Ids that are unique in ``df`` are expected; rows whose id is null are kept
-    or dropped together with the group's decision for null ids.
+    Rows are told apart by id and text; of rows that repeat both, one stays.
     """
-    gone = exact_dedup(df, id_col, text_col, keep).filter("NOT kept").select(F.col(id_col).alias("__gone"))
-    return df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    names = df.columns
+    by = ["__id", "__sha"]
+    text = lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    keyed = df.withColumns({"__id": F.col(f"`{id_col}`"), "__sha": F.sha2(text.cast("binary"), 256)})
+    decided = exact_dedup(df, id_col, text_col, keep).groupBy(F.col(id_col).alias("i"), F.col("text_sha256").alias("s")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    decided = staged(decided.filter("NOT kept OR n > 1"), "exact-decided")
+
+    def of(which: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        keys = small_or_not(which.select("i", "s"))
+        return rows.join(keys, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__sha") == F.col("s")), how)
+
+    out = of(decided.filter("NOT kept"), "left_anti", keyed)
+    repeated = decided.filter("kept")
+    if not repeated.isEmpty():
+        out = of(repeated, "left_anti", out).unionByName(of(repeated, "left_semi", out).dropDuplicates(by))
+    return out.select(*[f"`{c}`" for c in names])
 
 
 ORACLE = """

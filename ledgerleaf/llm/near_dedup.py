@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import bound_batches, staged
+from ledgerleaf.llm.common import bound_batches, small_or_not, staged
 from ledgerleaf.llm.shingles import mixed, shingle_set
 
 BANDS, BAND_ROWS, BITS = 32, 4, 2
@@ -41,8 +41,6 @@ PERCENT = 75
 LEAST_ESTIMATE = 0.5
 #: Equal slots of a signature that give that estimate.
 LEAST_EQUAL = int(np.ceil(MINIMA * (LEAST_ESTIMATE * (1 - 2.0**-BITS) + 2.0**-BITS)))
-#: Ids are broadcast to the texts up to this number (16 bytes each), and joined by a shuffle beyond it.
-BROADCAST_IDS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -168,8 +166,7 @@ def _equal(a: str, b: str) -> Column:
 def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; ``pairs`` is staged, ``texts`` has id, data."""
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = texts.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi")
+    wanted = texts.join(small_or_not(ids), "id", "left_semi")
     sets = staged(wanted.mapInArrow(_sets, "id long, members array<long>"), "near-sets")
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
@@ -248,5 +245,5 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row left of each group of near duplicates; all columns stay."""
-    gone = near_dedup(df, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = staged(near_dedup(df, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct(), "near-gone")
+    return df.join(small_or_not(gone), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
