@@ -1,0 +1,229 @@
+"""Reading folders of PDF files: listing, a text-layer reader, strict base64 uploads.
+
+The reader needs the standard library alone.  It knows object and cross
+streams' Flate data, the page tree and the text operators; encrypted files and
+those without a page tree give an error, image-only pages an empty text.
+Another reader (bytes to pages) can be passed wherever this one is used.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerleaf.functions import text as T
+from ledgerleaf.operators import documents
+from ledgerleaf.plans import rules as R
+
+_OBJ = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+_STREAM = re.compile(rb"stream\r?\n")
+_REF = re.compile(rb"(\d+)\s+\d+\s+R")
+_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|'|\"|[A-Za-z*]+|[-+.\d]+", re.S)
+_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
+_PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
+#: A stream inflates to this many bytes at most.
+MOST_INFLATED = 64 << 20
+
+
+class PdfError(ValueError):
+    """A file that can't be read; its argument is the error code."""
+
+
+def _string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode("ascii"))
+    else:
+        raw = _ESCAPE.sub(lambda m: _PLAIN[m[1]] if m[1] in _PLAIN else bytes([int(m[1], 8) & 255]) if m[1].isdigit() else m[1], token[1:-1])
+    if raw[:2] == b"\xfe\xff":
+        return raw[2:].decode("utf-16-be", "replace")
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("cp1252", "replace")
+
+
+def _page_text(content: bytes) -> str:
+    """The strings that a page shows, joined by blanks."""
+    shown, held, parts = [], [], None
+    for m in _TOKEN.finditer(content):
+        t = m.group()
+        if t[:1] in (b"(", b"<"):
+            (held if parts is None else parts).append(_string(t))
+        elif t == b"[":
+            parts = []
+        elif t == b"]":
+            held.append("".join(parts or []))
+            parts = None
+        elif t in (b"Tj", b"TJ", b"'", b'"'):
+            shown += held[-1:]
+            held = []
+        elif t[:1].isalpha():
+            held = []
+    return " ".join(x for x in shown if x)
+
+
+class _File:
+    def __init__(self, data: bytes):
+        self.objects: dict[int, bytes] = {}
+        found = list(_OBJ.finditer(data))
+        for m, nxt in zip(found, [*found[1:], None], strict=True):
+            end = nxt.start() if nxt else len(data)
+            self.objects[int(m[1])] = data[m.end() : end]
+        if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
+            raise PdfError("pdf_parse_failed")
+        for body in list(self.objects.values()):
+            if re.search(rb"/Type\s*/ObjStm\b", body):
+                self._unpack(body)
+
+    def _unpack(self, body: bytes) -> None:
+        raw = self.stream(body)
+        n, first = (re.search(rb"/%s\s+(\d+)" % k, body) for k in (b"N", b"First"))
+        if not (n and first):
+            return
+        numbers = list(map(int, raw[: int(first[1])].split()[: 2 * int(n[1])]))
+        places = [*numbers[1::2], len(raw) - int(first[1])]
+        for k, num in enumerate(numbers[::2]):
+            self.objects.setdefault(num, raw[int(first[1]) + places[k] : int(first[1]) + places[k + 1]])
+
+    def stream(self, body: bytes) -> bytes:
+        m = _STREAM.search(body)
+        if not m:
+            return b""
+        end = body.rfind(b"endstream")
+        raw = body[m.end() : end if end >= 0 else len(body)]
+        length = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", body[: m.start()])
+        if length and int(length[1]) <= len(raw):
+            raw = raw[: int(length[1])]
+        if b"/FlateDecode" in body[: m.start()]:
+            return zlib.decompressobj().decompress(raw, MOST_INFLATED)
+        return raw
+
+    def refs(self, body: bytes, key: bytes) -> list[int]:
+        m = re.search(rb"/%s\s*(\[[^\]]*\]|\d+\s+\d+\s+R)" % key, body)
+        return [int(x) for x in _REF.findall(m[1])] if m else []
+
+    def pages(self) -> list[int]:
+        """The numbers of the page objects in the order of the page tree."""
+        root = next((self.refs(b, b"Pages") for b in self.objects.values() if re.search(rb"/Type\s*/Catalog\b", b)), [])
+        out, todo, seen = [], list(reversed(root)), set()
+        while todo:
+            k = todo.pop()
+            if k in seen or k not in self.objects:
+                continue
+            seen.add(k)
+            body = self.objects[k]
+            if re.search(rb"/Type\s*/Pages\b", body) or b"/Kids" in body:
+                todo += reversed(self.refs(body, b"Kids"))
+            else:
+                out.append(k)
+        return out
+
+
+def read_pages(data: bytes, max_pages: int = R.HARD_PAGES) -> tuple[list[str | None], int]:
+    """Page texts of a file (null for an unreadable page), and how many pages it has."""
+    try:
+        file = _File(data)
+        numbers = file.pages()
+    except (PdfError, zlib.error, ValueError) as e:
+        raise PdfError("pdf_parse_failed") from e
+    if not numbers:
+        raise PdfError("pdf_parse_failed")
+    out: list[str | None] = []
+    for k in numbers[:max_pages]:
+        try:
+            out.append(_page_text(b"\n".join(file.stream(file.objects[c]) for c in file.refs(file.objects[k], b"Contents") if c in file.objects)))
+        except (zlib.error, ValueError):
+            out.append(None)
+    return out, len(numbers)
+
+
+def reader(max_pages: int = R.PIPELINE_PAGES, read: Callable[[bytes, int], tuple[list[str | None], int]] = read_pages) -> Callable[[Column], Column]:
+    """A column function from a file's bytes to documents.PAGES, in Arrow batches."""
+
+    @F.arrow_udf(documents.PAGES)
+    def pages_of(content: pa.Array) -> pa.Array:
+        rows = []
+        for x in content:
+            data = x.as_py()
+            if data is None:
+                rows.append({"pages": None, "declared": None, "error": None})
+                continue
+            try:
+                pages, n = read(data, max_pages)
+                rows.append({"pages": pages, "declared": n, "error": None})
+            except Exception as e:  # a bad file is a row, whatever a reader raises
+                rows.append({"pages": None, "declared": None, "error": str(e.args[0]) if isinstance(e, PdfError) else "pdf_parse_failed"})
+        return pa.array(rows, pa.struct([("pages", pa.list_(pa.string())), ("declared", pa.int32()), ("error", pa.string())]))
+
+    return pages_of
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, path, length`` of the PDF files of a folder (not of its subfolders), in whatever case of the ending.
+
+    Order by ``file`` for a listing; content is not read.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("file"), "path", "length")
+
+
+def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, content`` of a folder's PDF files; the bytes of files over the limit are not passed on.
+
+    A file too large or too small keeps its row: its content is cut to a size
+    that validation rejects.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("file"), "content")
+
+
+def from_base64(rows: DataFrame, file: str = "file", payload: str = "payload") -> DataFrame:
+    """``file, content`` of uploads; what isn't strict base64 has no content and so becomes an error row."""
+    return rows.select(F.col(file).alias("file"), T.strict_base64(F.col(payload)).alias("content"))
+
+
+def inside_workspace(path: str, workspace: str) -> str:
+    """The real path of a file in a workspace; raises if it leads out of it."""
+    real, root = os.path.realpath(os.path.join(workspace, path)), os.path.realpath(workspace)
+    if os.path.commonpath([real, root]) != root:
+        raise PermissionError("path is outside of the workspace")
+    return real
+
+
+def recognise(files: DataFrame, engine: Callable[[bytes], list[str]]) -> DataFrame:
+    """``file, ocr_text`` by a pluggable engine (bytes to page texts); a failing file or page gives no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for x in b.column(1):
+                try:
+                    texts.append("\n\n".join(t for t in engine(x.as_py()) if t))
+                except Exception:
+                    texts.append("")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["file", "ocr_text"])
+
+    return files.select("file", "content").mapInArrow(run, "file string, ocr_text string")
+
+
+def ask_model(texts: DataFrame, call: Callable[[str], str | None]) -> DataFrame:
+    """``file, reply`` by a pluggable model; a failing call gives a null reply.  Texts are data, never instructions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            replies = []
+            for x in b.column(1):
+                try:
+                    replies.append(call(x.as_py()))
+                except Exception:
+                    replies.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(replies, pa.string())], names=["file", "reply"])
+
+    return texts.select("file", "text").mapInArrow(run, "file string, reply string")
