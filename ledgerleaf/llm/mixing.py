@@ -32,10 +32,13 @@ BUCKET_DIGITS = 3
 SLOT_CHUNK = 16384
 GOLDEN = 0.6180339887498949
 
-EVERYTHING = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 BEFORE = (Window.unboundedPreceding, -1)
 
 
+def _everything():
+    return Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
     """``nr, source, source_size, target, total`` of a table with ``source, size``.
 
@@ -49,12 +52,12 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     t = docs.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("nr", F.row_number().over(by_name))
     t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("nr") - 1) % len(weights) + 1).cast("double"))
     t = t.withColumn("full_size", F.col("source_size") * F.lit(float(passes))).withColumn("ratio", F.col("full_size") / F.col("weight"))
-    t = t.withColumn("total", F.sum("source_size").over(EVERYTHING)).withColumn("w_all", F.sum("weight").over(EVERYTHING))
+    t = t.withColumn("total", F.sum("source_size").over(_everything())).withColumn("w_all", F.sum("weight").over(_everything()))
     left = F.col("total") * F.lit(float(share)) - F.coalesce(F.sum("full_size").over(before), F.lit(0.0))
     t = t.withColumn("level", left / (F.col("w_all") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     # The first source that isn't full says at which level all the others end.
     t = t.withColumn("full", F.col("ratio") <= F.col("level"))
-    t = t.withColumn("ends", F.min(F.when(~F.col("full"), F.struct("ratio", "nr", "level"))).over(EVERYTHING))
+    t = t.withColumn("ends", F.min(F.when(~F.col("full"), F.struct("ratio", "nr", "level"))).over(_everything()))
     return t.select("nr", "source", "source_size", F.when(F.col("full"), F.col("full_size")).otherwise(F.col("weight") * F.col("ends.level")).alias("target"), "total")
 
 
@@ -82,8 +85,8 @@ def slot_schedule(targets: DataFrame, block_words: int | None = None, passes: in
     gives more than ``passes`` times its words.
     """
     by_nr = Window.orderBy("nr").rowsBetween(Window.unboundedPreceding, 0)
-    t = targets.withColumn("b", _block_words(block_words)).withColumn("sum_all", F.sum("target").over(EVERYTHING))
-    t = t.withColumn("upto", F.when(F.col("nr") == F.count("*").over(EVERYTHING), F.lit(2.0)).otherwise(F.sum("target").over(by_nr) / F.col("sum_all")))
+    t = targets.withColumn("b", _block_words(block_words)).withColumn("sum_all", F.sum("target").over(_everything()))
+    t = t.withColumn("upto", F.when(F.col("nr") == F.count("*").over(_everything()), F.lit(2.0)).otherwise(F.sum("target").over(by_nr) / F.col("sum_all")))
     one = t.agg(F.array_sort(F.collect_list("upto")).alias("uptos"), F.max(F.ceil(F.col("sum_all") / F.col("b"))).alias("n"))
     chunks = one.filter("n > 0").select("uptos", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOT_CHUNK))).alias("chunk")).repartition("chunk")
     slots = chunks.select("uptos", "chunk", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("n")) - 1)).alias("slot"))
