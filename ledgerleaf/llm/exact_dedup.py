@@ -1,11 +1,13 @@
 """Exact dedup by content sort.
 
-Texts are normalised (A-Z lower-cased, null as empty), range-partitioned on
-(normalised text, id) by splitters that Spark samples, and sorted within each
-partition by the spilling external sort.  Equal texts then stand next to each
-other, and a single forward pass compares each text in full with the one
-before it.  The id is part of the range key, so a text that holds a third of
-all rows is dealt over as many partitions as its rows need; runs that touch a
+Texts are normalised (A-Z lower-cased, null as empty), range-partitioned by
+splitters that Spark samples, and sorted within each partition by the spilling
+external sort.  The splitters are (first characters, hash of the whole, id), so
+that the sample the driver gets has a bounded number of bytes a row; the sort
+goes on by the whole normalised bytes.  Equal texts then stand next to each
+other, and a single forward pass compares each text in full with the one before
+it.  The id is part of the range key, so a text that holds a third of all rows
+is dealt over as many partitions as its rows need; runs that touch a
 partition's edge are joined again by a table of at most two rows a partition.
 """
 
@@ -22,6 +24,9 @@ from pyspark.sql import types as T
 
 from ledgerleaf.llm.common import bound_batches, lower_ascii, small_or_not, staged
 
+#: Characters of a text that its splitter key begins with.
+PREFIX_CHARS = 32
+
 
 def _runs_of(id_type: pa.DataType, keep_largest: bool):
     """The pass over one sorted partition: a row out for each row in, when its run has ended."""
@@ -76,7 +81,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     largest = keep == "largest"
     id_type = df.schema[id_col].dataType
     slim = df.select(F.col(f"`{id_col}`").alias("id"), lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("norm"))
-    ordered = slim.repartitionByRange("norm", "id").sortWithinPartitions("norm", "id")
+    keyed = slim.select("id", "norm", F.substring("norm", 1, PREFIX_CHARS).alias("head"), F.xxhash64("norm").alias("tail"))
+    ordered = keyed.repartitionByRange("head", "tail", "id").sortWithinPartitions("head", "tail", "norm", "id")
     schema = T.StructType([T.StructField("id", id_type), T.StructField("text_sha256", T.StringType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()), T.StructField("is_keep", T.BooleanType()), T.StructField("is_last", T.BooleanType()), T.StructField("edge", T.BooleanType()), T.StructField("part", T.IntegerType())])
     from pyspark.sql.pandas.types import to_arrow_type
 
