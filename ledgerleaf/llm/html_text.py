@@ -281,7 +281,7 @@ class _Flow:
         self.kept = False
 
     def words(self, text: str) -> None:
-        text = text.replace(" ", " ") if " " in text else text
+        text = text.replace("\xa0", " ") if "\xa0" in text else text
         parts = _BLANKS.split(text)
         if len(parts) > 1 and not parts[0]:
             self.pending = True
