@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: All characters that count as blank in document text, as the inside of a class.
-BLANK = r"\s   -     　﻿"
+BLANK = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _EDGES = rf"\A[{BLANK}]+|[{BLANK}]+\z"
 NOT_WORD_BEFORE, NOT_WORD_AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 

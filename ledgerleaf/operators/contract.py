@@ -40,7 +40,9 @@ def structured_object(json: Column) -> Column:
         no_nulls = ~F.exists(F.coalesce(F.try_variant_get(v, "$.warnings", "array<variant>"), F.array().cast("array<variant>")), lambda w: F.schema_of_variant(w) != "STRING")
         return F.when(v.isNotNull() & shape & no_nulls, json)
 
-    return T.bind(F.try_parse_json(json), of)
+    # The parser stops after one value; in both brackets nothing else can follow it.
+    listed, keyed = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), json, F.lit("}")))
+    return T.bind(F.when(keyed.isNotNull(), F.try_variant_get(listed, "$[0]", "variant")), of)
 
 
 def structured_reply(content: Column) -> Column:

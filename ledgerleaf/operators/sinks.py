@@ -25,7 +25,7 @@ def write_csv(articles: DataFrame, path: str, header: tuple[str, ...] = R.CSV_HE
     before each header.
     """
     lines = csv_lines(articles, ("file", "pos"))
-    head = ("﻿" if bom else "") + ",".join(header)
+    head = ("\ufeff" if bom else "") + ",".join(header)
     parts = lines.repartition(1) if single else lines
     parts = parts.sortWithinPartitions("file", "pos").select("value")
 
@@ -35,7 +35,7 @@ def write_csv(articles: DataFrame, path: str, header: tuple[str, ...] = R.CSV_HE
             if not started:
                 yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
                 started = True
-            yield b
+            yield pa.RecordBatch.from_arrays(b.columns, names=["value"])
         if not started:
             yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
 
