@@ -9,15 +9,19 @@ first of its bucket: the similarity that bit counts of the signatures
 estimate, corrected for chance collisions, must be near the threshold.  Those
 pairs are confirmed on the full sets and joined into components.
 
-Pairs within a bucket are not written out.  What comparing with the first alone
-could miss is looked for afterwards: only members whose component differs
-from that of their bucket's first are compared with the bucket's other rows,
-again by signature first and on the full sets then, so every candidate pair
-that could still join two components is tried.
+Pairs within a bucket are not written out.  Each row is first tested with the
+nearest of the firsts it meets.  What that leaves apart is looked for in the
+buckets themselves: rows whose component differs from that of their bucket's
+first ("seekers") are compared by signature with the bucket's rows of other
+components, in blocks of bounded size.  Rows that have such a partner get
+their full sets, and every pair of partners is confirmed where it meets first;
+of the links found, each row gives one for each other component.  So all
+candidate pairs that could join two components are tested on full sets, but
+only links are written, and near copies in thousands stay a matter of blocks.
 
 A pair at exactly the threshold shares no bucket with probability
-(1 - 0.75**4)**32, about 5e-6, and fails the estimate (over five standard
-deviations below) with less.
+(1 - 0.75**4)**32, about 5e-6, and fails the estimate (4.3 standard deviations
+below) with about 7e-6.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm.common import bound_batches, small_or_not, staged
@@ -38,10 +42,13 @@ MINIMA = BANDS * BAND_ROWS
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Candidates need this estimate at least; its standard deviation at 0.75 is 0.046.
-LEAST_ESTIMATE = 0.5
+LEAST_ESTIMATE = 0.55
 #: Equal slots of a signature that give that estimate.
 LEAST_EQUAL = int(np.ceil(MINIMA * (LEAST_ESTIMATE * (1 - 2.0**-BITS) + 2.0**-BITS)))
 
+#: Rows of a bucket that are compared with as many at a time.
+BLOCK_ROWS = 1024
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)[:, None]
@@ -106,7 +113,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingle_set(text.as_py()).view(np.int64) for text in batch.column(1)]
+        found = [np.sort(shingle_set(text.as_py()).view(np.int64)) for text in batch.column(1)]
         if found:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], names=["id", "members"])
@@ -157,10 +164,103 @@ def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(carried[0], carried[1], carried[1], np.array([MINIMA]), np.array([True]), carried[2])
 
 
-def _equal(a: str, b: str) -> Column:
-    """equal_slots() on columns of two rows."""
-    slots = [F.bit_count((x := F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(int(_LOW)))) for s in SIG]
-    return F.lit(MINIMA) - sum(slots[1:], slots[0])
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each group of a stream that is sorted by its first columns, as slices of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in range(keys)]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield held
+
+
+def _column(group: list[pa.RecordBatch], k: int) -> np.ndarray:
+    return np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in group])
+
+
+def _sig(group: list[pa.RecordBatch], at: int) -> np.ndarray:
+    return np.stack([_column(group, at + k) for k in range(4)], axis=1).view(np.uint64)
+
+
+def _partners(labels: np.ndarray, seeks: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each seeker of a group: the rows of other components that its signature is near to."""
+    y = np.flatnonzero(~seeks)
+    x = np.flatnonzero(seeks)
+    for at in range(0, len(x), 256):
+        rows = x[at : at + 256]
+        near = (equal_slots(sig[rows][:, None], sig[y][None]) >= LEAST_EQUAL) & (labels[rows][:, None] != labels[y][None])
+        for k in np.flatnonzero(near.any(axis=1)):
+            yield rows[k], y[near[k]]
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of groups (bucket, xb, yb, id, label, seeks, signature) that have a partner."""
+    names = ["bucket", "xb", "yb", "id", "label", "seeks", *SIG]
+    out: list[pa.RecordBatch] = []
+    size = 0
+    for group in _grouped(batches, 3):
+        if sum(b.num_rows for b in group) < 2:
+            continue
+        seeks = _column(group, 5)
+        has = np.zeros(len(seeks), bool)
+        for x, y in _partners(_column(group, 4), seeks, _sig(group, 6)):
+            has[x] = has[y] = True
+        if has.any():
+            out += pa.Table.from_batches(group).filter(pa.array(has)).to_batches()
+            size += int(has.sum())
+        if size > 5000:
+            yield from (pa.RecordBatch.from_arrays(b.columns, names=names) for b in out)
+            out, size = [], 0
+    yield from (pa.RecordBatch.from_arrays(b.columns, names=names) for b in out)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between rows of groups (bucket, xb, yb, id, label, seeks, signature, bands, members).
+
+    A pair is looked at in the first band in which its rows meet; of the rows
+    of one component that a seeker is linked with, the nearest is given.
+    """
+    for group in _grouped(batches, 3):
+        ids, labels, seeks, sig = _column(group, 3), _column(group, 4), _column(group, 5), _sig(group, 6)
+        bucket = group[0].column(0)[0].as_py()
+        table = pa.Table.from_batches(group)
+        all_bands = table.column(10).combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+        band = int(np.flatnonzero(all_bands[0] == bucket)[0])
+        lists = table.column(11).combine_chunks()
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        sizes = np.diff(ends)
+        a, b = [], []
+        for x, y in _partners(labels, seeks, sig):
+            y = y[~(all_bands[y, :band] == all_bands[x, :band]).any(axis=1)]
+            y = y[100 * np.minimum(sizes[y], sizes[x]) >= PERCENT * np.maximum(sizes[y], sizes[x])]
+            if not len(y):
+                continue
+            own = values[ends[x] : ends[x + 1]]
+            theirs = np.concatenate([values[ends[k] : ends[k + 1]] for k in y])
+            at = np.searchsorted(own, theirs)
+            at[at == len(own)] = 0
+            common = np.add.reduceat(own[at] == theirs, np.concatenate([[0], np.cumsum(sizes[y])[:-1]]), dtype=np.int64)
+            union = sizes[x] + sizes[y] - common
+            linked = np.flatnonzero(100 * common >= PERCENT * union)
+            if len(linked):
+                y, near = y[linked], common[linked] / union[linked]
+                order = np.lexsort((ids[y], -near, labels[y]))
+                y = y[order]
+                y = y[np.append(True, labels[y][1:] != labels[y][:-1])]
+                a.append(np.minimum(ids[x], ids[y]))
+                b.append(np.maximum(ids[x], ids[y]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -181,16 +281,46 @@ def components(links: DataFrame) -> DataFrame:
     itself (pointer jumping), until none changes.
     """
     edges = staged(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")), "near-edges")
-    labels = staged(edges.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("label")), "near-labels")
+    labels = edges.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("label"))
+    labels = staged(labels, "near-labels")
     while True:
         near = edges.join(labels, edges.dst == labels.id).groupBy("src").agg(F.min("label").alias("m"))
-        once = labels.join(near, labels.id == near.src).select("id", F.least("label", "m").alias("label"), F.col("label").alias("was"))
-        once = staged(once, "near-labels")
+        least = F.least("label", "m")
+        once = staged(labels.join(near, labels.id == near.src).select("id", least.alias("label"), (least < F.col("label")).alias("changed")), "near-labels")
+        if once.filter("changed").isEmpty():
+            return once.select("id", "label")
         of = once.select(F.col("id").alias("l"), F.col("label").alias("further"))
-        labels = staged(once.join(of, F.col("label") == F.col("l")).select("id", F.least("label", "further").alias("label"), "was"), "near-labels")
-        if labels.filter("label <> was").isEmpty():
-            return labels.select("id", "label")
-        labels = labels.select("id", "label")
+        labels = staged(once.join(of, F.col("label") == F.col("l")).select("id", F.least("label", "further").alias("label")), "near-labels")
+
+
+def still_apart(texts: DataFrame, features: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between components that ``labels`` still tells apart; ``rows`` has bucket, first, id, signature.
+
+    Seekers and rows are dealt into blocks, so that a group is bounded however
+    large its bucket is.  Of two rows of one bucket and different components at
+    least one is a seeker.
+    """
+    named = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    of_first = labels.select(F.col("id").alias("first"), F.col("label").alias("first_label"))
+    named = staged(named.join(of_first, "first", "left").select("bucket", "id", "label", (F.col("label") != F.coalesce("first_label", "first")).alias("seeks"), *SIG), "near-named")
+    open_ = named.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("seeks").alias("k")).filter("k > 0")
+    met = named.join(open_.select("bucket", F.ceil(F.col("m") / BLOCK_ROWS).alias("ny"), F.ceil(F.col("k") / BLOCK_ROWS).alias("nx")), "bucket")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # Each row stands in the blocks of its own number and all numbers of the other side; a seeker on both sides.
+    sides = F.filter(F.array(F.struct(F.lit(False).alias("s")), F.struct(F.col("seeks").alias("s"))), lambda v, i: (i == 0) | v["s"])
+    met = met.select("bucket", "id", "label", "nx", "ny", *SIG, F.explode(sides).alias("side"))
+    other = F.explode(F.when(F.col("side.s"), numbers("ny")).otherwise(numbers("nx"))).alias("other")
+    met = met.select("bucket", "id", "label", "nx", "ny", *SIG, F.col("side.s").alias("seeks"), other)
+    met = met.select("bucket", F.when(F.col("seeks"), block("nx")).otherwise(F.col("other")).alias("xb"), F.when(F.col("seeks"), F.col("other")).otherwise(block("ny")).alias("yb"), "id", "label", "seeks", *SIG)
+    key = ["bucket", "xb", "yb"]
+    kind = "bucket long, xb long, yb long, id long, label long, seeks boolean, s0 long, s1 long, s2 long, s3 long"
+    found = staged(met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_with_partner, kind), "near-partners")
+    ids = staged(found.select("id").distinct(), "near-ids")
+    sets = texts.join(small_or_not(ids), "id", "left_semi").mapInArrow(_sets, "id long, members array<long>")
+    full = staged(sets.join(features.select("id", "bands"), "id").dropDuplicates(["id"]), "near-sets")
+    dealt = found.join(full, "id").select(*key, "id", "label", "seeks", *SIG, "bands", "members").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,28 +343,19 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     met = staged(ordered.mapInArrow(_with_first, "bucket long, first long, id long, equal int, edge boolean, s0 long, s1 long, s2 long, s3 long"), "near-met")
 
     # A bucket that was dealt over partitions has a first in each: at most two rows a partition.
-    edge = met.filter("edge").select("bucket", F.struct("id", *SIG).alias("e")).distinct()
-    tops = edge.groupBy("bucket").agg(F.min("e").alias("t"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "t")
-    across = edge.join(tops, "bucket").filter((F.col("e.id") != F.col("t.id")) & (_equal("e", "t") >= LEAST_EQUAL)).select(F.col("t.id").alias("a"), F.col("e.id").alias("b"))
-    pairs = staged(met.filter((F.col("first") != F.col("id")) & (F.col("equal") >= LEAST_EQUAL)).select(F.col("first").alias("a"), F.col("id").alias("b")).union(across).distinct(), "near-pairs")
+    edge = met.filter("edge").select("bucket", "id").distinct()
+    tops = edge.groupBy("bucket").agg(F.min("id").alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "top")
+    across = edge.join(tops, "bucket").filter("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b"))
+    # Of the firsts that a row meets, the nearest.
+    best = met.filter((F.col("first") != F.col("id")) & (F.col("equal") >= LEAST_EQUAL)).groupBy("id").agg(F.max(F.struct("equal", (-F.col("first")).alias("f"))).alias("m"))
+    pairs = staged(best.select((-F.col("m.f")).alias("a"), F.col("id").alias("b")).union(across).distinct(), "near-pairs")
     links = staged(confirmed(texts, pairs), "near-links")
     labels = components(links)
 
-    # What is still apart within a bucket.
-    top = tops.select("bucket", F.col("t.id").alias("top"))
-    whole = met.join(F.broadcast(top), "bucket", "left").select("bucket", F.coalesce("top", "first").alias("first"), "id", *SIG)
-    named = whole.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    first_label = labels.select(F.col("id").alias("first"), F.col("label").alias("first_label"))
-    named = staged(named.join(first_label, "first", "left").withColumn("first_label", F.coalesce("first_label", "first")), "near-named")
-    x = named.filter("label <> first_label").select("bucket", F.struct("id", "label", *SIG).alias("x"))
-    y = named.select("bucket", F.struct("id", "label", *SIG).alias("y"))
-    apart = x.join(y, "bucket").filter((F.col("x.label") != F.col("y.label")) & (_equal("x", "y") >= LEAST_EQUAL))
-    apart = apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    apart = staged(apart, "near-apart")
-    if not apart.isEmpty():
-        more = staged(confirmed(texts, apart), "near-links")
-        if not more.isEmpty():
-            labels = components(staged(links.union(more), "near-links"))
+    whole = met.join(F.broadcast(tops), "bucket", "left").select("bucket", F.coalesce("top", "first").alias("first"), "id", *SIG)
+    more = staged(still_apart(texts, features, whole, labels), "near-links")
+    if not more.isEmpty():
+        labels = components(staged(links.union(more), "near-links"))
 
     found = groups.join(labels, groups.rep == labels.id, "left").select("set_key", F.coalesce("label", "rep").alias("label"))
     found = staged(found, "near-found")
