@@ -148,8 +148,9 @@ _BLANK_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 JUDGED_SQL = f"""
   d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
   w AS (SELECT rn, regexp_extract_all(t, {_quoted(WORD)}) AS w FROM d),
-  g AS (SELECT rn, unnest(range(1, len(w) - {WINDOW - 2})) AS i, w FROM w WHERE len(w) >= {WINDOW}),
-  s AS (SELECT rn, i, count(*) OVER (PARTITION BY rn, array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS c FROM g),
+  g AS (SELECT rn, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+  v AS (SELECT rn, i, lead(x, {WINDOW - 1}) OVER o AS e, concat_ws(' ', x, {', '.join(f'lead(x, {k}) OVER o' for k in range(1, WINDOW))}) AS win FROM g WINDOW o AS (PARTITION BY rn ORDER BY i)),
+  s AS (SELECT rn, i, count(*) OVER (PARTITION BY rn, win) AS c FROM v WHERE e IS NOT NULL),
   r AS (SELECT rn, sum(least({WINDOW}, coalesce(nxt, i + {WINDOW}) - i)) AS n_repeat FROM (SELECT rn, i, lead(i) OVER (PARTITION BY rn ORDER BY i) AS nxt FROM s WHERE c > 1) GROUP BY rn),
   x AS (SELECT rn, string_split(t, chr(10)) AS ls FROM d),
   l AS (SELECT rn, unnest(range(1, len(ls) + 1)) AS nr, unnest(ls) AS line FROM x),
