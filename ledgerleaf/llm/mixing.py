@@ -106,7 +106,8 @@ def taken_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     The first table has ``at, pass_no, taken``, only where words are taken.
     """
     targets = staged(source_targets(docs, weights, share, passes), "mix-targets")
-    times = slot_schedule(targets, block_words, passes).select(F.col("nr").alias("nr_"), F.col("block").alias("block_"), "pass_no")
+    # Planned as if small, but with a row for each slot: never broadcast.
+    times = slot_schedule(targets, block_words, passes).select(F.col("nr").alias("nr_"), F.col("block").alias("block_"), "pass_no").hint("merge")
     named = targets.select("nr", F.col("source").alias("s"), _block_words(block_words).alias("b"))
     placed = shuffled_offsets(docs).filter("size > 0").join(named, F.col("source").eqNullSafe(F.col("s")))
     pieces = placed.select("at", "nr", "start", "size", "b", F.explode(F.sequence(F.floor(F.col("start") / F.col("b")), F.floor((F.col("start") + F.col("size") - 1) / F.col("b")))).alias("block"))
