@@ -108,10 +108,12 @@ def bounded_int(c: Column, fallback: int, hard_max: int) -> Column:
 
 def spanish_amount(c: Column, kind: str = "decimal(12,2)") -> Column:
     """An amount as printed by vendors: with dots and commas, dots are thousands; else the first comma is the point."""
-    kept = F.regexp_replace(c, r"[^0-9,.]", "")
-    both = kept.contains(",") & kept.contains(".")
-    point = lambda x: F.regexp_replace(x, r"\A([^,]*),", "$1.")
-    return F.when(both, point(F.replace(kept, F.lit("."), F.lit("")))).otherwise(point(kept)).try_cast(kind)
+
+    def of(kept: Column) -> Column:
+        whole = F.when(kept.contains(",") & kept.contains("."), F.replace(kept, F.lit("."), F.lit(""))).otherwise(kept)
+        return F.regexp_replace(whole, r"\A([^,]*),", "$1.").try_cast(kind)
+
+    return bind(F.regexp_replace(c, r"[^0-9,.]", ""), of)
 
 
 def tabular_number(c: Column, kind: str = "decimal(18,4)") -> Column:
@@ -125,23 +127,31 @@ AMOUNT = r"\A((?:[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+)[.,][0-9]{2})(?![0-9A-Za-z_])[
 
 def labelled_amount(value: Column, most: int) -> Column:
     """The money amount of a label's value; null unless it is positive, not over ``most`` and well formed."""
-    raw = first_group(value, AMOUNT)
-    whole = F.replace(F.substring(raw, F.lit(1), F.length(raw) - 3), F.lit("."), F.lit(""))
-    amount = F.concat(whole, F.lit("."), F.right(raw, F.lit(2))).try_cast("decimal(38,2)")
-    return F.when((amount > 0) & (amount <= most), amount.cast("decimal(12,2)"))
+
+    def of(raw: Column) -> Column:
+        whole = F.replace(F.substring(raw, F.lit(1), F.length(raw) - 3), F.lit("."), F.lit(""))
+        return F.concat(whole, F.lit("."), F.right(raw, F.lit(2))).try_cast("decimal(38,2)")
+
+    amount = bind(first_group(value, AMOUNT), of)
+    return bind(amount, lambda x: F.when((x > 0) & (x <= most), x.cast("decimal(12,2)")))
+
+
+DAY_MONTH_YEAR = "[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}"
 
 
 def day_month_year(c: Column) -> Column:
     """The first d/m/yyyy or d.m.yyyy of a text as a date; null if it is none of 1900 to 2100."""
-    year = F.regexp_extract(c, r"([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{2,4})", 3)
-    found = F.replace(F.regexp_extract(c, r"([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{2,4})", 0), F.lit("."), F.lit("/"))
-    date = F.when(F.length(year) == 4, F.try_to_date(found, "d/M/yyyy"))
-    return F.when(F.year(date).between(1900, 2100), date)
+    found = F.replace(F.regexp_extract(c, DAY_MONTH_YEAR, 0), F.lit("."), F.lit("/"))
+    date = bind(found, lambda m: F.when(m.rlike(r"/[0-9]{4}\z"), F.try_to_date(m, "d/M/yyyy")))
+    return bind(date, lambda d: F.when(F.year(d).between(1900, 2100), d))
 
 
 def vendor_date(c: Column) -> Column:
     """yyyy-mm-dd, dd/mm/yyyy or dd-mm-yyyy as a date; impossible dates are null."""
-    c = trim_blanks(c)
+    return bind(trim_blanks(c), _vendor_date)
+
+
+def _vendor_date(c: Column) -> Column:
     return F.when(c.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_date(c, "yyyy-MM-dd")).when(c.rlike(r"\A([0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})\z"), F.try_to_date(F.replace(c, F.lit("-"), F.lit("/")), "dd/MM/yyyy"))
 
 

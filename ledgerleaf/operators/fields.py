@@ -35,42 +35,50 @@ def _first(values: Column) -> Column:
 
 def label_date(text: Column, name: str) -> Column:
     """The date beside a label or, if that line has none, on the line below; later labels are tried if it is invalid."""
+    return T.bind(_lines(text), lambda lines: _date_in(lines, name))
 
-    def of(lines: Column) -> Column:
-        def at(line: Column, i: Column) -> Column:
-            after = _after(line, name)
-            has_date = after.rlike(r"[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}")
-            where = F.when(has_date, after).otherwise(F.coalesce(F.get(lines, i + 1), after))
-            return F.when(line.rlike(_label(name)), T.day_month_year(where))
 
-        return _first(F.transform(lines, at))
+def _date_in(lines: Column, name: str) -> Column:
+    def at(line: Column, i: Column) -> Column:
+        where = T.bind(_after(line, name), lambda a: F.when(a.rlike(T.DAY_MONTH_YEAR), a).otherwise(F.coalesce(F.get(lines, i + 1), a)))
+        return F.when(line.rlike(_label(name)), T.day_month_year(where))
 
-    return T.bind(_lines(text), of)
+    return _first(F.transform(lines, at))
 
 
 def label_value(text: Column, name: str, most: int) -> Column:
     """The text beside a label up to the next label, without currency; empty or longer ones are passed over."""
+    return T.bind(_lines(text), lambda lines: _value_in(lines, name, most))
 
-    def at(line: Column) -> Column:
+
+def _value_in(lines: Column, name: str, most: int) -> Column:
+    def of(line: Column) -> Column:
         value = T.trim_blanks(_after(line, name))
         value = F.regexp_replace(value, T.pattern(R.VALUE_STOP) + r".*\z", "")
         value = F.regexp_replace(value, rf"\A[{T.BLANK}:;.,]+", "")
-        value = T.trim_blanks(F.regexp_replace(value, T.pattern(R.CURRENCY_TAIL), ""))
-        return F.when(line.rlike(_label(name)) & (F.length(value).between(1, most)), value)
+        return T.trim_blanks(F.regexp_replace(value, T.pattern(R.CURRENCY_TAIL), ""))
 
-    return _first(F.transform(_lines(text), at))
+    values = F.transform(F.filter(lines, lambda line: line.rlike(_label(name))), of)
+    return F.get(F.filter(values, lambda v: F.length(v).between(1, most)), F.lit(0))
 
 
 def label_amount(text: Column, name: str) -> Column:
-    return T.labelled_amount(label_value(text, name, R.VALUE_CHARS), R.MOST_TOTAL)
+    return T.bind(_lines(text), lambda lines: _amount_in(lines, name))
+
+
+def _amount_in(lines: Column, name: str) -> Column:
+    return T.labelled_amount(_value_in(lines, name, R.VALUE_CHARS), R.MOST_TOTAL)
 
 
 def label_tax(text: Column) -> Column:
     """IGIC, IVA or TAX by the first line with a tax label; null if that label is spelled otherwise."""
+    return _tax_in(_lines(text))
+
+
+def _tax_in(lines: Column) -> Column:
     word = lambda w: T.pattern(f"%b(?:{w})%e")
-    hits = F.filter(_lines(text), lambda line: line.rlike(_label("tax")))
-    head = F.regexp_extract(F.get(hits, F.lit(0)), _label("tax"), 0)
-    return F.when(head.rlike(word("igic")), "IGIC").when(head.rlike(word("iva")), "IVA").when(head.rlike(word("tax|taxes")), "TAX")
+    hits = F.filter(lines, lambda line: line.rlike(_label("tax")))
+    return T.bind(F.regexp_extract(F.get(hits, F.lit(0)), _label("tax"), 0), lambda head: F.when(head.rlike(word("igic")), "IGIC").when(head.rlike(word("iva")), "IVA").when(head.rlike(word("tax|taxes")), "TAX"))
 
 
 def named(**values: Column) -> Column:
@@ -80,16 +88,24 @@ def named(**values: Column) -> Column:
 
 def generic_fields(text: Column) -> Column:
     """The seven generic slots as a struct, with the list of those found."""
-    found = {
-        "invoice_date": label_date(text, "invoice_date"),
-        "simplified_invoice_date": label_date(text, "simplified_invoice_date"),
-        "invoice_number": label_value(text, "invoice_number", R.NUMBER_CHARS),
-        "subtotal": label_amount(text, "subtotal"),
-        "tax_label": label_tax(text),
-        "tax": label_amount(text, "tax"),
-        "total": label_amount(text, "total"),
-    }
-    return T.bind(F.struct(*[v.alias(k) for k, v in found.items()]), lambda s: F.struct(s["invoice_date"].alias("invoice_date"), s["simplified_invoice_date"].alias("simplified_invoice_date"), s["invoice_number"].alias("invoice_number"), s["tax_label"].alias("tax_label"), F.struct(*[s[k].alias(k) for k in TOTALS]).alias("totals"), named(**{k: s[k] for k in found}).alias("matched")))
+
+    def slots(lines: Column) -> Column:
+        found = {
+            "invoice_date": _date_in(lines, "invoice_date"),
+            "simplified_invoice_date": _date_in(lines, "simplified_invoice_date"),
+            "invoice_number": _value_in(lines, "invoice_number", R.NUMBER_CHARS),
+            "subtotal": _amount_in(lines, "subtotal"),
+            "tax_label": _tax_in(lines),
+            "tax": _amount_in(lines, "tax"),
+            "total": _amount_in(lines, "total"),
+        }
+        return T.bind(F.struct(*[v.alias(k) for k, v in found.items()]), lambda s: shaped(s, tuple(found)))
+
+    def shaped(s: Column, order: tuple[str, ...]) -> Column:
+        plain = [s[k].alias(k) for k in ("invoice_date", "simplified_invoice_date", "invoice_number", "tax_label")]
+        return F.struct(*plain, F.struct(*[s[k].alias(k) for k in TOTALS]).alias("totals"), named(**{k: s[k] for k in order}).alias("matched"))
+
+    return T.bind(_lines(text), slots)
 
 
 # Vendors.
@@ -100,17 +116,22 @@ def detect_vendor(text: Column, vendors: tuple[R.Vendor, ...] = R.VENDORS) -> Co
     return F.coalesce(*[F.when(text.rlike(T.pattern("|".join(v.markers))), F.lit(v.name)) for v in vendors])
 
 
-def _vendor_totals(text: Column, rules: R.FieldRules) -> dict[str, Column]:
+def _vendor_totals(text: Column, rules: R.FieldRules) -> Column:
     none = F.lit(None).cast(MONEY)
     if rules.each:
-        return {k: T.spanish_amount(T.first_group(text, T.pattern(rules.each[k])), MONEY) if k in rules.each else none for k in TOTALS}
-    out = dict.fromkeys(TOTALS, none)
-    # Later alternatives count only where no earlier one matches at all.
-    for source, parts in reversed(rules.totals):
+        return F.struct(*[(T.spanish_amount(T.first_group(text, T.pattern(rules.each[k])), MONEY) if k in rules.each else none).alias(k) for k in TOTALS])
+    nothing = F.struct(*[none.alias(k) for k in TOTALS])
+
+    def alternative(k: int) -> Column:
+        """The first alternative from the k-th on that occurs at all; parts are taken from its match alone."""
+        if k == len(rules.totals):
+            return nothing
+        source, parts = rules.totals[k]
         p = T.pattern(source)
-        here = text.rlike(p)
-        out = {k: F.when(here, T.spanish_amount(F.regexp_extract(text, p, parts.index(k) + 1), MONEY) if k in parts else none).otherwise(out[k]) for k in TOTALS}
-    return out
+        taken = lambda m: F.struct(*[(T.spanish_amount(F.regexp_extract(m, p, parts.index(t) + 1), MONEY) if t in parts else none).alias(t) for t in TOTALS])
+        return T.bind(F.regexp_extract(text, p, 0), lambda m: F.when(m != "", taken(m)).otherwise(alternative(k + 1)))
+
+    return alternative(0)
 
 
 def vendor_fields(text: Column, vendor: Column, vendors: tuple[R.Vendor, ...] = R.VENDORS) -> Column:
@@ -125,7 +146,7 @@ def vendor_fields(text: Column, vendor: Column, vendors: tuple[R.Vendor, ...] =
                 (T.vendor_date(T.first_group(text, T.pattern(f.date))) if f.date else F.lit(None).cast("date")).alias("invoice_date"),
                 (T.first_group(text, T.pattern(f.number)) if f.number else F.lit(None).cast("string")).alias("invoice_number"),
                 tax_label.alias("tax_label"),
-                F.struct(*[c.alias(k) for k, c in _vendor_totals(text, f).items()]).alias("totals"),
+                _vendor_totals(text, f).alias("totals"),
             )
             out = F.when(vendor == v.name, made) if out is None else out.when(vendor == v.name, made)
     return out if out is not None else F.lit(None).cast(f"struct<vendor:string,invoice_date:date,invoice_number:string,tax_label:string,totals:struct<subtotal:{MONEY},tax:{MONEY},total:{MONEY}>>")
@@ -147,9 +168,14 @@ def merge_fields(generic: Column, vendor: Column) -> Column:
 
 def extract_fields(text: Column, vendor: Column | None = None) -> Column:
     """Generic and vendor fields of a text, merged; null text counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    vendor = vendor if vendor is not None else detect_vendor(text)
-    return T.bind(F.struct(generic_fields(text).alias("g"), vendor_fields(text, vendor).alias("v")), lambda s: merge_fields(s["g"], s["v"]))
+
+
+    def of(t: Column) -> Column:
+        by = vendor if vendor is not None else detect_vendor(t)
+        both = T.bind(by, lambda v: F.struct(generic_fields(t).alias("g"), vendor_fields(t, v).alias("v")))
+        return T.bind(both, lambda s: merge_fields(s["g"], s["v"]))
+
+    return T.bind(F.coalesce(text, F.lit("")), of)
 
 
 def fill_from_model(fields: Column, number: Column, date: Column, total: Column) -> Column:

@@ -16,6 +16,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "key") -> DataFrame:
+    """Deal few large files, or partitions that were merged for their small bytes, over all cores: rules cost CPU, not bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def number(c: Column, digits: int) -> Column:
     return F.replace(c.cast(f"decimal(18,{digits})").cast("string"), F.lit("."), F.lit(","))
 
@@ -27,7 +33,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     total = F.col("o_totalprice").cast("decimal(12,2)")
     tax = (F.floor(total * 7) / 100).cast("decimal(12,2)")
-    return load(spark, sf_dir, "orders").select(
+    return spread(load(spark, sf_dir, "orders"), "o_orderkey").select(
         F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file"),
         F.col("o_orderkey").alias("key"),
         F.concat(F.lpad(F.col("o_orderkey").cast("string"), 4, "0"), F.lit("/"), F.date_format("o_orderdate", "yy")).alias("number"),
@@ -49,7 +55,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their lines; an order without lines has an empty list."""
     lines = order_lines(spark, sf_dir)
-    return orders(spark, sf_dir).join(lines, "key", "left").withColumn("lines", F.coalesce("lines", F.filter(F.array(F.lit(None).cast(lines.schema["lines"].dataType.elementType)), lambda x: x.isNotNull())))
+    docs = orders(spark, sf_dir).join(lines, "key", "left").withColumn("lines", F.coalesce("lines", F.filter(F.array(F.lit(None).cast(lines.schema["lines"].dataType.elementType)), lambda x: x.isNotNull())))
+    return spread(docs)
 
 
 def _rows(line) -> Column:

@@ -59,7 +59,7 @@ def exploded(docs: DataFrame, array: str = "items") -> DataFrame:
   CASE WHEN rate = 0 THEN 'EX' ELSE rate || '%' END AS tax_label, CAST(0 AS DECIMAL(18,4)) AS tax_amount, amount FROM l""", numbers="units unit_price base tax_amount amount")
 def ticket_items(spark, sf_dir):
     docs = render.with_lines(spark, sf_dir)
-    docs = docs.select("key", items.ticket_items(render.ticket(docs))["items"].alias("items"))
+    docs = docs.select("key", render.ticket(docs).alias("text")).select("key", items.ticket_items(F.col("text"))["items"].alias("items"))
     return exploded(docs).select("key", "pos", "i.description", "i.units", "i.unit_price", "i.base", "i.tax_label", "i.tax_amount", "i.amount")
 
 
@@ -67,7 +67,7 @@ def ticket_items(spark, sf_dir):
   FROM orders LEFT JOIN l ON o_orderkey = l.key GROUP BY o_orderkey""", numbers="sum_totals")
 def ticket_stats(spark, sf_dir):
     docs = render.with_lines(spark, sf_dir)
-    s = docs.select("key", items.ticket_stats(items.ticket_items(render.ticket(docs))).alias("s"))
+    s = docs.select("key", render.ticket(docs).alias("text")).select("key", T.bind(items.ticket_items(F.col("text")), items.ticket_stats).alias("s"))
     return s.select("key", F.col("s.items_detected").cast("long").alias("items_detected"), F.col("s.items_skipped").cast("long").alias("items_skipped"), F.col("s.sum_totals").cast("decimal(18,2)").alias("sum_totals"))
 
 
@@ -79,33 +79,34 @@ def ticket_dedupe(spark, sf_dir):
     docs = render.with_lines(spark, sf_dir)
     docs = docs.withColumn("lines", F.transform("lines", lambda x: x.withField("name", F.when(x["rate"] == 0, F.concat(F.lit("TOTAL "), x["name"])).otherwise(x["name"]))))
     docs = docs.withColumn("lines", F.concat("lines", "lines"))
-    parsed = docs.select("key", items.ticket_items(render.ticket(docs)).alias("p"))
+    parsed = docs.select("key", render.ticket(docs).alias("text")).select("key", items.ticket_items(F.col("text")).alias("p"))
     return parsed.select("key", F.size("p.items").cast("long").alias("items_detected"), F.col("p.skipped").cast("long").alias("items_skipped"))
 
 
-def _vendor_items(spark, sf_dir, vendor, layout):
+def _vendor_items(spark, sf_dir, layout):
     docs = render.with_lines(spark, sf_dir)
-    text = layout(docs)
-    docs = docs.select("key", items.vendor_items(text, fields.detect_vendor(text)).alias("items"))
+    docs = docs.select("key", layout(docs).alias("text"))
+    docs = docs.withColumn("vendor", fields.detect_vendor(F.col("text")))
+    docs = docs.select("key", items.vendor_items(F.col("text"), F.col("vendor")).alias("items"))
     return exploded(docs).select("key", "pos", *[F.col(f"i.{c}").alias(c) for c in ("description", "units", "unit_price", "amount", "tax_rate", "list_price", "discount_pct", "reference")])
 
 
 @query(f"""WITH {LINES_SQL} SELECT key, pos, name || ' MÓDULO Nº : A' || l_linenumber AS description, units, price AS unit_price, amount, CAST(rate AS DECIMAL(9,4)) AS tax_rate,
   CAST(NULL AS DECIMAL(18,4)) AS list_price, CAST(NULL AS DECIMAL(9,4)) AS discount_pct, CAST(NULL AS VARCHAR) AS reference FROM l""", numbers="units unit_price amount tax_rate list_price discount_pct")
 def vendor_items_miller(spark, sf_dir):
-    return _vendor_items(spark, sf_dir, "miller", render.miller)
+    return _vendor_items(spark, sf_dir, render.miller)
 
 
 @query(f"""WITH {LINES_SQL} SELECT key, pos, name AS description, units, price AS unit_price, amount, CAST(rate AS DECIMAL(9,4)) AS tax_rate,
   CAST(NULL AS DECIMAL(18,4)) AS list_price, CAST(NULL AS DECIMAL(9,4)) AS discount_pct, CAST(NULL AS VARCHAR) AS reference FROM l""", numbers="units unit_price amount tax_rate list_price discount_pct")
 def vendor_items_empark(spark, sf_dir):
-    return _vendor_items(spark, sf_dir, "empark", render.empark)
+    return _vendor_items(spark, sf_dir, render.empark)
 
 
 @query(f"""WITH {LINES_SQL} SELECT key, pos, name AS description, units, price AS unit_price, amount, CAST(NULL AS DECIMAL(9,4)) AS tax_rate,
   price AS list_price, CAST(discount AS DECIMAL(9,4)) AS discount_pct, 'AB.' || l_partkey AS reference FROM l""", numbers="units unit_price amount tax_rate list_price discount_pct")
 def vendor_items_acastimar(spark, sf_dir):
-    return _vendor_items(spark, sf_dir, "acastimar", render.acastimar)
+    return _vendor_items(spark, sf_dir, render.acastimar)
 
 
 # Vendors and fields.
