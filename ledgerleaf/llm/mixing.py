@@ -94,9 +94,10 @@ def slot_schedule(targets: DataFrame, block_words: int | None = None, passes: in
     slots = slots.select("chunk", "slot", (F.size(F.filter("uptos", lambda u: u <= F.col("point"))) + 1).alias("nr"))
     base = slots.groupBy("nr", "chunk").agg(F.count("*").alias("c"))
     base = base.select("nr", "chunk", F.coalesce(F.sum("c").over(Window.partitionBy("nr").orderBy("chunk").rowsBetween(*BEFORE)), F.lit(0)).alias("base"))
-    ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("nr", "chunk").orderBy("slot")) - 1).join(base, ["nr", "chunk"])
+    ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("nr", "chunk").orderBy("slot")) - 1).join(base.hint("merge"), ["nr", "chunk"])
+    # A row a source: the only side here that may be broadcast. All others are planned as if small, but grow with the slots.
     blocks = t.select("nr", F.ceil(F.col("source_size") / F.col("b")).alias("blocks"))
-    filled = ranked.join(blocks, "nr").withColumn("rank", F.col("r") + F.col("base")).filter(F.col("rank") < F.col("blocks") * passes)
+    filled = ranked.join(F.broadcast(blocks), "nr").withColumn("rank", F.col("r") + F.col("base")).filter(F.col("rank") < F.col("blocks") * passes)
     return filled.select("slot", "nr", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).cast("int").alias("pass_no"))
 
 
@@ -106,7 +107,6 @@ def taken_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     The first table has ``at, pass_no, taken``, only where words are taken.
     """
     targets = staged(source_targets(docs, weights, share, passes), "mix-targets")
-    # Planned as if small, but with a row for each slot: never broadcast.
     times = slot_schedule(targets, block_words, passes).select(F.col("nr").alias("nr_"), F.col("block").alias("block_"), "pass_no").hint("merge")
     named = targets.select("nr", F.col("source").alias("s"), _block_words(block_words).alias("b"))
     placed = shuffled_offsets(docs).filter("size > 0").join(named, F.col("source").eqNullSafe(F.col("s")))
