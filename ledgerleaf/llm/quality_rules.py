@@ -131,8 +131,10 @@ def clean_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
     out = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
     for name, col in quality_columns(F.col(f"__row.`{text_col}`")).items():
         out = out.withColumn(name, col)
+    # A filter on "kept" would be pushed below and judge each text twice; one on a generated column stays where it is.
+    out = out.select("__row", F.explode_outer(F.array(F.when(F.col("kept"), F.col("cleaned")))).alias("cleaned")).filter(F.col("cleaned").isNotNull())
     new = {text_col: F.col("cleaned")} | ({"n_chars": F.length("cleaned").cast(df.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return out.filter("kept").select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in names])
+    return out.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in names])
 
 
 def _quoted(s: str) -> str:
