@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for the rest.
 
 Runs of 20 or more characters of the base64, base64url, hex and base32
-alphabets that no fixed pattern covers are candidates.  For each the smallest
-alphabet that holds it is inferred, and it is tested as a sequence over that
-alphabet:
+alphabets are cut at '=' that isn't padding, as in NAME=VALUE.  Each part that
+one alphabet holds, and each longest run of letters and digits, of base64 and of
+base64url within a part, is a candidate if no fixed pattern covers any of it.
+For each the smallest alphabet that holds it is inferred, and it is tested as a
+sequence over that alphabet:
 
 * chi-squared uniformity, judged against ordinary writing: the p-value is the
   probability that text of this length with the letter frequencies of prose
@@ -13,7 +15,8 @@ alphabet:
   counters, keyboard rows and repeated patterns fail these.
 
 A string must not fail the last two at 0.1 %, and the p-values of the first
-pass Benjamini and Hochberg's step-up over the document's candidates.
+pass Benjamini and Hochberg's step-up over the document's candidates; of finds
+that overlap, the one with the least p-value stays.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +41,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run is as long as it gets, so only runs of 16 or more need matching.
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[^=]{20,}")
+#: Runs of the alphabets that may stand within a part; a part of one alphabet is a run of its own.
+RUNS = tuple(re.compile(x) for x in (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}"))
 #: Expected share of false finds among a document's finds; level of the other two tests.
 FALSE_SHARE, LEVEL = 0.001, 0.001
 #: Candidates longer than this are tested on windows of this length, all of them.
@@ -135,21 +142,46 @@ def looks_random(s: str) -> float | None:
     return worst
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end, with padding, of all that is tested, by part of the text."""
+    for m in CANDIDATE.finditer(text):
+        body = m.start() + len(m.group().rstrip("="))
+        for part in PART.finditer(text, m.start(), body):
+            found = {r.span() for run in RUNS for r in run.finditer(text, *part.span())}
+            yield from ((a, m.end() if b == body else b) for a, b in sorted(found))
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """All spans of a text as (start, place of the kind, end), sorted."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    covered = sorted((a, b) for a, _, b in spans)
-    tested, k = [], 0
-    for m in CANDIDATE.finditer(text):
-        while k < len(covered) and covered[k][1] <= m.start():
-            k += 1
-        if (k == len(covered) or covered[k][0] >= m.end()) and (p := looks_random(m.group())) is not None:
-            tested.append((p, m.start(), m.end()))
+    covered = _joined((a, b) for a, _, b in spans)
+    starts = [a for a, _ in covered]
+    tested = []
+    for a, b in candidates(text):
+        k = bisect_left(starts, b)
+        if (not k or covered[k - 1][1] <= a) and (p := looks_random(text[a:b])) is not None:
+            tested.append((p, a, b))
     tested.sort()
     last = max((k for k, (p, _, _) in enumerate(tested, 1) if p <= FALSE_SHARE * k / len(tested)), default=0)
-    return sorted([*spans, *((a, 3, b) for _, a, b in tested[:last])])
+    taken: list[tuple[int, int]] = []
+    for _, a, b in tested[:last]:
+        k = bisect_left(taken, (b,))
+        if not k or taken[k - 1][1] <= a:
+            insort(taken, (a, b))
+    return sorted([*spans, *((a, 3, b) for a, b in taken)])
+
+
+def _joined(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def _said(spans: list[tuple[int, int, int]]) -> str:

@@ -183,3 +183,20 @@ def test_random_strings_are_found_and_writing_is_not():
     assert found > 180
     for t in ("user_profile_settings_page_2_of_the_site", "com/example/project/src/main/java2", "abcdefghijklmnopqrstuvwxyz0123456789", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA1", "2024-01-01-release-candidate-1-of-many", "1234567890123456789012345678901234567890a"):
         assert not any(k == 3 for _, k, _ in secret_scan.scan(t)), t
+
+
+def test_random_values_beside_names_and_paths_are_found():
+    rng = random.Random(10)
+    cases = ("AWS_SECRET_ACCESS_KEY={}", "client_key={}&next=1", "https://x.example/a?sig={}", "my_app/{}", "lib-two_{}", "A_B=1 KEY_NAME={}==", "a=b=c_d={}")
+    hits = dict.fromkeys(cases, 0)
+    for case in cases:
+        for _ in range(50):
+            s = base64.b64encode(rng.randbytes(36)).decode()
+            if "=" not in case:
+                s = "".join(c for c in s if c.isalnum())
+            text = case.format(s)
+            at = text.index(s)
+            hits[case] += any(k == 3 and a < at + 8 and b > at + len(s) - 8 for a, k, b in secret_scan.scan(text))
+    assert all(n >= 45 for n in hits.values()), hits
+    for t in ("USER_PROFILE_SETTINGS=page_2_of_the_site_map", "export CONFIG_PATH=usr/share/project_name/version2/files", "com/example_one/project/src/main/java2"):
+        assert not any(k == 3 for _, k, _ in secret_scan.scan(t)), t
