@@ -1,20 +1,22 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for the rest.
 
 Runs of 20 or more characters of the base64, base64url, hex and base32
-alphabets are cut at '=' that isn't padding, as in NAME=VALUE.  Each part that
-one alphabet holds, and each longest run of letters and digits, of base64 and of
-base64url within a part, is a candidate if no fixed pattern covers any of it.
+alphabets are cut at '=' that isn't padding, as in NAME=VALUE.  Each longest run
+of base64 and of base64url within a part is a candidate if no fixed pattern
+covers any of it; so is each stretch of words between signs in it that is more
+likely random than writing and would be less so if longer (a key after a path).
 For each the smallest alphabet that holds it is inferred, and it is tested as a
 sequence over that alphabet:
 
-* chi-squared uniformity, judged against ordinary writing: the p-value is the
-  probability that text of this length with the letter frequencies of prose
-  looks at least as even (its statistic is a non-central chi-squared, whose
-  non-centrality grows with the length, so short strings need to be more even);
-* runs above and below the alphabet's middle, and lag-one serial correlation:
-  counters, keyboard rows and repeated patterns fail these.
+* likelihood as a random string of this length and alphabet against likelihood
+  as writing, by shares of pairs of letters, digits and signs and of capitals;
+  for writing, a ratio of r or more has a probability of 1/r at most, which is
+  taken as the p-value;
+* chi-squared uniformity, runs above and below the alphabet's middle, and
+  lag-one serial correlation: counters, keyboard rows and repeated patterns
+  fail these.
 
-A string must not fail the last two at 0.1 %, and the p-values of the first
+A string must not fail the last three at 0.1 % each, and the p-values of the first
 pass Benjamini and Hochberg's step-up over the document's candidates; of finds
 that overlap, the one with the least p-value stays.
 """
@@ -43,8 +45,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PART = re.compile(r"[^=]{20,}")
 #: Runs of the alphabets that may stand within a part; a part of one alphabet is a run of its own.
-RUNS = tuple(re.compile(x) for x in (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}"))
-#: Expected share of false finds among a document's finds; level of the other two tests.
+RUNS = tuple(re.compile(x) for x in (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}"))
+#: Words between signs, each with the signs before it.
+WORD = re.compile(r"[+/_-]*[A-Za-z0-9]+|[+/_-]+")
+#: Expected share of false finds among a document's finds; level of the other tests.
 FALSE_SHARE, LEVEL = 0.001, 0.001
 #: Candidates longer than this are tested on windows of this length, all of them.
 WINDOW = 4096
@@ -61,8 +65,44 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Shares of the letters a to z in English prose, in per cent.
-PROSE = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074), strict=True))
+#: How rare a letter (a to z), digit (0) or sign (-) is at the start and after each of
+#: these, in half bits as base-36 digits, counted in the names and comments of Python's library.
+CLASSES = "abcdefghijklmnopqrstuvwxyz0-"
+PAIRS = (
+    "9a8999ab9gda9ab9f9799dbcgf86 "
+    "ga88geahaic687iai686bceddhde "
+    "6cbd7ffg7ah6ee8bh99c6hgi9f9b "
+    "7gce7eg7ai78ef4eh9c69ghieicb "
+    "8dd94deg5gh9fe8fia9c9gggdhb6 "
+    "9e87bbcgeig9a6ebd577fcc9chd8 "
+    "8fdc87dh4ii9ff6fh7aa8ifidiaa "
+    "aeee3gb87ii9c8bei87b9fgihfe7 "
+    "4gfe4gig7ifcde6giad8bhhieig8 "
+    "bb89ab9igig8947aha77hbicibhe "
+    "7iaf4gih9iaghh69ig8e5ihifid8 "
+    "aedd3dbe7hgagbddgc7dceaiehg5 "
+    "7eea4egh5ig7fe6cifa9afhiahh9 "
+    "5afd4ghh8igcaf76ifacahhieiga "
+    "7g867a6g9iddfc9dhf85bcgifig9 "
+    "cb88gcchdic985a9i5998caehhfb "
+    "5gdd5ehd9ig7gf79h6b8affiaid9 "
+    "egffghigghibhaeeebbg1hgiiic9 "
+    "7fbb4ebg7icdab7di988bdfibih9 "
+    "ahaf5ee97iccef99fe859gfhbig8 "
+    "7fbd5dh86ifcde8ci79abgehagf6 "
+    "babd8bciaih786d8i786giihii7e "
+    "4gfh2fhg7iggeebgiffghifiiibb "
+    "5gdc8eh95ihbd87fi68dggdgihg7 "
+    "ab8b8aif9iidcgf8ife6ggheci39 "
+    "ecbc9dgeaiiaa8c4hb66febhffe5 "
+    "8ige2fic6iidcf9difffgihieeba "
+    "abbabbiiiiihhhghiihiiii5ii1a "
+    "aa8999bb9gd9aaa9f979ccbgggb5"
+).split()
+#: Shares of capitals among letters at the start and after a sign, lower-case letter, capital and digit.
+CAPITALS = {"^": 0.25, "-": 0.14, "l": 0.016, "U": 0.72, "0": 0.07}
+#: Bits for which sign it is.
+SIGNS = {"+": 5.0, "/": 2.0, "-": 1.4, "_": 1.4}
 
 
 def _normal_tail(z: float) -> float:
@@ -78,24 +118,41 @@ def infer_encoding(s: str) -> tuple[str, str] | None:
     return None
 
 
-def uniformity(s: str, alphabet: str) -> float:
-    """The probability that prose of this length looks as even over the alphabet, or more so."""
+def _pair_bits() -> dict[str, float]:
+    """Bits of writing for a character after another, or at the start."""
+    symbols = ALPHABETS[-2][1] + "-_"
+    said = {"": "^"} | {c: "U" if c.isupper() else "l" if c.isalpha() else "0" if c.isdigit() else "-" for c in symbols}
+    fold = {c: c.lower() if c.isalpha() else said[c] for c in symbols}
+    bits = {}
+    for a in said:
+        row = PAIRS[1 + CLASSES.index(fold[a]) if a else 0]
+        for c in symbols:
+            capital = CAPITALS[said[a]]
+            more = -math.log2(capital if c.isupper() else 1 - capital) if c.isalpha() else math.log2(10) if c.isdigit() else SIGNS[c]
+            bits[a + c] = int(row[CLASSES.index(fold[c])], 36) / 2 + more
+    return bits
+
+
+PAIR_BITS = _pair_bits()
+
+
+def writing_bits(s: str, before: str = "") -> float:
+    """Bits of a string as writing, after a character."""
+    return sum(PAIR_BITS[a + c] for a, c in zip((before, *s), s, strict=False))
+
+
+def unlike_writing(s: str, alphabet: str) -> float:
+    """A bound on the probability that writing fits a random string over the alphabet this much better."""
+    return 2.0 ** -min(max(writing_bits(s) - len(s) * math.log2(len(alphabet)), 0.0), 1000.0)
+
+
+def even_test(s: str, alphabet: str) -> float:
+    """The probability that a random string is as uneven over the alphabet, or more so."""
     n, k = len(s), len(alphabet)
-    seen = Counter(s)
-    stat = sum(c * c for c in seen.values()) * k / n - n
-    weight = {c: PROSE.get(c.lower(), 0.5) * (0.1 if c.isupper() and c.lower() in alphabet else 1) for c in alphabet}
-    total = sum(weight.values())
-    off = n * (sum((w / total) ** 2 for w in weight.values()) * k - 1)
-    # Sankaran's normal approximation of the non-central chi-squared.
+    stat = sum(c * c for c in Counter(s).values()) * k / n - n
     df = k - 1
-    mean, var = df + off, df + 2 * off
-    h = 1 - 2 * (df + off) * (df + 3 * off) / (3 * (df + 2 * off) ** 2)
-    p = var / mean**2
-    m = (h - 1) * (1 - 3 * h)
-    if stat <= 0:
-        return 1e-12
-    z = ((stat / mean) ** h - (1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p))) / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p))
-    return max(_normal_tail(-z), 1e-300)
+    # Wilson and Hilferty's cube root.
+    return _normal_tail(((stat / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df))) if stat > 0 else 1.0
 
 
 def runs_test(s: str, alphabet: str) -> float:
@@ -127,28 +184,70 @@ def serial_test(s: str, alphabet: str) -> float:
 
 
 def looks_random(s: str) -> float | None:
-    """The p-value against prose of a string that the other tests let through; None: it fails them."""
+    """The p-value against writing of a string that the other tests let through; None: it fails them."""
     found = infer_encoding(s)
     body = s.rstrip("=")
-    # Prose in one alphabet has no digits among its letters; words alone never count.
-    if found is None or len(body) < 20 or not any(c.isdigit() for c in body) or not any(c.isalpha() for c in body):
+    # Digits alone are numbers, and letters of one case alone are words in some language.
+    if found is None or len(body) < 20 or body.isdigit() or body.isalpha() and (body.islower() or body.isupper()):
         return None
-    worst = 0.0
     for at in range(0, len(body), WINDOW):
         part = body[at : at + WINDOW] if len(body) - at >= 20 else body[-20:]
-        if runs_test(part, found[1]) < LEVEL or serial_test(part, found[1]) < LEVEL:
+        if min(runs_test(part, found[1]), serial_test(part, found[1]), even_test(part, found[1])) < LEVEL:
             return None
-        worst = max(worst, uniformity(part, found[1]))
-    return worst
-
-
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end, with padding, of all that is tested, by part of the text."""
+    return unlike_writing(body, found[1])
+
+
+def stretches(s: str) -> Iterator[tuple[int, int, int]]:
+    """Start and end of a run and of its stretches of words unlike writing; in how many ways it could be chosen."""
+    yield 0, len(s), 1
+    words = [m.span() for m in WORD.finditer(s)]
+    if len(words) < 2:
+        return
+    # Ruzzo and Tompa: all maximal scoring stretches, in linear time. [first, after last, sum before, sum with, the one before with a lower sum].
+    stack: list[tuple[int, int, float, float, int]] = []
+    total = 0.0
+    for k, (a, b) in enumerate(words):
+        word = s[a:b]
+        score = writing_bits(word, s[a - 1 : a]) - sum(6.0 if c in SIGNS else 0.0 for c in word) - sum(c.isalnum() for c in word) * _word_bits(word)
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        one = (k, k + 1, before, total)
+        while True:
+            j = len(stack) - 1
+            while j >= 0 and stack[j][2] >= one[2]:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= one[3]:
+                stack.append((*one, j))
+                break
+            one = (stack[j][0], one[1], stack[j][2], one[3])
+            del stack[j:]
+    ways = len(words) * (len(words) + 1) // 2
+    for first, after, *_ in stack:
+        a, b = words[first][0], words[after - 1][1]
+        while s[a] in SIGNS and a < b - 1:
+            a += 1
+        if b - a >= 20 and (a, b) != (0, len(s)):
+            yield a, b, ways
+
+
+def _word_bits(word: str) -> float:
+    """Bits of each letter or digit of a random word with the cases of this one."""
+    if word.lower() == word or word.upper() == word:
+        return math.log2(36)
+    return math.log2(62)
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, int]]:
+    """Start and end, with padding, of all that is tested, by part of the text, and in how many ways it could be chosen."""
     for m in CANDIDATE.finditer(text):
         body = m.start() + len(m.group().rstrip("="))
         for part in PART.finditer(text, m.start(), body):
-            found = {r.span() for run in RUNS for r in run.finditer(text, *part.span())}
-            yield from ((a, m.end() if b == body else b) for a, b in sorted(found))
+            found: dict[tuple[int, int], int] = {}
+            for at, end in {r.span() for run in RUNS for r in run.finditer(text, *part.span())}:
+                for a, b, ways in stretches(text[at:end]):
+                    found[at + a, at + b] = min(ways, found.get((at + a, at + b), ways))
+            yield from ((a, m.end() if b == body else b, ways) for (a, b), ways in sorted(found.items()))
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -159,10 +258,10 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     covered = _joined((a, b) for a, _, b in spans)
     starts = [a for a, _ in covered]
     tested = []
-    for a, b in candidates(text):
+    for a, b, ways in candidates(text):
         k = bisect_left(starts, b)
         if (not k or covered[k - 1][1] <= a) and (p := looks_random(text[a:b])) is not None:
-            tested.append((p, a, b))
+            tested.append((min(p * ways, 1.0), a, b))
     tested.sort()
     last = max((k for k, (p, _, _) in enumerate(tested, 1) if p <= FALSE_SHARE * k / len(tested)), default=0)
     taken: list[tuple[int, int]] = []

@@ -200,3 +200,27 @@ def test_random_values_beside_names_and_paths_are_found():
     assert all(n >= 45 for n in hits.values()), hits
     for t in ("USER_PROFILE_SETTINGS=page_2_of_the_site_map", "export CONFIG_PATH=usr/share/project_name/version2/files", "com/example_one/project/src/main/java2"):
         assert not any(k == 3 for _, k, _ in secret_scan.scan(t)), t
+
+
+@pytest.mark.parametrize("name", ["base32", "base36", "BASE36", "HEX", "base62", "base64", "base64url"])
+def test_random_strings_of_20_to_40_are_found_alone_and_among_others(name):
+    alphabet, rng = dict(secret_scan.ALPHABETS)[name], random.Random(11)
+    writing = " ".join(f"com/example/some_project_number{k}/src/main" for k in range(19))
+    for n in (20, 24, 32, 40):
+        alone = among = 0
+        for _ in range(100):
+            s = "".join(rng.choice(alphabet) for _ in range(n))
+            alone += any(k == 3 for _, k, _ in secret_scan.scan(s))
+            among += any(k == 3 for _, k, _ in secret_scan.scan(f"{writing} {s} {writing}"))
+        assert alone >= 93 and among >= 93, (n, alone, among)
+
+
+def test_random_base64_is_found_after_a_path():
+    rng, found = random.Random(12), 0
+    for _ in range(100):
+        s = base64.b64encode(rng.randbytes(30)).decode()
+        text = f"/home/some_user/library/settings/{s}"
+        found += any(k == 3 and abs(a - text.index(s)) <= 4 for a, k, _ in secret_scan.scan(text))
+    assert found >= 90
+    for t in ("site/library/settings/of_the_user/version2/and_more", "getElementsByTagNameAndClass2Impl", "release-2024-01-15-build-20240115123456", "International_Business_Machines_1911"):
+        assert not any(k == 3 for _, k, _ in secret_scan.scan(t)), t
