@@ -23,8 +23,9 @@ WEIGHTS = (3, 1, 2)
 #: Words taken in all, as a share of all words; passes over a source at most.
 SHARE = 1.5
 PASSES = 2
-#: A block has this many words, or more where there would be over so many blocks in all.
+#: A block has this many words, however large the input is.
 BLOCK_WORDS = 64
+#: Only the SQL has larger blocks, beyond this many in all (67 million words).
 MOST_BLOCKS = 1 << 20
 #: Hex digits of the MD5 that name a bucket of the shuffled order.
 BUCKET_DIGITS = 3
@@ -62,8 +63,7 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
 
 
 def _block_words(block_words: int | None):
-    total = F.col("total")
-    return F.lit(block_words).cast("long") if block_words else F.greatest(F.lit(BLOCK_WORDS).cast("long"), F.ceil(total / MOST_BLOCKS))
+    return F.lit(block_words or BLOCK_WORDS).cast("long")
 
 
 def shuffled_offsets(docs: DataFrame) -> DataFrame:
@@ -88,7 +88,9 @@ def slot_schedule(targets: DataFrame, block_words: int | None = None, passes: in
     t = targets.withColumn("b", _block_words(block_words)).withColumn("sum_all", F.sum("target").over(_everything()))
     t = t.withColumn("upto", F.when(F.col("nr") == F.count("*").over(_everything()), F.lit(2.0)).otherwise(F.sum("target").over(by_nr) / F.col("sum_all")))
     one = t.agg(F.array_sort(F.collect_list("upto")).alias("uptos"), F.max(F.ceil(F.col("sum_all") / F.col("b"))).alias("n"))
-    chunks = one.filter("n > 0").select("uptos", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOT_CHUNK))).alias("chunk")).repartition("chunk")
+    chunks = one.filter("n > 0").select("uptos", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOT_CHUNK))).alias("chunk"))
+    # A row a chunk is little to read but much to make: by a given number of partitions, which are not coalesced.
+    chunks = chunks.repartition(4 * targets.sparkSession.sparkContext.defaultParallelism, "chunk")
     slots = chunks.select("uptos", "chunk", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("n")) - 1)).alias("slot"))
     slots = slots.withColumn("turn", F.col("slot") * F.lit(GOLDEN)).withColumn("point", F.col("turn") - F.floor("turn"))
     slots = slots.select("chunk", "slot", (F.size(F.filter("uptos", lambda u: u <= F.col("point"))) + 1).alias("nr"))

@@ -78,6 +78,16 @@ def test_mixed_documents_hold_what_is_taken(spark):
     assert dict(words) == {k: v for k, v in taken.items() if v}
 
 
+def test_small_sources_meet_their_targets_beside_large_ones(spark):
+    sizes = [500, 1000, 2000, 150_000_000]
+    rows = [(k, str(k), n, 2.0 * n if n < 10_000 else 1.5 * n, sum(sizes)) for k, n in enumerate(sizes, 1)]
+    targets = spark.createDataFrame(rows, "nr int, source string, source_size long, target double, total long")
+    slots = {r.nr: r["count"] for r in mixing.slot_schedule(targets).filter("nr < 4").groupBy("nr").count().collect()}
+    for nr, _, _, target, _ in rows[:3]:
+        assert abs(slots.get(nr, 0) * mixing.BLOCK_WORDS - target) <= 4 * mixing.BLOCK_WORDS, slots
+    assert max(r.block for r in mixing.slot_schedule(targets).filter("nr = 1").collect()) == 7
+
+
 def test_every_prefix_of_the_schedule_follows_the_shares(spark):
     targets = spark.createDataFrame([(1, "a", 60_000, 90_000.0, 200_000), (2, "b", 140_000, 210_000.0, 200_000)], "nr long, source string, source_size long, target double, total long")
     slots = sorted((r.slot, r.nr, r["rank"]) for r in mixing.slot_schedule(targets).collect())
