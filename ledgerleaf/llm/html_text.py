@@ -6,7 +6,8 @@ table parts, scopes that end tags don't reach out of.  The renderer emits all
 visible text: blocks are parted by blank lines, list items get bullets or
 numbers and indents, cells of a table are aligned in columns, preformatted text
 keeps its blanks.  Invisible are elements that are never shown, those hidden by
-attribute or style, and those that a simple selector in a style sheet hides.
+attribute or style, and those that a simple selector in a style sheet hides for
+any screen, if no later or more specific rule, simple or not, could show them.
 
 Both walk with explicit stacks and look at each character a bounded number of
 times, so deep or broken markup takes linear time.
@@ -50,7 +51,12 @@ DEEPEST = 512
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTR = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
 _VALUE = re.compile(r"[^\s>]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_NOISE = re.compile(r"/\*.*?(?:\*/|$)|\"[^\"\n]*\"|'[^'\n]*'", re.S)
+_CSS_BRACKETS = re.compile(r"\[[^\]]*\]|\([^()]*\)")
+_ANY_SCREEN = re.compile(r"\s*(?:only\s+)?(?:all|screen)?\s*$", re.I)
+#: A selector that holds only while a visitor does something, or for a part that is not an element.
+_NOT_AT_REST = re.compile(r"::|:(?:hover|focus|active|target|checked|before|after|first-l)", re.I)
+_HIDING = {"display": re.compile("none$"), "visibility": re.compile("(?:hidden|collapse)$"), "opacity": re.compile(r"0(?:\.0*)?$"), "font-size": re.compile("0(?:px|em|pt|%)?$")}
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0(?:\.0*)?|font-size\s*:\s*0(?:px|em|pt|%)?)\s*(?:!important\s*)?(?:;|$)", re.I)
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?$", re.I)
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
@@ -63,15 +69,101 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class Sheet:
+    """Rules of style sheets that hide or show; a weight is (important, ids, classes, names, place)."""
+
+    def __init__(self):
+        #: Weight by property, by simple selector.
+        self.hides: dict[str, dict[str, tuple]] = {}
+        #: What the last part of a selector needs, property and weight, by one of the needs.
+        self.shows: dict[str, list[tuple[frozenset, str, tuple]]] = {}
+        self.place = 0
+
+    def __bool__(self) -> bool:
+        return bool(self.hides)
+
+    def add(self, css: str, media: str = "") -> None:
+        css = _CSS_NOISE.sub(" ", css)
+        #: For each open brace, whether rules in it hold (2), may hold and so may show (1), or don't (0).
+        holds, at, selectors = [_any_screen(media)], 0, None
+        for m in re.finditer(r"[{}]", css):
+            said, at = css[at : m.start()], m.end()
+            if m.group() == "{":
+                said = said.rpartition(";")[2].strip()
+                name = (re.match(r"@[\w-]+", said) or [""])[0].lower()
+                inner = _any_screen(said[6:]) if name == "@media" else 1 if selectors is not None or name in ("@supports", "@container", "@scope") else 0 if name not in ("", "@layer") else 2
+                holds.append(min(holds[-1], inner))
+                selectors = None if name else said
+            else:
+                if selectors and holds[-1]:
+                    self._rule(selectors, said, holds[-1] == 2)
+                selectors = None
+                if len(holds) > 1:
+                    holds.pop()
+
+    def _rule(self, selectors: str, body: str, holds: bool) -> None:
+        found = {}
+        for one in body.lower().split(";"):
+            name, _, value = one.partition(":")
+            if (name := name.strip()) in _HIDING:
+                value, important, _ = value.partition("!")
+                found[name] = bool(_HIDING[name].match(value.strip())), bool(important)
+        if not found:
+            return
+        self.place += 1
+        bare = _CSS_BRACKETS.sub("()", _CSS_BRACKETS.sub("()", selectors))
+        for s in bare.split(","):
+            if not (s := s.strip()) or _NOT_AT_REST.search(s):
+                continue
+            weight = (99 if "(" in s else s.count("#"), s.count(".") + s.count(":"), len(re.findall(r"(?:^|[\s>+~])[A-Za-z]", s)), self.place)
+            simple = _SIMPLE.match(s)
+            last = re.split(r"[\s>+~]+", s)[-1]
+            tag = re.match(r"[A-Za-z][\w-]*", last)
+            needs = frozenset([tag.group().lower()] if tag else []) | frozenset(re.findall(r"[.#][\w-]+", last))
+            for name, (hides, important) in found.items():
+                w = (important, *weight)
+                if not hides:
+                    self.shows.setdefault(min(needs, default="*"), []).append((needs, name, w))
+                elif simple and holds:
+                    key = (simple.group(1) or "").lower() + (simple.group(2) or "")
+                    mine = self.hides.setdefault(key, {})
+                    mine[name] = max(w, mine.get(name, w))
+
+    def hidden(self, tag: str, attrs: dict[str, str]) -> bool:
+        names = [tag, *("." + c for c in attrs.get("class", "").split())]
+        if attrs.get("id"):
+            names.append("#" + attrs["id"])
+        against: dict[str, tuple] = {}
+        for x in (*names, *(tag + x for x in names[1:])):
+            for name, w in self.hides.get(x, {}).items():
+                against[name] = max(w, against.get(name, w))
+        if not against:
+            return False
+        own = {name.strip().lower() for name in (d.partition(":")[0] for d in attrs.get("style", "").split(";"))}
+        have = frozenset(names)
+        for name, w in against.items():
+            # The element's own style hides nothing here, so that it shows if it has the property.
+            if name in own and not w[0]:
+                continue
+            if not any(n == name and v > w and needs <= have for x in (*have, "*") for needs, n, v in self.shows.get(x, ())):
+                return True
+        return False
+
+
+def _any_screen(media: str) -> int:
+    """2: for any screen; 1: for some; 0: for none, as print is."""
+    return max(2 if _ANY_SCREEN.match(x) else 0 if re.match(r"\s*(?:only\s+)?(?:print|speech)\b", x, re.I) else 1 for x in media.split(","))
+
+
 class TreeBuilder:
-    """Feeds markup into a tree under ``root``; ``hidden`` gathers selectors that hide."""
+    """Feeds markup into a tree under ``root``; ``hidden`` gathers the rules that hide and show."""
 
     def __init__(self):
         self.root = Node("html", {})
         self.stack = [self.root]
         #: Open elements by name, for each scope.
         self.open: list[dict[str, int]] = [{}]
-        self.hidden: set[str] = set()
+        self.hidden = Sheet()
 
     def build(self, html: str) -> Node:
         at, n = 0, len(html)
@@ -134,7 +226,7 @@ class TreeBuilder:
             m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
             body = html[at : m.start() if m else n]
             if name == "style":
-                self._style(body)
+                self.hidden.add(body, attrs.get("media", ""))
             elif name in ESCAPABLE or name == "xmp":
                 self.text(unescape(body) if name in ESCAPABLE else body, raw=True)
             self.end(name)
@@ -142,14 +234,6 @@ class TreeBuilder:
             return n if end < 0 else end + 1
         return at
 
-    def _style(self, css: str) -> None:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-            if _HIDES.search(body):
-                for s in selectors.split(","):
-                    s = s.strip()
-                    if s and _SIMPLE.match(s):
-                        self.hidden.add(s.lower() if s[0] not in ".#" else s)
-
     # The open elements.
 
     def _push(self, name: str, attrs: dict[str, str]) -> None:
@@ -319,7 +403,7 @@ class _Flow:
         self.gap = max(self.gap, gap)
 
 
-def _hides(node: Node, hidden: set[str]) -> bool:
+def _hides(node: Node, hidden: Sheet) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag in NEVER_SHOWN:
         return True
@@ -332,13 +416,7 @@ def _hides(node: Node, hidden: set[str]) -> bool:
     style = attrs.get("style")
     if style and _HIDES.search(style):
         return True
-    if hidden:
-        names = [tag]
-        names += ["." + c for c in attrs.get("class", "").split()]
-        if attrs.get("id"):
-            names.append("#" + attrs["id"])
-        return any(x in hidden or tag + x in hidden for x in names)
-    return False
+    return hidden.hidden(tag, attrs) if hidden else False
 
 
 def _table(rows: list[list[list[str]]]) -> list[str]:
@@ -366,7 +444,7 @@ def _span(node: Node) -> int:
     return min(max(int(v), 1), MOST_SPAN) if v.isascii() and v.isdigit() and len(v) < 6 else 1
 
 
-def render(root: Node, hidden: set[str]) -> str:
+def render(root: Node, hidden: Sheet) -> str:
     """All visible text of a tree."""
     top = _Flow()
     flow, flows = top, []  # flows: the flows outside of the cell in which we are

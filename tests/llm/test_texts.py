@@ -224,3 +224,27 @@ def test_random_base64_is_found_after_a_path():
     assert found >= 90
     for t in ("site/library/settings/of_the_user/version2/and_more", "getElementsByTagNameAndClass2Impl", "release-2024-01-15-build-20240115123456", "International_Business_Machines_1911"):
         assert not any(k == 3 for _, k, _ in secret_scan.scan(t)), t
+
+
+SHEETS = [
+    ("@media print{.m{display:none}}", "<p class=m>yes", "yes"),
+    ("@media (max-width:600px){.m{display:none}} .n{display:none}", "<p class=m>yes<p class=n>no", "yes"),
+    ("@media screen{.m{display:none}} @import 'x'; .n{display:none}", "<p class=m>no<p class=n>no<p>yes", "yes"),
+    (".tab{display:none}.tab.active{display:block}", "<p class='tab active'>yes<p class=tab>no", "yes"),
+    (".tab{display:none} #main .tab{display:block}", "<p class=tab>yes", "yes"),
+    (".tab{display:none} p{display:block} .tab:hover{display:block}", "<p class=tab>no<p>yes", "yes"),
+    (".tab{display:none!important} .tab.active{display:block}", "<p class='tab active'>no<p>yes", "yes"),
+    (".tab{display:none}", "<p class=tab style='display:block'>yes", "yes"),
+    (".m{display:none}@media (min-width:600px){.m{display:block}}", "<p class=m>yes", "yes"),
+    (".m{display:none}@media print{.m{display:block}}", "<p class=m>no<p>yes", "yes"),
+    ("@keyframes x{from{opacity:0}to{opacity:1}} .n{visibility:hidden}", "<p class=n>no<p>yes", "yes"),
+]
+
+
+@pytest.mark.parametrize("css,html,text", SHEETS)
+def test_style_sheets_hide_only_what_stays_hidden(css, html, text):
+    assert html_text.html_to_text(f"<style>{css}</style>{html}") == text
+
+
+def test_style_sheet_for_print_is_not_read():
+    assert html_text.html_to_text("<style media=print>p{display:none}</style><p>yes") == "yes"
