@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BATCH_BYTES = 32 << 20
+#: Of one Arrow batch: the JVM and its worker each hold several at a time.
+BATCH_BYTES = 4 << 20
 #: Keys (some 100 bytes each at most) are broadcast up to this number.
 BROADCAST_ROWS = 200_000
 
@@ -29,10 +30,17 @@ def lower_ascii(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """The words of a text as an array (null: empty), with built-in functions only."""
-    plain = F.translate(F.coalesce(col, F.lit("")), BLANKS, " " * len(BLANKS))
+    plain = F.coalesce(col, F.lit(""))
+    for blank in BLANKS[1:]:
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
     return F.array_remove(F.split(plain, " "), "")
 
 
+def n_words(col: Column) -> Column:
+    """How many words a text has (null: none)."""
+    return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Cap the bytes of one Arrow batch, so that very long texts can't fill a worker's memory.
 

@@ -102,27 +102,75 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     )
 
 
+def _kept_of(largest: bool):
+    """The pass over one sorted partition of whole rows: of each run its last row (or its first), when the run has ended.
+
+    The first and the last run of a partition, which may go on in others, come with their digest.
+    """
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        text, row, first = None, None, True  # of the open run; whether it is the partition's first
+
+        def given(rows: pa.Array, edge: bytes | None) -> pa.RecordBatch:
+            digests = [hashlib.sha256(edge).digest() if edge is not None else None] + [None] * (len(rows) - 1)
+            return pa.RecordBatch.from_arrays([rows, pa.array(digests, pa.binary()), pa.array([part] * len(rows), pa.int32())], names=["row", "digest", "part"])
+
+        for batch in batches:
+            rows, texts = batch.column(0), batch.column(1).to_pylist()
+            starts = [k for k, t in enumerate(texts) if t != (texts[k - 1] if k else text)]
+            ends = [k - 1 for k in starts[1:]] + [len(texts) - 1]
+            if largest and text is not None and texts and (not starts or starts[0]):
+                row = rows.slice(starts[0] - 1 if starts else len(texts) - 1, 1)
+            if not starts:
+                continue
+            if text is not None:
+                yield given(row, text if first else None)
+                first = False
+            picks = ends if largest else starts
+            if len(starts) > 1:
+                yield given(rows.take(pa.array(picks[:-1])), texts[0] if first else None)
+                first = False
+            text, row = texts[-1], rows.slice(picks[-1], 1)
+        if text is not None:
+            yield given(row, text)
+
+    return kept
+
+
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """``df`` without the rows that ``exact_dedup`` drops; all columns stay.
+    """``df`` without the rows that ``exact_dedup`` drops; all columns stay, whatever their names.
+
+    Null text counts as empty; of equal texts the row with the largest (or
+    smallest) id stays, one without an id only if no other has one; of rows that
+    repeat both text and id, exactly one.  An empty table stays empty.
 
-    Rows are told apart by id and text; of rows that repeat both, one stays.
+    Whole rows go through the same content sort, once, and the pass gives only
+    the rows that stay: no second read, and no join but that of the partitions'
+    edges.
     """
+    if keep not in ("largest", "smallest"):
+        raise ValueError("keep must be 'largest' or 'smallest'")
+    bound_batches(df.sparkSession)
+    largest = keep == "largest"
     names = df.columns
-    by = ["__id", "__sha"]
-    text = lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    keyed = df.withColumns({"__id": F.col(f"`{id_col}`"), "__sha": F.sha2(text.cast("binary"), 256)})
-    decided = exact_dedup(df, id_col, text_col, keep).groupBy(F.col(id_col).alias("i"), F.col("text_sha256").alias("s")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    decided = staged(decided.filter("NOT kept OR n > 1"), "exact-decided")
-
-    def of(which: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        keys = small_or_not(which.select("i", "s"))
-        return rows.join(keys, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__sha") == F.col("s")), how)
-
-    out = of(decided.filter("NOT kept"), "left_anti", keyed)
-    repeated = decided.filter("kept")
-    if not repeated.isEmpty():
-        out = of(repeated, "left_anti", out).unionByName(of(repeated, "left_semi", out).dropDuplicates(by))
-    return out.select(*[f"`{c}`" for c in names])
+    packed = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row"))
+    text = F.col(f"row.c{names.index(text_col)}")
+    # The run's row that stays is its last one or, with the smallest id and no null before it, its first.
+    by = F.col("id") if largest else F.col("id").asc_nulls_last()
+    keyed = packed.select("row", F.col(f"row.c{names.index(id_col)}").alias("id"), lower_ascii(F.coalesce(text, F.lit(""))).alias("norm"))
+    keyed = keyed.select("row", "id", F.substring("norm", 1, PREFIX_CHARS).alias("head"), F.xxhash64("norm").alias("tail"))
+    # The normalised text is made again on the other side, so that each text is shuffled once.
+    dealt = keyed.repartitionByRange("head", "tail", by).withColumn("norm", lower_ascii(F.coalesce(text, F.lit(""))).cast("binary"))
+    ordered = dealt.sortWithinPartitions("head", "tail", "norm", by)
+    schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("part", T.IntegerType())])
+    rows = staged(ordered.select("row", "norm").mapInArrow(_kept_of(largest), schema), "exact-kept")
+    # At most two rows a partition have a digest: that of its first run and of its last.
+    own = F.struct(F.col(f"row.c{names.index(id_col)}").alias("id"), "part")
+    best = F.max(own) if largest else F.min(F.struct(own["id"].isNull().alias("none"), own["id"].alias("id"), F.col("part")))
+    edges = rows.filter("digest IS NOT NULL").groupBy("digest").agg(best.alias("best"), F.count("*").alias("parts")).filter("parts > 1").select("digest", F.col("best.part").alias("stays"))
+    out = rows.join(F.broadcast(edges), "digest", "left").filter("stays IS NULL OR stays = part")
+    return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)])
 
 
 ORACLE = """

@@ -34,7 +34,12 @@ SYMBOLS = "#*$%&|<>"
 LINE_SYMBOLS = r"[#*$%&<>{}\\^~=_]"
 BURST = r"[!?]{2,}"
 SEPARATOR = "[|»›•·]"
-ENDED = r"[.!?…。！？:;][\"'»”’)\]]*$"
+#: A line without any of these passes the rules on signs.
+ODD = rf"[{LINE_SYMBOLS[1:-1]}{SEPARATOR[1:-1]}]|[!?][!?]"
+#: Sentence punctuation ends a line, if only these come after it.
+ENDERS, CLOSERS = ".!?…。！？:;", "\"'»”’)]"
+ENDED = rf"[{ENDERS}][{CLOSERS[:-1]}\]]*$"
+BLANK = r"[\x20\x09-\x0D]"
 #: Phrases in lower case.
 BOILERPLATE = ("all rights reserved", "copyright (c)", "copyright ©", "licensed under", "released under the", "general public license", "terms of service", "terms of use", "privacy policy", "cookie policy", "uses cookies", "accept cookies", "enable javascript", "subscribe to our newsletter", "powered by")
 NAVIGATION = ("skip to content", "main menu", "sign in", "log in", "home page", "next page", "previous page", "read more", "click here", "back to top", "site map", "search this site", "share this")
@@ -52,22 +57,40 @@ def _has_any(col: Column, phrases: tuple[str, ...]) -> Column:
     return found
 
 
-def line_rule(line: Column) -> Column:
-    """0: the stripped line passes; 1 punctuation, 2 navigation, 3 boilerplate."""
+def line_rule(line: Column, odd: Column | None = None, phrase: Column | None = None) -> Column:
+    """0: the line passes; 1 punctuation, 2 navigation, 3 boilerplate.
+
+    ``odd`` and ``phrase`` may say for the whole text that it has none of the
+    signs or phrases of the rules: most lines then need a look at their end only.
+    """
+    odd = line.rlike(ODD) if odd is None else odd & line.rlike(ODD)
+    phrase = F.lit(True) if phrase is None else phrase
     low = F.lower(line)
-    n_words, ended = F.regexp_count(line, F.lit(WORD)), line.rlike(ENDED)
-    bars = F.regexp_count(line, F.lit(SEPARATOR))
-    navigation = ((bars >= SEPARATORS) & (bars * 4 >= n_words)) | (_has_any(low, NAVIGATION) & ~ended & (n_words <= SHORT_WORDS))
-    symbols = F.regexp_count(line, F.lit(LINE_SYMBOLS)) * 10 > F.length(F.replace(F.replace(line, F.lit(" ")), F.lit("\t")))
-    punctuation = symbols | (F.regexp_count(line, F.lit(BURST)) >= BURSTS) | (~ended & (n_words < FRAGMENT_WORDS))
-    return F.when(line == "", 0).when(_has_any(low, BOILERPLATE), 3).when(navigation, 2).when(punctuation, 1).otherwise(0)
+    bare = F.rtrim(line, F.lit(BLANKS))
+    ended = F.right(F.rtrim(bare, F.lit(CLOSERS)), F.lit(1)).isin(*ENDERS)
+    n_words, bars = F.regexp_count(line, F.lit(WORD)), F.regexp_count(line, F.lit(SEPARATOR))
+    navigation = (odd & (bars >= SEPARATORS) & (bars * 4 >= n_words)) | (phrase & ~ended & _has_any(low, NAVIGATION) & (n_words <= SHORT_WORDS))
+    stripped = F.btrim(line, F.lit(BLANKS))
+    symbols = F.regexp_count(line, F.lit(LINE_SYMBOLS)) * 10 > F.length(F.replace(F.replace(stripped, F.lit(" ")), F.lit("\t")))
+    punctuation = (odd & (symbols | (F.regexp_count(line, F.lit(BURST)) >= BURSTS))) | (~ended & (n_words < FRAGMENT_WORDS))
+    return F.when(bare == "", 0).when(phrase & _has_any(low, BOILERPLATE), 3).when(navigation, 2).when(punctuation, 1).otherwise(0)
+
+
+def _rolled(a: Column, b: Column, gap: int) -> Column:
+    """Each hash of ``a`` combined with that of ``b`` so many places on."""
+    m = F.greatest(F.size(b) - gap, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), m), F.slice(b, F.lit(gap + 1), m), lambda x, y: F.xxhash64(x, y))
 
 
-def repeated_words(w: Column) -> Column:
-    """Words of the array ``w`` that lie in a five-word window found twice or more.
+def _repeats(hashes: Column) -> Column:
+    return F.size(F.array_distinct(hashes)) < F.size(hashes)
 
-    Windows are compared by 64-bit hashes.  Most texts repeat none, which a
-    hash set shows; only the others are sorted by hash and place.
+
+def repeated_words(five: Column) -> Column:
+    """Words that lie in a five-word window found twice or more, by the windows' 64-bit hashes.
+
+    Most texts repeat none, which a hash set shows; only the others are sorted
+    by hash and place.  A null list stands for one without repeats.
     """
 
     def covered(d: Column) -> Column:
@@ -79,35 +102,37 @@ def repeated_words(w: Column) -> Column:
         twice = F.zip_with(F.slice(p, F.lit(1), m), F.slice(p, F.lit(2), m), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
         return F.sort_array(F.array_distinct(F.flatten(twice)))
 
-    def of(s: Column) -> Column:
-        by_hash = F.sort_array(F.transform(s, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(s)) == F.size(s), 0).otherwise(bind(bind(by_hash, places), covered))
-
-    def shingles(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(*[F.get(h, i - 1 + k) for k in range(WINDOW)]))
-
-    return F.when(F.size(w) <= WINDOW, 0).otherwise(bind(bind(F.transform(w, lambda x: F.xxhash64(x)), shingles), of))
+    by_hash = F.sort_array(F.transform(five, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(_repeats(five), bind(bind(by_hash, places), covered)).otherwise(0)
 
 
 def quality_columns(text: Column) -> dict[str, Column]:
     """The measures and verdict of a text, in the order in which they can be added to a frame."""
     whole = F.coalesce(text, F.lit(""))
-    n_chars = lambda c, drop: F.length(F.translate(c, drop, ""))
     lines = F.split(whole, "\n")
     with_word = F.filter(lines, lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
+    rule = lambda x: line_rule(x, F.col("__odd"), F.col("__phrase"))
     return {
-        "__w": bind(words(whole), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r"))),
+        "__odd": whole.rlike(ODD),
+        "__phrase": _has_any(F.lower(whole), BOILERPLATE + NAVIGATION),
+        # A column each, used more than once by the next, so that none is folded into a lambda: array functions outside of one are compiled.
+        "__w": words(whole),
+        "__one": F.transform("__w", lambda x: F.xxhash64(x)),
+        "__two": _rolled(F.col("__one"), F.col("__one"), 1),
+        "__four": _rolled(F.col("__two"), F.col("__two"), 2),
+        # Where no four words are repeated no five are.
+        "__five": F.when(_repeats(F.col("__four")), _rolled(F.col("__four"), F.col("__one"), WINDOW - 1)),
         "__c": bind(with_word, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "__l": bind(lines, lambda x: F.zip_with(x, F.transform(x, lambda y: F.btrim(y, F.lit(BLANKS))), lambda y, s: F.struct(y.alias("line"), line_rule(s).alias("rule")))),
-        "n_words": F.col("__w.n"),
-        "word_chars": n_chars(whole, BLANKS).cast("long"),
-        "n_symbols": (F.length(whole) - n_chars(whole, SYMBOLS)).cast("long"),
+        "__l": bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.filter(x, lambda y: rule(y) == 0).alias("kept"))),
+        "n_words": F.size("__w").cast("long"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_symbols": F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": F.col("__c"),
-        "n_repeat_words": F.col("__w.r"),
+        "n_repeat_words": repeated_words(F.col("__five")).cast("long"),
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
-        "cleaned": F.array_join(F.transform(F.filter("__l", lambda x: x["rule"] == 0), lambda x: x["line"]), "\n"),
-        "n_lines_removed": F.size(F.filter("__l", lambda x: x["rule"] > 0)).cast("long"),
-        "chars_left": n_chars(F.col("cleaned"), BLANKS).cast("long"),
+        "n_lines_removed": F.col("__l.n") - F.size("__l.kept"),
+        "cleaned": F.when(F.col("n_lines_removed") == 0, whole).otherwise(F.array_join("__l.kept", "\n")),
+        "chars_left": F.when(F.col("n_lines_removed") == 0, F.col("word_chars")).otherwise((F.length("cleaned") - F.regexp_count("cleaned", F.lit(BLANK))).cast("long")),
         "kept": ~F.col("base_failed") & (100 * F.col("chars_left") >= LEAST_KEPT * F.col("word_chars")),
     }
 
