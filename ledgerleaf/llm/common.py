@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +46,9 @@ def n_words(col: Column) -> Column:
 def bound_batches(spark: SparkSession) -> None:
     """Cap the bytes of one Arrow batch, so that very long texts can't fill a worker's memory.
 
-    Only a session that has no cap of its own, or a larger one, is changed.
+    Spark reads the cap of the session when a plan runs, which is after this
+    library has returned it, so the setting stays: only a session that has no
+    cap, or a larger one, is changed, and a smaller one of its own is kept.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)
@@ -56,13 +60,20 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (a local session), the session gets a temporary one.
+    Where it is unset, a local session uses a temporary folder, one a process;
+    on a cluster that would be one machine's, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

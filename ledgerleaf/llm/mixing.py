@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import staged, words
+from ledgerleaf.llm.common import BLANKS, WORD, n_words, small_or_not, staged
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -25,12 +25,12 @@ SHARE = 1.5
 PASSES = 2
 #: A block has this many words, however large the input is.
 BLOCK_WORDS = 64
-#: Only the SQL has larger blocks, beyond this many in all (67 million words).
-MOST_BLOCKS = 1 << 20
 #: Hex digits of the MD5 that name a bucket of the shuffled order.
 BUCKET_DIGITS = 3
 #: Slots ranked together in one window.
 SLOT_CHUNK = 16384
+#: Cells of the unit interval in which a slot's point looks for its source.
+CELLS = 4096
 GOLDEN = 0.6180339887498949
 
 BEFORE = (Window.unboundedPreceding, -1)
@@ -68,7 +68,7 @@ def _block_words(block_words: int | None):
 
 def shuffled_offsets(docs: DataFrame) -> DataFrame:
     """``docs`` (at, id, source, size) with ``start``: words before it in its source's shuffled order."""
-    keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("none "), F.col("size").cast("string"))).cast("binary"))).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     bucket_start = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(*BEFORE)), F.lit(0))
     totals = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), bucket_start.alias("bucket_start"))
@@ -87,13 +87,17 @@ def slot_schedule(targets: DataFrame, block_words: int | None = None, passes: in
     by_nr = Window.orderBy("nr").rowsBetween(Window.unboundedPreceding, 0)
     t = targets.withColumn("b", _block_words(block_words)).withColumn("sum_all", F.sum("target").over(_everything()))
     t = t.withColumn("upto", F.when(F.col("nr") == F.count("*").over(_everything()), F.lit(2.0)).otherwise(F.sum("target").over(by_nr) / F.col("sum_all")))
-    one = t.agg(F.array_sort(F.collect_list("upto")).alias("uptos"), F.max(F.ceil(F.col("sum_all") / F.col("b"))).alias("n"))
-    chunks = one.filter("n > 0").select("uptos", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOT_CHUNK))).alias("chunk"))
+    one = t.agg(F.max(F.ceil(F.col("sum_all") / F.col("b"))).alias("n"))
+    chunks = one.filter("n > 0").select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOT_CHUNK))).alias("chunk"))
     # A row a chunk is little to read but much to make: by a given number of partitions, which are not coalesced.
     chunks = chunks.repartition(4 * targets.sparkSession.sparkContext.defaultParallelism, "chunk")
-    slots = chunks.select("uptos", "chunk", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("n")) - 1)).alias("slot"))
+    slots = chunks.select("chunk", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("n")) - 1)).alias("slot"))
     slots = slots.withColumn("turn", F.col("slot") * F.lit(GOLDEN)).withColumn("point", F.col("turn") - F.floor("turn"))
-    slots = slots.select("chunk", "slot", (F.size(F.filter("uptos", lambda u: u <= F.col("point"))) + 1).alias("nr"))
+    # Each source's stretch of the unit interval, by the cells that it touches: a slot sees the few sources of its cell.
+    cell = lambda c: F.least(F.floor(F.col(c) * CELLS), F.lit(CELLS - 1))
+    shares = t.withColumn("since", F.coalesce(F.lag("upto").over(Window.orderBy("nr")), F.lit(0.0))).filter("upto > since")
+    shares = staged(shares.select("nr", "since", "upto", F.explode(F.sequence(cell("since"), cell("upto"))).alias("cell")), "mix-shares")
+    slots = slots.withColumn("cell", cell("point")).join(small_or_not(shares), "cell").filter("since <= point AND point < upto").select("chunk", "slot", "nr")
     base = slots.groupBy("nr", "chunk").agg(F.count("*").alias("c"))
     base = base.select("nr", "chunk", F.coalesce(F.sum("c").over(Window.partitionBy("nr").orderBy("chunk").rowsBetween(*BEFORE)), F.lit(0)).alias("base"))
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("nr", "chunk").orderBy("slot")) - 1).join(base.hint("merge"), ["nr", "chunk"])
@@ -106,28 +110,29 @@ def slot_schedule(targets: DataFrame, block_words: int | None = None, passes: in
 def taken_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, block_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """For a staged ``docs`` (at, id, source, size): the words taken by document and pass, and the targets.
 
-    The first table has ``at, pass_no, taken``, only where words are taken.
+    The first table has ``at, pass_no, taken, slot`` (the first slot that takes
+    words of the document in that pass), only where words are taken.
     """
     targets = staged(source_targets(docs, weights, share, passes), "mix-targets")
-    times = slot_schedule(targets, block_words, passes).select(F.col("nr").alias("nr_"), F.col("block").alias("block_"), "pass_no").hint("merge")
+    times = slot_schedule(targets, block_words, passes).select(F.col("nr").alias("nr_"), F.col("block").alias("block_"), "pass_no", "slot").hint("merge")
     named = targets.select("nr", F.col("source").alias("s"), _block_words(block_words).alias("b"))
     placed = shuffled_offsets(docs).filter("size > 0").join(named, F.col("source").eqNullSafe(F.col("s")))
     pieces = placed.select("at", "nr", "start", "size", "b", F.explode(F.sequence(F.floor(F.col("start") / F.col("b")), F.floor((F.col("start") + F.col("size") - 1) / F.col("b")))).alias("block"))
     inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("b")) - F.greatest(F.col("start"), F.col("block") * F.col("b"))
     joined = pieces.withColumn("inside", inside).join(times, (F.col("nr") == F.col("nr_")) & (F.col("block") == F.col("block_")))
-    return joined.groupBy("at", "pass_no").agg(F.sum("inside").alias("taken")), targets
+    return joined.groupBy("at", "pass_no").agg(F.sum("inside").alias("taken"), F.min("slot").alias("slot")), targets
 
 
 def _slim(df: DataFrame, id_col: str, text_col: str, source_col: str, *more: str) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.size(words(F.col(f"`{text_col}`"))).cast("long").alias("size"), *more)
+    return df.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), *more)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """One row per document: ``id, size, source_size, target, taken``.
 
     A document has as many words as runs of non-blanks (null text: 0, taken 0).
-    Null sources are one source, the last; null ids are shuffled as an empty
-    id; ties and repeated rows are told apart.  An empty table gives an empty
+    Null sources are one source, the last; null ids are shuffled by their
+    sizes; ties and repeated rows are told apart.  An empty table gives an empty
     result; other columns are not read.
     """
     docs = staged(_slim(df, id_col, text_col, source_col), "mix-docs")
@@ -138,20 +143,29 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slot_col: str | None = None, **how) -> DataFrame:
     """The mix itself, with the columns of ``df``: a row for each pass that takes words of a document.
 
-    Where a block ends within a document its text is cut after the words taken
-    (at most one document a source); all other texts are whole.
+    ``slot_col`` names a further column with the row's first slot: in its order
+    every prefix follows the shares.  Where a source's last block ends within a
+    document its text is cut after the words taken, blanks and line ends before
+    them as they were (at most one document a source); all other texts are
+    whole.  Documents without words (null, empty) and those not taken have no
+    row.  Null sources are one source; null ids, ties and repeated rows are told
+    apart by row; other columns may have any name.  An empty table stays empty.
     """
     names = df.columns
-    full = staged(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("at"), F.size(words(F.col(f"`{text_col}`"))).cast("long").alias("size")), "mix-full")
-    docs = full.select("at", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{source_col}`").alias("source"), "size")
+    if slot_col in names:
+        raise ValueError(f"there is a column {slot_col} already")
+    full = staged(df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row"), F.monotonically_increasing_id().alias("at"), n_words(F.col(f"`{text_col}`")).alias("size")), "mix-full")
+    field = {c: F.col(f"row.c{k}") for k, c in enumerate(names)}
+    docs = full.select("at", field[id_col].alias("id"), field[source_col].alias("source"), "size")
     taken, _ = taken_words(docs, **how)
     rows = full.join(taken, "at")
-    text = F.when(F.col("taken") >= F.col("size"), F.col(f"row.`{text_col}`")).otherwise(F.array_join(F.slice(words(F.col(f"row.`{text_col}`")), F.lit(1), F.col("taken").cast("int")), " "))
+    pieces = F.regexp_extract_all(field[text_col], F.lit(f"[{BLANKS}]*{WORD}"), F.lit(0))
+    text = F.when(F.col("taken") >= F.col("size"), field[text_col]).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("taken").cast("int")), ""))
     new = {text_col: text} | ({"n_chars": F.length(text).cast(df.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
+    return rows.select(*[new.get(c, field[c]).alias(c) for c in names], *([F.col("slot").alias(slot_col)] if slot_col else []))
 
 
 ORACLE = f"""
@@ -171,7 +185,7 @@ WITH d AS (
          CASE WHEN ratio <= level THEN full_size ELSE weight * (SELECT arg_min(level, ratio) FROM l WHERE ratio > level) END AS target
   FROM l
 ), b AS (
-  SELECT *, greatest({BLOCK_WORDS}, CAST(ceil(total / {MOST_BLOCKS}.0) AS BIGINT)) AS b, (SELECT sum(target) FROM t) AS sum_all,
+  SELECT *, CAST({BLOCK_WORDS} AS BIGINT) AS b, (SELECT sum(target) FROM t) AS sum_all,
          sum(target) OVER (ORDER BY nr) / (SELECT sum(target) FROM t) AS upto, nr = (SELECT max(nr) FROM t) AS is_last FROM t
 ), u AS (
   SELECT nr, CASE WHEN is_last THEN 2.0 ELSE upto END AS upto, coalesce(lag(upto) OVER (ORDER BY nr), 0) AS since FROM b

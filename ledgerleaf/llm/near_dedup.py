@@ -46,8 +46,10 @@ LEAST_ESTIMATE = 0.55
 #: Equal slots of a signature that give that estimate.
 LEAST_EQUAL = int(np.ceil(MINIMA * (LEAST_ESTIMATE * (1 - 2.0**-BITS) + 2.0**-BITS)))
 
-#: Rows of a bucket that are compared with as many at a time.
-BLOCK_ROWS = 1024
+#: Rows of a bucket that are compared with as many at a time, and shingles in them, in the mean.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Pairs with one row that are confirmed together.
+PAIRS_TOGETHER = 64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -89,6 +91,10 @@ def estimate(equal: np.ndarray) -> np.ndarray:
     return (equal / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
+def _key(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys, buckets, sigs = [], [], [], []
@@ -97,7 +103,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(found))
             if len(found):
                 least = minima(found)
-                keys.append(xxhash.xxh3_128_digest(found.tobytes()))
+                keys.append(_key(found))
                 buckets.append(bands(least))
                 sigs.append(packed(least))
             else:
@@ -108,15 +114,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = np.array(sigs, np.uint64).view(np.int64).reshape(-1, 4)
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in buckets])]).astype(np.int32)
             values = np.concatenate(buckets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *(pa.array(s[:, k]) for k in range(4))], names=["id", "n_shingles", "set_key", "bands", *SIG])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *(pa.array(s[:, k]) for k in range(4))], names=["id", "at", "n_shingles", "set_key", "bands", *SIG])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.sort(shingle_set(text.as_py()).view(np.int64)) for text in batch.column(1)]
+        found = [shingle_set(text.as_py()) for text in batch.column(0)]
         if found:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], names=["id", "members"])
+            members = np.concatenate([np.sort(x.view(np.int64)) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(map(_key, found), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(members))], names=["set_key", "members"])
 
 
 def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +132,19 @@ def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The first and last bucket of a partition may go on in the next one: their
     firsts are given in any case, as edges.
     """
-    names = ["bucket", "first", "id", "equal", "edge", *SIG]
+    names = ["bucket", "first", "id", "equal", "edge", *SIG, "n"]
 
-    def out(bucket, first, ids, equal, edge, sig):
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(first), pa.array(ids), pa.array(equal.astype(np.int32)), pa.array(edge), *(pa.array(sig[:, k].view(np.int64)) for k in range(4))], names=names)
+    def out(bucket, first, ids, equal, edge, sig, sizes):
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(first), pa.array(ids), pa.array(equal.astype(np.int32)), pa.array(edge), *(pa.array(sig[:, k].view(np.int64)) for k in range(4)), pa.array(sizes)], names=names)
 
     carried, told, opening = None, False, True
     for batch in batches:
         if not batch.num_rows:
             continue
         bucket, ids = (batch.column(k).to_numpy() for k in (0, 1))
-        sig = np.stack([batch.column(k).to_numpy() for k in range(2, 6)], axis=1).view(np.uint64)
+        sig, sizes = np.stack([batch.column(k).to_numpy() for k in range(2, 6)], axis=1).view(np.uint64), batch.column(6).to_numpy()
         if carried is not None:
-            bucket, ids, sig = np.append(carried[0], bucket), np.append(carried[1], ids), np.vstack([carried[2], sig])
+            bucket, ids, sig, sizes = np.append(carried[0], bucket), np.append(carried[1], ids), np.vstack([carried[2], sig]), np.append(carried[3], sizes)
         n = len(bucket)
         starts = np.append(True, bucket[1:] != bucket[:-1])
         first = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
@@ -156,12 +163,12 @@ def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.zeros(n, bool)
         edge[0] = edge_first
         if len(pick):
-            yield out(bucket[pick], ids[first[pick]], ids[pick], equal_slots(sig[first[pick]], sig[pick]), edge[pick], sig[pick])
+            yield out(bucket[pick], ids[first[pick]], ids[pick], equal_slots(sig[first[pick]], sig[pick]), edge[pick], sig[pick], sizes[pick])
         last = first[-1]
         told = bool(has[last]) or (told and last == 0)
-        carried = (bucket[last : last + 1], ids[last : last + 1], sig[last : last + 1])
+        carried = (bucket[last : last + 1], ids[last : last + 1], sig[last : last + 1], sizes[last : last + 1])
     if carried is not None:
-        yield out(carried[0], carried[1], carried[1], np.array([MINIMA]), np.array([True]), carried[2])
+        yield out(carried[0], carried[1], carried[1], np.array([MINIMA]), np.array([True]), carried[2], carried[3])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
@@ -263,15 +270,33 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``pairs`` is staged, ``texts`` has id, data."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    wanted = texts.join(small_or_not(ids), "id", "left_semi")
-    sets = staged(wanted.mapInArrow(_sets, "id long, members array<long>"), "near-sets")
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
+def full_sets(texts: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, members`` of staged ``nodes`` (id): the sets, made again from the texts that had them.
+
+    Texts are picked by their ids; what shares an id with another text is told
+    apart by the key of its set.
+    """
+    wanted = staged(groups.select(F.col("node").alias("id"), "set_key", F.col("least.id").alias("doc")).join(small_or_not(nodes), "id", "left_semi"), "near-wanted")
+    docs = wanted.select("doc").distinct()
+    made = texts.join(small_or_not(docs), F.col("id").eqNullSafe(F.col("doc")), "left_semi").select("data").mapInArrow(_sets, "set_key binary, members array<long>")
+    return staged(made.join(small_or_not(wanted.select("set_key", "id")), "set_key").dropDuplicates(["set_key"]).select("id", "members"), "near-sets")
+
+
+def confirmed(texts: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough; ``pairs`` is staged and distinct.
+
+    The first row of a bucket may be in very many pairs: those of such an ``a``
+    are dealt over salts by ``b``, and its set goes to each of them.
+    """
+    sets = full_sets(texts, groups, staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).alias("salts")).filter("salts > 1").withColumnRenamed("a", "hot")
+    many = small_or_not(staged(many, "near-hot"))
+    salted = pairs.join(many, F.col("a") == F.col("hot"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    centre = sets.join(many, F.col("id") == F.col("hot"), "left").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.col("members").alias("ma"))
+    left = salted.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
+    both = left.join(centre, ["a", "salt"])
     common = F.size(F.array_intersect("ma", "mb"))
-    return both.filter(100 * common >= PERCENT * (F.size("ma") + F.size("mb") - common)).select("a", "b").distinct()
+    return both.filter(100 * common >= PERCENT * (F.size("ma") + F.size("mb") - common)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,18 +318,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = staged(once.join(of, F.col("label") == F.col("l")).select("id", F.least("label", "further").alias("label")), "near-labels")
 
 
-def still_apart(texts: DataFrame, features: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links (a, b) between components that ``labels`` still tells apart; ``rows`` has bucket, first, id, signature.
+def still_apart(texts: DataFrame, groups: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between components that ``labels`` still tells apart; ``rows`` has bucket, first, id, n, signature.
 
-    Seekers and rows are dealt into blocks, so that a group is bounded however
-    large its bucket is.  Of two rows of one bucket and different components at
-    least one is a seeker.
+    Seekers and rows are dealt into blocks, so that a group is bounded, in rows
+    and in shingles, however large its bucket is.  Of two rows of one bucket and
+    different components at least one is a seeker.
     """
     named = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     of_first = labels.select(F.col("id").alias("first"), F.col("label").alias("first_label"))
-    named = staged(named.join(of_first, "first", "left").select("bucket", "id", "label", (F.col("label") != F.coalesce("first_label", "first")).alias("seeks"), *SIG), "near-named")
-    open_ = named.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("seeks").alias("k")).filter("k > 0")
-    met = named.join(open_.select("bucket", F.ceil(F.col("m") / BLOCK_ROWS).alias("ny"), F.ceil(F.col("k") / BLOCK_ROWS).alias("nx")), "bucket")
+    named = staged(named.join(of_first, "first", "left").select("bucket", "id", "label", "n", (F.col("label") != F.coalesce("first_label", "first")).alias("seeks"), *SIG), "near-named")
+    open_ = named.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("seeks").alias("k"), F.sum("n").alias("mn"), F.sum(F.when(F.col("seeks"), F.col("n")).otherwise(0)).alias("kn")).filter("k > 0")
+    blocks = lambda rows, n: F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(n) / BLOCK_SHINGLES))
+    met = named.join(open_.select("bucket", blocks("m", "mn").alias("ny"), blocks("k", "kn").alias("nx")), "bucket")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     # Each row stands in the blocks of its own number and all numbers of the other side; a seeker on both sides.
@@ -316,31 +342,27 @@ def still_apart(texts: DataFrame, features: DataFrame, rows: DataFrame, labels:
     key = ["bucket", "xb", "yb"]
     kind = "bucket long, xb long, yb long, id long, label long, seeks boolean, s0 long, s1 long, s2 long, s3 long"
     found = staged(met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_with_partner, kind), "near-partners")
-    ids = staged(found.select("id").distinct(), "near-ids")
-    sets = texts.join(small_or_not(ids), "id", "left_semi").mapInArrow(_sets, "id long, members array<long>")
-    full = staged(sets.join(features.select("id", "bands"), "id").dropDuplicates(["id"]), "near-sets")
+    sets = full_sets(texts, groups, staged(found.select("id").distinct(), "near-ids"))
+    full = sets.join(groups.select(F.col("node").alias("id"), "bands"), "id")
     dealt = found.join(full, "id").select(*key, "id", "label", "seeks", *SIG, "bands", "members").repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id, n_shingles, component_id, kept``.
+def linked_rows(texts: DataFrame) -> DataFrame:
+    """``at, id, n_shingles, first`` of rows (at, id, data): of each row's component the row with the smallest id.
 
-    Ids are integers.  A text without words (or null) has an empty set and is
-    linked with nothing; a text of fewer than five words is one shingle.  Null
-    ids take part in no comparison but that of equal sets; alone they are kept.
-    Repeated rows get the same component.  An empty table gives an empty
-    result; other columns are not read.
+    ``first`` is a struct (none, id, at): rows without an id come last, ties go
+    by ``at``.  A row without shingles is its own.  Equal sets are one node of
+    the graph, whatever their rows' ids.
     """
-    bound_batches(df.sparkSession)
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data"))
-    features = staged(texts.mapInArrow(_features, "id long, n_shingles long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "near-features")
-    groups = staged(features.filter("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep")), "near-groups")
+    features = staged(texts.select("id", "data", "at").mapInArrow(_features, "id long, at long, n_shingles long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "near-features")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "at")
+    groups = features.filter("n_shingles > 0").groupBy("set_key").agg(F.min(own).alias("least"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in SIG])
+    groups = staged(groups.withColumn("node", F.monotonically_increasing_id()), "near-groups")
 
-    reps = features.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
-    rows = reps.select(F.explode("bands").alias("bucket"), "id", *SIG)
+    rows = groups.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"), *SIG, "n")
     ordered = rows.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
-    met = staged(ordered.mapInArrow(_with_first, "bucket long, first long, id long, equal int, edge boolean, s0 long, s1 long, s2 long, s3 long"), "near-met")
+    met = staged(ordered.mapInArrow(_with_first, "bucket long, first long, id long, equal int, edge boolean, s0 long, s1 long, s2 long, s3 long, n long"), "near-met")
 
     # A bucket that was dealt over partitions has a first in each: at most two rows a partition.
     edge = met.filter("edge").select("bucket", "id").distinct()
@@ -349,22 +371,51 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Of the firsts that a row meets, the nearest.
     best = met.filter((F.col("first") != F.col("id")) & (F.col("equal") >= LEAST_EQUAL)).groupBy("id").agg(F.max(F.struct("equal", (-F.col("first")).alias("f"))).alias("m"))
     pairs = staged(best.select((-F.col("m.f")).alias("a"), F.col("id").alias("b")).union(across).distinct(), "near-pairs")
-    links = staged(confirmed(texts, pairs), "near-links")
+    links = staged(confirmed(texts, groups, pairs), "near-links")
     labels = components(links)
 
-    whole = met.join(F.broadcast(tops), "bucket", "left").select("bucket", F.coalesce("top", "first").alias("first"), "id", *SIG)
-    more = staged(still_apart(texts, features, whole, labels), "near-links")
+    whole = met.join(F.broadcast(tops), "bucket", "left").select("bucket", F.coalesce("top", "first").alias("first"), "id", "n", *SIG)
+    more = staged(still_apart(texts, groups, whole, labels), "near-links")
     if not more.isEmpty():
         labels = components(staged(links.union(more), "near-links"))
 
-    found = groups.join(labels, groups.rep == labels.id, "left").select("set_key", F.coalesce("label", "rep").alias("label"))
-    found = staged(found, "near-found")
-    out = features.select("id", "n_shingles", "set_key").join(found, "set_key", "left")
-    component = F.coalesce("label", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    # Only sets with a link need the smallest row of their component; the others have it already.
+    linked = staged(labels.join(groups.select(F.col("node").alias("id"), "set_key", "least"), "id"), "near-linked")
+    firsts = linked.groupBy("label").agg(F.min("least").alias("first"))
+    linked = linked.select("set_key", "label").join(firsts, "label").select("set_key", "first")
+    found = staged(groups.join(linked, "set_key", "left").select("set_key", F.coalesce("first", "least").alias("first")), "near-found")
+    slim = features.select("at", "id", "n_shingles", "set_key")
+    some = slim.filter("n_shingles > 0").join(found, "set_key").select("at", "id", "n_shingles", "first")
+    return some.unionByName(slim.filter("n_shingles = 0").select("at", "id", "n_shingles", own.alias("first")))
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``id, n_shingles, component_id, kept``.
+
+    Ids are integers.  A text without words (or null) has an empty set and is
+    linked with nothing; a text of fewer than five words is one shingle.  Rows
+    are linked by their texts alone: rows with one id and unlike texts are
+    apart, repeated rows together.  A component's id is the smallest in it, null
+    if it has none, and the rows with that id (or all without one) are kept.
+    An empty table gives an empty result; other columns are not read.
+    """
+    bound_batches(df.sparkSession)
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data"), F.monotonically_increasing_id().alias("at"))
+    component = F.col("first.id")
+    return linked_rows(texts).select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row left of each group of near duplicates; all columns stay."""
-    gone = staged(near_dedup(df, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct(), "near-gone")
-    return df.join(small_or_not(gone), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    """``df`` with exactly one row left of each group of near duplicates; all columns stay, whatever their names.
+
+    The row with the smallest id stays, one without an id only if no other in
+    its group has one; of rows that repeat that id, one.  Texts without words
+    are in no group and all stay.  Rows are dropped by a number of their own, so
+    clashing ids lose nothing.  An empty table stays empty.
+    """
+    bound_batches(df.sparkSession)
+    names = df.columns
+    rows = staged(df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row"), F.monotonically_increasing_id().alias("at")), "near-rows")
+    texts = rows.select(F.col(f"row.c{names.index(id_col)}").cast("long").alias("id"), F.col(f"row.c{names.index(text_col)}").cast("binary").alias("data"), "at")
+    gone = staged(linked_rows(texts).filter("first.at <> at").select("at"), "near-gone")
+    return rows.join(small_or_not(gone), "at", "left_anti").select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)])

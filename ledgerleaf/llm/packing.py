@@ -14,13 +14,14 @@ that holds its contents.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerleaf.llm.common import staged, words
+from ledgerleaf.llm.common import n_words, staged
 
 #: Permitted lengths in words.
 LENGTHS = (256, 512, 1024, 2048, 4096)
@@ -28,6 +29,8 @@ LENGTHS = (256, 512, 1024, 2048, 4096)
 ATTENTION = 16384
 #: Items of a shard, in the mean.
 SHARD_ROWS = 20_000
+#: Repeated rows that one task numbers.
+COPIES_TOGETHER = 1 << 20
 
 
 def cost(n: int) -> float:
@@ -99,11 +102,14 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int
     return bins_of, place, final, filled
 
 
-def _pack_shard(lengths: tuple[int, ...]):
-    def packed(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["n_words", "id", "piece", "row"], ascending=[False, True, True, True], kind="stable", na_position="first")
-        bins_of, place, final, filled = pack(shard["n_words"].tolist(), lengths)
-        return pd.DataFrame({"id": shard["id"], "row": shard["row"], "piece": shard["piece"], "first_word": shard["first_word"], "n_words": shard["n_words"], "seq": [f"{s}-{b}" for s, b in zip(shard["shard"], bins_of, strict=True)], "seq_length": [final[b] for b in bins_of], "seq_words": [filled[b] for b in bins_of], "place": place})
+def _pack_shard(lengths: tuple[int, ...], id_type: pa.DataType):
+    out = pa.schema([("id", id_type), ("piece", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("seq", pa.string()), ("seq_length", pa.int64()), ("seq_words", pa.int64()), ("place", pa.int64())])
+
+    def packed(shard: pa.Table) -> pa.Table:
+        shard = shard.take(pc.sort_indices(shard, sort_keys=[("n_words", "descending"), ("id", "ascending"), ("piece", "ascending"), ("copy", "ascending")], null_placement="at_start"))
+        bins_of, place, final, filled = pack(shard["n_words"].to_pylist(), lengths)
+        names = [f"{s}-{b}" for s, b in zip(shard["shard"].to_pylist(), bins_of, strict=True)]
+        return pa.table([shard["id"], shard["piece"], shard["first_word"], shard["n_words"], names, [final[b] for b in bins_of], [filled[b] for b in bins_of], place], schema=out)
 
     return packed
 
@@ -117,19 +123,30 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", size: Column | None =
     negative sizes, have no piece.  Null ids, ties and repeated rows are packed
     as rows of their own.  An empty table gives an empty result; other columns
     are not read.
+
+    Ids may be of any type that sorts.  Rows of one id and length are alike here
+    and only numbered, so the result is the same however the input is split.
     """
     if not lengths or min(lengths) < 1:
         raise ValueError("lengths must be positive")
     longest = max(lengths)
-    n = F.coalesce(size if size is not None else F.size(words(F.col(f"`{text_col}`"))), F.lit(0)).cast("long")
-    docs = staged(df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), n.alias("n")).filter("n > 0"), "pack-docs")
-
-    whole = docs.filter(F.col("n") >= longest).select("id", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / longest) - 1)).alias("piece"))
-    whole = whole.select("id", "row", "piece", (F.col("piece") * longest).alias("first_word"), F.lit(longest).cast("long").alias("n_words"), F.concat_ws("-", F.lit("w"), "row", "piece").alias("seq"), F.lit(longest).cast("long").alias("seq_length"), F.lit(longest).cast("long").alias("seq_words"), F.lit(0).cast("long").alias("place"))
+    n = F.coalesce(size, F.lit(0)).cast("long") if size is not None else n_words(F.col(f"`{text_col}`"))
+    counted = staged(df.select(F.col(f"`{id_col}`").alias("id"), n.alias("n")).filter("n > 0").groupBy("id", "n").agg(F.count("*").alias("rows")), "pack-docs")
+    # Rows that are repeated very often are numbered by more than one task.
+    many = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / COPIES_TOGETHER))).alias("lot")
+    few, lots = counted.filter(F.col("rows") <= COPIES_TOGETHER).withColumn("lot", F.lit(0).cast("long")), counted.filter(F.col("rows") > COPIES_TOGETHER).select("id", "n", "rows", many).repartition("id", "n", "lot")
+    first = F.col("lot") * COPIES_TOGETHER
+    copies = F.explode(F.sequence(first, F.least(first + COPIES_TOGETHER, F.col("rows")) - 1)).alias("copy")
+    docs = few.unionByName(lots).select("id", "n", copies)
+
+    named = F.concat_ws("-", F.lit("w"), F.coalesce(F.col("id").cast("string"), F.lit("")), "n", "copy", "piece")
+    whole = docs.filter(F.col("n") >= longest).select("id", "n", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / longest) - 1)).alias("piece"))
+    whole = whole.select("id", "piece", (F.col("piece") * longest).alias("first_word"), F.lit(longest).cast("long").alias("n_words"), named.alias("seq"), F.lit(longest).cast("long").alias("seq_length"), F.lit(longest).cast("long").alias("seq_words"), F.lit(0).cast("long").alias("place"))
 
     rest = docs.withColumn("piece", F.floor(F.col("n") / longest)).withColumn("n_words", F.col("n") % longest).filter("n_words > 0")
-    shards = max(1, -(-docs.count() // shard_rows))
-    items = rest.select("id", "row", "piece", (F.col("piece") * longest).alias("first_word"), "n_words", F.pmod(F.xxhash64("id", "row"), F.lit(shards)).alias("shard"))
-    schema = "id long, row long, piece long, first_word long, n_words long, seq string, seq_length long, seq_words long, place long"
-    packed = items.groupBy("shard").applyInPandas(_pack_shard(tuple(lengths)), schema)
+    shards = max(1, -(-(counted.agg(F.sum("rows")).first()[0] or 0) // shard_rows))
+    items = rest.select("id", "copy", "piece", (F.col("piece") * longest).alias("first_word"), "n_words", F.pmod(F.xxhash64("id", "n", "copy"), F.lit(shards)).alias("shard"))
+    id_type = df.schema[id_col].dataType
+    schema = f"id {id_type.simpleString()}, piece long, first_word long, n_words long, seq string, seq_length long, seq_words long, place long"
+    packed = items.groupBy("shard").applyInArrow(_pack_shard(tuple(lengths), to_arrow_type(id_type)), schema)
     return packed.unionByName(whole).select(F.col("id").alias(id_col), "piece", "first_word", "n_words", F.col("seq").alias("seq_id"), "seq_length", "seq_words", "place")

@@ -190,9 +190,11 @@ def looks_random(s: str) -> float | None:
     # Digits alone are numbers, and letters of one case alone are words in some language.
     if found is None or len(body) < 20 or body.isdigit() or body.isalpha() and (body.islower() or body.isupper()):
         return None
-    for at in range(0, len(body), WINDOW):
+    windows = range(0, len(body), WINDOW)
+    for at in windows:
         part = body[at : at + WINDOW] if len(body) - at >= 20 else body[-20:]
-        if min(runs_test(part, found[1]), serial_test(part, found[1]), even_test(part, found[1])) < LEVEL:
+        # The level is for the string, however many windows it has.
+        if min(runs_test(part, found[1]), serial_test(part, found[1]), even_test(part, found[1])) < LEVEL / len(windows):
             return None
     return unlike_writing(body, found[1])
 

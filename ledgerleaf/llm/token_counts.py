@@ -1,8 +1,9 @@
 """Token counts with a whole-token shortcut.
 
-Offline (once a process), every vocabulary string that could be a pre-token is
-put through the merges, and those that end as one token are kept: such a
-pre-token counts one, without merging.  All other pre-tokens are merged here,
+Offline (once, on the driver), every vocabulary string that could be a pre-token
+is put through the merges, and those that end as one token are kept and sent to
+the workers, some hundred KB: such a pre-token counts one, without merging.  All
+other pre-tokens are merged here,
 by rank, with a heap over a linked list, so that even a very long one takes
 n log n steps.
 
@@ -45,7 +46,7 @@ _WORDS, _BLANK = re.compile(r"[^ \t\n\x0b\f\r]+"), re.compile(r"[ \t\n\x0b\f\r]"
 class WholeTokenCounter:
     """Counts as the library does for a JSON file with NFC, lower case, a split pattern and byte-level BPE with a word end."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -57,9 +58,13 @@ class WholeTokenCounter:
         self.split = regex.compile(split["pattern"]["Regex"])
         library = Tokenizer.from_file(path)
         self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.whole = frozenset(s[: -len(self.end)] for s in model["vocab"] if s.endswith(self.end) and len(s) > len(self.end) and self._merged(s[: -len(self.end)]) == 1)
+        self.whole = whole if whole is not None else self._proven(model["vocab"])
         self.known: dict[str, int] = {}
 
+    def _proven(self, vocabulary: dict[str, int]) -> frozenset[str]:
+        """The strings of the vocabulary that, as a pre-token, end as one token."""
+        return frozenset(s[: -len(self.end)] for s in vocabulary if s.endswith(self.end) and len(s) > len(self.end) and self._merged(s[: -len(self.end)]) == 1)
+
     def _merged(self, pre_token: str) -> int:
         """Tokens of one pre-token, a letter a byte, by its merges: lowest rank, then leftmost first."""
         parts: list[str | None] = list(pre_token)
@@ -142,15 +147,25 @@ class WholeTokenCounter:
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> WholeTokenCounter:
-    """One counter a process and vocabulary."""
-    return WholeTokenCounter(path)
+def whole_tokens(path: str) -> frozenset[str]:
+    """The pre-tokens of a vocabulary that are one token each."""
+    return WholeTokenCounter(path).whole
+
+
+_COUNTERS: dict[str, WholeTokenCounter] = {}
+
+
+def counter(path: str, whole: frozenset[str] | None = None) -> WholeTokenCounter:
+    """One counter a process and vocabulary; with ``whole`` nothing is proven again."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = WholeTokenCounter(path, whole)
+    return _COUNTERS[path]
 
 
 def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per document: ``id, n_bytes, n_tokens, over_limit``.
 
-    ``vocabulary`` is the file's path, readable on every executor.  Null counts
+    ``vocabulary`` is the file's path, readable on the driver and every executor.  Null counts
     as empty: no bytes, no tokens.  No begin or end tokens are added; special
     strings in a text are one token each, as by the library's default.  Null
     ids, ties and repeated rows give a row each; an empty table an empty
@@ -158,9 +173,10 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """
     bound_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
+    whole = df.sparkSession.sparkContext.broadcast(whole_tokens(vocabulary))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(vocabulary)
+        own = counter(vocabulary, whole.value)
         for batch in batches:
             n = [own.count(text.as_py()) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])

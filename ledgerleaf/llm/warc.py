@@ -5,7 +5,7 @@ of each distinct payload once, under a SHA-256 that is verified on reading, and
 ``headers`` stores the exact header of every record (WARC named fields and the
 HTTP status part), with the digest as its key.  A record is their join.
 Everything runs on built-in functions; payload bytes are shuffled once to store
-them and once to join them again, whatever the number of copies.
+them and once to join them to their responses, whatever the number of copies.
 """
 
 from __future__ import annotations
@@ -16,16 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import bound_batches, shared_path, staged
+from ledgerleaf.llm.common import bound_batches, shared_path, small_or_not, staged
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored as responses of their own.
 MIN_REVISIT_BYTES = 100
+REVISIT = f"{CRLF}WARC-Type: revisit{CRLF}"
+#: Records of one payload that meet its bytes in one task.
+COPIES_TOGETHER = 4096
 
 
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+def _record_id(row: Column) -> Column:
+    """A name of its own for each record: the page's id, escaped, and the record's number."""
+    return F.concat(F.lit("<urn:x-page:"), F.coalesce(F.url_encode(row["page_id"].cast("string")), F.lit("")), F.lit("/"), row["at"].cast("string"), F.lit(">"))
 
 
 def _header(date: str) -> Column:
@@ -36,10 +40,10 @@ def _header(date: str) -> Column:
     block = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("record_type"),
-        F.lit(f"{CRLF}WARC-Record-ID: "), _record_id(F.col("page_id")),
+        F.lit(f"{CRLF}WARC-Record-ID: "), _record_id(F.struct("page_id", "at")),
         F.lit(f"{CRLF}WARC-Target-URI: "), uri,
         F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _record_id(F.col("first.page_id")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _record_id(F.col("first")))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), block.cast("string"),
         F.lit(CRLF * 2), http,
     )
@@ -63,38 +67,79 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     return path
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """``digest, payload, payload_bytes`` of the stored payloads; one whose SHA-256 is not its key ends the query."""
+    damaged = F.raise_error(F.concat(F.lit("payload damaged: "), F.col("digest"))).cast("binary")
+    good = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(damaged)
+    return spark.read.parquet(f"{path}/payloads").select("digest", good.alias("payload")).select("digest", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"))
+
+
+def _found(records: DataFrame) -> DataFrame:
+    """A header without payload ends the query with an error: nothing is lost in silence."""
+    missing = F.raise_error(F.concat(F.lit("payload missing: "), F.col("digest"))).cast("long")
+    return records.withColumn("payload_bytes", F.coalesce("payload_bytes", missing))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive: ``page_id, digest, header, payload``, joined and verified.
+    """The records of an archive: ``page_id, digest, header, payload_bytes, payload``, joined and verified.
 
-    A stored payload whose SHA-256 is not its key, or a header without payload,
-    ends the query with an error: nothing is lost in silence.
+    Payloads are verified once each, before the join.  Records that revisit a
+    payload have none of their own in the archive, so of copies in whatever
+    number only the response meets the payload's bytes here, and the others
+    only its size: ``payload`` is null for them (see full_payloads).
     """
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads")
-    good = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload missing or damaged: "), F.col("digest"))).cast("binary"))
-    return headers.join(payloads, "digest", "left").select("page_id", "digest", "header", good.alias("payload"))
+    payloads = read_payloads(spark, path)
+    revisits = F.col("header").contains(REVISIT)
+    whole = headers.filter(~revisits).join(payloads, "digest", "left").select("page_id", "digest", "header", "payload_bytes", "payload")
+    again = headers.filter(revisits).join(payloads.select("digest", "payload_bytes"), "digest", "left")
+    return _found(whole.unionByName(again.select("page_id", "digest", "header", "payload_bytes", F.lit(None).cast("binary").alias("payload"))))
+
+
+def full_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """``page_id, digest, header, payload`` with the bytes for revisits as well.
+
+    A payload with very many copies is dealt over salts, so that it and its
+    headers never meet in one task.
+    """
+    headers = spark.read.parquet(f"{path}/headers")
+    hot = headers.groupBy("digest").agg(F.ceil(F.count("*") / COPIES_TOGETHER).alias("salts")).filter("salts > 1")
+    hot = small_or_not(staged(hot, "warc-hot"))
+    one = F.coalesce("salts", F.lit(1))
+    salted = headers.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("header"), one)).drop("salts")
+    spread = read_payloads(spark, path).join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("salts")
+    return _found(salted.join(spread, ["digest", "salt"], "left")).select("page_id", "digest", "header", "payload")
 
 
 def record_bytes() -> Column:
     """The original record, byte for byte: a revisit's block has no payload of its own."""
-    body = F.when(F.col("header").contains(f"{CRLF}WARC-Type: revisit{CRLF}"), F.lit(b"")).otherwise(F.col("payload"))
+    body = F.when(F.col("header").contains(REVISIT), F.lit(b"")).otherwise(F.col("payload"))
     return F.concat(F.encode("header", "utf-8"), body, F.lit(b"\r\n\r\n"))
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """What the headers and payloads of read records say, one row a record."""
+    """What read records say, one row a record; sizes of responses are those of the record put together again."""
     field = lambda name: F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
+    id_type = records.schema["page_id"].dataType
+    kind = field("WARC-Type")
+    rebuilt = F.octet_length(record_bytes()) - F.octet_length(F.encode("header", "utf-8")) - 4
     return records.select(
         "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"),
-        field("WARC-Type").alias("record_type"),
-        F.regexp_extract(field("WARC-Refers-To"), "<urn:x-page:(-?[0-9]+)>", 1).try_cast("long").alias("refers_to"),
+        F.when(kind == "revisit", F.col("payload_bytes")).otherwise(rebuilt.cast("long")).alias("payload_bytes"),
+        F.regexp_replace(field("WARC-Payload-Digest"), r"\Asha256:", "").alias("payload_digest"),
+        kind.alias("record_type"),
+        F.when(kind == "revisit", F.url_decode(F.nullif(F.regexp_extract(field("WARC-Refers-To"), "<urn:x-page:([^/>]*)/", 1), F.lit("")))).try_cast(id_type).alias("refers_to"),
     )
 
 
 def archive_pages(df: DataFrame) -> DataFrame:
-    """Write the pages into an archive in the shared folder and read it back; a row a page."""
+    """Write the pages into an archive in the shared folder and read it back; a row a page.
+
+    Rows are as write_archive treats them: null payloads are empty, ids may be
+    null, repeated or of any type that casts to text and back, repeated rows
+    give a record each, other columns are not read; an empty table gives none.
+    A revisit's ``refers_to`` is the smallest id of its payload.
+    """
     spark = df.sparkSession
     return parsed(read_archive(spark, write_archive(df, shared_path(spark, "warc"))))
 
@@ -104,7 +149,7 @@ def export_warc(records: DataFrame, path: str) -> None:
 
     Each record ends with CRLF CRLF, which is the writer's line separator here.
     """
-    body = F.when(F.col("header").contains(f"{CRLF}WARC-Type: revisit{CRLF}"), F.lit("")).otherwise(F.decode("payload", "utf-8"))
+    body = F.when(F.col("header").contains(REVISIT), F.lit("")).otherwise(F.decode("payload", "utf-8"))
     records.select(F.concat("header", body).alias("value")).write.option("lineSep", CRLF * 2).text(path)
 
 
