@@ -42,7 +42,7 @@ LIST_BARRIER = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("
 SECTIONS = frozenset(("thead", "tbody", "tfoot"))
 TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 
-#: A cell wider than this doesn't widen its column.
+#: A cell wider than this doesn't widen its column, and one spans no more columns or rows than this: its text is whole.
 WIDEST_COLUMN = 40
 MOST_SPAN = 100
 #: Elements nested deeper than this are put beside the deepest one, as browsers do.
@@ -419,28 +419,46 @@ def _hides(node: Node, hidden: Sheet) -> bool:
     return hidden.hidden(tag, attrs) if hidden else False
 
 
-def _table(rows: list[list[list[str]]]) -> list[str]:
-    """Aligned lines of a table of cells, each a list of lines; one column is a plain flow."""
-    rows = [r for r in rows if any(any(c) for c in r)]
-    n = max(map(len, rows), default=0)
+def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[list[list[str]]]:
+    """The cells of each row by column: a cell that spans leaves the other places that it covers empty."""
+    out: list[list[list[str]]] = []
+    below: dict[int, int] = {}  # by column, in how many further rows it is covered
+    for cells in rows:
+        row: list[list[str]] = []
+        covered, below = below, {c: n - 1 for c, n in below.items() if n > 1}
+        for lines, across, down in cells:
+            while len(row) in covered:
+                row.append([])
+            for k in range(across):
+                if down > 1:
+                    below[len(row)] = down - 1
+                row.append([] if k else lines)
+        out.append(row)
+    return out
+
+
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Aligned lines of a table of cells (lines, columns, rows); one column is a plain flow."""
+    grid = [r for r in _grid(rows) if any(any(c) for c in r)]
+    n = max(map(len, grid), default=0)
     if n == 1:
-        return [x for r in rows for x in r[0]]
+        return [x for r in grid for x in r[0]]
     width = [0] * n
-    for r in rows:
+    for r in grid:
         for k, c in enumerate(r):
             for x in c:
                 if width[k] < len(x) <= WIDEST_COLUMN:
                     width[k] = len(x)
     out = []
-    for r in rows:
+    for r in grid:
         for k in range(max(map(len, r), default=0)):
             line = "  ".join((c[k] if k < len(c) else "").ljust(width[j]) for j, c in enumerate(r))
             out.append(line.rstrip())
     return out
 
 
-def _span(node: Node) -> int:
-    v = node.attrs.get("colspan", "")
+def _span(node: Node, name: str) -> int:
+    v = node.attrs.get(name, "")
     return min(max(int(v), 1), MOST_SPAN) if v.isascii() and v.isdigit() and len(v) < 6 else 1
 
 
@@ -448,7 +466,7 @@ def render(root: Node, hidden: Sheet) -> str:
     """All visible text of a tree."""
     top = _Flow()
     flow, flows = top, []  # flows: the flows outside of the cell in which we are
-    tables: list[list[list[list[str]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []  # rows of cells, each its lines and spans
     lists: list[list] = []  # [ordered, number, indent before]
     pre = 0
     # A step is a node to enter, or a function to call on leaving.
@@ -488,11 +506,11 @@ def render(root: Node, hidden: Sheet) -> str:
                 cell.new_line()
                 back = flows.pop()
                 if node.tag == "caption":
-                    tables[-1].append([cell.lines])
+                    tables[-1].append([(cell.lines, 1, 1)])
                 else:
                     if not tables[-1]:
                         tables[-1].append([])
-                    tables[-1][-1].extend([cell.lines, *([[]] * (_span(node) - 1))])
+                    tables[-1][-1].append((cell.lines, _span(node, "colspan"), _span(node, "rowspan")))
                 return back, p
 
             steps.append(leave_cell)
@@ -589,7 +607,9 @@ def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
     Null and empty pages give an empty text, no characters and no lines.  Null
     ids, ties and repeated rows give a row each; an empty table an empty
-    result; other columns are not read.
+    result; other columns are not read.  Pages of any length are read whole;
+    only the layout has bounds: a table's columns are aligned to cells of up to
+    40 characters, and a cell covers 100 columns and rows at most.
     """
     bound_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()

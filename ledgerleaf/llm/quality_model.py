@@ -1,15 +1,15 @@
 """A byte-level convolutional network in numpy that scores whole texts for quality.
 
-Every byte of a text is an input, with one more bit: whether it echoes the byte
-at the same place of the word before, if that is as long.  A filter is eight
-columns wide over these one-hot inputs, so the filters are tables of weights by
-place and byte, and convolving is summing look-ups.  Texts are cut into halves
-of chunks; a chunk is two neighbouring halves, so chunks overlap by half and
-cover the whole text.  Filter outputs are max-pooled within a chunk; the mean
-and the maximum over the chunks, weighed, make one logit and one probability.
-
-Training is on the driver, on a bounded sample of labelled rows; scoring takes
-a piece of a text at a time and carries only the pooled values on.
+Every byte of a text is an input.  A filter is eight columns wide over one-hot
+bytes, so the filters are tables of weights by place and byte, and convolving
+is summing look-ups.  Texts are cut into halves of chunks; a chunk is two
+neighbouring halves, so chunks overlap by half and cover the whole text.  Filter
+outputs are max-pooled within a chunk; the mean and the maximum over the chunks,
+weighed, make one logit and one probability.
+
+Training is on the driver, on a bounded sample of labelled rows.  Training and
+scoring take a piece of a text at a time and carry only the pooled values on, so
+that a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -19,43 +19,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm.common import bound_batches
 
 #: Filters, their width in bytes, and bytes of half a chunk.
 FILTERS, WIDTH, HALF = 16, 8, 256
-#: Labelled texts of each class used for training at most, and bytes of each at most; epochs and step.
-SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, STEP = 900, 16384, 14, 32, 0.02
+#: Labelled texts of each class used for training at most, and bytes of them together; epochs and step.
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, STEP = 900, 4 << 20, 14, 32, 0.02
+#: Bytes convolved at a time; a multiple of HALF.
 PIECE_BYTES = 1 << 19
-#: Inputs: 256 bytes without echo, 256 with, and the padding.
-CODES, PAD = 513, 512
+#: Inputs: 256 bytes and the padding.
+CODES, PAD = 257, 256
 #: Rows whose crc32(id as text) mod 3 is this are never learned from.
 HELD_OUT = 1
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
 
 def codes(data: bytes) -> np.ndarray:
-    """The inputs of a text: its bytes, plus 256 where a byte echoes the word before."""
-    x = np.frombuffer(data, np.uint8)
-    out = x.astype(np.int32)
-    gaps = np.flatnonzero(_BLANK[x])
-    if len(gaps) < 2:
-        return out
-    # A word between two blanks, with the blank after it, against the one before of equal length.
-    length = np.diff(gaps)
-    first = gaps[0] + 1
-    before = np.append(first, length[:-1])
-    lag = np.where((before == length) & (gaps[:-1] - length >= -1), length, 0)
-    lags = np.repeat(lag, length)
-    place = np.arange(first, gaps[-1] + 1)
-    some = np.flatnonzero(lags)
-    echo = some[x[place[some]] == x[place[some] - lags[some]]]
-    out[place[echo]] += 256
-    return out
+    """The inputs of a text: its bytes."""
+    return np.frombuffer(data, np.uint8).astype(np.int32)
 
 
 def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,26 +90,31 @@ class ByteNetwork:
     def params(self) -> list[np.ndarray]:
         return [self.tables, self.bias, self.mean_w, self.max_w, self.offset]
 
-    def score(self, data: bytes | None) -> float:
-        """The probability that a whole text is of quality; an empty one is scored as padding."""
-        data = data or b""
-        inputs = codes(data)
-        last, total, most, n = None, np.zeros(FILTERS), np.full(FILTERS, -np.inf), 0
+    def pooled(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest output of each filter in each half of a text, piece by piece, and where in the text it is."""
+        values, places = [], []
         for at in range(0, max(1, len(inputs)), PIECE_BYTES):
             x, _ = padded([inputs[at : at + PIECE_BYTES]])
             ahead = inputs[at + PIECE_BYTES : at + PIECE_BYTES + WIDTH]
             x[len(x) - WIDTH : len(x) - WIDTH + len(ahead)] = ahead
-            pooled = np.maximum(convolved(self.tables, x).max(axis=1) + self.bias, 0)
-            if last is not None:
-                pooled = np.vstack([last, pooled])
-            if len(pooled) > 1:
-                chunks = np.maximum(pooled[1:], pooled[:-1])
-                total, most, n = total + chunks.sum(axis=0), np.maximum(most, chunks.max(axis=0)), n + len(chunks)
-            last = pooled[-1:]
-        if not n:
-            total, most, n = last[0], last[0], 1
-        z = float((total / n) @ self.mean_w + most @ self.max_w + self.offset[0])
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            out = convolved(self.tables, x)
+            where = out.argmax(axis=1)
+            values.append(np.take_along_axis(out, where[:, None], axis=1)[:, 0])
+            places.append(where + (at + HALF * np.arange(len(out)))[:, None])
+        return np.concatenate(values), np.concatenate(places)
+
+    def logits(self, pooled: np.ndarray, halves: np.ndarray):
+        """For rectified halves of texts: logits, and what their gradients need."""
+        chunks, source, starts = chunk_max(pooled, halves)
+        counts = np.diff(np.append(starts, len(chunks)))
+        mean, most = np.add.reduceat(chunks, starts) / counts[:, None], np.maximum.reduceat(chunks, starts)
+        return mean @ self.mean_w + most @ self.max_w + self.offset[0], (chunks, source, starts, counts, mean, most)
+
+    def score(self, data: bytes | None) -> float:
+        """The probability that a whole text is of quality; an empty one is scored as padding."""
+        values, _ = self.pooled(codes(data or b""))
+        z, _ = self.logits(np.maximum(values + self.bias, 0).astype(np.float64), np.array([len(values)]))
+        return float(1 / (1 + np.exp(-np.clip(z[0], -30, 30))))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> ByteNetwork:
         """Adam on the logistic loss; gradients pass to the places that gave the maxima."""
@@ -150,54 +138,66 @@ class ByteNetwork:
         return self
 
     def _gradients(self, parts: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
-        x, halves = padded(parts)
-        out = convolved(self.tables, x)
-        where = out.argmax(axis=1)
-        pooled = np.maximum(np.take_along_axis(out, where[:, None], axis=1)[:, 0] + self.bias, 0)
-        chunks, source, starts = chunk_max(pooled, halves)
-        counts = np.diff(np.append(starts, len(chunks)))
+        found = [self.pooled(p) for p in parts]
+        halves = np.array([len(v) for v, _ in found])
+        pooled = np.maximum(np.concatenate([v for v, _ in found]) + self.bias, 0)
+        where = np.concatenate([w for _, w in found])
+        z, (chunks, source, starts, counts, mean, most) = self.logits(pooled, halves)
         text = np.repeat(np.arange(len(parts)), counts)
-        mean = np.add.reduceat(chunks, starts) / counts[:, None]
-        most = np.maximum.reduceat(chunks, starts)
-        z = mean @ self.mean_w + most @ self.max_w + self.offset[0]
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(parts)
         g = err[text, None] * self.mean_w / counts[text, None]
         is_most = chunks == most[text]
         g = g + is_most * err[text, None] * self.max_w / np.maximum(np.add.reduceat(is_most, starts, dtype=np.int64), 1)[text]
         g = np.where(np.take_along_axis(pooled, source, axis=0) > 0, g, 0).astype(np.float32)
         filters = np.broadcast_to(np.arange(FILTERS), g.shape)
-        place = source * HALF + where[source, filters]
+        place = where[source, filters]
         live = g != 0
+        # All texts of the batch as one, each with padding for the filters that reach beyond its end.
+        begins = np.cumsum([0, *(len(p) + HALF + WIDTH for p in parts)])
+        x = np.full(begins[-1], PAD, np.int32)
+        for p, at in zip(parts, begins, strict=False):
+            x[at : at + len(p)] = p
+        place = place + begins[text][:, None]
         tables = np.zeros_like(self.tables)
         for k in range(WIDTH):
             np.add.at(tables[k], (x[place[live] + k], filters[live]), g[live])
         return [tables, g.sum(axis=0), err @ mean, err @ most, np.array([err.sum()], np.float32)]
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``per_class`` texts of each label, by MD5 of the id, none of them held out."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(f"id IS NOT NULL AND y IN (0, 1) AND crc32(cast(id AS string)) % 3 <> {HELD_OUT}")
+def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, sample_bytes: int) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts of each label in the order of the MD5 of their ids, none of them held out.
+
+    Of each class the first ``per_class``, and of these as many as come before
+    their bytes reach ``sample_bytes``: the bound ends the sample at a place that
+    the ids alone decide, and leaves out no text for its length.
+    """
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).filter(f"id IS NOT NULL AND y IN (0, 1) AND crc32(cast(id AS string)) % 3 <> {HELD_OUT}")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     key = F.md5(F.col("id").cast("string").cast("binary"))
+    # 2 * per_class rows at most.
     sample = known.filter("y = 0").orderBy(key).limit(per_class).union(known.filter("y = 1").orderBy(key).limit(per_class))
-    # 2 * per_class rows at most; only whole texts of moderate size are learned from.
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data")).filter(F.octet_length("data") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "y", "data").collect()
+    texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data")).filter("data IS NOT NULL")
+    found = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("data").alias("data"))
+    before = Window.partitionBy("y").orderBy(key, "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = found.withColumn("before", F.coalesce(F.sum(F.octet_length("data")).over(before), F.lit(0))).filter(F.col("before") < sample_bytes).select("id", "y", "data").collect()
     rows.sort(key=lambda r: zlib.crc32(str(r["id"]).encode()))
     return [bytes(r["data"]) for r in rows], np.array([r["y"] for r in rows], np.float32)
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE) -> DataFrame:
+def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """One row per document: ``id, held_out, score, predicted``.
 
-    ``per_class`` bounds the labelled rows learned from.  Null texts are scored
-    as empty ones.  Null ids are not held out; ties and repeated rows give a row
-    each; an empty table an empty result.  Without labels of both classes every
-    score is the share of label 1 (one half if there are none).
+    ``per_class`` and ``sample_bytes`` bound the labelled rows learned from, in
+    rows and in bytes of a class; each of them is learned from whole.  Null
+    texts are scored as empty ones.  Null ids are not held out; ties and
+    repeated rows give a row each, an id with several texts teaches the largest;
+    an empty table gives an empty result; other columns are not read.  Without
+    labels of both classes every score is the share of label 1 (one half if
+    there are none).
     """
     bound_batches(documents.sparkSession)
     id_type = documents.schema[id_col].dataType.simpleString()
-    texts, y = training_rows(documents, labels, id_col, text_col, label_col, per_class)
+    texts, y = training_rows(documents, labels, id_col, text_col, label_col, per_class, sample_bytes)
     constant = None if len(set(y.tolist())) == 2 else (float(y.mean()) if len(y) else 0.5)
     network = ByteNetwork()
     if constant is None:
