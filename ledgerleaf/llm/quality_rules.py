@@ -5,12 +5,14 @@ cleaning needs no shuffle, no Python and no more than a row in memory.
 
 A line fails by the first of these that holds:
 
-* boilerplate: it has one of the listed licence, consent or platform phrases;
-* navigation: separators make up much of it, or it is a short unpunctuated
-  line with one of the listed navigation phrases;
+* boilerplate: it has one of the listed licence, consent or platform phrases
+  (English, German, French, Spanish) and sixty words at most, so that a mention
+  in a long line doesn't remove the line;
 * punctuation: symbols are over a tenth of it, it has three or more bursts of
-  exclamation or question marks, or it is a fragment of under eight words
-  that no sentence punctuation ends.
+  exclamation or question marks and one in ten words at least, or it is a
+  fragment of under eight words that no sentence punctuation ends;
+* navigation: separators make up much of it, or it is a short unpunctuated
+  line with one of the listed navigation phrases.
 
 Blank lines pass.  Failing lines are removed; a document whose remaining lines
 hold less than half of its non-blank characters is rejected, as is one that
@@ -20,6 +22,8 @@ repeated five-word windows).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Of 100 non-blank characters, so many must remain.
 LEAST_KEPT = 50
-FRAGMENT_WORDS, SHORT_WORDS, SEPARATORS, BURSTS = 8, 12, 3, 3
+FRAGMENT_WORDS, SHORT_WORDS, BOILERPLATE_WORDS, SEPARATORS, BURSTS, BURST_WORDS = 8, 12, 60, 3, 3, 10
 SYMBOLS = "#*$%&|<>"
 LINE_SYMBOLS = r"[#*$%&<>{}\\^~=_]"
 BURST = r"[!?]{2,}"
@@ -41,8 +45,21 @@ ENDERS, CLOSERS = ".!?…。！？:;", "\"'»”’)]"
 ENDED = rf"[{ENDERS}][{CLOSERS[:-1]}\]]*$"
 BLANK = r"[\x20\x09-\x0D]"
 #: Phrases in lower case.
-BOILERPLATE = ("all rights reserved", "copyright (c)", "copyright ©", "licensed under", "released under the", "general public license", "terms of service", "terms of use", "privacy policy", "cookie policy", "uses cookies", "accept cookies", "enable javascript", "subscribe to our newsletter", "powered by")
-NAVIGATION = ("skip to content", "main menu", "sign in", "log in", "home page", "next page", "previous page", "read more", "click here", "back to top", "site map", "search this site", "share this")
+BOILERPLATE = (
+    "all rights reserved", "copyright (c)", "copyright ©", "licensed under", "released under the", "general public license", "terms of service", "terms of use", "privacy policy", "cookie policy", "uses cookies", "accept cookies", "enable javascript", "subscribe to our newsletter", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "utiliza cookies",
+)
+#: Each of these phrases holds one of these, so that a text without any has none.
+ANCHORS = (
+    "rights reserved", "copyright ", "licens", "released under the", "terms of ", "privacy policy", "cookie", "enable javascript", "our newsletter", "powered by", "alle rechte vorbehalten", "datenschutzerkl", "nutzungsbedingungen",
+    "droits réservés", "politique de conf", "conditions d'utilisation", "derechos reservados", "política de privacidad", "términos de uso",
+)
+NAVIGATION = (
+    "skip to content", "main menu", "sign in", "log in", "home page", "next page", "previous page", "read more", "click here", "back to top", "site map", "search this site", "share this",
+    "zum inhalt springen", "weiterlesen", "nach oben", "aller au contenu", "lire la suite", "haut de page", "ir al contenido", "leer más", "volver arriba",
+)
 
 
 def bind(value: Column, body) -> Column:
@@ -57,11 +74,16 @@ def _has_any(col: Column, phrases: tuple[str, ...]) -> Column:
     return found
 
 
+def _any_of(phrases: tuple[str, ...]) -> str:
+    """The phrases as one pattern, for the few lines that get so far."""
+    return "|".join(re.sub(r"([.()])", r"\\\1", p) for p in phrases)
+
+
 def line_rule(line: Column, odd: Column | None = None, phrase: Column | None = None) -> Column:
     """0: the line passes; 1 punctuation, 2 navigation, 3 boilerplate.
 
     ``odd`` and ``phrase`` may say for the whole text that it has none of the
-    signs or phrases of the rules: most lines then need a look at their end only.
+    signs or boilerplate phrases: most lines then need a look at their end only.
     """
     odd = line.rlike(ODD) if odd is None else odd & line.rlike(ODD)
     phrase = F.lit(True) if phrase is None else phrase
@@ -69,11 +91,12 @@ def line_rule(line: Column, odd: Column | None = None, phrase: Column | None = N
     bare = F.rtrim(line, F.lit(BLANKS))
     ended = F.right(F.rtrim(bare, F.lit(CLOSERS)), F.lit(1)).isin(*ENDERS)
     n_words, bars = F.regexp_count(line, F.lit(WORD)), F.regexp_count(line, F.lit(SEPARATOR))
-    navigation = (odd & (bars >= SEPARATORS) & (bars * 4 >= n_words)) | (phrase & ~ended & _has_any(low, NAVIGATION) & (n_words <= SHORT_WORDS))
+    navigation = (odd & (bars >= SEPARATORS) & (bars * 4 >= n_words)) | (~ended & (n_words <= SHORT_WORDS) & low.rlike(_any_of(NAVIGATION)))
     stripped = F.btrim(line, F.lit(BLANKS))
     symbols = F.regexp_count(line, F.lit(LINE_SYMBOLS)) * 10 > F.length(F.replace(F.replace(stripped, F.lit(" ")), F.lit("\t")))
-    punctuation = (odd & (symbols | (F.regexp_count(line, F.lit(BURST)) >= BURSTS))) | (~ended & (n_words < FRAGMENT_WORDS))
-    return F.when(bare == "", 0).when(phrase & _has_any(low, BOILERPLATE), 3).when(navigation, 2).when(punctuation, 1).otherwise(0)
+    bursts = F.regexp_count(line, F.lit(BURST))
+    punctuation = (odd & (symbols | ((bursts >= BURSTS) & (bursts * BURST_WORDS >= n_words)))) | (~ended & (n_words < FRAGMENT_WORDS))
+    return F.when(bare == "", 0).when(phrase & low.rlike(_any_of(BOILERPLATE)) & (n_words <= BOILERPLATE_WORDS), 3).when(punctuation, 1).when(navigation, 2).otherwise(0)
 
 
 def _rolled(a: Column, b: Column, gap: int) -> Column:
@@ -114,7 +137,7 @@ def quality_columns(text: Column) -> dict[str, Column]:
     rule = lambda x: line_rule(x, F.col("__odd"), F.col("__phrase"))
     return {
         "__odd": whole.rlike(ODD),
-        "__phrase": _has_any(F.lower(whole), BOILERPLATE + NAVIGATION),
+        "__phrase": _has_any(F.lower(whole), ANCHORS),
         # A column each, used more than once by the next, so that none is folded into a lambda: array functions outside of one are compiled.
         "__w": words(whole),
         "__one": F.transform("__w", lambda x: F.xxhash64(x)),
@@ -182,11 +205,11 @@ JUDGED_SQL = f"""
   x AS (SELECT rn, string_split(t, chr(10)) AS ls FROM d),
   l AS (SELECT rn, unnest(range(1, len(ls) + 1)) AS nr, unnest(ls) AS line FROM x),
   m AS (SELECT rn, nr, line, trim(line, {_BLANK_SQL}) AS s FROM l),
-  n AS (SELECT *, lower(s) AS low, len(regexp_extract_all(s, {_quoted(WORD)})) AS n_words, regexp_matches(s, {_quoted(ENDED)}) AS ended, len(regexp_extract_all(s, {_quoted(SEPARATOR)})) AS bars,
+  n AS (SELECT *, lower(s) AS low, len(regexp_extract_all(s, {_quoted(WORD)})) AS n_words, regexp_matches(s, {_quoted(ENDED)}) AS ended, len(regexp_extract_all(s, {_quoted(SEPARATOR)})) AS bars, len(regexp_extract_all(s, {_quoted(BURST)})) AS bursts,
           row_number() OVER (PARTITION BY rn, line ORDER BY nr) > 1 AND s <> '' AS dup FROM m),
-  o AS (SELECT *, CASE WHEN s = '' THEN 0 WHEN {_any_sql("low", BOILERPLATE)} THEN 3
+  o AS (SELECT *, CASE WHEN s = '' THEN 0 WHEN {_any_sql("low", BOILERPLATE)} AND n_words <= {BOILERPLATE_WORDS} THEN 3
+          WHEN len(regexp_extract_all(s, {_quoted(LINE_SYMBOLS)})) * 10 > length(replace(replace(s, ' ', ''), chr(9), '')) OR (bursts >= {BURSTS} AND bursts * {BURST_WORDS} >= n_words) OR (NOT ended AND n_words < {FRAGMENT_WORDS}) THEN 1
           WHEN (bars >= {SEPARATORS} AND bars * 4 >= n_words) OR ({_any_sql("low", NAVIGATION)} AND NOT ended AND n_words <= {SHORT_WORDS}) THEN 2
-          WHEN len(regexp_extract_all(s, {_quoted(LINE_SYMBOLS)})) * 10 > length(replace(replace(s, ' ', ''), chr(9), '')) OR len(regexp_extract_all(s, {_quoted(BURST)})) >= {BURSTS} OR (NOT ended AND n_words < {FRAGMENT_WORDS}) THEN 1
           ELSE 0 END AS rule FROM n),
   q AS (SELECT rn, count(*) FILTER (WHERE dup) AS n_dup_lines, count(*) FILTER (WHERE rule > 0) AS n_lines_removed, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE rule = 0), '') AS cleaned FROM o GROUP BY rn),
   k AS (SELECT d.rn, d.doc_id, cleaned, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars, length(d.t) - length(translate(d.t, '{SYMBOLS}', '')) AS n_symbols,
