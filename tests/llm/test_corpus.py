@@ -1,6 +1,8 @@
 """Mixing, packing, the classifier, archives and the pipeline."""
 
+import itertools
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerleaf.llm import mixing, packing, quality_model, warc
 from ledgerleaf.llm.common import shared_path
@@ -66,6 +69,21 @@ def test_mix_against_brute_force(spark):
     assert [r.taken for r in mixing.mix(frame(spark, [(1, None, None)])).collect()] == [0]
 
 
+def test_mix_of_many_sources_and_its_order(spark):
+    rng = random.Random(12)
+    rows = [(k, " ".join("w" for _ in range(rng.randrange(1, 40))), f"host{rng.randrange(3000)}") for k in range(6000)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    size, target = brute_targets(rows)
+    assert all(abs(r.target - target[rows[r.doc_id][2]]) < 1e-6 for r in got)
+    df = spark.createDataFrame([(k, f"x\n\n{t}\ty", s, "c", 1, 2) for k, t, s in rows[:300]], "doc_id long, text string, source string, size string, row int, start int")
+    out = mixing.mixed_documents(df, slot_col="slot")
+    assert out.columns == [*df.columns, "slot"]
+    assert all(r.slot is not None and (r.size, r.row, r.start) == ("c", 1, 2) and r.text.startswith(("x\n\nw", "x")) for r in out.collect())
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mixed_documents(df, slot_col="row")
+
+
 def test_mixed_documents_hold_what_is_taken(spark):
     rows = mixed_rows(2)
     rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
@@ -118,6 +136,44 @@ def test_pack_invariants():
     assert packing.pack([], (8,)) == ([], [], [], [])
 
 
+def least_cost(sizes, lengths):
+    """By trying every way to part the items into sequences."""
+
+    def ways(items):
+        if not items:
+            yield []
+            return
+        first, rest = items[0], items[1:]
+        for k in range(len(rest) + 1):
+            for others in itertools.combinations(range(len(rest)), k):
+                for more in ways([x for j, x in enumerate(rest) if j not in others]):
+                    yield [first + sum(rest[j] for j in others), *more]
+
+    longest = max(lengths)
+    return min(sum(packing.cost(next(n for n in sorted(lengths) if n >= s)) for s in way) for way in ways(list(sizes)) if max(way) <= longest)
+
+
+def test_packing_is_close_to_the_least_cost():
+    rng, shares = random.Random(4), []
+    for _ in range(150):
+        lengths = rng.choice([(8, 16, 32), (5, 12, 20), (256, 512, 1024, 2048, 4096)])
+        sizes = [rng.randrange(1, lengths[-1] + 1) // rng.choice([1, 2, 4, 8]) or 1 for _ in range(rng.randrange(1, 8))]
+        shares.append(sum(map(packing.cost, packing.pack(sizes, lengths)[2])) / least_cost(sizes, lengths))
+    assert min(shares) >= 1 - 1e-9 and max(shares) <= 1.6 and sum(shares) / len(shares) <= 1.06, (max(shares), sum(shares) / len(shares))
+
+
+def test_packing_is_the_same_however_rows_are_split(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(400), "w " * rng.randrange(0, 90), "s") for _ in range(900)] + [(7, "w " * 30, "s")] * 300 + [(None, "w w", "s")] * 5 + [(2**60 + 1, "w " * 70_000, "s")]
+    rows_of = lambda df: sorted(map(str, packing.pack_documents(df, lengths=(16, 64), shard_rows=100).collect()))
+    first = rows_of(frame(spark, rows))
+    rng.shuffle(rows)
+    assert rows_of(frame(spark, rows).repartition(5)) == first
+    assert sum(f"doc_id={2**60 + 1}," in r for r in first) == -(-70_000 // 64)
+    named = spark.createDataFrame([("b", "w w"), ("a", "w"), (None, "w")], "doc_id string, text string")
+    assert sorted(str(r.doc_id) for r in packing.pack_documents(named).collect()) == ["None", "a", "b"]
+
+
 def test_pack_documents(spark):
     rows = [(k, " ".join("w" * 3 for _ in range(n)), "s") for k, n in enumerate([0, 1, 5, 63, 64, 65, 200, 3, 3, 3])] + [(3, "a b", "s"), (None, "x y z", "s"), (77, None, "s")]
     got = packing.pack_documents(frame(spark, rows), lengths=(8, 64), shard_rows=4).collect()
@@ -160,14 +216,73 @@ def test_scoring_in_pieces_is_the_same(monkeypatch):
     data = " ".join(rng.choice(["and", "and", "word", "ÉTÉ!!", "x***"]) for _ in range(3000)).encode()
     net = quality_model.ByteNetwork()
     whole = net.score(data)
-    monkeypatch.setattr(quality_model, "PIECE_BYTES", 4 * quality_model.HALF)
+    monkeypatch.setattr(quality_model, "PIECE_BYTES", 4 * quality_model.HALF)  # and training pools the same places
     assert net.score(data) == pytest.approx(whole, abs=1e-5)
     assert 0 < net.score(b"") < 1 and 0 < net.score(b"a") < 1
 
 
-def test_echo_bits():
-    c = quality_model.codes(b"x abc abc abd ab")
-    assert (c >= 256).tolist() == [False] * 6 + [True] * 4 + [True, True, False, True] + [False] * 2
+def slow_score(net, data):
+    """The network as it is described, one byte, filter and chunk after the other."""
+    half, width = quality_model.HALF, quality_model.WIDTH
+    n = max(1, -(-len(data) // half))
+    inputs = [*data, *[quality_model.PAD] * (n * half + width - len(data))]
+    chunks = [range(k * half, (k + 2) * half) for k in range(n - 1)] or [range(half)]
+    pooled = np.array([[max(0.0, max(sum(float(net.tables[k, inputs[at + k], f]) for k in range(width)) for at in chunk) + float(net.bias[f])) for f in range(quality_model.FILTERS)] for chunk in chunks])
+    z = pooled.mean(axis=0) @ net.mean_w + pooled.max(axis=0) @ net.max_w + net.offset[0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_against_a_slow_convolution():
+    rng = np.random.default_rng(4)
+    net = quality_model.ByteNetwork()
+    net.bias += 0.05
+    for n in (0, 1, 255, 256, 257, 700):
+        data = bytes(rng.integers(0, 256, n, dtype=np.uint8))
+        assert net.score(data) == pytest.approx(slow_score(net, data), abs=1e-5)
+
+
+def test_gradients_against_finite_differences():
+    rng = np.random.default_rng(1)
+    net = quality_model.ByteNetwork()
+    net.tables = net.tables.astype(np.float64)
+    net.bias += 0.1
+    parts, y = [quality_model.codes(bytes(rng.integers(97, 110, n, dtype=np.uint8))) for n in (0, 5, 300, 1500)], np.array([1.0, 0, 1, 0])
+
+    def loss():
+        z = np.array([net.logits(np.maximum(v + net.bias, 0), np.array([len(v)]))[0][0] for v, _ in map(net.pooled, parts)])
+        p = 1 / (1 + np.exp(-z))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for values, grad in zip(net.params(), net._gradients(parts, y), strict=True):
+        for at in map(tuple, np.argwhere(np.abs(grad) > np.abs(grad).max() / 3)[:5]):
+            old, e = values[at], 1e-3
+            values[at] = old + e
+            up = loss()
+            values[at] = old - e
+            down = loss()
+            values[at] = old
+            assert grad[at] == pytest.approx((up - down) / (2 * e), rel=0.01)
+
+
+def test_scores_know_nothing_of_held_out_labels_or_other_columns(spark, small):
+    documents, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    held = "crc32(cast(doc_id AS string)) % 3 = 1"
+    turned = labels.withColumn("quality", F.when(F.expr(held), 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = documents.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("yy")).withColumn("score", F.lit(0.5)).withColumn("data", F.lit("z"))
+    scores = lambda d, l: sorted((r.doc_id, r.score) for r in quality_model.quality_scores(d, l).collect())  # noqa: E731, E741
+    first = scores(documents, labels)
+    assert scores(other, turned) == first
+    assert quality_model.quality_scores(documents.limit(0), labels).count() == 0
+    twice = quality_model.quality_scores(documents.unionByName(documents), labels)
+    assert sorted((r.doc_id, r.score) for r in twice.collect()) == sorted([*first, *first])
+
+
+def test_the_sample_is_bounded_in_bytes_and_not_by_length(spark):
+    rows = [(k, ("good words here " if k % 2 else "bad!!! ") * (2000 if k % 5 == 0 else 3)) for k in range(200)]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")  # noqa: E741
+    every, _ = quality_model.training_rows(d, l, "doc_id", "text", "quality", 900, 1 << 30)
+    some, y = quality_model.training_rows(d, l, "doc_id", "text", "quality", 900, 100_000)
+    assert 0 < len(some) < len(every) and max(map(len, some)) == max(map(len, every)) and set(y.tolist()) == {0.0, 1.0}
 
 
 def archive_rows():
@@ -175,7 +290,7 @@ def archive_rows():
     return [(5, "http://a/ b", long), (3, "http://b", long), (9, None, long), (3, "http://b", long), (1, "u", "short"), (2, "u\r\nX: y", "short"), (4, "u", None), (None, "u", "z" * 200), (8, "u", "z" * 200), (6, "u", "a\r\n\r\nWARC/1.1\r\n" * 20)]
 
 
-def test_archive_round_trip(spark):
+def test_archive_round_trip(spark, monkeypatch):
     rows = archive_rows()
     df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
     got = warc.archive_pages(df).collect()
@@ -189,7 +304,12 @@ def test_archive_round_trip(spark):
     path = warc.write_archive(df, shared_path(spark, "test"))
     assert spark.read.parquet(f"{path}/payloads").count() == 5
     back = warc.read_archive(spark, path)
-    assert sorted(((r.page_id or 0), bytes(r.payload).decode()) for r in back.collect()) == sorted(((i or 0), t or "") for i, _, t in rows)
+    assert all((r.payload is None) == ("WARC-Type: revisit" in r.header) for r in back.collect())
+    for batch in (4096, 2):
+        monkeypatch.setattr(warc, "COPIES_TOGETHER", batch)
+        full = warc.full_payloads(spark, path).collect()
+        assert sorted(((r.page_id or 0), bytes(r.payload).decode()) for r in full) == sorted(((i or 0), t or "") for i, _, t in rows)
+    assert len({re.search("WARC-Record-ID: (.*)", r.header)[1] for r in full}) == len(rows)
     out = shared_path(spark, "files")
     warc.export_warc(back, out)
     read = warc.import_warc(spark, out).collect()
@@ -198,6 +318,16 @@ def test_archive_round_trip(spark):
         assert r.header.startswith("WARC/1.1\r\n") and ("WARC-Type: revisit" in r.header) == (not bytes(r.block).split(b"\r\n\r\n", 1)[1] and "Content-Length: 0" not in bytes(r.block).decode())
 
 
+def test_archive_of_text_ids_and_of_nothing(spark):
+    text = "p" * 150
+    df = spark.createDataFrame([("b/é> x", "u", text), ("a", "u", text), ("a", "u", text), (None, "u", text), ("", "u", "q" * 200)], "page_id string, url string, html string")
+    got = sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes) for r in warc.archive_pages(df).collect())
+    assert got == [("", "response", None, 200), ("None", "revisit", "a", 150), ("a", "response", None, 150), ("a", "revisit", "a", 150), ("b/é> x", "revisit", "a", 150)]
+    odd = spark.createDataFrame([("x/y> é", "u", text), ("z", "u", text)], "page_id string, url string, html string")
+    assert [r.refers_to for r in warc.archive_pages(odd).collect() if r.refers_to] == ["x/y> é"]
+    assert warc.archive_pages(df.limit(0)).count() == 0
+
+
 def test_damage_is_noticed(spark):
     df = spark.createDataFrame([(1, "u", "t" * 150)], "page_id long, url string, html string")
     path = warc.write_archive(df, shared_path(spark, "test"))
@@ -221,6 +351,23 @@ def test_sql_of_the_queries(spark, small):
         assert rows(a) == rows(b), name
 
 
+def test_pipeline_of_odd_rows_and_of_nothing(spark, small):
+    """Null texts and ids, repeated rows and further columns with any name; each stage also without rows."""
+    import corpus_pipeline as p
+
+    good = "\n".join(" ".join(f"{w}{k}" for k in range(12)) + "." for w in ("some", "other", "last"))
+    rows = [(1, good, "en", "s", len(good), 5), (1, good, "en", "s", len(good), 5), (None, good, None, None, None, None), (None, None, "en", "s", 0, 1), (2, "", "en", "t", 0, 1), (None, good.replace("some3", "any"), "en", "t", 9, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __id int"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), small).count() == 0, name
+    for name, stage in p.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, small).collect(), schema)
+        assert docs.count() > 0, name
+    assert {r.doc_id for r in docs.collect()} == {1}
+    assert {r.doc_id for r in p.STAGES[-1][1](spark, docs, small).collect()} == {1}
+
+
 def test_pipeline_stage_by_stage(spark, small):
     import corpus_pipeline as p
 

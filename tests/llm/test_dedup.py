@@ -59,6 +59,37 @@ def test_exact_smallest_and_dropping(spark):
         exact_dedup(frame(spark, rows), keep="any")
 
 
+CLASHING = "doc_id long, text string, i long, s string, __id long, __sha string, row string, digest string, part int, at long"
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+@pytest.mark.parametrize("n_parts,batch", [(1, 10000), (9, 7)])
+def test_dropping_exact_copies_against_brute_force(spark, keep, n_parts, batch):
+    rng = random.Random(n_parts)
+    texts = ["", None, "a", "A", "ä", "Ä", "same text", "SAME text", "x" * 5000]
+    rows = [(k, rng.choice(texts)) for k in range(400)] + [(k, "hot") for k in range(1000, 1600)] + [(None, "a"), (None, "lonely"), (5, "twice"), (5, "twice")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, i, "S", i, "u", "r", "d", 1, i) for i, t in rows], CLASHING)
+    settings = {"spark.sql.shuffle.partitions": str(n_parts), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        left = drop_exact_copies(df, keep=keep)
+        assert left.columns == df.columns
+        got = left.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").translate(LOWER), []).append(i)
+    best = max if keep == "largest" else min
+    assert sorted(((r.text or "").translate(LOWER), r.doc_id) for r in got) == sorted((t, best((x for x in v if x is not None), default=None)) for t, v in groups.items())
+    assert all(r["__id"] == r.i == r.at == r.doc_id and (r.s, r["__sha"], r.row, r.digest, r.part) == ("S", "u", "r", "d", 1) for r in got)
+    assert drop_exact_copies(df.limit(0), keep=keep).count() == 0
+
+
 def brute_near(rows):
     sets = {}
     for i, t in rows:
@@ -124,3 +155,61 @@ def test_estimates_are_corrected_for_chance():
             x, y = (nd.packed(nd.minima(np.unique(np.concatenate([common, z])))) for z in (a, b))
             guesses.append(nd.estimate(nd.equal_slots(x, y)))
         assert abs(np.mean(guesses) - share) < 0.03
+
+
+TEXT = " ".join(f"v{k}" for k in range(40))
+UNLIKE = [(4, TEXT), (4, "quite another text with other words in it"), (2, TEXT + " more"), (None, TEXT), (None, "alone in here"), (None, "alone too"), (9, "x y z"), (9, "x y z"), (7, ""), (7, None)]
+
+
+def test_ids_that_clash_link_no_unlike_texts(spark):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup(frame(spark, UNLIKE)).collect()), key=str)
+    want = [(2, 37, 2, True), (4, 36, 2, False), (4, 4, 4, True), (7, 0, 7, True), (7, 0, 7, True), (9, 1, 9, True), (9, 1, 9, True), (None, 1, None, True), (None, 1, None, True), (None, 36, 2, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_dropping_near_copies_is_by_row(spark):
+    df = spark.createDataFrame([(i, t, i, "s", i, "x", "r", "d", 1, 5) for i, t in UNLIKE], CLASHING)
+    left = drop_near_copies(df)
+    assert left.columns == df.columns
+    got = left.collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(i), t or "") for i, t in [(2, TEXT + " more"), (4, "quite another text with other words in it"), (None, "alone in here"), (None, "alone too"), (9, "x y z"), (7, ""), (7, None)])
+    assert all((r["__id"], r.at, r.row) == (r.doc_id, 5, "r") for r in got)
+    assert drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_a_family_with_a_third_of_all_rows(spark):
+    """Its pairs are dealt over salts; a very long text is read whole."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        words[rng.randrange(120)] = f"z{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"u{k}x{j}" for j in range(30))) for k in range(500)] + [(2000 + k, "hot copy of a text in very many rows") for k in range(100)]
+    long = [f"l{k}" for k in range(60_000)]
+    rows += [(5000, " ".join(long)), (5001, " ".join(long[5:] + ["end"]))]
+    got = {r.doc_id: r for r in near_dedup(frame(spark, rows)).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_near_by_shingle(rows)
+    assert sorted(r.doc_id for r in drop_near_copies(frame(spark, rows)).collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
+def brute_near_by_shingle(rows):
+    """As brute_near, for more rows: only pairs that share a shingle are compared."""
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
+    by = {}
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in {(min(g[0], i), max(g[0], i)) for g in by.values() for i in g} | {(a, b) for g in by.values() if len(g) < 40 for a in g for b in g if a < b}:
+        if a != b and find(a) != find(b) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}

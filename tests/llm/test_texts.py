@@ -104,6 +104,8 @@ PAGES = [
     ("<table><tr><th>Name<th>Qty<tr><td>Apple pie<td>3</table>after", "Name       Qty\nApple pie  3\n\nafter"),
     ("<table><tr><td><table><tr><td>i<td>j</table><td>o</table>", "i  j  o"),
     ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab     c\nd   e  f"),
+    ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td colspan=2>g</table>", "a  b  c\n   d  e\nf  g"),
+    ("<table><tr><td rowspan=3>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<tr><td>x<td>y<td>z</table>", "a  b     c\n         d\n   x  y  z"),
     ("<pre>\n a  b\n   c</pre>x", " a  b\n   c\n\nx"),
     ("<style>.n{display:none} #i{visibility: hidden}</style><p class='a n'>no<p id=i>no<p hidden>no<p style='display:none'>no<p>yes", "yes"),
     ("<title>t</title><script>if (a</b>) '</p>'</script><noscript>n</noscript><template>m</template>v", "v"),
@@ -248,3 +250,28 @@ def test_style_sheets_hide_only_what_stays_hidden(css, html, text):
 
 def test_style_sheet_for_print_is_not_read():
     assert html_text.html_to_text("<style media=print>p{display:none}</style><p>yes") == "yes"
+
+
+def test_long_lines_are_not_lost_for_one_phrase_or_three_cries(spark):
+    words, others, third = (" ".join(f"{w}{k}" for k in range(200)) for w in ("word", "other", "third"))
+    texts = [f"{words} our privacy policy {others}.", f"{words}!! {others}!! {third}??", "Alle Rechte vorbehalten.\n" + words + ".", "Tous droits réservés"]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, texts)).collect()}
+    assert [(got[k].kept, got[k].n_lines_removed) for k in range(4)] == [(True, 0), (True, 0), (True, 1), (False, 1)]
+    assert all(any(a in p for a in quality_rules.ANCHORS) for p in quality_rules.BOILERPLATE)
+
+
+def test_edge_rows_of_the_operators_on_texts(spark):
+    """Empty tables, repeated rows, very long texts, and columns named as the operators' own."""
+    long = "word and more " * 40_000 + "password = hunter2hunter2"
+    df = spark.createDataFrame([(1, long, "x", 1, "y"), (1, long, "x", 1, "y"), (None, None, None, None, None)], "doc_id long, text string, id string, at int, spans string")
+    vocabulary = tokenizer_file("word_bpe_49k.json")
+    pages = df.withColumnsRenamed({"doc_id": "page_id", "text": "html", "spans": "text"})
+    for operator in (quality_rules.quality_rules, lambda d: token_counts.token_counts(d, vocabulary), secret_scan.secret_spans):
+        got = operator(df).collect()
+        assert len(got) == 3 and got.count(got[0]) in (1, 2) and sorted(str(r.doc_id) for r in got) == ["1", "1", "None"]
+        assert operator(df.limit(0)).count() == 0
+    assert sorted(r.n_words for r in quality_rules.quality_rules(df).collect()) == [0, 120_003, 120_003]
+    assert [r.spans for r in secret_scan.secret_spans(df).collect() if r.doc_id == 1] == [f"assign:{len(long) - 25}:{len(long)}"] * 2
+    got = html_text.extract_text(pages).collect()
+    assert sorted(r.n_chars for r in got) == [0, len(long), len(long)]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
