@@ -330,7 +330,9 @@ def still_apart(texts: DataFrame, groups: DataFrame, rows: DataFrame, labels: Da
     named = staged(named.join(of_first, "first", "left").select("bucket", "id", "label", "n", (F.col("label") != F.coalesce("first_label", "first")).alias("seeks"), *SIG), "near-named")
     open_ = named.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("seeks").alias("k"), F.sum("n").alias("mn"), F.sum(F.when(F.col("seeks"), F.col("n")).otherwise(0)).alias("kn")).filter("k > 0")
     blocks = lambda rows, n: F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(n) / BLOCK_SHINGLES))
-    met = named.join(open_.select("bucket", blocks("m", "mn").alias("ny"), blocks("k", "kn").alias("nx")), "bucket")
+    # Staged, so that the join is broadcast or, between two plain shuffles, dealt anew where a bucket is very large.
+    open_ = staged(open_.select("bucket", blocks("m", "mn").alias("ny"), blocks("k", "kn").alias("nx")), "near-open")
+    met = named.join(small_or_not(open_), "bucket")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     # Each row stands in the blocks of its own number and all numbers of the other side; a seeker on both sides.
