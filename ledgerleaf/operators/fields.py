@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
 from ledgerleaf.plans import rules as R
+from ledgerleaf.plans import shapes as S
 
 TOTALS = ("subtotal", "tax", "total")
 MONEY = "decimal(12,2)"
@@ -119,15 +120,14 @@ def detect_vendor(text: Column, vendors: tuple[R.Vendor, ...] = R.VENDORS) -> Co
 def _vendor_totals(text: Column, rules: R.FieldRules) -> Column:
     none = F.lit(None).cast(MONEY)
     if rules.each:
-        return F.struct(*[(T.spanish_amount(T.first_group(text, T.pattern(rules.each[k])), MONEY) if k in rules.each else none).alias(k) for k in TOTALS])
+        return F.struct(*[(T.spanish_amount(T.first_group(text, rules.each[k].pattern()), MONEY) if k in rules.each else none).alias(k) for k in TOTALS])
     nothing = F.struct(*[none.alias(k) for k in TOTALS])
 
     def alternative(k: int) -> Column:
         """The first alternative from the k-th on that occurs at all; parts are taken from its match alone."""
         if k == len(rules.totals):
             return nothing
-        source, parts = rules.totals[k]
-        p = T.pattern(source)
+        p, parts = S.between(*rules.totals[k]), [c.column for c in rules.totals[k] if isinstance(c, S.Cell)]
         taken = lambda m: F.struct(*[(T.spanish_amount(F.regexp_extract(m, p, parts.index(t) + 1), MONEY) if t in parts else none).alias(t) for t in TOTALS])
         return T.bind(F.regexp_extract(text, p, 0), lambda m: F.when(m != "", taken(m)).otherwise(alternative(k + 1)))
 
@@ -143,8 +143,8 @@ def vendor_fields(text: Column, vendor: Column, vendors: tuple[R.Vendor, ...] =
             f = v.fields
             made = F.struct(
                 F.lit(v.name).alias("vendor"),
-                (T.vendor_date(T.first_group(text, T.pattern(f.date))) if f.date else F.lit(None).cast("date")).alias("invoice_date"),
-                (T.first_group(text, T.pattern(f.number)) if f.number else F.lit(None).cast("string")).alias("invoice_number"),
+                (T.vendor_date(T.first_group(text, f.date.pattern())) if f.date else F.lit(None).cast("date")).alias("invoice_date"),
+                (T.first_group(text, f.number.pattern()) if f.number else F.lit(None).cast("string")).alias("invoice_number"),
                 tax_label.alias("tax_label"),
                 _vendor_totals(text, f).alias("totals"),
             )

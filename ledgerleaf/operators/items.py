@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
 from ledgerleaf.plans import rules as R
+from ledgerleaf.plans import shapes as S
 
 AMOUNT, RATE = "decimal(18,4)", "decimal(9,4)"
 #: The columns of a line item with their types; a layout leaves null what it doesn't print.
@@ -68,7 +69,7 @@ def ticket_items(text: Column) -> Column:
     Implausible descriptions are skipped and counted; of rows with the same
     description, units and total the first stays, and later ones aren't counted.
     """
-    rows = F.transform(rows_of(ticket_region(text), T.pattern(R.TICKET_ROW, ""), 7), lambda p: F.struct(T.trim_blanks(T.collapse_blanks(F.get(p, F.lit(0)))).alias("d"), p.alias("p")))
+    rows = F.transform(rows_of(ticket_region(text), T.pattern(S.row(R.TICKET_CELLS), ""), len(R.TICKET_CELLS)), lambda p: F.struct(T.trim_blanks(T.collapse_blanks(F.get(p, F.lit(0)))).alias("d"), p.alias("p")))
 
     def typed(r: Column) -> Column:
         part = lambda k: F.get(r["p"], F.lit(k))
@@ -125,7 +126,7 @@ def clean_description(c: Column) -> Column:
 
 def layout_items(text: Column, rules: R.ItemRules) -> Column:
     """The rows of one vendor's layout."""
-    rows = rows_of(bounded_region(text, rules.start, rules.end), T.pattern(rules.row, ""), len(rules.columns))
+    rows = rows_of(bounded_region(text, rules.start, rules.end), T.pattern(S.row(rules.cells), ""), len(rules.cells))
 
     def typed(p: Column) -> Column:
         out = {}

@@ -8,16 +8,14 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import text as T
 from ledgerleaf.operators import fields
 from ledgerleaf.plans import rules as R
+from ledgerleaf.plans import shapes as S
 
 
 def _label(text: str) -> str:
-    """A label as a pattern: one line, literal, blanks alike."""
-    one = re.sub(r"\s+", " ", re.sub(r"[\x00-\x1f\x7f]", " ", text)).strip()
-    # "_" is the short form of a run of blanks, so a literal one is spelled out.
-    return "_".join("\\x5f".join(T.escape_pattern(p).replace("%", "\\x25") for p in w.split("_")) for w in one.split(" "))
+    """A label on one line, without control characters."""
+    return re.sub(r"\s+", " ", re.sub(r"[\x00-\x1f\x7f]", " ", text)).strip()
 
 
 def vendor_slug(name: str) -> str:
@@ -29,14 +27,14 @@ def vendor_from_labels(name: str, markers: list[str], labels: Mapping[str, str])
     slug = vendor_slug(name)
     if not slug or not [m for m in markers if m.strip()]:
         raise ValueError("a vendor needs a name and a marker")
-    amount = "~([0-9.,]+)"
+    after = lambda label, cell, near=0: S.Labelled((_label(label),), (cell,), gap=S.ANY, near=near)
     return R.Vendor(
         slug,
-        tuple(_label(m) for m in markers if m.strip()),
+        tuple(S.phrase(_label(m)) for m in markers if m.strip()),
         R.FieldRules(
-            number=_label(labels["number"]) + "~([A-Z0-9][A-Z0-9/\\-.]{2,})" if labels.get("number") else None,
-            date=_label(labels["date"]) + "~.{0,150}?([0-9]{2}[/\\-][0-9]{2}[/\\-][0-9]{4}|[0-9]{4}[/\\-][0-9]{2}[/\\-][0-9]{2})" if labels.get("date") else None,
-            each={k: _label(labels.get(k) or "Total") + amount for k in fields.TOTALS if labels.get(k) or k == "total"},
+            number=after(labels["number"], R.ANY_NUMBER) if labels.get("number") else None,
+            date=after(labels["date"], R.ANY_DATE, R.DATE_NEAR) if labels.get("date") else None,
+            each={k: after(labels.get(k) or "Total", S.Cell("amount")) for k in fields.TOTALS if labels.get(k) or k == "total"},
         ),
     )
 
