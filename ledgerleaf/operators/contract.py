@@ -73,3 +73,24 @@ def lenient_block(content: Column) -> Column:
 def parsed_reply(json: Column) -> Column:
     """A checked reply as a struct."""
     return F.from_json(json, TYPE)
+
+
+# Requests to a model and its replies, in the two usual shapes.
+
+
+def request_body(text: Column, model: Column | str, system: str, max_tokens: int = 8000, messages_api: Column | bool = False) -> Column:
+    """The JSON body that asks a model about a text: a list of chat messages, or a system text beside them."""
+    model, messages_api = (F.lit(x) if isinstance(x, str | bool) else x for x in (model, messages_api))
+    said = lambda role, what: F.struct(F.lit(role).alias("role"), what.alias("content"))
+    chat = F.to_json(F.struct(model.alias("model"), F.array(said("system", F.lit(system)), said("user", text)).alias("messages"), F.lit(max_tokens).alias("max_tokens")))
+    beside = F.to_json(F.struct(model.alias("model"), F.lit(max_tokens).alias("max_tokens"), F.lit(system).alias("system"), F.array(said("user", text)).alias("messages")))
+    return F.when(messages_api, beside).otherwise(chat)
+
+
+def reply_object(response: Column, messages_api: Column | bool = False, tool: str = TOOL) -> Column:
+    """The checked object of a whole response: of its first choice's message, or of its joined text blocks; else null."""
+    messages_api = F.lit(messages_api) if isinstance(messages_api, bool) else messages_api
+    blocks = F.from_json(response, "struct<content:array<struct<type:string,text:string>>>")["content"]
+    texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
+    beside = structured_reply(F.array_join(texts, ""))
+    return F.when(messages_api, beside).otherwise(structured_message(F.get_json_object(response, "$.choices[0].message"), tool))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
@@ -19,36 +19,74 @@ from ledgerleaf.plans import rules as R
 PAGES = "struct<pages:array<string>,declared:int,error:string>"
 
 
+#: From a file's bytes and the number of pages to read to PAGES.
+Reader = Callable[[Column, int], Column]
+
+
 def validation_error(content: Column, length: Column | None = None) -> Column:
-    """The code of the first fault of a file's bytes; null for none."""
-    n = length if length is not None else F.octet_length(content)
+    """The code of the first fault of a file's bytes; null for none.
+
+    With a known ``length`` that is over the limit the content is not looked at.
+    """
+    n = F.coalesce(length, F.octet_length(content)) if length is not None else F.octet_length(content)
     return (
-        F.when(content.isNull(), "pdf_invalid_type")
+        F.when(n > R.MAX_BYTES, "pdf_too_large")
+        .when(content.isNull(), "pdf_invalid_type")
         .when(n < R.MIN_BYTES, "pdf_too_small")
-        .when(n > R.MAX_BYTES, "pdf_too_large")
         .when(F.substring(content, 1, len(R.MAGIC)) != F.lit(R.MAGIC), "pdf_invalid_magic")
     )
 
 
-def with_text(files: DataFrame, reader: Callable[[Column], Column], max_pages: int = R.PIPELINE_PAGES, max_chars: int = R.PIPELINE_CHARS, ocr: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``file, sha256, error, extracted`` of files with ``file, content``.
+def with_text(files: DataFrame, reader: Reader, max_pages: int = R.PIPELINE_PAGES, max_chars: int = R.PIPELINE_CHARS, ocr: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``file, sha256, error, extracted`` of files with ``file, content`` and, if known, ``length``.
 
-    ``reader`` maps content to PAGES; bytes that fail validation never reach it.
-    ``ocr`` gets the rows without text (file, content) and returns file, ocr_text.
+    ``reader`` maps content to PAGES and reads ``max_pages`` pages at most; bytes
+    that fail validation never reach it.  ``ocr`` maps content to text and gets
+    only the bytes of readable files without text, in the same pass.
     """
-    checked = files.withColumn("error", validation_error(F.col("content")))
+    checked = files.withColumn("error", validation_error(F.col("content"), F.col("length") if "length" in files.columns else None))
     good = F.when(F.col("error").isNull(), F.col("content"))
-    read = checked.withColumn("read", reader(good))
+    read = checked.withColumn("read", reader(good, max_pages))
     read = read.withColumn("error", F.coalesce("error", F.col("read.error")))
     read = read.withColumn("extracted", F.when(F.col("error").isNull(), budget.page_budget(F.col("read.pages"), F.col("read.declared"), max_pages, max_chars)))
-    out = read.select("file", F.sha2("content", 256).alias("sha256"), "error", "extracted", *(["content"] if ocr else []))
-    if ocr is None:
-        return out
-    blank = F.col("error").isNull() & (T.trim_blanks(F.col("extracted.text")) == "")
-    found = ocr(out.filter(blank).select("file", "content")).select(F.col("file").alias("__f"), "ocr_text")
-    joined = out.drop("content").join(found, F.col("file") == F.col("__f"), "left")
-    text = F.coalesce(F.when(F.col("ocr_text") != "", F.col("ocr_text")), F.col("extracted.text"))
-    return joined.withColumn("extracted", F.when(F.col("extracted").isNotNull(), F.col("extracted").withField("text", text).withField("joined", F.coalesce(F.when(F.col("ocr_text") != "", F.col("ocr_text")), F.col("extracted.joined"))))).drop("__f", "ocr_text")
+    if ocr is not None:
+        blank = F.col("extracted").isNotNull() & (T.trim_blanks(F.col("extracted.text")) == "")
+        read = read.withColumn("__ocr", T.null_if_empty(ocr(F.when(blank, F.col("content")))))
+        by_ocr = F.col("extracted").withField("text", F.col("__ocr")).withField("joined", F.col("__ocr"))
+        read = read.withColumn("extracted", F.when(blank & F.col("__ocr").isNotNull(), by_ocr).otherwise(F.col("extracted")))
+    return read.select("file", F.sha2("content", 256).alias("sha256"), "error", "extracted")
+
+
+def model_wanted(text: Column, wanted: Column | None = None) -> Column:
+    """Whether a model is asked: it is wanted, and there is text to send."""
+    has_text = F.coalesce(T.trim_blanks(text) != "", F.lit(False))
+    return has_text if wanted is None else has_text & F.coalesce(wanted, F.lit(False))
+
+
+def lacks_fields(docs: Column) -> Column:
+    """The narrower branch: only documents without number or total are worth a model."""
+    return docs["invoice_number"].isNull() | docs["total"].isNull()
+
+
+def unread(docs: DataFrame) -> DataFrame:
+    """Documents that nothing was found in: no error, no total, no articles."""
+    return docs.filter(F.col("error").isNull() & F.col("total").isNull() & (F.coalesce(F.size("articles"), F.lit(0)) <= 0))
+
+
+def needs_parser(files: DataFrame, docs: DataFrame, file: str = "file") -> DataFrame:
+    """The files of unread documents, for a new rule to be made from: a semi join back, each file once, columns as they were."""
+    return files.join(unread(docs).select(F.col("file").alias("__unread")).distinct(), F.col(file) == F.col("__unread"), "left_semi")
+
+
+def first_file(rows: DataFrame, files: DataFrame, file: str = "file", order: str = "path") -> DataFrame:
+    """``rows`` with the columns of the first file of that name, by ``order``; rows without a file go.
+
+    Names are not unique over folders, so the files are reduced to one a name
+    (by a combining aggregation, not a window) before they are joined.
+    """
+    others = [c for c in files.columns if c != file]
+    first = files.groupBy(F.col(file).alias("__f")).agg(F.min_by(F.struct(*others), F.col(order)).alias("__first"))
+    return rows.join(first, F.col(file) == F.col("__f")).select(*rows.columns, *[F.col(f"__first.{c}").alias(c) for c in others if c not in rows.columns])
 
 
 def document_rows(texts: DataFrame, model: DataFrame | None = None, name_pattern: str = R.NAME_PATTERNS[0], vendors: tuple[R.Vendor, ...] = R.VENDORS, text: str = "text", joined: str | None = None) -> DataFrame:
@@ -105,19 +143,38 @@ def article_rows(docs: DataFrame) -> DataFrame:
     return exploded.select("file", "vendor", "invoice_number", "invoice_date", "subtotal", "tax", "total", "tax_label", *[a[k].alias(k if k not in ("amount",) else "amount") for k in items.ARTICLE], "pos")
 
 
-def run_summary(docs: DataFrame) -> DataFrame:
-    """One row about a run: documents, those with data, without text, with errors, and the vendors met."""
+def run_summary(docs: DataFrame, order: str = "file") -> DataFrame:
+    """One row about a run: documents, those with data, without text, with errors, and the vendors in the order first met.
+
+    Rows are first counted by vendor, so that one row a vendor is all that is
+    brought together.
+    """
     filled = lambda c: F.col(c).isNotNull()
     with_data = filled("invoice_number") | filled("total")
-    return docs.agg(
-        F.count("*").alias("total"),
-        F.count_if(with_data).alias("with_data"),
-        F.count_if(with_data | filled("vendor")).alias("with_data_or_vendor"),
-        F.count_if(F.col("text_chars") == 0).alias("scanned"),
-        F.count_if(filled("error")).alias("errors"),
-        F.count_if(filled("error") | (F.col("total").isNull() & (F.coalesce(F.size("articles"), F.lit(0)) <= 0))).alias("uncovered"),
-        F.array_join(F.array_sort(F.collect_set("vendor")), ", ").alias("vendors"),
-    )
+    counts = {
+        "with_data": with_data,
+        "with_data_or_vendor": with_data | filled("vendor"),
+        "scanned": F.col("text_chars") == 0,
+        "errors": filled("error"),
+        "uncovered": filled("error") | (F.col("total").isNull() & (F.coalesce(F.size("articles"), F.lit(0)) <= 0)),
+    }
+    by_vendor = docs.groupBy("vendor").agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in counts.items()], F.min(order).alias("first"))
+    met = F.array_sort(F.collect_list(F.when(filled("vendor"), F.struct("first", "vendor"))))
+    sums = [F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("total", *counts)]
+    return by_vendor.agg(*sums, F.array_join(F.transform(met, lambda v: v["vendor"]), ", ").alias("vendors"))
+
+
+def failures(docs: DataFrame, tool: str = "extract") -> DataFrame:
+    """``file, event, content`` of documents with an error: a log line, and what a caller is told, without traces."""
+    event = F.to_json(F.struct(F.lit("document_failure").alias("event"), F.lit(tool).alias("tool"), F.col("error"), F.col("file")))
+    content = F.struct(F.array(F.struct(F.lit("text").alias("type"), F.to_json(F.struct("error")).alias("text"))).alias("content"), F.lit(True).alias("isError"))
+    return docs.filter(F.col("error").isNotNull()).select("file", event.alias("event"), content.alias("content"))
+
+
+def observed(docs: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """``docs`` with counts of rows and errors, to be read from the observation when an action has run on them."""
+    seen = Observation(name)
+    return docs.observe(seen, F.count("*").alias("processed"), F.count_if(F.col("error").isNotNull()).alias("errors")), seen
 
 
 def attribution(vendor: Column, tabular_items: Column, matched: Column) -> Column:

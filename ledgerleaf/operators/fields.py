@@ -30,41 +30,50 @@ def _after(line: Column, name: str) -> Column:
     return F.regexp_extract(line, _label(name) + r"(.*)\z", 1)
 
 
+#: Any label at all: most lines have none and are looked at once.
+ANY_LABEL = T.pattern(rf"(?:\A|[{T.BLANK}])(?:" + "|".join(R.LABELS.values()) + ")")
+
+
+def _labelled_lines(text: Column) -> Column:
+    """The lines with a label, each with the line below."""
+    return T.bind(_lines(text), lambda lines: F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.get(lines, i + 1).alias("below"))), lambda x: x["line"].rlike(ANY_LABEL)))
+
+
 def _first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
 def label_date(text: Column, name: str) -> Column:
     """The date beside a label or, if that line has none, on the line below; later labels are tried if it is invalid."""
-    return T.bind(_lines(text), lambda lines: _date_in(lines, name))
+    return T.bind(_labelled_lines(text), lambda lines: _date_in(lines, name))
 
 
 def _date_in(lines: Column, name: str) -> Column:
-    def at(line: Column, i: Column) -> Column:
-        where = T.bind(_after(line, name), lambda a: F.when(a.rlike(T.DAY_MONTH_YEAR), a).otherwise(F.coalesce(F.get(lines, i + 1), a)))
-        return F.when(line.rlike(_label(name)), T.day_month_year(where))
+    def at(x: Column) -> Column:
+        where = T.bind(_after(x["line"], name), lambda a: F.when(a.rlike(T.DAY_MONTH_YEAR), a).otherwise(F.coalesce(x["below"], a)))
+        return F.when(x["line"].rlike(_label(name)), T.day_month_year(where))
 
     return _first(F.transform(lines, at))
 
 
 def label_value(text: Column, name: str, most: int) -> Column:
     """The text beside a label up to the next label, without currency; empty or longer ones are passed over."""
-    return T.bind(_lines(text), lambda lines: _value_in(lines, name, most))
+    return T.bind(_labelled_lines(text), lambda lines: _value_in(lines, name, most))
 
 
 def _value_in(lines: Column, name: str, most: int) -> Column:
-    def of(line: Column) -> Column:
-        value = T.trim_blanks(_after(line, name))
+    def of(x: Column) -> Column:
+        value = T.trim_blanks(_after(x["line"], name))
         value = F.regexp_replace(value, T.pattern(R.VALUE_STOP) + r".*\z", "")
         value = F.regexp_replace(value, rf"\A[{T.BLANK}:;.,]+", "")
         return T.trim_blanks(F.regexp_replace(value, T.pattern(R.CURRENCY_TAIL), ""))
 
-    values = F.transform(F.filter(lines, lambda line: line.rlike(_label(name))), of)
+    values = F.transform(F.filter(lines, lambda x: x["line"].rlike(_label(name))), of)
     return F.get(F.filter(values, lambda v: F.length(v).between(1, most)), F.lit(0))
 
 
 def label_amount(text: Column, name: str) -> Column:
-    return T.bind(_lines(text), lambda lines: _amount_in(lines, name))
+    return T.bind(_labelled_lines(text), lambda lines: _amount_in(lines, name))
 
 
 def _amount_in(lines: Column, name: str) -> Column:
@@ -73,13 +82,13 @@ def _amount_in(lines: Column, name: str) -> Column:
 
 def label_tax(text: Column) -> Column:
     """IGIC, IVA or TAX by the first line with a tax label; null if that label is spelled otherwise."""
-    return _tax_in(_lines(text))
+    return T.bind(_labelled_lines(text), _tax_in)
 
 
 def _tax_in(lines: Column) -> Column:
     word = lambda w: T.pattern(f"%b(?:{w})%e")
-    hits = F.filter(lines, lambda line: line.rlike(_label("tax")))
-    return T.bind(F.regexp_extract(F.get(hits, F.lit(0)), _label("tax"), 0), lambda head: F.when(head.rlike(word("igic")), "IGIC").when(head.rlike(word("iva")), "IVA").when(head.rlike(word("tax|taxes")), "TAX"))
+    hits = F.filter(lines, lambda x: x["line"].rlike(_label("tax")))
+    return T.bind(F.regexp_extract(F.get(hits, F.lit(0))["line"], _label("tax"), 0), lambda head: F.when(head.rlike(word("igic")), "IGIC").when(head.rlike(word("iva")), "IVA").when(head.rlike(word("tax|taxes")), "TAX"))
 
 
 def named(**values: Column) -> Column:
@@ -106,7 +115,7 @@ def generic_fields(text: Column) -> Column:
         plain = [s[k].alias(k) for k in ("invoice_date", "simplified_invoice_date", "invoice_number", "tax_label")]
         return F.struct(*plain, F.struct(*[s[k].alias(k) for k in TOTALS]).alias("totals"), named(**{k: s[k] for k in order}).alias("matched"))
 
-    return T.bind(_lines(text), slots)
+    return T.bind(_labelled_lines(text), slots)
 
 
 # Vendors.

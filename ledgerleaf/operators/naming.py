@@ -54,7 +54,8 @@ def rename_plan(rows: DataFrame, existing: DataFrame, file: str = "file", target
     wish (``a-1`` beside ``a``) is the family of names with that root named one
     file after the other, each family in a task of its own.
     """
-    wanted = rows.select(F.col(file).alias("file"), F.col(target).alias("t")).filter("file IS NOT NULL AND t IS NOT NULL")
+    # A generated row: names may come from long expressions, and filters on them would be pushed below and repeat these.
+    wanted = rows.select(F.explode(F.array(F.struct(F.col(file).alias("file"), F.col(target).alias("t")))).alias("x")).select("x.file", "x.t").filter("file IS NOT NULL AND t IS NOT NULL")
     right = F.lower("file") == F.lower("t")
     taken = existing.select(F.lower(F.col(file)).alias("name")).union(wanted.filter(right).select(F.lower("t"))).distinct()
     stem = F.regexp_replace("name", r"\.pdf\z", "")

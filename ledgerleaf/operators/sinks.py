@@ -12,19 +12,24 @@ from ledgerleaf.plans import rules as R
 COLUMNS = ("file", "vendor", "invoice_number", "invoice_date", "subtotal", "tax", "total", "tax_label", "description", "units", "unit_price", "amount", "tax_rate")
 
 
-def csv_lines(articles: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``value``: a CSV line for each row of an article table."""
-    return articles.select(*keep, F.concat_ws(",", *[T.csv_cell(F.col(c)) for c in COLUMNS]).alias("value"))
+#: Of the document's columns, those of which a zero says nothing.
+MONEY = ("subtotal", "tax", "total")
 
 
-def write_csv(articles: DataFrame, path: str, header: tuple[str, ...] = R.CSV_HEADER, bom: bool = False, single: bool = False) -> None:
+def csv_lines(articles: DataFrame, keep: tuple[str, ...] = (), zeros: bool = True) -> DataFrame:
+    """``value``: a CSV line for each row of an article table; without ``zeros`` totals of nothing are empty cells."""
+    shown = lambda c: F.col(c) if zeros or c not in MONEY else F.when(F.col(c) != 0, F.col(c))
+    return articles.select(*keep, F.concat_ws(",", *[T.csv_cell(shown(c)) for c in COLUMNS]).alias("value"))
+
+
+def write_csv(articles: DataFrame, path: str, header: tuple[str, ...] = R.CSV_HEADER, bom: bool = False, single: bool = False, zeros: bool = True) -> None:
     """Write an article table as CSV text.
 
     Every part has the header, as Spark's own writer does.  ``single`` writes one
     sorted part, for results that people open; ``bom`` puts a byte order mark
-    before each header.
+    before each header; the English header is ``rules.CSV_HEADER_EN``.
     """
-    lines = csv_lines(articles, ("file", "pos"))
+    lines = csv_lines(articles, ("file", "pos"), zeros)
     head = ("\ufeff" if bom else "") + ",".join(header)
     parts = lines.repartition(1) if single else lines
     parts = parts.sortWithinPartitions("file", "pos").select("value")
@@ -45,3 +50,19 @@ def write_csv(articles: DataFrame, path: str, header: tuple[str, ...] = R.CSV_HE
 def write_json(docs: DataFrame, path: str) -> None:
     """Write documents as JSON lines."""
     docs.write.mode("overwrite").json(path)
+
+
+def write_json_array(docs: DataFrame, path: str, order: str = "file") -> None:
+    """Write documents as one JSON array in one part, by ``order``: for results that people open, as it is made by one task."""
+    lines = docs.select(F.col(order).alias("__order"), F.to_json(F.struct(*docs.columns)).alias("value")).repartition(1).sortWithinPartitions("__order").select("value")
+
+    def listed(batches):
+        lead = "["
+        for b in batches:
+            rows = [x.as_py() for x in b.column(0)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([lead + rows[0], *("," + r for r in rows[1:])])], names=["value"])
+                lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], names=["value"])
+
+    lines.mapInArrow(listed, "value string").write.mode("overwrite").text(path)

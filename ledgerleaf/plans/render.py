@@ -48,15 +48,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``key, lines`` of each order with lines, in the order of the four key columns."""
     part = load(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("name"), F.col("p_retailprice").cast("decimal(18,4)").alias("price"))
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("units"), F.col("l_extendedprice").cast("decimal(18,4)").alias("amount"), F.round(F.col("l_discount") * 100).cast("int").alias("discount"), F.round(F.col("l_tax") * 100).cast("int").alias("rate"))
-    j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    # Dealt by the order's key as the orders are, and so neither again for the aggregation nor for the join with them.
+    j = spread(li.join(part, F.col("l_partkey") == F.col("p_partkey")), "l_orderkey")
     return j.groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "name", "units", "price", "amount", "discount", "rate"))).alias("lines"))
 
 
 def with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their lines; an order without lines has an empty list."""
     lines = order_lines(spark, sf_dir)
-    docs = orders(spark, sf_dir).join(lines, "key", "left").withColumn("lines", F.coalesce("lines", F.filter(F.array(F.lit(None).cast(lines.schema["lines"].dataType.elementType)), lambda x: x.isNotNull())))
-    return spread(docs)
+    docs = orders(spark, sf_dir).join(lines.hint("merge"), "key", "left").withColumn("lines", F.coalesce("lines", F.filter(F.array(F.lit(None).cast(lines.schema["lines"].dataType.elementType)), lambda x: x.isNotNull())))
+    return docs
 
 
 def _rows(line) -> Column:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions import maps
 from ledgerleaf.functions import text as T
 from ledgerleaf.operators import budget, contract, documents, fields, items, naming, sinks
-from ledgerleaf.plans import render
+from ledgerleaf.plans import render, rule_table, templates
+from ledgerleaf.plans import rules as R
+from ledgerleaf.sources import pdf, settings, uploads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -205,7 +208,8 @@ def article_csv(spark, sf_dir):
 
 
 @query(f"""WITH {ORDERS_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE key % 5 < 3) AS with_data, count(*) FILTER (WHERE key % 5 < 3) AS with_data_or_vendor, count(*) FILTER (WHERE key % 5 = 3) AS scanned,
-  count(*) FILTER (WHERE key % 5 = 4) AS errors, count(*) FILTER (WHERE key % 5 > 2) AS uncovered, 'doctoragua, miller' AS vendors FROM f""")
+  count(*) FILTER (WHERE key % 5 = 4) AS errors, count(*) FILTER (WHERE key % 5 > 2) AS uncovered,
+  (SELECT string_agg(vendor, ', ' ORDER BY first) FROM (SELECT CASE key % 5 WHEN 0 THEN 'miller' ELSE 'doctoragua' END AS vendor, min(file) AS first FROM f WHERE key % 5 < 2 GROUP BY 1) AS v) AS vendors FROM f""")
 def run_summary(spark, sf_dir):
     docs = render.orders(spark, sf_dir)
     k = F.col("key") % 5
@@ -214,29 +218,30 @@ def run_summary(spark, sf_dir):
     return documents.run_summary(rows)
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'pdf_invalid_magic' WHEN doc_id % 4 = 1 AND strlen(text) < 3 THEN 'pdf_too_small' WHEN doc_id % 4 = 3 THEN 'pdf_too_small' END AS error_code,
-  sha256(CASE doc_id % 4 WHEN 0 THEN 'PDF-1.7 ' || text WHEN 3 THEN '%PDF-' ELSE '%PDF-' || text END) AS sha256 FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN 'pdf_too_large' WHEN text IS NULL THEN 'pdf_invalid_type' WHEN doc_id % 4 = 0 THEN 'pdf_invalid_magic' WHEN doc_id % 4 = 1 AND strlen(text) < 3 THEN 'pdf_too_small' WHEN doc_id % 4 = 3 THEN 'pdf_too_small' END AS error_code,
+  sha256(CASE doc_id % 4 WHEN 0 THEN 'PDF-1.7 ' || text WHEN 3 THEN '%PDF-' || CASE WHEN text IS NOT NULL THEN '' END ELSE '%PDF-' || text END) AS sha256 FROM documents""")
 def doc_validate(spark, sf_dir):
-    """Uploads in base64: decoded, checked, hashed."""
-    d = render.load(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    """Uploads in base64: decoded, checked, hashed; without a payload there is no content, and a length that is known to be over the limit decides alone."""
+    d = render.load(spark, sf_dir, "documents")
     k = F.col("doc_id") % 4
-    body = F.when(k == 0, F.concat(F.lit("PDF-1.7 "), "text")).when(k == 3, F.lit("%PDF-")).otherwise(F.concat(F.lit("%PDF-"), "text"))
-    sent = d.select("doc_id", T.strict_base64(F.regexp_replace(F.base64(F.encode(body, "utf-8")), "[\r\n]", "")).alias("content"))
-    return sent.select("doc_id", documents.validation_error(F.col("content")).alias("error_code"), F.sha2("content", 256).alias("sha256"))
+    body = F.when(F.col("text").isNull(), None).when(k == 0, F.concat(F.lit("PDF-1.7 "), "text")).when(k == 3, F.lit("%PDF-")).otherwise(F.concat(F.lit("%PDF-"), "text"))
+    sent = d.select("doc_id", T.strict_base64(F.regexp_replace(F.base64(F.encode(body, "utf-8")), "[\r\n]", "")).alias("content"), F.when(F.col("doc_id") % 11 == 5, R.MAX_BYTES + 1).alias("length"))
+    return sent.select("doc_id", documents.validation_error(F.col("content"), F.col("length")).alias("error_code"), F.sha2("content", 256).alias("sha256"))
 
 
-@query(f"""WITH {ORDERS_SQL}, n AS (SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 1) SELECT f.key, CASE f.key % 4 WHEN 0 THEN 'miller-tabular' WHEN 1 THEN CASE WHEN coalesce(n, 0) >= 3 THEN 'mercadona-tabular' ELSE 'plain-text' END ELSE 'plain-text' END AS parser,
-  CASE f.key % 4 WHEN 0 THEN 'miller-tabular' WHEN 1 THEN CASE WHEN coalesce(n, 0) >= 3 THEN 'mercadona-tabular' ELSE 'plain-text' END WHEN 2 THEN 'invoice-fields' ELSE 'plain-text' END AS source FROM f LEFT JOIN n ON f.key = n.key""")
+@query(f"""WITH {ORDERS_SQL}, n AS (SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 1),
+  a AS (SELECT f.key, CASE f.key % 4 WHEN 0 THEN 'miller-tabular' WHEN 1 THEN CASE WHEN coalesce(n, 0) >= 3 THEN 'mercadona-tabular' END END AS by_layout FROM f LEFT JOIN n ON f.key = n.key)
+  SELECT key, coalesce(by_layout, 'plain-text') AS parser, coalesce(by_layout, CASE WHEN key % 4 < 3 THEN 'invoice-fields' ELSE 'plain-text' END) AS source FROM a""")
 def attribution(spark, sf_dir):
+    """A vendor's document, a ticket without a marker (its column header holds a tax label, so that fields are found), labels alone, and nothing."""
     docs = render.with_lines(spark, sf_dir)
     k = F.col("key") % 4
     ticket = F.replace(F.replace(render.ticket(docs), F.lit("MERCADONA"), F.lit("")), F.lit("Total Factura"), F.lit("FORMA DE PAGO"))
     text = F.when(k == 0, render.miller(docs, lines=False)).when(k == 1, F.regexp_replace(ticket, r"FORMA DE PAGO.*", "FORMA DE PAGO")).when(k == 2, render.generic(docs)).otherwise(F.lit("nothing to see"))
     docs = docs.select("key", text.alias("text"))
-    fixed = docs.withColumn("p", items.ticket_items(F.col("text"))["items"]).withColumn("v", fields.detect_vendor(F.col("text"))).withColumn("m", fields.extract_fields(F.col("text"))["matched"])
-    # A ticket's column header holds a tax label; it counts as a field found only where nothing better is known.
-    a = documents.attribution(F.col("v"), F.col("p"), F.when(k == 1, F.array().cast("array<string>")).otherwise(F.col("m")))
-    return fixed.select("key", a["parser"].alias("parser"), a["source"].alias("source"))
+    found = docs.withColumn("p", items.ticket_items(F.col("text"))["items"]).withColumn("v", fields.detect_vendor(F.col("text"))).withColumn("m", fields.extract_fields(F.col("text"))["matched"])
+    a = documents.attribution(F.col("v"), F.col("p"), F.col("m"))
+    return found.select("key", a["parser"].alias("parser"), a["source"].alias("source"))
 
 
 # Budgets.
@@ -277,10 +282,10 @@ def text_clean(spark, sf_dir):
 
 @query("""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(coalesce(url, ''), '[\\\\/:*?"<>|\\s]+', '-', 'g'), '^-+', ''), '-+$', ''), ''), 'page') AS name,
   CASE WHEN html LIKE '%"%' OR html LIKE '%,%' OR html LIKE '%' || chr(10) || '%' THEN '"' || replace(html, '"', '""') || '"' ELSE coalesce(html, '') END AS cell,
-  replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
+  replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
 def page_cells(spark, sf_dir):
     p = render.load(spark, sf_dir, "pages")
-    return p.select("page_id", T.filename_part(F.col("url"), "page").alias("name"), T.csv_cell(F.col("html")).alias("cell"), T.html_escape(F.substring("html", 1, 200)).alias("escaped"))
+    return p.select("page_id", T.filename_part(F.col("url"), "page").alias("name"), T.csv_cell(F.col("html")).alias("cell"), T.html_escape(F.col("html")).alias("escaped"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '''=' || p_name WHEN p_partkey % 4 = 1 THEN chr(34) || 'a, ' || repeat(chr(34), 2) || p_name || repeat(chr(34), 3) WHEN p_partkey % 4 = 2 THEN '''-1' ELSE p_name END AS cell, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS slug FROM part""")
@@ -328,11 +333,10 @@ def llm_contract(spark, sf_dir):
     return r.select("event_id", F.col("r").isNotNull().alias("kept"), p["documentType"].alias("document_type"), p["summary"].alias("summary"))
 
 
-@query("""SELECT doc_id, strlen(text) > 4000 AS too_large FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '["\\\\\\x00-\\x1f]')
-  UNION ALL SELECT doc_id, strlen(text) + len(regexp_extract_all(text, '["\\\\\\n\\r\\t\\f\\x08]')) + 5 * len(regexp_extract_all(text, '[\\x00-\\x07\\x0b\\x0e-\\x1f]')) > 4000 AS too_large FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '["\\\\\\x00-\\x1f]')""")
+@query("""SELECT doc_id, coalesce(strlen(text) + len(regexp_extract_all(text, '["\\\\\\n\\r\\t\\f\\x08]')) + 5 * len(regexp_extract_all(text, '[\\x00-\\x07\\x0b\\x0e-\\x1f]')) > 4000, FALSE) AS too_large FROM documents""")
 def envelope_cap(spark, sf_dir):
-    """JSON answers over their limit are an error object; the limit here leaves 4000 bytes for the text."""
-    d = render.load(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    """JSON answers over their limit are an error object; the limit here leaves 4000 bytes for the text.  Without a text the answer is an empty object."""
+    d = render.load(spark, sf_dir, "documents")
     return d.select("doc_id", (documents.capped_json(F.struct("text"), 4000 + len('{"text":""}')) == '{"error":"response_too_large"}').alias("too_large"))
 
 
@@ -345,3 +349,229 @@ def vendor_values(spark, sf_dir):
     said = F.when(k == 0, F.concat(thousands, F.lit(" €"))).when(k == 1, F.concat(F.lit("EUR "), render.number(F.col("total"), 2))).otherwise(F.lit("1.298"))
     form = F.when(k == 0, F.date_format("date", "yyyy-MM-dd")).when(k == 1, F.date_format("date", "dd/MM/yyyy")).otherwise(F.concat(F.lit("  "), F.date_format("date", "dd-MM-yyyy")))
     return d.select("key", F.date_format("date", "yy").alias("year_part"), T.spanish_amount(said).alias("amount"), T.vendor_date(form).alias("iso"))
+
+
+# Files.
+
+
+def _pdf(pages: list[Column]) -> Column:
+    """A small PDF file of page texts, built by column functions: one stream a page."""
+    kids = " ".join(f"{3 + 2 * k} 0 R" for k in range(len(pages)))
+    parts = [F.lit(f"%PDF-1.7\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages/Kids[{kids}]/Count {len(pages)}>> endobj\n")]
+    for k, text in enumerate(pages):
+        parts += [F.lit(f"{3 + 2 * k} 0 obj <</Type/Page/Parent 2 0 R/Contents {4 + 2 * k} 0 R>> endobj\n{4 + 2 * k} 0 obj <<>>\nstream\nBT ("), F.regexp_replace(text, r"([()\\\\])", r"\\$1"), F.lit(") Tj ET\nendstream endobj\n")]
+    return F.encode(F.concat(*parts), "ISO-8859-1")
+
+
+def _files(spark, sf_dir):
+    """Two pages by order, the second one with the labels; some files are too small, too large, no PDF or without text."""
+    docs = render.orders(spark, sf_dir)
+    k = F.col("key") % 8
+    content = F.when(k == 5, F.encode(F.lit("tiny"), "utf-8")).when(k == 6, F.encode(F.lit("not a PDF file"), "utf-8")).when(k == 4, None).when(k == 7, _pdf([F.lit(" "), F.lit("")])).otherwise(_pdf([render.doctoragua(docs), F.concat(F.lit("Página (2) "), "number"), F.lit("third")]))
+    return docs.select("key", "file", content.alias("content"), F.when(k == 4, F.lit(R.MAX_BYTES + 1)).alias("length"))
+
+
+ERRORS_SQL = "CASE key % 8 WHEN 4 THEN 'pdf_too_large' WHEN 5 THEN 'pdf_too_small' WHEN 6 THEN 'pdf_invalid_magic' END"
+NUMBER_SQL = "CASE WHEN key < 100000 THEN lpad(CAST(key AS VARCHAR), 5, '0') ELSE substr(CAST(key AS VARCHAR), 1, 5) END"
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT file, {ERRORS_SQL} AS error, CASE WHEN key % 8 < 4 THEN {NUMBER_SQL} END AS invoice_number, CASE WHEN key % 8 < 4 THEN total END AS total, CASE key % 8 WHEN 7 THEN 2 WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE 2 END AS pages,
+  CASE WHEN key % 8 < 4 THEN 'maxPages' END AS truncation_reason, CASE WHEN key % 8 < 4 THEN 'Página (2) ' || lpad(CAST(key AS VARCHAR), 4, '0') || '/' || yy END AS last FROM f""", numbers="total")
+def pdf_documents(spark, sf_dir):
+    """Bytes to rows: two of three pages are read, faults of files become error rows."""
+    texts = documents.with_text(_files(spark, sf_dir), pdf.reader(), max_pages=2)
+    rows = documents.document_rows(texts.select("file", "error", "extracted", F.col("extracted.text").alias("text")))
+    e = texts.select(F.col("file").alias("f"), F.col("extracted.pages").alias("pages"), F.col("extracted.truncation_reason").alias("truncation_reason"), T.null_if_empty(F.regexp_extract("extracted.text", r"P\u00e1gina.*\z", 0)).alias("last"))
+    return rows.join(e, F.col("file") == F.col("f")).select("file", "error", "invoice_number", "total", "pages", "truncation_reason", "last")
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT file, CASE WHEN key % 8 = 7 THEN 'S-' || key WHEN key % 8 < 4 THEN {NUMBER_SQL} END AS invoice_number FROM f""")
+def ocr_documents(spark, sf_dir):
+    """A pluggable reader and a pluggable recogniser: only files without text get to it, its pages are put in order, languages are tried in turn."""
+    sent = _files(spark, sf_dir).withColumn("content", F.when(F.col("key") % 8 == 7, F.concat("content", F.encode(F.concat(F.lit("%Nº Factura: S-"), F.col("key").cast("string")), "ISO-8859-1"))).otherwise(F.col("content")))
+
+    def engine(data: bytes, language: str) -> list:
+        if language != "eng":
+            raise RuntimeError("no such language")
+        return [(10, "end"), (2, data.decode("latin-1").rpartition("%")[2]), (3, "")]
+
+    texts = documents.with_text(sent, pdf.reader(lambda data, most: pdf.read_pages(data, most)), ocr=pdf.recogniser(engine))
+    rows = documents.document_rows(texts.select("file", "error", F.col("extracted.text").alias("text")))
+    return rows.select("file", "invoice_number")
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT file, {ERRORS_SQL} AS error, '{{"event":"document_failure","tool":"scan","error":"' || {ERRORS_SQL} || '","file":"' || file || '"}}' AS event, '{{"error":"' || {ERRORS_SQL} || '"}}' AS text FROM f WHERE key % 8 IN (4, 5, 6)""")
+def failure_rows(spark, sf_dir):
+    checked = _files(spark, sf_dir).withColumn("error", documents.validation_error(F.col("content"), F.col("length")))
+    found = documents.failures(checked.select("file", "error"), "scan")
+    return found.select("file", F.get_json_object("event", "$.error").alias("error"), "event", F.col("content.content")[0]["text"].alias("text"))
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT f.file, f.key AS length FROM f WHERE f.key % 5 = 3""")
+def needs_parser(spark, sf_dir):
+    """Files of documents in which nothing was found: neither an error nor a total nor articles."""
+    docs = render.orders(spark, sf_dir)
+    k = F.col("key") % 5
+    text = F.when(k == 0, render.miller(docs, lines=False)).when(k == 1, render.doctoragua(docs)).when(k == 2, render.generic(docs)).otherwise(F.lit("only words"))
+    rows = documents.document_rows(docs.select("file", text.alias("text"), F.when(k == 4, F.lit("pdf_parse_failed")).alias("error")))
+    return documents.needs_parser(docs.select("file", F.col("key").alias("length")), rows)
+
+
+@query("""WITH c AS (SELECT c_mktsegment || '.pdf' AS file, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS path, c_custkey FROM customer), m AS (SELECT file, min(path) AS path, arg_min(c_custkey, path) AS length FROM c GROUP BY file)
+  SELECT n_nationkey, m.file, m.path, m.length FROM nation JOIN m ON m.file = CASE n_nationkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'NOTHING' END || '.pdf'""")
+def first_file(spark, sf_dir):
+    """Names that stand in several folders: the first by path; rows without a file go."""
+    files = render.load(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.lit(".pdf")).alias("file"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("path"), F.col("c_custkey").alias("length"))
+    k = F.col("n_nationkey") % 3
+    rows = render.load(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.when(k == 0, "BUILDING").when(k == 1, "MACHINERY").otherwise("NOTHING"), F.lit(".pdf")).alias("file"))
+    return documents.first_file(rows, files)
+
+
+@query("""WITH d AS (SELECT doc_id, 24 + length(CAST(doc_id AS VARCHAR)) + 4 * ((strlen(text) + 2) // 3) AS n, text FROM documents)
+  SELECT doc_id, CASE WHEN text IS NULL THEN 'request_empty' WHEN n > 3000 THEN 'request_too_large' WHEN doc_id % 10 = 3 THEN 'invalid_json' WHEN doc_id % 10 = 4 THEN 'invalid_json' END AS error,
+  CASE WHEN n <= 3000 AND doc_id % 10 NOT IN (3, 4) THEN CAST(doc_id AS VARCHAR) END AS name, CASE WHEN n <= 3000 AND doc_id % 10 NOT IN (3, 4, 5) AND text <> '' THEN sha256(text) END AS sha256 FROM d""")
+def bounded_requests(spark, sf_dir):
+    """JSON lines with base64 payloads: too long ones are not parsed, what isn't an object or strict base64 is refused."""
+    d = render.load(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 10
+    payload = F.regexp_replace(F.base64(F.encode("text", "utf-8")), "[\r\n]", "")
+    payload = F.when(k == 5, F.regexp_replace(payload, r"\A.", "!")).otherwise(payload)
+    body = F.concat(F.lit('{"name":"'), F.col("doc_id").cast("string"), F.lit('","payload":"'), payload, F.lit('"}'))
+    body = F.when(k == 3, F.concat(F.lit("x"), F.substring(body, F.lit(2), F.length(body) - 1))).when(k == 4, F.concat(F.lit('"'), F.translate(F.substring(body, F.lit(2), F.length(body) - 2), '"', "-"), F.lit('"'))).otherwise(body)
+    r = uploads.requests(d.select("doc_id", body.alias("value")), most=3000)
+    return r.select("doc_id", "error", F.col("request.name").alias("name"), F.sha2(T.strict_base64(F.col("request.payload")), 256).alias("sha256"))
+
+
+# Models.
+
+
+@query("""SELECT event_id, event_id % 7 IN (0, 5) AS by_chat, event_id % 7 IN (0, 1) AS by_blocks FROM events""")
+def llm_message(spark, sf_dir):
+    """Whole responses of both API shapes: one tool call, a checked content, joined text blocks; several calls, other tools and talk are refused."""
+    e = render.load(spark, sf_dir, "events")
+    k = F.col("event_id") % 7
+    good = F.concat(F.lit('{"documentType":"other","summary":"'), "event_type", F.lit('","fields":'), "props", F.lit(',"lineItems":[],"sections":[],"warnings":[]}'))
+    call = lambda name, n: F.concat(F.lit('{"content":null,"tool_calls":['), F.concat_ws(",", *[F.concat(F.lit('{"type":"function","function":{"name":"' + name + '","arguments":'), F.to_json(F.struct(good.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(good.alias("x")))) - 6), F.lit("}}"))] * n), F.lit("]}"))
+    quoted = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    message = F.when(k == 0, call(contract.TOOL, 1)).when(k == 1, call(contract.TOOL, 2)).when(k == 2, call("other_tool", 1)).when(k == 3, F.lit('{"content":"I can\'t"}')).when(k == 4, F.lit('{"content":null,"tool_calls":[]}')).when(k == 5, F.concat(F.lit('{"content":'), quoted(good), F.lit("}"))).otherwise(F.lit("{}"))
+    chat = F.concat(F.lit('{"choices":[{"message":'), message, F.lit("}]}"))
+    half = F.floor(F.length(good) / 2).cast("int")
+    block = lambda c: F.concat(F.lit('{"type":"text","text":'), quoted(c), F.lit("}"))
+    one, two = block(good), F.concat(block(good.substr(F.lit(1), half)), F.lit(',{"type":"thinking","text":"hm"},'), block(good.substr(half + 1, F.length(good))))
+    blocks = F.concat(F.lit('{"content":['), F.when(k == 0, one).when(k == 1, two).when(k == 2, block(F.concat(F.lit("Here: "), good))).otherwise(F.lit("")), F.lit("]}"))
+    return e.select("event_id", contract.reply_object(chat).isNotNull().alias("by_chat"), contract.reply_object(blocks, True).isNotNull().alias("by_blocks"))
+
+
+@query("""SELECT doc_id, coalesce(regexp_matches(text, '[^\\s\\x{00A0}]'), FALSE) AND doc_id % 3 <> 0 AS asked, CASE WHEN coalesce(regexp_matches(text, '[^\\s\\x{00A0}]'), FALSE) AND doc_id % 3 <> 0 THEN length(text) END AS n_sent, CASE WHEN doc_id % 2 = 0 THEN 'be brief' END AS system FROM documents""")
+def model_requests(spark, sf_dir):
+    """Who is sent to a model, and the body of the request by either API: blank texts are not sent."""
+    d = render.load(spark, sf_dir, "documents")
+    by_blocks = F.col("doc_id") % 2 == 0
+    body = contract.request_body(F.coalesce("text", F.lit("")), "m1", "be brief", messages_api=by_blocks)
+    wanted = documents.model_wanted(F.col("text"), F.col("doc_id") % 3 != 0)
+    sent = F.get_json_object(body, "$.messages[0].content")
+    sent = F.when(by_blocks, sent).otherwise(F.get_json_object(body, "$.messages[1].content"))
+    return d.select("doc_id", wanted.alias("asked"), F.when(wanted, F.length(sent)).cast("long").alias("n_sent"), F.get_json_object(body, "$.system").alias("system"))
+
+
+@query(f"""WITH {LINES_SQL}, s AS (SELECT key, count(*) AS n FROM l GROUP BY key) SELECT o_orderkey AS key, CASE WHEN coalesce(n, 0) > 4 THEN n ELSE 4 END AS n_articles, coalesce(n, 0) <= 3 AS from_model FROM orders LEFT JOIN s ON o_orderkey = s.key""")
+def longer_list(spark, sf_dir):
+    """A model's items count only if there are more of them; here it always gives four."""
+    docs = render.with_lines(spark, sf_dir)
+    own = items.articles(items.vendor_items(render.acastimar(docs), F.lit("acastimar")))
+    line = F.struct(F.lit("said").alias("description"), F.lit("1").alias("quantity"), F.lit("2.5").alias("unitPrice"), F.lit("x").alias("amount"), F.lit(None).cast("string").alias("taxRate"))
+    out = docs.select("key", items.longer_list(own, items.model_articles(F.array(*[line] * 4))).alias("a"))
+    return out.select("key", F.size("a").cast("long").alias("n_articles"), F.coalesce(F.get("a", F.lit(0))["description"] == "said", F.lit(False)).alias("from_model"))
+
+
+@query(f"""WITH {LINES_SQL} SELECT o_orderkey AS key, coalesce(string_agg(name || ' :: ' || units || ' :: ' || price || ' :: ' || amount, ' ; ' ORDER BY pos), '') AS line_items FROM orders LEFT JOIN l ON o_orderkey = l.key GROUP BY o_orderkey""")
+def items_text(spark, sf_dir):
+    docs = render.with_lines(spark, sf_dir)
+    return docs.select("key", items.items_text(items.articles(items.vendor_items(render.acastimar(docs), F.lit("acastimar")))).alias("line_items"))
+
+
+@query(f"""WITH {ORDERS_SQL}, {LINES_SQL}, n AS (SELECT key, count(*) AS n FROM l GROUP BY key)
+  SELECT f.file, 1 AS pages, FALSE AS truncated, CASE WHEN coalesce(n, 0) >= 3 THEN n ELSE coalesce(n, 0) END AS n_items, coalesce(n, 0) AS items_detected, 'mercadona-tabular' AS parser, 'mercadona-tabular' AS source, 'deterministic' AS confidence, 'IGIC' AS tax_label FROM f LEFT JOIN n ON f.key = n.key""")
+def envelope_rows(spark, sf_dir):
+    """All that is known of a ticket, as a struct."""
+    docs = render.with_lines(spark, sf_dir)
+    page = budget.page_budget(F.array(render.ticket(docs)), F.lit(1), 5, 200_000)
+    e = documents.envelopes(docs.select("file", page.alias("extracted"), F.sha2("file", 256).alias("sha256"))).select("file", "envelope.*")
+    return e.select("file", "pages", "truncated", F.size("line_items").cast("long").alias("n_items"), F.col("parser_stats.items_detected").cast("long").alias("items_detected"), "parser", "source", "confidence", F.col("invoice_fields.tax_label").alias("tax_label"))
+
+
+@query("""WITH d AS (SELECT doc_id, length(trim(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160)))) AS n FROM documents)
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND n >= 500 THEN 'maxPagesAndMaxChars' WHEN doc_id % 3 = 0 THEN 'maxPages' WHEN n >= 500 THEN 'maxChars' END AS reason, CASE WHEN doc_id % 3 = 0 OR n >= 500 THEN 500 END AS max_chars,
+  CASE WHEN doc_id % 3 = 0 OR n >= 500 THEN 200000 END AS allowed_chars, CASE WHEN doc_id % 3 = 0 OR n >= 500 THEN TRUE END AS asks FROM d""")
+def truncation_told(spark, sf_dir):
+    """What a caller is told about a cut text; null if nothing was cut."""
+    d = render.load(spark, sf_dir, "documents")
+    r = d.select("doc_id", budget.page_budget(F.array("text"), F.when(F.col("doc_id") % 3 == 0, 9).otherwise(1), 5, 500).alias("r"))
+    t = r.select("doc_id", budget.truncation(F.col("r")).alias("t"))
+    return t.select("doc_id", "t.reason", F.col("t.applied.max_chars").alias("max_chars"), F.col("t.allowed.max_chars").alias("allowed_chars"), F.col("t.requires_user_confirmation").alias("asks"))
+
+
+# Small functions.
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 7 WHEN event_id % 5 = 1 OR value <= 0 THEN 7 WHEN event_id % 5 = 2 THEN 50 ELSE CAST(least(greatest(floor(value), 1), 50) AS INTEGER) END AS bounded FROM events""")
+def bounded_ints(spark, sf_dir):
+    e = render.load(spark, sf_dir, "events")
+    k = F.col("event_id") % 5
+    said = F.when(k == 0, "NaN").when(k == 1, "-3").when((k == 2) & (F.col("value") > 0), "1000000").when(k == 2, "0").otherwise(F.col("value").cast("string"))
+    return e.select("event_id", T.bounded_int(said, 7, 50).alias("bounded"))
+
+
+@query("""SELECT page_id, regexp_replace(url, '([.*+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g') AS escaped, url IS NOT NULL AS finds_itself FROM pages""")
+def escaped_patterns(spark, sf_dir):
+    p = render.load(spark, sf_dir, "pages")
+    escaped = T.escape_pattern_col(F.col("url"))
+    return p.select("page_id", escaped.alias("escaped"), F.coalesce(F.regexp_like("url", escaped), F.lit(False)).alias("finds_itself"))
+
+
+@query("""SELECT n_nationkey, 'name=' || CASE WHEN n_nationkey % 2 = 0 THEN 'OVER' ELSE n_name END || chr(10) || 'region=' || n_regionkey || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'new=' ELSE '' END AS lines, n_nationkey % 2 = 0 AS has_new, CASE WHEN n_nationkey % 2 = 0 THEN 'OVER' ELSE n_name END AS name FROM nation""")
+def map_overlay(spark, sf_dir):
+    n = render.load(spark, sf_dir, "nation")
+    below = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"))
+    above = F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("new"), F.lit(None).cast("string"), F.lit("name"), F.lit("OVER")))
+    m = n.select("n_nationkey", maps.overlay(below, above).alias("m"))
+    return m.select("n_nationkey", maps.lines(F.col("m")).alias("lines"), maps.has(F.col("m"), "new").alias("has_new"), maps.get(F.col("m"), "name").alias("name"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN 'm1' END AS default_model FROM supplier WHERE s_suppkey = 7""")
+def provider_lookup(spark, sf_dir):
+    s = render.load(spark, sf_dir, "supplier")
+    catalog = s.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 > 0, F.array(F.lit("m1"), F.lit("m2"))).otherwise(F.array().cast("array<string>")).alias("models"))
+    return settings.provider_by_id(catalog, "7").select("id", "name", "default_model")
+
+
+@query(f"""WITH {ORDERS_SQL}, t AS (SELECT file, key, strftime(date, '%Y-%m-%d') AS base FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY file) - 1 AS k FROM t WHERE key % 3 = 0)
+  SELECT coalesce(CASE WHEN k = 0 THEN base || '.pdf' ELSE base || '-' || k || '.pdf' END, f.file) AS file, f.key FROM f LEFT JOIN r ON f.key = r.key""")
+def renamed_rows(spark, sf_dir):
+    """A written table kept in step with renamed files."""
+    d = render.orders(spark, sf_dir)
+    wanted = d.select("file", F.when(F.col("key") % 3 == 0, naming.new_name(F.lit(None).cast("string"), F.col("number"), F.col("date"), F.lit(""), F.lit(""), "{fecha}")).alias("new_name"))
+    return naming.apply_plan(d.select("file", "key"), naming.rename_plan(wanted, d.select("file")))
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT key, 'aguasdelsur' AS vendor, 'R' || lpad(CAST(key AS VARCHAR), 4, '0') || '/' || yy AS invoice_number, date AS invoice_date, CASE WHEN key % 2 = 0 THEN total END AS total FROM f""", numbers="total", dates="invoice_date")
+def rules_from_labels(spark, sf_dir):
+    """A vendor known by labels alone, stored as rows of a rule table beside the others and read back; a later version replaces an earlier one."""
+    draft = templates.vendor_from_labels("Aguas del Sur", ["AGUAS DEL SUR"], {"number": "Other", "date": "Other", "total": "Other"})
+    vendor = templates.vendor_from_labels("Aguas del Sur", ["AGUAS DEL SUR"], {"number": "Recibo nº", "date": "Emitido el", "total": "A_pagar (EUR)"})
+    table = rule_table.with_vendor(rule_table.with_vendor(rule_table.as_table(spark), draft), vendor)
+    vendors = rule_table.vendors_of(table)
+    docs = render.orders(spark, sf_dir)
+    text = F.concat(F.lit("Aguas  del Sur\nRecibo nº R"), "number", F.lit(" Emitido el día "), F.date_format("date", "dd/MM/yyyy"), F.when(F.col("key") % 2 == 0, F.concat(F.lit(" A_pagar (EUR) "), render.number(F.col("total"), 2))).otherwise(F.lit(" A pagar nada")))
+    docs = docs.select("key", T.bind(text, lambda t: fields.vendor_fields(t, fields.detect_vendor(t, vendors), vendors)).alias("f"))
+    return docs.select("key", "f.vendor", "f.invoice_number", "f.invoice_date", F.col("f.totals.total").alias("total"))
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT file, concat_ws(',', file, 'miller', 'F' || lpad(CAST(key % 10000 AS VARCHAR), 4, '0') || '/' || yy, date, CASE WHEN key % 2 = 0 THEN CAST(subtotal AS VARCHAR) ELSE '' END, CASE WHEN key % 2 = 0 THEN CAST(tax AS VARCHAR) ELSE '' END, CASE WHEN key % 2 = 0 THEN CAST(total AS VARCHAR) ELSE '' END, 'IGIC', '', '', '', '', '') AS value FROM f""")
+def csv_without_zeros(spark, sf_dir):
+    """The table as people open it: totals of nothing are empty cells."""
+    docs = render.orders(spark, sf_dir)
+    nothing = F.lit(0).cast("decimal(12,2)")
+    docs = docs.withColumns({c: F.when(F.col("key") % 2 == 0, F.col(c)).otherwise(nothing) for c in ("subtotal", "tax", "total")})
+    rows = documents.article_rows(documents.document_rows(docs.select("file", render.miller(docs, lines=False).alias("text"))))
+    return sinks.csv_lines(rows, ("file",), zeros=False)

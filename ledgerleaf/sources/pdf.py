@@ -144,44 +144,53 @@ def read_pages(data: bytes, max_pages: int = R.HARD_PAGES) -> tuple[list[str | N
     return out, len(numbers)
 
 
-def reader(max_pages: int = R.PIPELINE_PAGES, read: Callable[[bytes, int], tuple[list[str | None], int]] = read_pages) -> Callable[[Column], Column]:
-    """A column function from a file's bytes to documents.PAGES, in Arrow batches."""
-
-    @F.arrow_udf(documents.PAGES)
-    def pages_of(content: pa.Array) -> pa.Array:
-        rows = []
-        for x in content:
-            data = x.as_py()
-            if data is None:
-                rows.append({"pages": None, "declared": None, "error": None})
-                continue
-            try:
-                pages, n = read(data, max_pages)
-                rows.append({"pages": pages, "declared": n, "error": None})
-            except Exception as e:  # a bad file is a row, whatever a reader raises
-                rows.append({"pages": None, "declared": None, "error": str(e.args[0]) if isinstance(e, PdfError) else "pdf_parse_failed"})
-        return pa.array(rows, pa.struct([("pages", pa.list_(pa.string())), ("declared", pa.int32()), ("error", pa.string())]))
+def reader(read: Callable[[bytes, int], tuple[list[str | None], int]] = read_pages) -> documents.Reader:
+    """A column function from a file's bytes and a number of pages to documents.PAGES, in Arrow batches."""
+
+    def of(content: Column, max_pages: int = R.PIPELINE_PAGES) -> Column:
+        @F.arrow_udf(documents.PAGES)
+        def pages_of(content: pa.Array) -> pa.Array:
+            rows = []
+            for x in content:
+                data = x.as_py()
+                if data is None:
+                    rows.append({"pages": None, "declared": None, "error": None})
+                    continue
+                try:
+                    pages, n = read(data, max_pages)
+                    rows.append({"pages": pages, "declared": n, "error": None})
+                except Exception as e:  # a bad file is a row, whatever a reader raises
+                    rows.append({"pages": None, "declared": None, "error": str(e.args[0]) if isinstance(e, PdfError) else "pdf_parse_failed"})
+            return pa.array(rows, pa.struct([("pages", pa.list_(pa.string())), ("declared", pa.int32()), ("error", pa.string())]))
 
-    return pages_of
+        return pages_of(content)
+
+    return of
+
+
+def _pdf_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+    return files.withColumn("file", F.regexp_extract("path", r"([^/]*)\z", 1))
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``file, path, length`` of the PDF files of a folder (not of its subfolders), in whatever case of the ending.
+    """``file, path, length`` of the PDF files of a folder (not of its subfolders), in whatever case of the ending, by name.
 
-    Order by ``file`` for a listing; content is not read.
+    Content is not read; names are ordered by their bytes.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("file"), "path", "length")
+    return _pdf_files(spark, folder).select("file", "path", "length").orderBy("file", "path")
 
 
-def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """``file, content`` of a folder's PDF files; the bytes of files over the limit are not passed on.
+def scan_folder(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """``file, path, length, content`` of a folder's PDF files.
 
-    A file too large or too small keeps its row: its content is cut to a size
-    that validation rejects.
+    A file over the limit keeps its row, with its length and without content:
+    the filter on the length reaches the scan, so its bytes are never read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("file"), "content")
+    files = _pdf_files(spark, folder)
+    read = files.filter(F.col("length") <= R.MAX_BYTES).select("file", "path", "length", "content")
+    over = files.filter(F.col("length") > R.MAX_BYTES).select("file", "path", "length", F.lit(None).cast("binary").alias("content"))
+    return read.unionByName(over)
 
 
 def from_base64(rows: DataFrame, file: str = "file", payload: str = "payload") -> DataFrame:
@@ -197,33 +206,56 @@ def inside_workspace(path: str, workspace: str) -> str:
     return real
 
 
-def recognise(files: DataFrame, engine: Callable[[bytes], list[str]]) -> DataFrame:
-    """``file, ocr_text`` by a pluggable engine (bytes to page texts); a failing file or page gives no text."""
+def scan_paths(spark: SparkSession, paths: list[str], workspace: str) -> DataFrame:
+    """``file, path, length, content`` of single files; raises for one that leads out of the workspace."""
+    return scan_folder(spark, ["file://" + inside_workspace(p, workspace) for p in paths])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for x in b.column(1):
-                try:
-                    texts.append("\n\n".join(t for t in engine(x.as_py()) if t))
-                except Exception:
-                    texts.append("")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["file", "ocr_text"])
 
-    return files.select("file", "content").mapInArrow(run, "file string, ocr_text string")
+def recogniser(engine: Callable[[bytes, str], list], languages: tuple[str, ...] = ("spa+eng", "eng")) -> Callable[[Column], Column]:
+    """A column function from a file's bytes to recognised text, by a pluggable engine.
+
+    The engine gives page texts, or (page number, text) in any order, for bytes
+    and a language; languages are tried until one gives text.  A page without
+    text is left out; a failing engine, like null bytes, gives an empty text.
+    """
 
+    def text_of(data: bytes) -> str:
+        for language in languages:
+            try:
+                pages = engine(data, language)
+            except Exception:
+                continue
+            numbered = [p if isinstance(p, tuple) else (k, p) for k, p in enumerate(pages)]
+            found = "\n\n".join(t for _, t in sorted(numbered, key=lambda p: p[0]) if t and t.strip())
+            if found:
+                return found
+        return ""
 
-def ask_model(texts: DataFrame, call: Callable[[str], str | None]) -> DataFrame:
-    """``file, reply`` by a pluggable model; a failing call gives a null reply.  Texts are data, never instructions."""
+    @F.arrow_udf("string")
+    def texts_of(content: pa.Array) -> pa.Array:
+        return pa.array(["" if x.as_py() is None else text_of(x.as_py()) for x in content], pa.string())
+
+    return texts_of
+
+
+def ask_model(texts: DataFrame, call: Callable[[str], str | None], wanted: Column | None = None) -> DataFrame:
+    """``file, reply, error`` by a pluggable model, of the rows that are ``wanted`` and have text.
+
+    Blank and null texts are never sent; a failing call is a row with its error.
+    Texts are data, never instructions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            replies = []
+            replies, errors = [], []
             for x in b.column(1):
                 try:
                     replies.append(call(x.as_py()))
-                except Exception:
+                    errors.append(None)
+                except Exception as e:
                     replies.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(replies, pa.string())], names=["file", "reply"])
+                    errors.append(type(e).__name__)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=["file", "reply", "error"])
 
-    return texts.select("file", "text").mapInArrow(run, "file string, reply string")
+    asked = texts.filter(documents.model_wanted(F.col("text"), wanted))
+    return asked.select("file", "text").mapInArrow(run, "file string, reply string, error string")

@@ -49,13 +49,15 @@ def provider_by_id(catalog: DataFrame, provider: str) -> DataFrame:
     return catalog.filter(F.col("id") == provider).withColumn("default_model", F.get("models", F.lit(0)))
 
 
-def check_input(name: str | None = None, max_pages: int | None = None, max_chars: int | None = None, prompt: str | None = None, max_tokens: int | None = None) -> None:
+def check_input(name: str | None = None, max_pages: int | None = None, max_chars: int | None = None, prompt: str | None = None, max_tokens: int | None = None, path: str | None = None) -> None:
     """Raise ValueError for arguments out of their ranges."""
     for what, value, high in (("max_pages", max_pages, R.HARD_PAGES), ("max_chars", max_chars, R.HARD_CHARS)):
         if value is not None and not (type(value) is int and 1 <= value <= high):
             raise ValueError(f"{what} must be an integer from 1 to {high}")
     if name is not None and not (isinstance(name, str) and 1 <= len(name) <= 256):
         raise ValueError("name must have 1 to 256 characters")
+    if path is not None and not (isinstance(path, str) and 1 <= len(path) <= 4096):
+        raise ValueError("path must have 1 to 4096 characters")
     if prompt is not None and not (isinstance(prompt, str) and 1 <= len(prompt) <= 16_000):
         raise ValueError("prompt must have 1 to 16000 characters")
     if max_tokens is not None and not (type(max_tokens) is int and 256 <= max_tokens <= 16_000):

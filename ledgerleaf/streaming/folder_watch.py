@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import documents
+from ledgerleaf.plans import rules as R
 from ledgerleaf.sources import pdf
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -17,6 +18,6 @@ SCHEMA = "path string, modificationTime timestamp, length bigint, content binary
 def watch(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """A stream of document rows of the PDF files that arrive in ``folder``."""
     files = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", "*.[pP][dD][fF]").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    named = files.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("file"), "content")
+    named = files.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("file"), "length", F.when(F.col("length") <= R.MAX_BYTES, F.col("content")).alias("content"))
     texts = documents.with_text(named, pdf.reader())
     return documents.document_rows(texts.select("file", "error", F.col("extracted.text").alias("text"), F.col("extracted.joined").alias("joined")), joined="joined")

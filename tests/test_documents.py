@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerleaf import queries
 from ledgerleaf.functions import text as T
 from ledgerleaf.operators import budget, contract, documents, items, naming, sinks
+from ledgerleaf.plans import rule_table
 from ledgerleaf.plans import rules as R
 from ledgerleaf.sources import pdf, settings
 from ledgerleaf.streaming import folder_watch
@@ -204,7 +205,7 @@ def test_scan_folder(spark, folder):
 
 
 def test_ocr_and_envelopes(spark, folder):
-    texts = documents.with_text(pdf.scan_folder(spark, folder), pdf.reader(), ocr=lambda df: pdf.recognise(df, lambda data: ["Nº Factura: S-1", "two"]))
+    texts = documents.with_text(pdf.scan_folder(spark, folder), pdf.reader(), ocr=pdf.recogniser(lambda data, language: [(2, "two"), (10, ""), (1, "Nº Factura: S-1")] if language == "eng" else []))
     e = {r.file: r.envelope for r in documents.envelopes(texts).collect()}
     assert e["g.pdf"].text == "Nº Factura: S-1\n\ntwo" and e["g.pdf"].source == "invoice-fields" and e["g.pdf"].parser == "plain-text"
     assert e["a.pdf"].parser == "doctoragua-tabular" and e["a.pdf"].pages == 2 and e["a.pdf"].text.endswith("second (page)") and len(e["a.pdf"].sha256) == 64
@@ -215,7 +216,7 @@ def test_ocr_and_envelopes(spark, folder):
 def test_model_fills_documents(spark):
     texts = spark.createDataFrame([("a", "Nº Factura: A1"), ("b", " "), ("c", "x")], "file string, text string")
     replies = pdf.ask_model(texts, lambda t: json.dumps({"n": t}) if t != "x" else 1 / 0)
-    assert {r.file: r.reply for r in replies.collect()}["c"] is None
+    assert {r.file: (r.reply is None, r.error) for r in replies.collect()} == {"a": (False, None), "c": (True, "ZeroDivisionError")}
     model = spark.createDataFrame([(f, "M", dt.date(2020, 1, 1), D("5.00"), "pan rico", [("d", D(1), D(2), D(2), None)]) for f in "ab"], "file string, number string, date date, total decimal(12,2), summary string, articles array<struct<description:string,units:decimal(18,4),unit_price:decimal(18,4),amount:decimal(18,4),tax_rate:decimal(9,4)>>")
     got = {r.file: r for r in documents.document_rows(texts, model).collect()}
     assert (got["a"].invoice_number, got["a"].total, len(got["a"].articles), got["a"].new_name) == ("A1", D("5.00"), 1, "2020-01-01_desconocido_pan-rico.pdf")
@@ -233,6 +234,62 @@ def test_csv_and_json_files(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/json").count() == 2
 
 
+def test_files_over_the_limit_are_not_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "big.pdf").write_bytes(make_pdf(["x" * 3000]))
+    (tmp_path / "ok.pdf").write_bytes(make_pdf(["Nº Factura: A-1"]))
+    monkeypatch.setattr(R, "MAX_BYTES", 2000)
+    got = {r.file: r for r in pdf.scan_folder(spark, str(tmp_path)).collect()}
+    assert got["big.pdf"].content is None and got["big.pdf"].length > 2000 and got["ok.pdf"].content is not None
+    texts = documents.with_text(pdf.scan_folder(spark, str(tmp_path)), pdf.reader())
+    assert {r.file: r.error for r in texts.collect()} == {"big.pdf": "pdf_too_large", "ok.pdf": None}
+    assert [r.file for r in pdf.scan_paths(spark, ["ok.pdf"], str(tmp_path)).collect()] == ["ok.pdf"]
+
+
+def test_one_limit_of_pages_for_reader_and_budget(spark):
+    sent = spark.createDataFrame([("a.pdf", make_pdf([f"page {k}" for k in range(150)]))], "file string, content binary")
+    for most, reason in ((200, None), (150, None), (100, "maxPages")):
+        e = documents.with_text(sent, pdf.reader(), max_pages=most).first().extracted
+        assert (e.pages, e.truncation_reason) == (min(most, 150), reason) and e.text.count("page") == min(most, 150)
+
+
+def test_package_functions(spark, folder, tmp_path):
+    import ledgerleaf
+
+    docs = ledgerleaf.process(spark, folder, out=f"file://{tmp_path}/csv")
+    assert docs.count() == 7 and spark.read.text(f"file://{tmp_path}/csv").filter("value LIKE 'a.pdf,%'").count() == 1
+    assert ("a.pdf", "2026-08-01_doctoragua_doctoragua.pdf") in {(r.file, r.new_name) for r in ledgerleaf.renames(docs).collect()}
+    assert [r.file for r in documents.needs_parser(pdf.scan_folder(spark, folder), docs).collect()] == ["b.PDF", "g.pdf"] or {r.file for r in documents.needs_parser(pdf.scan_folder(spark, folder), docs).collect()} == {"b.PDF", "g.pdf"}
+    e = {r.file: r.envelope for r in ledgerleaf.extract(pdf.scan_folder(spark, folder), max_pages=1).collect()}
+    assert e["a.pdf"].truncation.reason == "maxPages" and e["a.pdf"].truncation.applied.max_pages == 1
+    with pytest.raises(ValueError):
+        ledgerleaf.extract(docs, max_pages=0)
+    with pytest.raises(AttributeError):
+        ledgerleaf.nothing  # noqa: B018
+    seen, progress = documents.observed(docs)
+    seen.write.format("noop").mode("overwrite").save()
+    assert progress.get == {"processed": 7, "errors": 4}
+
+
+def test_json_array(spark, tmp_path):
+    rows = spark.createDataFrame([(f"f{k}.pdf", k) for k in range(50)], "file string, n int")
+    for name, df in (("some", rows.repartition(4)), ("none", rows.limit(0))):
+        sinks.write_json_array(df, f"file://{tmp_path}/{name}")
+        (part,) = [p for p in (tmp_path / name).iterdir() if p.name.startswith("part-")]
+        assert [x["file"] for x in json.loads(part.read_text())] == ([] if name == "none" else sorted(f"f{k}.pdf" for k in range(50)))
+
+
+def test_rule_table_round_trip(spark, tmp_path):
+    table = rule_table.as_table(spark)
+    assert rule_table.vendors_of(table) == R.VENDORS
+    table.write.parquet(f"file://{tmp_path}/rules")
+    assert rule_table.read_rules(spark, f"file://{tmp_path}/rules") == R.VENDORS
+
+
+def test_blank_texts_are_never_sent(spark):
+    texts = spark.createDataFrame([("a", "x"), ("b", " \u00a0"), ("c", None), ("d", "y")], "file string, text string")
+    assert sorted((r.file, r.reply) for r in pdf.ask_model(texts, lambda t: t * 2, F.col("file") != "d").collect()) == [("a", "xx")]
+
+
 def test_streaming_folder(spark, folder, tmp_path):
     out = folder_watch.watch(spark, folder).select("file", "invoice_number", "error")
     q = out.writeStream.format("memory").queryName("watched").option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
