@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for the rest.
 
 Runs of 20 or more characters of the base64, base64url, hex and base32
-alphabets are cut at '=' that isn't padding, as in NAME=VALUE.  Each longest run
-of base64 and of base64url within a part is a candidate if no fixed pattern
-covers any of it; so is each stretch of words between signs in it that is more
+alphabets, without what the fixed patterns have found in them, are cut at '='
+that isn't padding, as in NAME=VALUE.  Each longest run of base64 and of
+base64url within a part is a candidate; so is each stretch of words between signs in it that is more
 likely random than writing and would be less so if longer (a key after a path).
 For each the smallest alphabet that holds it is inferred, and it is tested as a
 sequence over that alphabet:
@@ -257,12 +257,15 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    covered = _joined((a, b) for a, _, b in spans)
-    starts = [a for a, _ in covered]
+    # What fixed patterns have found is blanked out, and the rest of its run tested by itself.
+    rest, at = [], 0
+    for a, b in _joined((a, b) for a, _, b in spans):
+        rest += [text[at:a], " " * (b - a)]
+        at = b
+    rest = "".join([*rest, text[at:]]) if at else text
     tested = []
-    for a, b, ways in candidates(text):
-        k = bisect_left(starts, b)
-        if (not k or covered[k - 1][1] <= a) and (p := looks_random(text[a:b])) is not None:
+    for a, b, ways in candidates(rest):
+        if (p := looks_random(rest[a:b])) is not None:
             tested.append((min(p * ways, 1.0), a, b))
     tested.sort()
     last = max((k for k, (p, _, _) in enumerate(tested, 1) if p <= FALSE_SHARE * k / len(tested)), default=0)

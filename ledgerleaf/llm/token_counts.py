@@ -32,15 +32,15 @@ from ledgerleaf.llm.common import bound_batches
 
 #: Tokens above which a document is over the limit.
 LIMIT = 2048
-PIECE_CHARS = 1 << 20
+PIECE_BYTES = 1 << 20
 #: Words up to this length are remembered, up to so many.
-REMEMBERED_CHARS, REMEMBERED_WORDS = 48, 300_000
+REMEMBERED_BYTES, REMEMBERED_WORDS = 64, 300_000
 
 #: Pre-tokens of up to so many letters are merged without a heap.
 SHORT = 40
 NEVER = 1 << 60
 
-_WORDS, _BLANK = re.compile(r"[^ \t\n\x0b\f\r]+"), re.compile(r"[ \t\n\x0b\f\r]")
+_BLANK = re.compile(rb"[ \t\n\x0b\f\r]")
 
 
 class WholeTokenCounter:
@@ -59,7 +59,7 @@ class WholeTokenCounter:
         library = Tokenizer.from_file(path)
         self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.whole = whole if whole is not None else self._proven(model["vocab"])
-        self.known: dict[str, int] = {}
+        self.known = _Known(self)
 
     def _proven(self, vocabulary: dict[str, int]) -> frozenset[str]:
         """The strings of the vocabulary that, as a pre-token, end as one token."""
@@ -119,33 +119,41 @@ class WholeTokenCounter:
 
     def word(self, w: str) -> int:
         """Tokens of a run of non-blanks."""
-        n = self.known.get(w)
-        if n is None:
-            n = self._plain(w) if self.special is None or "<" not in w else sum(map(self._plain, self.special.split(w))) + len(self.special.findall(w))
-            if len(w) <= REMEMBERED_CHARS:
-                if len(self.known) >= REMEMBERED_WORDS:
-                    self.known.clear()
-                self.known[w] = n
-        return n
+        return self._plain(w) if self.special is None or "<" not in w else sum(map(self._plain, self.special.split(w))) + len(self.special.findall(w))
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; null is empty."""
-        if not text:
-            return 0
+        return self.count_bytes(text.encode()) if text else 0
+
+    def count_bytes(self, data: bytes) -> int:
+        """The same of its UTF-8: bytes.split() parts at the six ASCII blanks and no other."""
         total, at = 0, 0
-        while at < len(text):
-            end = len(text)
-            if end - at > PIECE_CHARS:
-                cut = _BLANK.search(text, at + PIECE_CHARS)
+        while at < len(data):
+            end = len(data)
+            if end - at > PIECE_BYTES:
+                cut = _BLANK.search(data, at + PIECE_BYTES)
                 end = cut.start() if cut else end
-            known, word = self.known, self.word
-            for w in _WORDS.findall(text, at, end):
-                n = known.get(w)
-                total += word(w) if n is None else n
+            total += sum(map(self.known.__getitem__, data[at:end].split()))
             at = end + 1
         return total
 
 
+class _Known(dict):
+    """Tokens by word, counted when a word is first met; long words are not kept."""
+
+    def __init__(self, counter: WholeTokenCounter):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, word: bytes) -> int:
+        n = self.counter.word(word.decode("utf-8", "replace"))
+        if len(word) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED_WORDS:
+                self.clear()
+            self[word] = n
+        return n
+
+
 @lru_cache(maxsize=2)
 def whole_tokens(path: str) -> frozenset[str]:
     """The pre-tokens of a vocabulary that are one token each."""
@@ -178,10 +186,10 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary, whole.value)
         for batch in batches:
-            n = [own.count(text.as_py()) for text in batch.column(2)]
+            n = [own.count_bytes(data.as_py()) for data in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.cast("binary").alias("data"))
     rows = rows.mapInArrow(counted, f"id {id_type}, n_bytes long, n_tokens long")
     return rows.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

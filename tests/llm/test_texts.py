@@ -88,7 +88,7 @@ def test_tokens_like_the_library(spark, library):
 
 
 def test_tokens_of_a_text_in_pieces(library, monkeypatch):
-    monkeypatch.setattr(token_counts, "PIECE_CHARS", 7)
+    monkeypatch.setattr(token_counts, "PIECE_BYTES", 7)
     own = token_counts.WholeTokenCounter(tokenizer_file("word_bpe_49k.json"))
     for t in [*ODD, "some words and a verylongwordindeed here"]:
         assert own.count(t) == len(library.encode(t, add_special_tokens=False).ids), repr(t)
@@ -176,6 +176,16 @@ def test_secret_spans_against_brute_force(spark):
     assert got[len(texts)].spans == "" and got[len(texts)].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_what_stands_beside_a_fixed_find_is_tested_too():
+    rng, found = random.Random(13), 0
+    for _ in range(50):
+        s = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz") for _ in range(40))
+        spans = secret_scan.scan(f"x 0123456789abcdef0123{s} y")
+        assert (2, 2, 22) in spans
+        found += any(k == 3 and a >= 22 and b > 50 for a, k, b in spans)
+    assert found >= 45
+
+
 def test_random_strings_are_found_and_writing_is_not():
     rng = random.Random(9)
     found = 0
