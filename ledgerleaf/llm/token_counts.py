@@ -59,7 +59,7 @@ class WholeTokenCounter:
         library = Tokenizer.from_file(path)
         self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.whole = whole if whole is not None else self._proven(model["vocab"])
-        self.known = _Known(self)
+        self.known, self.counts = _Known(self), _Counts(self)
 
     def _proven(self, vocabulary: dict[str, int]) -> frozenset[str]:
         """The strings of the vocabulary that, as a pre-token, end as one token."""
@@ -114,8 +114,8 @@ class WholeTokenCounter:
             pre_tokens = self.split.findall(text.lower())
         else:
             pre_tokens = [p for p, _ in self.pre_tokenize(self.normalize(text))]
-        whole, merged = self.whole, self._merged
-        return sum(1 if p in whole else merged(p) for p in pre_tokens)
+        counts = self.counts
+        return sum([counts[p] for p in pre_tokens])
 
     def word(self, w: str) -> int:
         """Tokens of a run of non-blanks."""
@@ -138,6 +138,23 @@ class WholeTokenCounter:
         return total
 
 
+class _Counts(dict):
+    """Tokens by pre-token: one where that is proven, else merged when it is first met."""
+
+    def __init__(self, counter: WholeTokenCounter):
+        super().__init__(dict.fromkeys(counter.whole, 1))
+        self.counter, self.proven = counter, len(self)
+
+    def __missing__(self, pre_token: str) -> int:
+        n = self.counter._merged(pre_token)
+        if len(pre_token) <= REMEMBERED_BYTES:
+            if len(self) - self.proven >= REMEMBERED_WORDS:
+                self.clear()
+                self.update(dict.fromkeys(self.counter.whole, 1))
+            self[pre_token] = n
+        return n
+
+
 class _Known(dict):
     """Tokens by word, counted when a word is first met; long words are not kept."""
 
