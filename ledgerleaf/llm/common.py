@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Of one Arrow batch: the JVM and its worker each hold several at a time.
 BATCH_BYTES = 4 << 20
+#: Bytes a core below which an input may have too few splits.
+SMALL_INPUT = 64 << 20
 #: Keys (some 100 bytes each at most) are broadcast up to this number.
 BROADCAST_ROWS = 200_000
 
@@ -43,6 +45,20 @@ def n_words(col: Column) -> Column:
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of few small files, which Spark reads in fewer tasks than there are cores, dealt over all cores.
+
+    For operators that cost CPU, not bytes.  An input of 64 MB a core or more, or
+    of as many files as cores, stays as it is: it has enough splits, and is never
+    shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * SMALL_INPUT:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Cap the bytes of one Arrow batch, so that very long texts can't fill a worker's memory.
 

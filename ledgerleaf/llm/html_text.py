@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import bound_batches
+from ledgerleaf.llm.common import bound_batches, dealt
 
 # Element names of HTML by behaviour.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -618,6 +618,6 @@ def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([html_to_text(x.as_py()) for x in batch.column(1)], pa.string())], names=["id", "text"])
 
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html")).mapInArrow(rendered, f"id {id_type}, text string")
+    rows = dealt(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html"))).mapInArrow(rendered, f"id {id_type}, text string")
     n_lines = F.when(F.col("text") == "", F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
     return rows.select(F.col("id").alias(id_col), "text", F.length("text").cast("long").alias("n_chars"), n_lines.cast("long").alias("n_lines"))

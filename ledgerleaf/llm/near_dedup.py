@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import bound_batches, small_or_not, staged
+from ledgerleaf.llm.common import bound_batches, dealt, small_or_not, staged
 from ledgerleaf.llm.shingles import mixed, shingle_set
 
 BANDS, BAND_ROWS, BITS = 32, 4, 2
@@ -402,7 +402,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     An empty table gives an empty result; other columns are not read.
     """
     bound_batches(df.sparkSession)
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data"), F.monotonically_increasing_id().alias("at"))
+    texts = dealt(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data"))).withColumn("at", F.monotonically_increasing_id())
     component = F.col("first.id")
     return linked_rows(texts).select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

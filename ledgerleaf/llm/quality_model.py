@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import bound_batches
+from ledgerleaf.llm.common import bound_batches, dealt
 
 #: Filters, their width in bytes, and bytes of half a chunk.
 FILTERS, WIDTH, HALF = 16, 8, 256
@@ -208,7 +208,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
             s = [network.score(text.as_py()) if constant is None else constant for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["id", "held_out", "score"])
 
-    held_out = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == HELD_OUT, F.lit(False))
-    rows = documents.select(F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.col(f"`{text_col}`").cast("binary").alias("data"))
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == HELD_OUT, F.lit(False))
+    rows = dealt(documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data"))).select("id", held_out.alias("held_out"), "data")
     out = rows.mapInArrow(scored, f"id {id_type}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

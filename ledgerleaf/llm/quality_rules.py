@@ -27,7 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import BLANKS, WORD, words
+from ledgerleaf.llm.common import BLANKS, WORD, dealt, words
 
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -167,7 +167,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated rows give a row each; an empty table an empty result; other
     columns are not read, so their names can't clash.
     """
-    out = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    out = dealt(df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")))
     for name, col in quality_columns(F.col("__text")).items():
         out = out.withColumn(name, col)
     return out.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "chars_left")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import bound_batches
+from ledgerleaf.llm.common import bound_batches, dealt
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -315,5 +315,5 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 spans.append(_said(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = dealt(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")))
     return rows.mapInArrow(scanned, f"id {id_type}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string").withColumnRenamed("id", id_col)

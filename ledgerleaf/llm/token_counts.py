@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerleaf.llm.common import bound_batches
+from ledgerleaf.llm.common import bound_batches, dealt
 
 #: Tokens above which a document is over the limit.
 LIMIT = 2048
@@ -206,7 +206,7 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             n = [own.count_bytes(data.as_py()) for data in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.cast("binary").alias("data"))
+    text = F.coalesce("text", F.lit(""))
+    rows = dealt(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))).select("id", F.octet_length(text).cast("long").alias("n_bytes"), text.cast("binary").alias("data"))
     rows = rows.mapInArrow(counted, f"id {id_type}, n_bytes long, n_tokens long")
     return rows.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
