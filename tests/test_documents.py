@@ -1,5 +1,6 @@
 """Items, budgets, documents, names, contracts, sources and sinks."""
 
+import base64
 import datetime as dt
 import json
 import zlib
@@ -245,6 +246,43 @@ def test_files_over_the_limit_are_not_read(spark, tmp_path, monkeypatch):
     assert [r.file for r in pdf.scan_paths(spark, ["ok.pdf"], str(tmp_path)).collect()] == ["ok.pdf"]
 
 
+def lzw(data):
+    """Nine-bit codes only, so the table is cleared in time."""
+    codes = []
+    for k, byte in enumerate(data):
+        codes += [256] if k % 200 == 0 else []
+        codes.append(byte)
+    bits = "".join(f"{c:09b}" for c in [*codes, 257])
+    return bytes(int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8))
+
+
+def pdf_of(stream, keys="", fonts=""):
+    head = f"%PDF-1.7\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R] /Count 1 /Resources <</Font <<{'/F1 5 0 R' if fonts else ''}>> >> >> endobj\n3 0 obj <</Type /Page /Parent 2 0 R /Contents 4 0 R>> endobj\n"
+    return head.encode() + f"4 0 obj <</Length {len(stream)} {keys}>>\nstream\n".encode() + stream + b"\nendstream endobj\n" + fonts.encode()
+
+
+def test_streams_of_all_filters():
+    content = b"BT /F1 9 Tf (Total \\(EUR\\): 3,21) Tj ET " * 8
+    rows = zlib.compress(b"".join(b"\x02" + bytes((b - a) & 255 for a, b in zip(content[k - 16 : k] if k else bytes(16), content[k : k + 16], strict=False)) for k in range(0, len(content), 16)))
+    cases = {
+        "/Filter /FlateDecode": zlib.compress(content),
+        "/Filter /LZWDecode": lzw(content),
+        "/Filter [/ASCII85Decode /FlateDecode]": base64.a85encode(zlib.compress(content)) + b"~>",
+        "/Filter /ASCIIHexDecode": content.hex().encode() + b">",
+        "/Filter /RunLengthDecode": b"".join(bytes([len(c) - 1]) + c for c in (content[k : k + 100] for k in range(0, len(content), 100))) + bytes([257 - 3]) + b" " + bytes([128]),
+        "/Filter /FlateDecode /DecodeParms <</Predictor 12 /Columns 16>>": rows,
+        "": content,
+    }
+    for keys, stream in cases.items():
+        assert pdf.read_pages(pdf_of(stream, keys)) == ([" ".join(["Total (EUR): 3,21"] * 8)], 1), keys
+
+
+def test_fonts_with_maps():
+    cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0010> <0029> <0041> <0030> <0031> [<00F1> <00660069>] endbfrange"
+    fonts = f"5 0 obj <</Type /Font /Subtype /Type0 /ToUnicode 6 0 R>> endobj\n6 0 obj <</Length {len(cmap)}>>\nstream\n{cmap}\nendstream endobj\n"
+    assert pdf.read_pages(pdf_of(b"BT /F1 12 Tf <0015001000320003> Tj [<0030> -20 <0031>] TJ /F2 9 Tf (plain) Tj ET", fonts=fonts)) == (["FA  \u00f1fi plain"], 1)
+
+
 def test_one_limit_of_pages_for_reader_and_budget(spark):
     sent = spark.createDataFrame([("a.pdf", make_pdf([f"page {k}" for k in range(150)]))], "file string, content binary")
     for most, reason in ((200, None), (150, None), (100, "maxPages")):
