@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
+from ledgerleaf.functions.staging import staged
 from ledgerleaf.plans import rules as R
 
 
@@ -50,7 +51,8 @@ def rename_plan(rows: DataFrame, existing: DataFrame, file: str = "file", target
     keeps it.  All others get their name or its first free number, in the order
     of the files.  Names that renames set free are not used again.
 
-    Numbers come from ranks.  Only where a numbered name is also another file's
+    Numbers come from ranks, which are counted by range partitions, so that a
+    name that very many files wish for is not in one task.  Only where a numbered name is also another file's
     wish (``a-1`` beside ``a``) is the family of names with that root named one
     file after the other, each family in a task of its own.
     """
@@ -65,7 +67,7 @@ def rename_plan(rows: DataFrame, existing: DataFrame, file: str = "file", target
     part = lambda k: F.regexp_extract("name", r"\A(.*)-([1-9][0-9]{0,8})\.pdf\z", k)
     numbers = taken.select(part(1).alias("b"), part(2).try_cast("int").alias("n")).filter("n IS NOT NULL")
     used = numbers.union(taken.select(stem.alias("b"), F.lit(0).alias("n"))).groupBy("b").agg(F.array_sort(F.collect_set("n")).alias("used"))
-    ranked = todo.withColumn("k", F.row_number().over(Window.partitionBy(F.lower("t")).orderBy("file")) - 1)
+    ranked = _ranked(todo)
     placed = ranked.join(used, F.lower("base") == F.col("b"), "left")
     number = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
     plan = placed.select("file", "t", "base", "root", number.alias("number")).withColumn("new_name", F.when(F.col("number") == 0, F.col("t")).otherwise(F.concat("base", F.lit("-"), F.col("number").cast("string"), F.lit(".pdf"))))
@@ -76,6 +78,21 @@ def rename_plan(rows: DataFrame, existing: DataFrame, file: str = "file", target
     return plan.join(clashing, "root", "left_anti").select("file", "new_name").unionByName(settled)
 
 
+def _ranked(todo: DataFrame) -> DataFrame:
+    """``todo`` (file, t, base, root) with ``k``: how many files before, by name, wish for the same name.
+
+    Sorted ranges of (wish, file) are ranked by themselves; what a wish has in
+    the ranges before is a sum over at most a row a range.
+    """
+    dealt = todo.withColumn("wish", F.lower("t")).repartitionByRange("wish", "file").withColumn("part", F.spark_partition_id())
+    rows = staged(dealt, "rename-ranges")
+    counts = rows.groupBy("wish", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("wish").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("wish", "part", before.cast("int").alias("base_rank")).filter("base_rank > 0")
+    local = F.row_number().over(Window.partitionBy("wish", "part").orderBy("file")) - 1
+    return rows.withColumn("local", local).join(bases, ["wish", "part"], "left").select("file", "t", "base", "root", (F.col("local") + F.coalesce("base_rank", F.lit(0))).alias("k"))
+
+
 def _one_by_one(family: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
     """First free names in the order of the files."""
     used, out, tried = set(names["name"]), [], {}

@@ -146,6 +146,22 @@ def test_rename_plan(spark):
     assert sorted(map(tuple, naming.apply_plan(table, plan).collect())) == [("a.pdf", 1), ("f5", 2)]
 
 
+def test_a_name_that_very_many_files_wish_for(spark):
+    rows = [(f"f{k:05d}", "Same.pdf" if k % 3 else f"own{k}.pdf") for k in range(3000)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.createDataFrame(rows, "file string, new_name string")
+        got = {r.file: r.new_name for r in naming.rename_plan(df, df.select("file")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    same = [f for f, t in rows if t == "Same.pdf"]
+    assert [got[f] for f in same] == ["Same.pdf", *(f"Same-{k}.pdf" for k in range(1, len(same)))]
+    assert all(got[f] == t for f, t in rows if t != "Same.pdf")
+
+
 GOOD = {"documentType": "manual", "summary": "s", "fields": {"a": 1}, "lineItems": [{"description": "d", "quantity": 2}], "sections": [], "warnings": ["w"]}
 
 
