@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions.staging import shared_dir, shared_path, staged
+
+__all__ = ["shared_dir", "shared_path", "staged"]
+
 #: A word is a run of anything but these six ASCII blanks.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,47 +72,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session uses a temporary folder, one a process;
-    on a cluster that would be one machine's, so there it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_dir()
-
-
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/ledgerleaf/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage where a result is used more than once: the work is done
-    once, the files outlive lost executors, and later readers get column
-    pruning and size statistics.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_or_not(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Staged key rows, marked to be broadcast if they are at most ``most``, else to be joined by a shuffle."""
     return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
