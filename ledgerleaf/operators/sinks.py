@@ -54,12 +54,15 @@ def write_json(docs: DataFrame, path: str) -> None:
 
 def write_json_array(docs: DataFrame, path: str, order: str = "file") -> None:
     """Write documents as one JSON array in one part, by ``order``: for results that people open, as it is made by one task."""
-    lines = docs.select(F.col(order).alias("__order"), F.to_json(F.struct(*docs.columns)).alias("value")).repartition(1).sortWithinPartitions("__order").select("value")
+    lines = docs.select(F.col(order).alias("__order"), F.to_json(F.struct(*docs.columns)).alias("value"))
+    # A row that isn't written, so that the one task also runs for a table without rows.
+    none = docs.sparkSession.range(1).select(*[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in lines.columns])
+    lines = lines.unionByName(none).repartition(1).sortWithinPartitions("__order").select("value")
 
     def listed(batches):
         lead = "["
         for b in batches:
-            rows = [x.as_py() for x in b.column(0)]
+            rows = [x for x in b.column(0).to_pylist() if x is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([lead + rows[0], *("," + r for r in rows[1:])])], names=["value"])
                 lead = ","

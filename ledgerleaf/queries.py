@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 def query(sql: str, numbers: str = "", dates: str = ""):
     """Register a query under its name, with the SQL for its rows.
 
-    For comparison, decimal columns (``numbers``) are given as doubles and dates as texts on both sides.
+    For comparison, decimal columns (``numbers``) are given as doubles, and dates and whole numbers that may be null (``dates``) as texts, on both sides.
     """
     casts = [(c, "DOUBLE") for c in numbers.split()] + [(c, "VARCHAR") for c in dates.split()]
 
@@ -376,7 +376,7 @@ NUMBER_SQL = "CASE WHEN key < 100000 THEN lpad(CAST(key AS VARCHAR), 5, '0') ELS
 
 
 @query(f"""WITH {ORDERS_SQL} SELECT file, {ERRORS_SQL} AS error, CASE WHEN key % 8 < 4 THEN {NUMBER_SQL} END AS invoice_number, CASE WHEN key % 8 < 4 THEN total END AS total, CASE key % 8 WHEN 7 THEN 2 WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE 2 END AS pages,
-  CASE WHEN key % 8 < 4 THEN 'maxPages' END AS truncation_reason, CASE WHEN key % 8 < 4 THEN 'Página (2) ' || lpad(CAST(key AS VARCHAR), 4, '0') || '/' || yy END AS last FROM f""", numbers="total")
+  CASE WHEN key % 8 < 4 THEN 'maxPages' END AS truncation_reason, CASE WHEN key % 8 < 4 THEN 'Página (2) ' || lpad(CAST(key AS VARCHAR), 4, '0') || '/' || yy END AS last FROM f""", numbers="total", dates="pages")
 def pdf_documents(spark, sf_dir):
     """Bytes to rows: two of three pages are read, faults of files become error rows."""
     texts = documents.with_text(_files(spark, sf_dir), pdf.reader(), max_pages=2)
@@ -462,7 +462,7 @@ def llm_message(spark, sf_dir):
     return e.select("event_id", contract.reply_object(chat).isNotNull().alias("by_chat"), contract.reply_object(blocks, True).isNotNull().alias("by_blocks"))
 
 
-@query("""SELECT doc_id, coalesce(regexp_matches(text, '[^\\s\\x{00A0}]'), FALSE) AND doc_id % 3 <> 0 AS asked, CASE WHEN coalesce(regexp_matches(text, '[^\\s\\x{00A0}]'), FALSE) AND doc_id % 3 <> 0 THEN length(text) END AS n_sent, CASE WHEN doc_id % 2 = 0 THEN 'be brief' END AS system FROM documents""")
+@query("""SELECT doc_id, coalesce(regexp_matches(text, '[^\\s\\x{00A0}]'), FALSE) AND doc_id % 3 <> 0 AS asked, CASE WHEN coalesce(regexp_matches(text, '[^\\s\\x{00A0}]'), FALSE) AND doc_id % 3 <> 0 THEN length(text) END AS n_sent, CASE WHEN doc_id % 2 = 0 THEN 'be brief' END AS system FROM documents""", dates="n_sent")
 def model_requests(spark, sf_dir):
     """Who is sent to a model, and the body of the request by either API: blank texts are not sent."""
     d = render.load(spark, sf_dir, "documents")
@@ -502,7 +502,7 @@ def envelope_rows(spark, sf_dir):
 
 @query("""WITH d AS (SELECT doc_id, length(trim(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160)))) AS n FROM documents)
   SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND n >= 500 THEN 'maxPagesAndMaxChars' WHEN doc_id % 3 = 0 THEN 'maxPages' WHEN n >= 500 THEN 'maxChars' END AS reason, CASE WHEN doc_id % 3 = 0 OR n >= 500 THEN 500 END AS max_chars,
-  CASE WHEN doc_id % 3 = 0 OR n >= 500 THEN 200000 END AS allowed_chars, CASE WHEN doc_id % 3 = 0 OR n >= 500 THEN TRUE END AS asks FROM d""")
+  CASE WHEN doc_id % 3 = 0 OR n >= 500 THEN 200000 END AS allowed_chars, CASE WHEN doc_id % 3 = 0 OR n >= 500 THEN TRUE END AS asks FROM d""", dates="max_chars allowed_chars")
 def truncation_told(spark, sf_dir):
     """What a caller is told about a cut text; null if nothing was cut."""
     d = render.load(spark, sf_dir, "documents")

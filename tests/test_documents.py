@@ -380,7 +380,7 @@ def test_row_patterns_are_scanned_once(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_against_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "part", "supplier", "customer", "events", "documents", "pages", "conversations"):
+    for t in ("orders", "lineitem", "part", "supplier", "customer", "nation", "events", "documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
     a, b = queries.QUERIES[name](spark, small).toPandas(), con.execute(queries.ORACLES[name]).df()
     cols = sorted(a.columns)
