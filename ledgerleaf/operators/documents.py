@@ -70,7 +70,9 @@ def lacks_fields(docs: Column) -> Column:
 
 def unread(docs: DataFrame) -> DataFrame:
     """Documents that nothing was found in: no error, no total, no articles."""
-    return docs.filter(F.col("error").isNull() & F.col("total").isNull() & (F.coalesce(F.size("articles"), F.lit(0)) <= 0))
+    # Generated rows: the filter would else be pushed below and repeat the expressions that find fields.
+    found = docs.select(F.explode(F.array(F.struct(*docs.columns))).alias("d")).select("d.*")
+    return found.filter(F.col("error").isNull() & F.col("total").isNull() & (F.coalesce(F.size("articles"), F.lit(0)) <= 0))
 
 
 def needs_parser(files: DataFrame, docs: DataFrame, file: str = "file") -> DataFrame:
