@@ -14,10 +14,11 @@ nearest of the firsts it meets.  What that leaves apart is looked for in the
 buckets themselves: rows whose component differs from that of their bucket's
 first ("seekers") are compared by signature with the bucket's rows of other
 components, in blocks of bounded size.  Rows that have such a partner get
-their full sets, and every pair of partners is confirmed where it meets first;
-of the links found, each row gives one for each other component.  So all
-candidate pairs that could join two components are tested on full sets, but
-only links are written, and near copies in thousands stay a matter of blocks.
+their full sets, and every pair of partners is confirmed where it meets first,
+unless links found before it have joined their components; of the links between
+two components one is kept.  So all candidate pairs that could join two
+components are tested on full sets, but only links are written, and near copies
+in thousands stay a matter of blocks.
 
 A pair at exactly the threshold shares no bucket with probability
 (1 - 0.75**4)**32, about 5e-6, and fails the estimate (4.3 standard deviations
@@ -234,8 +235,10 @@ def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between rows of groups (bucket, xb, yb, id, label, seeks, signature, bands, members).
 
-    A pair is looked at in the first band in which its rows meet; of the rows
-    of one component that a seeker is linked with, the nearest is given.
+    A pair is looked at in the first band in which its rows meet.  Once a link
+    joins two components, further pairs between these are not looked at in this
+    group: its links are a forest over the components in it, however many rows
+    they have.
     """
     for group in _grouped(batches, 3):
         ids, labels, seeks, sig = _column(group, 3), _column(group, 4), _column(group, 5), _sig(group, 6)
@@ -246,8 +249,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = table.column(11).combine_chunks()
         values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         sizes = np.diff(ends)
-        a, b = [], []
+        joined = labels.copy()
+        a, b, of_a, of_b = [], [], [], []
         for x, y in _partners(labels, seeks, sig):
+            y = y[joined[y] != joined[x]]
             y = y[~(all_bands[y, :band] == all_bands[x, :band]).any(axis=1)]
             y = y[100 * np.minimum(sizes[y], sizes[x]) >= PERCENT * np.maximum(sizes[y], sizes[x])]
             if not len(y):
@@ -261,13 +266,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             linked = np.flatnonzero(100 * common >= PERCENT * union)
             if len(linked):
                 y, near = y[linked], common[linked] / union[linked]
-                order = np.lexsort((ids[y], -near, labels[y]))
+                order = np.lexsort((ids[y], -near, joined[y]))
                 y = y[order]
-                y = y[np.append(True, labels[y][1:] != labels[y][:-1])]
-                a.append(np.minimum(ids[x], ids[y]))
-                b.append(np.maximum(ids[x], ids[y]))
+                y = y[np.append(True, joined[y][1:] != joined[y][:-1])]
+                low = labels[x] < labels[y]
+                a.append(np.where(low, ids[x], ids[y]))
+                b.append(np.where(low, ids[y], ids[x]))
+                of_a.append(np.minimum(labels[x], labels[y]))
+                of_b.append(np.maximum(labels[x], labels[y]))
+                joined[np.isin(joined, joined[y])] = joined[x]
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, of_a, of_b)], names=["a", "b", "of_a", "of_b"])
 
 
 def full_sets(texts: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -347,7 +356,9 @@ def still_apart(texts: DataFrame, groups: DataFrame, rows: DataFrame, labels: Da
     sets = full_sets(texts, groups, staged(found.select("id").distinct(), "near-ids"))
     full = sets.join(groups.select(F.col("node").alias("id"), "bands"), "id")
     dealt = found.join(full, "id").select(*key, "id", "label", "seeks", *SIG, "bands", "members").repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(_links, "a long, b long").distinct()
+    # Of the links that groups give between the same two components, one is enough.
+    links = dealt.mapInArrow(_links, "a long, b long, of_a long, of_b long")
+    return links.groupBy("of_a", "of_b").agg(F.min(F.struct("a", "b")).alias("link")).select("link.a", "link.b")
 
 
 def linked_rows(texts: DataFrame) -> DataFrame:
