@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import exact_dedup, html_text, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, token_counts, warc
+from ledgerleaf.llm import divergence, exact_dedup, filter_audit, html_text, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity, warc
 from ledgerleaf.llm.common import table
 
 
@@ -61,6 +61,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_scores": op8_quality_scores,
     "op9_warc_archive": op9_warc_archive,
     "op10_near_dedup": op10_near_dedup,
+    "op11_toxicity_scores": op11_toxicity_scores,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +94,6 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op9_warc_archive": warc.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
