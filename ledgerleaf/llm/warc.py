@@ -28,8 +28,8 @@ COPIES_TOGETHER = 4096
 
 
 def _record_id(row: Column) -> Column:
-    """A name of its own for each record: the page's id, escaped, and the record's number."""
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(F.url_encode(row["page_id"].cast("string")), F.lit("")), F.lit("/"), row["at"].cast("string"), F.lit(">"))
+    """A name of its own for each record: the page's id, escaped (a null one as a lone sign of escape), and the record's number."""
+    return F.concat(F.lit("<urn:x-page:"), F.coalesce(F.url_encode(row["page_id"].cast("string")), F.lit("%")), F.lit("/"), row["at"].cast("string"), F.lit(">"))
 
 
 def _header(date: str) -> Column:
@@ -61,8 +61,9 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     digest = F.sha2("payload", 256).alias("digest")
     page.select(digest, "payload").groupBy("digest").agg(F.any_value("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
     rows = staged(page.select("page_id", "url", digest, F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("at")), "warc-rows")
-    first = rows.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    records = rows.join(first, "digest", "left").withColumn("record_type", F.when(F.col("first").isNotNull() & (F.col("first.at") != F.col("at")), "revisit").otherwise("response"))
+    first = rows.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    # Staged: a payload that very many pages have is joined between plain shuffles, which can be dealt anew, or broadcast.
+    records = rows.join(small_or_not(staged(first, "warc-first")), "digest", "left").withColumn("record_type", F.when(F.col("first").isNotNull() & (F.col("first.at") != F.col("at")), "revisit").otherwise("response"))
     records.select("page_id", "digest", _header(date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     return path
 
@@ -122,13 +123,14 @@ def parsed(records: DataFrame) -> DataFrame:
     field = lambda name: F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
     id_type = records.schema["page_id"].dataType
     kind = field("WARC-Type")
+    referred = F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:x-page:([^/>]*)/", 1)
     rebuilt = F.octet_length(record_bytes()) - F.octet_length(F.encode("header", "utf-8")) - 4
     return records.select(
         "page_id",
         F.when(kind == "revisit", F.col("payload_bytes")).otherwise(rebuilt.cast("long")).alias("payload_bytes"),
         F.regexp_replace(field("WARC-Payload-Digest"), r"\Asha256:", "").alias("payload_digest"),
         kind.alias("record_type"),
-        F.when(kind == "revisit", F.url_decode(F.nullif(F.regexp_extract(field("WARC-Refers-To"), "<urn:x-page:([^/>]*)/", 1), F.lit("")))).try_cast(id_type).alias("refers_to"),
+        F.when((kind == "revisit") & (referred != "%"), F.url_decode(F.nullif(referred, F.lit("%")))).try_cast(id_type).alias("refers_to"),
     )
 
 
