@@ -394,8 +394,9 @@ def linked_rows(texts: DataFrame) -> DataFrame:
 
     # Only sets with a link need the smallest row of their component; the others have it already.
     linked = staged(labels.join(groups.select(F.col("node").alias("id"), "set_key", "least"), "id"), "near-linked")
-    firsts = linked.groupBy("label").agg(F.min("least").alias("first"))
-    linked = linked.select("set_key", "label").join(firsts, "label").select("set_key", "first")
+    # Staged: a component with very many sets is joined between plain shuffles, which can be dealt anew, or broadcast.
+    firsts = staged(linked.groupBy("label").agg(F.min("least").alias("first")), "near-firsts")
+    linked = linked.select("set_key", "label").join(small_or_not(firsts), "label").select("set_key", "first")
     found = staged(groups.join(linked, "set_key", "left").select("set_key", F.coalesce("first", "least").alias("first")), "near-found")
     slim = features.select("at", "id", "n_shingles", "set_key")
     some = slim.filter("n_shingles > 0").join(found, "set_key").select("at", "id", "n_shingles", "first")
