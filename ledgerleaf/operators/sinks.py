@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
 from ledgerleaf.plans import rules as R
+from ledgerleaf.sources import files
 
 COLUMNS = ("file", "vendor", "invoice_number", "invoice_date", "subtotal", "tax", "total", "tax_label", "description", "units", "unit_price", "amount", "tax_rate")
 
@@ -69,3 +70,19 @@ def write_json_array(docs: DataFrame, path: str, order: str = "file") -> None:
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], names=["value"])
 
     lines.mapInArrow(listed, "value string").write.mode("overwrite").text(path)
+
+
+def write_csv_file(articles: DataFrame, path: str, header: tuple[str, ...] = R.CSV_HEADER, bom: bool = False, zeros: bool = True) -> None:
+    """Write an article table as the one CSV file ``path``, by file and position, with one header: see files.write_lines().
+
+    Rows of one document are next to each other; a document of very many
+    articles may be written by several tasks.
+    """
+    head = ("\ufeff" if bom else "") + ",".join(header) + "\n"
+    files.write_lines(csv_lines(articles, ("file", "pos"), zeros), path, ["file", "pos"], head=head)
+
+
+def write_json_file(docs: DataFrame, path: str, order: str = "file") -> None:
+    """Write documents as the one JSON array file ``path``, by ``order``, a document a line."""
+    lines = docs.select(F.col(order).alias("__order"), F.to_json(F.struct(*docs.columns)).alias("value"))
+    files.write_lines(lines, path, ["__order", "value"], lead=",", first="[", tail="]\n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
 from ledgerleaf.plans import rules as R
+from ledgerleaf.sources import files
 
 SCHEMA = "name string, payload string, max_pages int, max_chars int, prompt string"
 
@@ -25,6 +26,12 @@ def requests(rows: DataFrame, body: str = "value", schema: str = SCHEMA, most: i
 
 
 def read_requests(spark: SparkSession, path: str, schema: str = SCHEMA, most: int = R.REQUEST_BYTES) -> DataFrame:
-    """``error, request, content`` of JSON lines; ``content`` is the strict base64 payload, null if it isn't that."""
-    read = requests(spark.read.text(path), schema=schema, most=most)
-    return read.select("error", "request", T.strict_base64(F.col("request.payload")).alias("content"))
+    """``error, request, content`` of JSON lines; ``content`` is the strict base64 payload, null if it isn't that.
+
+    A line over the cap is never in memory as a whole: see files.read_lines().
+    """
+    lines = files.read_lines(spark, path, most)
+    read = requests(lines, schema=schema, most=most)
+    over = F.col("value").isNull()
+    error = F.when(over, "request_too_large").otherwise(F.col("error"))
+    return read.select(error.alias("error"), "request", T.strict_base64(F.col("request.payload")).alias("content"))
