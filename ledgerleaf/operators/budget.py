@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
@@ -55,11 +55,18 @@ def page_budget(pages: Column, declared: Column, max_pages: Column | int = R.DEF
 
 
 def gather_pages(df: DataFrame, doc: str, page_no: str, text: str, max_pages: int = R.DEFAULT_PAGES) -> DataFrame:
-    """``doc, declared, pages`` from a table with a row a page; pages beyond the limit are dropped before the shuffle."""
-    declared = df.groupBy(doc).agg(F.count("*").cast("int").alias("declared"), F.min(page_no).alias("__first"))
-    kept = df.join(declared, doc).filter(F.col(page_no) < F.col("__first") + max_pages)
-    pages = F.transform(F.array_sort(F.collect_list(F.struct(F.col(page_no), F.col(text)))), lambda x: x[text])
-    return kept.groupBy(doc).agg(F.max("declared").alias("declared"), pages.alias("pages"))
+    """``doc, declared, pages`` from a table with a row a page: the first ``max_pages`` that there are.
+
+    Pages stand by number, without a number last, those of one number by their
+    texts; gaps and repeats lose nothing, and ``declared`` counts all pages.
+    Pages beyond the limit are dropped before the shuffle.
+    """
+    # Ranks up to a limit are cut in each task first, so a document of very many pages isn't in one.
+    rank = F.row_number().over(Window.partitionBy(doc).orderBy(F.asc_nulls_last(page_no), F.asc_nulls_last(text)))
+    kept = df.select(F.col(doc), F.col(page_no), F.col(text)).withColumn("__nr", rank).filter(F.col("__nr") <= max_pages)
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("__nr", F.col(text)))), lambda x: x[text])
+    declared = df.groupBy(F.col(doc).alias("__doc")).agg(F.count("*").cast("int").alias("declared"))
+    return declared.join(kept.groupBy(doc).agg(pages.alias("pages")), F.col("__doc").eqNullSafe(F.col(doc))).select(doc, "declared", "pages")
 
 
 def truncation(result: Column) -> Column:

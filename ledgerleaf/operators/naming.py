@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,67 +42,121 @@ def new_name(vendor: Column, number: Column, date: Column, summary: Column, desc
 _ROOT = r"(?:-[1-9][0-9]{0,8})+\z"
 
 
-def rename_plan(rows: DataFrame, existing: DataFrame, file: str = "file", target: str = "new_name") -> DataFrame:
+def running_sum(df: DataFrame, by: str, order: list[str], value: str, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each one of its ``by``, in ``order``.
+
+    Sorted ranges are summed by themselves; what a ``by`` has in the ranges
+    before is a sum over at most a row a range.  So one with a third of all
+    rows is not in one task.
+    """
+    rows = staged(df.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    totals = rows.groupBy(by, "__part").agg(F.sum(value).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    # Only what goes on from one range into the next: at most a row a range.
+    bases = totals.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), before.alias("__base")).filter("__base > 0")
+    local = F.coalesce(F.sum(value).over(Window.partitionBy(by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.withColumn("__local", local).join(F.broadcast(bases), (F.col(by) == F.col("__by")) & (F.col("__part") == F.col("__p")), "left")
+    return out.select(*df.columns, (F.col("__local") + F.coalesce("__base", F.lit(0))).cast("long").alias(name))
+
+
+def _numbered(todo: DataFrame, used: DataFrame) -> DataFrame:
+    """``todo`` (file, t, base, root) with ``number``: of each base the free numbers, in the order of the files.
+
+    ``used`` has the numbers taken (b, n), 0 for the name itself.  Below the
+    j-th of them there are n - j free numbers, so the free number of rank k is k
+    plus how many have no more than k free ones below: ranks and taken numbers
+    are merged in one order and counted, however many there are of either.
+    """
+    taken = running_sum(used.withColumn("one", F.lit(1)), "b", ["n"], "one").select("b", (F.col("n") - F.col("before")).alias("v"), F.lit(0).alias("kind"), F.lit(1).alias("one"), *[F.lit(None).cast("string").alias(c) for c in ("file", "t", "base", "root")])
+    wishes = running_sum(todo.select(F.lower("base").alias("b"), "file", "t", "base", "root", F.lit(1).alias("one")), "b", ["file"], "one").select("b", F.col("before").alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("one"), "file", "t", "base", "root")
+    merged = running_sum(taken.unionByName(wishes), "b", ["v", "kind", "file"], "one")
+    return merged.filter("kind = 1").select("file", "t", "base", "root", (F.col("v") + F.col("before")).alias("number"))
+
+
+def rename_plan(rows: DataFrame, existing: DataFrame, file: str = "file", target: str = "new_name", reuse_freed: bool = False) -> DataFrame:
     """``file, new_name`` of the files to rename, without collisions.
 
     ``rows`` has files and wanted names (null: leave alone), ``existing`` the
     names in the folder.  A file that has its name already, in whatever case,
     keeps it.  All others get their name or its first free number, in the order
-    of the files.  Names that renames set free are not used again.
+    of the files.  Names of files that are renamed are used again only with
+    ``reuse_freed``; see rename_order() for the order that this needs.
 
-    Numbers come from ranks, which are counted by range partitions, so that a
-    name that very many files wish for is not in one task.  Only where a numbered name is also another file's
-    wish (``a-1`` beside ``a``) is the family of names with that root named one
-    file after the other, each family in a task of its own.
+    Numbers come from merged ranks.  Where a numbered name is also another
+    file's wish (``a-1`` beside ``a``) the first file by name has it, and the
+    other name's numbers are dealt anew without it; what a file has lost it
+    can't have again, so a few rounds end where one file after the other would.
     """
     # A generated row: names may come from long expressions, and filters on them would be pushed below and repeat these.
     wanted = rows.select(F.explode(F.array(F.struct(F.col(file).alias("file"), F.col(target).alias("t")))).alias("x")).select("x.file", "x.t").filter("file IS NOT NULL AND t IS NOT NULL")
     right = F.lower("file") == F.lower("t")
-    taken = existing.select(F.lower(F.col(file)).alias("name")).union(wanted.filter(right).select(F.lower("t"))).distinct()
-    stem = F.regexp_replace("name", r"\.pdf\z", "")
     todo = wanted.filter(~right).withColumn("base", F.regexp_replace("t", r"(?i)\.pdf\z", "")).withColumn("root", F.regexp_replace(F.lower("base"), _ROOT, ""))
+    todo = staged(todo, "rename-wishes")
+    there = existing.select(F.col(file).alias("name"))
+    if reuse_freed:
+        there = there.join(todo.select(F.col("file").alias("name")).distinct(), "name", "left_anti")
+    taken = there.select(F.lower("name").alias("name")).union(wanted.filter(right).select(F.lower("t"))).distinct()
 
     # The numbers that are taken for a base: 0 is the name itself.
     part = lambda k: F.regexp_extract("name", r"\A(.*)-([1-9][0-9]{0,8})\.pdf\z", k)
-    numbers = taken.select(part(1).alias("b"), part(2).try_cast("int").alias("n")).filter("n IS NOT NULL")
-    used = numbers.union(taken.select(stem.alias("b"), F.lit(0).alias("n"))).groupBy("b").agg(F.array_sort(F.collect_set("n")).alias("used"))
-    ranked = _ranked(todo)
-    placed = ranked.join(used, F.lower("base") == F.col("b"), "left")
-    number = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-    plan = placed.select("file", "t", "base", "root", number.alias("number")).withColumn("new_name", F.when(F.col("number") == 0, F.col("t")).otherwise(F.concat("base", F.lit("-"), F.col("number").cast("string"), F.lit(".pdf"))))
-    clashing = plan.groupBy("root", F.lower("new_name")).count().filter("count > 1").select("root").distinct()
-    families = todo.join(clashing, "root", "left_semi").select("root", "file", "t", "base")
-    names = taken.select(F.regexp_replace(stem, _ROOT, "").alias("root"), "name").join(clashing, "root", "left_semi")
-    settled = families.groupBy("root").cogroup(names.groupBy("root")).applyInPandas(_one_by_one, "file string, new_name string")
-    return plan.join(clashing, "root", "left_anti").select("file", "new_name").unionByName(settled)
-
-
-def _ranked(todo: DataFrame) -> DataFrame:
-    """``todo`` (file, t, base, root) with ``k``: how many files before, by name, wish for the same name.
-
-    Sorted ranges of (wish, file) are ranked by themselves; what a wish has in
-    the ranges before is a sum over at most a row a range.
+    numbers = taken.select(part(1).alias("b"), part(2).try_cast("long").alias("n")).filter("n IS NOT NULL")
+    used = staged(numbers.union(taken.select(F.regexp_replace("name", r"\.pdf\z", "").alias("b"), F.lit(0).cast("long").alias("n"))).distinct(), "rename-taken")
+    new = F.when(F.col("number") == 0, F.col("t")).otherwise(F.concat("base", F.lit("-"), F.col("number").cast("string"), F.lit(".pdf")))
+    settled = None
+    while True:
+        plan = staged(_numbered(todo, used).withColumn("new_name", new), "rename-round")
+        # A name is contested by as many bases as it has numbers to its end: few, whatever the number of files.
+        contested = plan.groupBy(F.lower("new_name").alias("name")).agg(F.min("file").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        lost = staged(plan.join(contested, F.lower("new_name") == F.col("name")).filter("file <> first").select("root", F.lower("base").alias("b"), F.col("number").alias("n")), "rename-lost")
+        again = lost.select("root").distinct()
+        done = plan.join(again, "root", "left_anti").select("file", "new_name")
+        settled = done if settled is None else settled.unionByName(done)
+        if lost.isEmpty():
+            return settled
+        todo = staged(todo.join(again, "root", "left_semi"), "rename-wishes")
+        used = staged(used.union(lost.select("b", "n")).distinct(), "rename-taken")
+
+
+def _followed(edges: DataFrame, rounds: int) -> DataFrame:
+    """``file, next, hops, least`` after 2^rounds steps along ``edges`` (file, next): how many there were, and the least file met.
+
+    Each round joins every path with the path of the same length that begins
+    where it ends; paths that have ended (null) take no part.
+    """
+    state = edges.select("file", "next", F.col("next").isNotNull().cast("long").alias("hops"), F.col("file").alias("least"))
+    for _ in range(rounds):
+        state = staged(state, "rename-paths")
+        ahead = state.select(F.col("file").alias("f"), F.col("next").alias("n"), F.col("hops").alias("h"), F.col("least").alias("l"))
+        on = state.filter("next IS NOT NULL").join(ahead, F.col("next") == F.col("f")).select("file", F.col("n").alias("next"), (F.col("hops") + F.col("h")).alias("hops"), F.least("least", "l").alias("least"))
+        state = on.unionByName(state.filter("next IS NULL"))
+    return staged(state, "rename-paths")
+
+
+def rename_order(plan: DataFrame) -> DataFrame:
+    """``step, file, new_name``: in the order of the steps every name is free when it is used.
+
+    A file whose new name is another's old one follows that other; the steps of
+    a chain are found by pointer doubling, in as many rounds as its length has
+    binary digits.  Of a ring the first file by name steps aside, under a name
+    of its own, before the others move up, and is the last to get its name.
+    Files that keep their name are left out.
     """
-    dealt = todo.withColumn("wish", F.lower("t")).repartitionByRange("wish", "file").withColumn("part", F.spark_partition_id())
-    rows = staged(dealt, "rename-ranges")
-    counts = rows.groupBy("wish", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("wish").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = counts.select("wish", "part", before.cast("int").alias("base_rank")).filter("base_rank > 0")
-    local = F.row_number().over(Window.partitionBy("wish", "part").orderBy("file")) - 1
-    return rows.withColumn("local", local).join(bases, ["wish", "part"], "left").select("file", "t", "base", "root", (F.col("local") + F.coalesce("base_rank", F.lit(0))).alias("k"))
-
-
-def _one_by_one(family: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-    """First free names in the order of the files."""
-    used, out, tried = set(names["name"]), [], {}
-    for f in family.sort_values("file").itertuples():
-        n, name = tried.get(f.t.lower(), 0), f.t
-        while (name := f"{f.base}-{n}.pdf" if n else f.t).lower() in used:
-            n += 1
-        tried[f.t.lower()] = n
-        used.add(name.lower())
-        out.append((f.file, name))
-    return pd.DataFrame(out, columns=["file", "new_name"])
+    moves = staged(plan.filter("file <> new_name").select("file", "new_name"), "rename-moves")
+    holders = moves.select(F.col("file").alias("next"), F.lower("file").alias("held"))
+    edges = moves.join(holders, (F.lower("new_name") == F.col("held")) & (F.col("file") != F.col("next")), "left").select("file", "new_name", "next").dropDuplicates(["file"])
+    edges = staged(edges, "rename-edges")
+    chained = edges.filter("next IS NOT NULL").count()
+    rounds = chained.bit_length()
+    paths = _followed(edges, rounds)
+    # What has not ended after as many steps as there are files goes in a ring.
+    rings = staged(paths.filter("next IS NOT NULL").select(F.col("file").alias("f"), F.col("least").alias("first")), "rename-rings")
+    cut = edges.join(rings, F.col("file") == F.col("f"), "left").withColumn("next", F.when(F.col("first").isNull() | (F.col("next") != F.col("first")), F.col("next"))).select("file", "new_name", "next", "first")
+    cut = staged(cut, "rename-cut")
+    steps = _followed(cut.select("file", "next"), rounds).select(F.col("file").alias("f"), (F.col("hops") + 1).alias("step"))
+    aside = F.concat(F.lit(".moving-"), F.sha2("file", 256))
+    ordered = cut.join(steps, F.col("file") == F.col("f")).withColumn("apart", F.coalesce(F.col("file") == F.col("first"), F.lit(False)))
+    moved = ordered.select("step", F.when(F.col("apart"), aside).otherwise(F.col("file")).alias("file"), "new_name")
+    return moved.unionByName(ordered.filter("apart").select(F.lit(0).cast("long").alias("step"), "file", aside.alias("new_name")))
 
 
 def apply_plan(rows: DataFrame, plan: DataFrame, file: str = "file") -> DataFrame:
