@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import maps
 from ledgerleaf.functions import text as T
-from ledgerleaf.operators import budget, contract, documents, fields, items, naming, sinks
-from ledgerleaf.plans import render, rule_table, templates
+from ledgerleaf.functions.staging import shared_path, staged
+from ledgerleaf.operators import budget, contract, documents, fields, items, line_functions, model_stage, naming, sinks, vendor_index
+from ledgerleaf.plans import induction, render, rule_table, templates
 from ledgerleaf.plans import rules as R
 from ledgerleaf.sources import pdf, settings, uploads
 
@@ -124,6 +128,27 @@ def vendor_detect(spark, sf_dir):
     return s.select(F.col("s_suppkey").alias("key"), fields.detect_vendor(F.concat_ws(" ", "s_name", said, F.lit("x"))).alias("vendor"))
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), v AS (SELECT s_name || ' Sucursal Núm. ' || b AS vendor, CAST((s_suppkey * 37 + b * 101) % 1000 AS INTEGER) AS priority, lower(s_name) || ' sucursal num. ' || b AS marker FROM supplier, range(1, 51) AS g(b)),
+  t AS (SELECT c_custkey AS key, lower(c_name) || ' ' || CASE c_custkey % 4 WHEN 3 THEN 'sucursal num. 7' ELSE lower(a.s_name) || ' sucursal num. ' || (c_custkey * 3 % 60) || ' ' || lower(b.s_name) || ' sucursal num. ' || (c_custkey * 7 % 50 + 1) END AS said
+    FROM customer CROSS JOIN n JOIN supplier a ON a.s_suppkey = c_custkey * 11 % n + 1 JOIN supplier b ON b.s_suppkey = c_custkey * 17 % n + 1),
+  m AS (SELECT key, arg_min(vendor, (priority, vendor)) AS vendor FROM t JOIN v ON contains(said, marker) GROUP BY key)
+  SELECT t.key, m.vendor FROM t LEFT JOIN m ON t.key = m.key""")
+def vendor_detect_many(spark, sf_dir):
+    """Fifty vendors a supplier: texts name two of them in other cases, blanks and accents, or something close to a name."""
+    s = render.load(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    n = s.count()
+    name = lambda supplier, branch: F.concat(supplier, F.lit(" Sucursal Núm. "), branch.cast("string"))
+    vendors = s.select("s_suppkey", "s_name", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("b"))
+    vendors = vendors.select(name(F.col("s_name"), F.col("b")).alias("vendor"), ((F.col("s_suppkey") * 37 + F.col("b") * 101) % 1000).cast("int").alias("priority"))
+    index = vendor_index.filed(vendors.select("vendor", "priority", vendor_index.phrase_pattern(F.col("vendor")).alias("marker")))
+    k = F.col("c_custkey")
+    c = render.load(spark, sf_dir, "customer").select("c_custkey", "c_name", (k * 11 % n + 1).alias("a"), (k * 17 % n + 1).alias("b"))
+    c = c.join(s.select(F.col("s_suppkey").alias("a"), F.col("s_name").alias("first")), "a").join(s.select(F.col("s_suppkey").alias("b"), F.col("s_name").alias("second")), "b")
+    both = F.concat(name(F.upper("first"), k * 3 % 60), F.lit("\n"), F.replace(F.replace(name(F.lower("second"), k * 7 % 50 + 1), F.lit(" "), F.lit(" \t ")), F.lit("ú"), F.lit("U")))
+    texts = c.select(k.alias("key"), F.concat_ws(" ", "c_name", F.when(k % 4 == 3, "Sucursal núm. 7").otherwise(both)).alias("text"))
+    return vendor_index.detect_vendors(texts, index, "key").select("key", "vendor")
+
+
 def _vendor_fields(spark, sf_dir, text):
     docs = render.orders(spark, sf_dir)
     docs = docs.select("key", fields.extract_fields(text(docs)).alias("f"))
@@ -247,21 +272,35 @@ def attribution(spark, sf_dir):
 # Budgets.
 
 
-@query("""WITH p AS (SELECT conv_id, turn, trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160))) AS t, min(turn) OVER (PARTITION BY conv_id) AS f FROM conversations),
-  q AS (SELECT * FROM p WHERE turn < f + 4 AND t <> ''), c AS (SELECT *, sum(least(length(t), 4000)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM q),
+PAGES_SQL = """WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY {number} NULLS LAST, text NULLS LAST) AS turn, trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160))) AS t FROM conversations),
+  q AS (SELECT * FROM p WHERE turn <= 4 AND t <> ''), c AS (SELECT *, sum(least(length(t), 4000)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM q),
   k AS (SELECT *, least(upto, 900) - least(upto - least(length(t), 4000), 900) AS take FROM c),
   j AS (SELECT conv_id, string_agg(substr(t, 1, CAST(take AS INTEGER)), chr(10) || chr(10) ORDER BY turn) FILTER (WHERE take > 0) AS joined, max(upto) AS used, bool_or(length(t) > 4000) AS cut FROM k GROUP BY conv_id),
   d AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
   SELECT d.conv_id, CAST(least(d.n, 4) AS INTEGER) AS pages, CASE WHEN length(coalesce(joined, '')) <= 900 THEN coalesce(joined, '') ELSE rtrim(substr(joined, 1, 899), concat(' ', chr(9), chr(10), chr(13))) || '…' END AS text,
   CASE WHEN d.n > 4 AND (coalesce(used, 0) >= 900 OR cut OR length(joined) > 900) THEN 'maxPagesAndMaxChars' WHEN d.n > 4 THEN 'maxPages' WHEN coalesce(used, 0) >= 900 OR cut OR length(joined) > 900 THEN 'maxChars' END AS truncation_reason
-  FROM d LEFT JOIN j ON d.conv_id = j.conv_id""")
+  FROM d LEFT JOIN j ON d.conv_id = j.conv_id"""
+
+
+@query(PAGES_SQL.format(number="turn"))
 def page_budget(spark, sf_dir):
     """Conversations as documents, turns as pages: at most four pages and 900 characters."""
-    pages = budget.gather_pages(render.load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 4)
+    return _paged(render.load(spark, sf_dir, "conversations"))
+
+
+def _paged(pages):
+    pages = budget.gather_pages(pages, "conv_id", "turn", "text", 4)
     r = pages.select("conv_id", budget.page_budget(F.col("pages"), F.col("declared"), 4, 900).alias("r"))
     return r.select("conv_id", "r.pages", "r.text", "r.truncation_reason")
 
 
+@query(PAGES_SQL.format(number="CASE WHEN turn % 4 = 3 THEN NULL ELSE turn * 5 % 7 END"))
+def page_gaps(spark, sf_dir):
+    """Page numbers with gaps, repeats and nulls: the first four pages that there are."""
+    number = F.when(F.col("turn") % 4 != 3, F.col("turn") * 5 % 7)
+    return _paged(render.load(spark, sf_dir, "conversations").withColumn("turn", number))
+
+
 @query("""SELECT doc_id, 1 AS pages, CASE WHEN length(text) > 4000 OR length(text) >= 3000 THEN 'maxChars' END AS truncation_reason, CAST(least(length(text), 3000) AS INTEGER) AS n_chars
   FROM (SELECT doc_id, trim(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160))) AS text FROM documents)""")
 def truncation_reason(spark, sf_dir):
@@ -575,3 +614,110 @@ def csv_without_zeros(spark, sf_dir):
     docs = docs.withColumns({c: F.when(F.col("key") % 2 == 0, F.col(c)).otherwise(nothing) for c in ("subtotal", "tax", "total")})
     rows = documents.article_rows(documents.document_rows(docs.select("file", render.miller(docs, lines=False).alias("text"))))
     return sinks.csv_lines(rows, ("file",), zeros=False)
+
+
+# Models, in runs that can be resumed; rules from samples; parsers as functions.
+
+
+def _said(body: str) -> str:
+    """A model for tests: it reads a request's text, and fails for some."""
+    text = json.loads(body)["messages"][-1]["content"].split("\n")[1]
+    who, _, balance = text.partition("|")
+    if who.endswith("7"):
+        raise ConnectionError(text)
+    said = {"documentType": "letter" if who.endswith("3") else "invoice", "summary": who, "fields": {"invoiceNumber": f"N-{who}", "total": balance}, "lineItems": [], "sections": [], "warnings": []}
+    return json.dumps({"choices": [{"message": {"content": json.dumps(said)}}]})
+
+
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment || '#' || c_nationkey || (c_custkey % 3) AS who, CAST(c_nationkey AS VARCHAR) || '.50' AS total FROM customer)
+  SELECT c_custkey AS key, CASE WHEN who LIKE '%7' THEN 'ConnectionError' END AS error, CASE WHEN who LIKE '%7' OR who LIKE '%3' OR c_custkey % 11 = 0 THEN NULL ELSE 'N-' || who END AS number, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN who LIKE '%7' OR who LIKE '%3' THEN NULL ELSE CAST(total AS DECIMAL(12,2)) END AS total, 1 AS n_calls
+  FROM c WHERE c_custkey % 11 <> 0""", numbers="total")
+def model_stage_resumed(spark, sf_dir):
+    """Customers' texts put to a model in two runs, of which the first ends half-way; equal texts share a call, blank ones have none."""
+    c = render.load(spark, sf_dir, "customer")
+    who = F.concat("c_mktsegment", F.lit("#"), F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 3).cast("string"))
+    text = F.when(F.col("c_custkey") % 11 != 0, F.concat(who, F.lit("|"), F.col("c_nationkey").cast("string"), F.lit(",50"))).otherwise(F.lit(" "))
+    texts = c.select(F.col("c_custkey").cast("string").alias("file"), text.alias("text"))
+    model = model_stage.Model(_said, shared_path(spark, "replies"), tries=1, per_wave=200, most=150)
+    asked = staged(model_stage.requests(texts, model), "asked")
+    model_stage.ask(asked.select("request", "body"), model)
+    answers = staged(model_stage.replies(texts, dataclasses.replace(model, most=None)), "answers")
+    found = model_stage.model_rows(answers)
+    good = model_stage.stored(spark, model.store).filter("ok").groupBy("request").agg(F.count("*").cast("int").alias("n"))
+    calls = answers.join(good.withColumnRenamed("request", "r"), F.col("request") == F.col("r"), "left")
+    both = calls.join(found.withColumnRenamed("file", "f"), F.col("file") == F.col("f"))
+    return both.select(F.col("file").cast("long").alias("key"), "error", "number", "total", F.coalesce("n", F.lit(1)).alias("n_calls"))
+
+
+def _unseen_layout(docs: DataFrame) -> Column:
+    """A layout that no rule knows: other labels, another date and a total to pay that isn't the first amount."""
+    return F.concat(
+        F.lit("AGUAS DEL ESTE\nReferencia interna X"), (F.col("key") % 97).cast("string"), F.lit("\nDocumento núm. R"), F.col("number"), F.lit("\nVence el "), F.date_format(F.date_add("date", 30), "dd/MM/yyyy"), F.lit(" Expedido con fecha "), F.date_format("date", "dd-MM-yyyy"),
+        F.lit("\nConsumo 12,50\nImporte sin impuestos "), render.number(F.col("subtotal"), 2), F.lit("\nImpuesto repercutido "), render.number(F.col("tax"), 2), F.lit(" EUR\nSe abonará la suma de "), render.number(F.col("total"), 2), F.lit("\n"),
+    )
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT key, 'aguasdeleste' AS vendor, 'R' || CASE WHEN key < 10000 THEN lpad(CAST(key AS VARCHAR), 4, '0') ELSE substr(CAST(key AS VARCHAR), 1, 4) END || '/' || yy AS invoice_number, date AS invoice_date, subtotal, tax, total FROM f""", numbers="subtotal tax total", dates="invoice_date")
+def rules_induced(spark, sf_dir):
+    """A vendor's rules made from samples with known values, stored beside the others, read back and applied."""
+    docs = render.orders(spark, sf_dir)
+    docs = staged(docs.withColumn("text", _unseen_layout(docs)).withColumn("number", F.concat(F.lit("R"), "number")), "induction-docs")
+    table = induction.learned(rule_table.as_table(spark), docs, "Aguas del Este", ["AGUAS DEL ESTE"])
+    vendors = rule_table.vendors_of(table)
+    found = docs.select("key", T.bind(F.col("text"), lambda t: fields.vendor_fields(t, fields.detect_vendor(t, vendors), vendors)).alias("f"))
+    return found.select("key", "f.vendor", "f.invoice_number", "f.invoice_date", F.col("f.totals.subtotal").alias("subtotal"), F.col("f.totals.tax").alias("tax"), F.col("f.totals.total").alias("total"))
+
+
+def _empark_lines(text: str) -> list[dict]:
+    """One vendor's items as a function."""
+    body = text.partition("Detalle de Facturación")[2].partition("Detalle del IGIC")[0]
+    return [dict(zip(("description", "units", "unit_price", "amount", "tax_rate"), (m[1].strip(), m[2], *(x.replace(".", "").replace(",", ".") for x in m.groups()[2:])), strict=True)) for m in re.finditer(r"(.+?)(\d+) ([\d.,]+) ([\d.,]+) ([\d.,]+) %", body)]
+
+
+@query(f"""WITH {LINES_SQL} SELECT key, CASE WHEN key % 2 = 0 THEN 'empark' ELSE 'acastimar' END AS vendor, pos, name AS description, units, price AS unit_price, amount FROM l""", numbers="units unit_price amount")
+def line_functions_beside_layouts(spark, sf_dir):
+    """Half of the documents go to a registered function, the others to their compiled layout."""
+    docs = render.with_lines(spark, sf_dir)
+    by_function = F.col("key") % 2 == 0
+    texts = docs.select("key", F.when(by_function, "empark").otherwise("acastimar").alias("vendor"), F.when(by_function, render.empark(docs)).otherwise(render.acastimar(docs)).alias("text"))
+    rows = line_functions.vendor_lines(texts, {"empark": _empark_lines})
+    return rows.select("key", "vendor", (F.col("place") + 1).cast("long").alias("pos"), "description", "units", "unit_price", "amount")
+
+
+@query("""SELECT c_custkey AS key, CASE WHEN c_custkey % 5 = 4 THEN 'no_such_key' WHEN c_custkey % 5 = 3 THEN 'Sólo aquí: {n}' WHEN c_mktsegment = 'BUILDING' AND c_custkey % 5 < 2 THEN 'Saved ' || c_name || ' in ' || c_nationkey || ' ({n})' ELSE 'Guardado ' || c_name || ' en ' || c_nationkey END AS said FROM customer""")
+def message_columns(spark, sf_dir):
+    """Two catalogs with gaps: a missing language or key falls back on Spanish, then on the key; names are filled in."""
+    catalogs = {"es": {"saved": "Guardado {who} en {where}", "only": "Sólo aquí: {n}"}, "en": {"saved": "Saved {who} in {where} ({n})", "only": ""}}
+    k = F.col("c_custkey") % 5
+    key = F.when(k == 4, "no_such_key").when(k == 3, "only").otherwise("saved")
+    lang = F.when((F.col("c_mktsegment") == "BUILDING") & (k != 2), "en").when(k == 1, "fr").when(k == 0, "es")
+    params = F.create_map(F.lit("who"), F.col("c_name"), F.lit("where"), F.col("c_nationkey").cast("string"))
+    return render.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), settings.message_column(catalogs, key, lang, params).alias("said"))
+
+
+@query(f"""WITH {ORDERS_SQL}, t AS (SELECT key, lower(strftime(date, '%Y-%m')) AS base FROM f), r AS (SELECT key, base, row_number() OVER (PARTITION BY base ORDER BY 'order-' || key || '.pdf') - 1 AS k FROM t)
+  SELECT 'order-' || key || '.pdf' AS file, CASE WHEN k = 0 THEN base || '.pdf' ELSE base || '-' || (2 * k) || '.pdf' END AS new_name FROM r""")
+def rename_numbers(spark, sf_dir):
+    """Few names that very many files wish for, of which every odd number is taken."""
+    d = render.orders(spark, sf_dir)
+    wished = d.select("file", F.concat(F.date_format("date", "yyyy-MM"), F.lit(".pdf")).alias("new_name"))
+    n = d.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    taken = n.select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n")), lambda i: F.concat("month", F.lit("-"), (2 * i + 1).cast("string"), F.lit(".pdf")))).alias("file"))
+    return naming.rename_plan(wished, d.select("file").union(taken))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, count(*) OVER () AS n FROM part)
+  SELECT 'p' || k || '.pdf' AS file, 'p' || (CASE WHEN k % 10 = 9 OR k = n THEN k - k % 10 ELSE k + 1 END) || '.pdf' AS new_name, CASE WHEN k % 10 = 9 OR k = n THEN 1 ELSE NULL END AS last FROM p WHERE k >= 10 AND k < n - n % 10""", dates="last")
+def rename_rings(spark, sf_dir):
+    """Files in rings of ten that each wish for the next one's name: an order in which all of them get it."""
+    p = render.load(spark, sf_dir, "part")
+    n = p.count()
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"), F.lit(".pdf"))
+    rows = p.filter((k >= 10) & (k < n - n % 10)).select(name(k).alias("file"), name(F.when(k % 10 == 9, k - k % 10).otherwise(k + 1)).alias("new_name"))
+    plan = naming.rename_plan(rows, rows.select("file"), reuse_freed=True)
+    order = naming.rename_order(plan)
+    moves = order.filter(~F.col("file").startswith(".moving-")).join(order.filter(F.col("file").startswith(".moving-")).select(F.col("file").alias("aside"), F.col("new_name").alias("at_last")), F.col("new_name") == F.col("aside"), "left")
+    number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("int")
+    made = moves.select("file", F.coalesce("at_last", "new_name").alias("new_name"))
+    return made.select("file", "new_name", F.when(number("file") % 10 == 9, 1).alias("last"))

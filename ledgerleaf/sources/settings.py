@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.plans import rules as R
@@ -33,6 +33,23 @@ def message(catalogs: Mapping[str, Mapping[str, str]], key: str, lang: str, **pa
     return text
 
 
+def message_column(catalogs: Mapping[str, Mapping[str, str]], key: Column, lang: Column, params: Column | None = None) -> Column:
+    """Messages by columns: that of the language, else the Spanish one, else the key; null only for a null key.
+
+    Catalogs become one map literal.  ``params`` maps names to texts; each
+    ``{name}`` is replaced literally, in the order of the names, by its value
+    (null: an empty text).
+    """
+    entries = [F.lit(x) for code, texts in catalogs.items() for k, v in texts.items() for x in (f"{code}\n{k}", v)]
+    known = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+    found = lambda code: F.nullif(F.element_at(known, F.concat_ws("\n", code, key)), F.lit(""))
+    text = F.when(key.isNotNull(), F.coalesce(F.when(lang.isNotNull(), found(lang)), found(F.lit("es")), key))
+    if params is None:
+        return text
+    pairs = F.array_sort(F.map_entries(F.coalesce(params, F.create_map().cast("map<string,string>"))))
+    return F.aggregate(pairs, text, lambda t, p: F.replace(t, F.concat(F.lit("{"), p["key"], F.lit("}")), F.coalesce(p["value"], F.lit(""))))
+
+
 def detect_language(environment: Mapping[str, str]) -> str:
     """es or en, by the first of the usual settings that is there."""
     said = next((environment[k] for k in ("LEDGERLEAF_LANG", "LC_ALL", "LC_MESSAGES", "LANG") if environment.get(k)), "")
