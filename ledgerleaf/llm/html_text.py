@@ -57,7 +57,10 @@ _ANY_SCREEN = re.compile(r"\s*(?:only\s+)?(?:all|screen)?\s*$", re.I)
 #: A selector that holds only while a visitor does something, or for a part that is not an element.
 _NOT_AT_REST = re.compile(r"::|:(?:hover|focus|active|target|checked|before|after|first-l)", re.I)
 _HIDING = {"display": re.compile("none$"), "visibility": re.compile("(?:hidden|collapse)$"), "opacity": re.compile(r"0(?:\.0*)?$"), "font-size": re.compile("0(?:px|em|pt|%)?$")}
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0(?:\.0*)?|font-size\s*:\s*0(?:px|em|pt|%)?)\s*(?:!important\s*)?(?:;|$)", re.I)
+#: Properties that children inherit and may undo; a size in parts of nothing is still nothing.
+_INHERITED = ("visibility", "font-size")
+_OF_PARENT = re.compile(r"(?:[\d.]+(?:em|ex|ch|%)|inherit|smaller|larger|unset)\s*$")
+_ABSOLUTE = "font-size, absolute"
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?$", re.I)
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
@@ -102,12 +105,10 @@ class Sheet:
                     holds.pop()
 
     def _rule(self, selectors: str, body: str, holds: bool) -> None:
-        found = {}
-        for one in body.lower().split(";"):
-            name, _, value = one.partition(":")
-            if (name := name.strip()) in _HIDING:
-                value, important, _ = value.partition("!")
-                found[name] = bool(_HIDING[name].match(value.strip())), bool(important)
+        found, relative = {}, False
+        for name, value, important in _declared(body):
+            found[name] = bool(_HIDING[name].match(value)), important
+            relative = bool(_OF_PARENT.match(value)) if name == "font-size" else relative
         if not found:
             return
         self.place += 1
@@ -122,6 +123,8 @@ class Sheet:
             needs = frozenset([tag.group().lower()] if tag else []) | frozenset(re.findall(r"[.#][\w-]+", last))
             for name, (hides, important) in found.items():
                 w = (important, *weight)
+                if name == "font-size" and not hides and not relative:
+                    self.shows.setdefault(min(needs, default="*"), []).append((needs, _ABSOLUTE, w))
                 if not hides:
                     self.shows.setdefault(min(needs, default="*"), []).append((needs, name, w))
                 elif simple and holds:
@@ -129,25 +132,38 @@ class Sheet:
                     mine = self.hides.setdefault(key, {})
                     mine[name] = max(w, mine.get(name, w))
 
-    def hidden(self, tag: str, attrs: dict[str, str]) -> bool:
-        names = [tag, *("." + c for c in attrs.get("class", "").split())]
-        if attrs.get("id"):
-            names.append("#" + attrs["id"])
+    def hiding(self, tag: str, attrs: dict[str, str]) -> set[str]:
+        """The properties by which the sheets hide an element."""
+        names = _names(tag, attrs)
         against: dict[str, tuple] = {}
         for x in (*names, *(tag + x for x in names[1:])):
             for name, w in self.hides.get(x, {}).items():
                 against[name] = max(w, against.get(name, w))
         if not against:
-            return False
-        own = {name.strip().lower() for name in (d.partition(":")[0] for d in attrs.get("style", "").split(";"))}
+            return set()
+        own = {name for name, _, _ in _declared(attrs.get("style", ""))}
+        # The element's own style comes before what a sheet says of a property.
+        return {name for name, w in against.items() if (name not in own or w[0]) and not self.showing(names, name, w)}
+
+    def showing(self, names: list[str], name: str, than: tuple = ()) -> bool:
+        """Whether a rule of more weight ``than`` this may show an element with these names by a property."""
         have = frozenset(names)
-        for name, w in against.items():
-            # The element's own style hides nothing here, so that it shows if it has the property.
-            if name in own and not w[0]:
-                continue
-            if not any(n == name and v > w and needs <= have for x in (*have, "*") for needs, n, v in self.shows.get(x, ())):
-                return True
-        return False
+        return any(n == name and v > than and needs <= have for x in (*have, "*") for needs, n, v in self.shows.get(x, ()))
+
+
+def _names(tag: str, attrs: dict[str, str]) -> list[str]:
+    return [tag, *("." + c for c in attrs.get("class", "").split()), *(["#" + attrs["id"]] if attrs.get("id") else [])]
+
+
+def _declared(style: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of the declarations that may hide; the last of a property counts."""
+    out = {}
+    for one in style.lower().split(";"):
+        name, _, value = one.partition(":")
+        if (name := name.strip()) in _HIDING:
+            value, important, _ = value.partition("!")
+            out[name] = (name, value.strip(), bool(important))
+    return list(out.values())
 
 
 def _any_screen(media: str) -> int:
@@ -403,20 +419,33 @@ class _Flow:
         self.gap = max(self.gap, gap)
 
 
-def _hides(node: Node, hidden: Sheet) -> bool:
+def _shown(node: Node, sheet: Sheet, unseen: frozenset[str]) -> frozenset[str] | None:
+    """The inherited properties that hide what is in a node, of a parent with ``unseen``; None if nothing in it can be seen."""
     tag, attrs = node.tag, node.attrs
     if tag in NEVER_SHOWN:
-        return True
-    if not attrs and not hidden:
-        return False
+        return None
+    if not attrs and not sheet and not unseen:
+        return unseen
     if "hidden" in attrs and attrs["hidden"].lower() != "until-found":
-        return True
+        return None
     if tag == "input" and attrs.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in attrs:
-        return True
-    style = attrs.get("style")
-    if style and _HIDES.search(style):
-        return True
-    return hidden.hidden(tag, attrs) if hidden else False
+        return None
+    own = {name: value for name, value, _ in _declared(attrs["style"])} if attrs.get("style") else {}
+    hiding = {name for name, value in own.items() if _HIDING[name].match(value)}
+    if sheet:
+        hiding |= sheet.hiding(tag, attrs)
+    if not hiding <= set(_INHERITED):
+        return None
+    if unseen:
+        names = _names(tag, attrs)
+        unseen = frozenset(p for p in unseen if p in hiding or not _undone(p, own, names, sheet))
+    return unseen | hiding if hiding else unseen
+
+
+def _undone(name: str, own: dict[str, str], names: list[str], sheet: Sheet) -> bool:
+    if name in own:
+        return own[name] == "visible" if name == "visibility" else not _OF_PARENT.match(own[name])
+    return sheet.showing(names, _ABSOLUTE if name == "font-size" else name)
 
 
 def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[list[list[str]]]:
@@ -469,24 +498,35 @@ def render(root: Node, hidden: Sheet) -> str:
     tables: list[list[list[tuple[list[str], int, int]]]] = []  # rows of cells, each its lines and spans
     lists: list[list] = []  # [ordered, number, indent before]
     pre = 0
-    # A step is a node to enter, or a function to call on leaving.
+    unseen: frozenset[str] = frozenset()  # inherited properties that hide the texts here
+    # A step is a node to enter, a function to call on leaving, or what was unseen around a node.
     steps: list = [root]
     while steps:
         x = steps.pop()
+        if isinstance(x, frozenset):
+            unseen = x
+            continue
         if callable(x):
             flow, pre = x(flow, pre)
             continue
         if isinstance(x, str):
-            flow.literal(x) if pre else flow.words(x)
+            if unseen:
+                flow.pending = True
+            else:
+                flow.literal(x) if pre else flow.words(x)
             continue
-        if _hides(x, hidden):
+        inside = _shown(x, hidden, unseen)
+        if inside is None:
             continue
+        if inside != unseen:
+            steps.append(unseen)
+            unseen = inside
         tag, children = x.tag, x.children
         if tag == "br":
             flow.new_line(force=True)
             continue
         if tag == "input":
-            if x.attrs.get("type", "").lower() in ("submit", "button", "reset") and x.attrs.get("value"):
+            if x.attrs.get("type", "").lower() in ("submit", "button", "reset") and x.attrs.get("value") and not unseen:
                 flow.words(x.attrs["value"])
             continue
         if tag == "wbr" or tag in VOID and tag != "hr":
@@ -521,6 +561,8 @@ def render(root: Node, hidden: Sheet) -> str:
             tables.append([])
 
             def leave_table(f, p):
+                # What stands in a table but in no cell is before it.
+                f.new_line()
                 for line in _table(tables.pop()):
                     f.line.append(line)
                     f.kept = True
@@ -547,6 +589,8 @@ def render(root: Node, hidden: Sheet) -> str:
             before = flow.indent
             outer = own[2] if own else flow.indent
             bullet = "- "
+            if own and re.fullmatch(r"-?[0-9]{1,9}", x.attrs.get("value", "")):
+                own[1] = int(x.attrs["value"])
             if own and own[0]:
                 bullet = f"{own[1]}. "
                 own[1] += 1
@@ -585,7 +629,7 @@ def render(root: Node, hidden: Sheet) -> str:
             gap = 1 if tag in SPACED else 0
             flow.new_line(gap)
             steps.append(lambda f, p, gap=gap: (f.new_line(gap), (f, p))[1])
-        elif tag == "q":
+        elif tag == "q" and not unseen:
             flow.words("“")
             steps.append(lambda f, p: (f.words("”"), (f, p))[1])
         steps.extend(reversed(children))

@@ -285,3 +285,56 @@ def test_edge_rows_of_the_operators_on_texts(spark):
     got = html_text.extract_text(pages).collect()
     assert sorted(r.n_chars for r in got) == [0, len(long), len(long)]
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div style="visibility:hidden">a<span style="visibility:visible">SEEN</span>b</div>', "SEEN"),
+        ('<div style="visibility:hidden">a<p style="visibility:inherit">b<i style="VISIBILITY: Visible">c</i></div>d', "c\n\nd"),
+        ("<style>.h{visibility:hidden} .h .v{visibility:visible}</style><div class=h>no<b class=v>yes</b>no</div>after", "yes\nafter"),
+        ('<div style="font-size:0">a<span style="font-size:12px">b</span><span style="font-size:2em">c</span><span style="font-size:100%">d</span></div>', "b"),
+        ("<style>.t{font-size:0}.n{font-size:14px}.e{font-size:1em}</style><p class=t>a<span class=n>b</span><span class=e>c</span>", "b"),
+        ('<div style="display:none">a<span style="display:inline;visibility:visible">b</span></div>c', "c"),
+        ('<div style="opacity:0">a<b style="opacity:1">b</b></div>c', "c"),
+        ('<p style="visibility:hidden">a<q>b</q><input type=submit value=c></p>d', "d"),
+        ("<table>loose<tr><td>x</table>", "loose\n\nx"),
+        ("<p>before<table>loose <b>bold</b><tr><td>x<td>y</table>after", "before\n\nloose bold\n\nx  y\n\nafter"),
+        ("<ol><li>a<li value=9>b<li>c<li value=x>d</ol>", "1. a\n9. b\n10. c\n11. d"),
+        ("<ul><li value=3>a</ul>", "- a"),
+    ],
+)
+def test_inherited_visibility_loose_texts_and_numbers(html, text):
+    got = html_text.html_to_text(html)
+    assert "\n".join(x for x in got.split("\n") if x) == "\n".join(x for x in text.split("\n") if x)
+
+
+def test_visible_words_of_random_trees():
+    """Against a plain recursion that knows only what is inherited and what is not."""
+    rng = random.Random(21)
+    styles = ["", "", "", "visibility:hidden", "visibility:visible", "visibility:inherit", "font-size:0", "font-size:10px", "font-size:2em", "display:none", "display:block", "opacity:0", "color:red;visibility:collapse", "font-size:0px!important"]
+    tags = ["div", "span", "p", "b", "section", "blockquote", "em"]
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"w{rng.randrange(10**6)}"
+        return (rng.choice(tags if depth > 2 else ["span", "b", "em"]), rng.choice(styles), [make(depth - 1) for _ in range(rng.randrange(1, 4))])
+
+    def markup(x):
+        return x if isinstance(x, str) else f'<{x[0]} style="{x[1]}">{" ".join(map(markup, x[2]))}</{x[0]}>'
+
+    def words(x, hidden=False, tiny=False):
+        if isinstance(x, str):
+            return [] if hidden or tiny else [x]
+        style = x[1]
+        if "display:none" in style or "opacity:0" in style:
+            return []
+        hidden = True if "hidden" in style or "collapse" in style else False if "visible" in style else hidden
+        tiny = True if "font-size:0" in style else False if "10px" in style else tiny
+        return [w for c in x[2] for w in words(c, hidden, tiny)]
+
+    for _ in range(400):
+        tree = ("div", "", [make(5) for _ in range(3)])
+        # A paragraph ends where a block begins in it, so that its style is not inherited: such trees are left out of this test.
+        html = markup(tree).replace("<p ", "<article ").replace("</p>", "</article>")
+        assert html_text.html_to_text(html).split() == words(tree), html
