@@ -54,7 +54,8 @@ def strip_controls(c: Column) -> Column:
 
 def safe_string(c: Column) -> Column:
     """One line: controls as blanks, blanks collapsed, trimmed; null as empty."""
-    return trim_blanks(collapse_blanks(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1F\x7F]", " ")))
+    # One pass: controls are blanks here, and what is left at the edges is one space.
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"[\x00-\x1F\x7F{BLANK}]+", " "))
 
 
 def null_if_empty(c: Column) -> Column:

@@ -315,7 +315,7 @@ def truncation_reason(spark, sf_dir):
 @query("""SELECT doc_id, regexp_replace(trim(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160))), '[\\s\\x{00A0}]+', ' ', 'g') AS one_line,
   CASE WHEN length(text) <= 120 THEN text ELSE rtrim(substr(text, 1, 119), concat(' ', chr(9), chr(10), chr(13), chr(160))) || '…' END AS short FROM documents""")
 def text_clean(spark, sf_dir):
-    d = render.load(spark, sf_dir, "documents")
+    d = render.spread(render.load(spark, sf_dir, "documents"), "doc_id")
     return d.select("doc_id", T.safe_string(F.col("text")).alias("one_line"), T.truncated(F.col("text"), 120).alias("short"))
 
 
@@ -359,7 +359,7 @@ def rename_plan(spark, sf_dir):
 @query("""SELECT event_id, event_id % 8 IN (0, 1) AS kept, CASE WHEN event_id % 8 IN (0, 1) THEN 'invoice' END AS document_type, CASE WHEN event_id % 8 IN (0, 1) THEN event_type END AS summary FROM events""")
 def llm_contract(spark, sf_dir):
     """Replies that keep the contract, bare or fenced; all others are refused whole."""
-    e = render.load(spark, sf_dir, "events")
+    e = render.spread(render.load(spark, sf_dir, "events"), "event_id")
     k = F.col("event_id") % 8
     full = lambda kind, warnings: F.concat(F.lit('{"documentType":"' + kind + '","summary":"'), "event_type", F.lit('","fields":'), "props", F.lit(',"lineItems":[],"sections":[],"warnings":' + warnings + "}"))
     good = full("invoice", '["w"]')
