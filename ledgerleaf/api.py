@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,22 @@ def process(
     return docs
 
 
-def renames(docs: DataFrame) -> DataFrame:
+def renames(docs: DataFrame, reuse_freed: bool = False) -> DataFrame:
     """``file, new_name``: how the files of a processed folder may be renamed without collisions."""
-    return naming.rename_plan(docs.filter(F.col("error").isNull()).select("file", "new_name"), docs.select("file"))
+    return naming.rename_plan(docs.filter(F.col("error").isNull()).select("file", "new_name"), docs.select("file"), reuse_freed=reuse_freed)
+
+
+def apply_renames(plan: DataFrame, folder: str) -> int:
+    """Carry out a plan in a local folder, in the order that keeps every name free when it is used; how many moves that took.
+
+    A name that something else has meanwhile ends it with FileExistsError: no
+    file is ever overwritten.
+    """
+    moves = 0
+    for r in naming.rename_order(plan).orderBy("step", "file").toLocalIterator():
+        old, new = os.path.join(folder, r["file"]), os.path.join(folder, r["new_name"])
+        if os.path.exists(new) and not os.path.samefile(old, new):
+            raise FileExistsError(new)
+        os.rename(old, new)
+        moves += 1
+    return moves

@@ -124,3 +124,29 @@ def test_process_and_extract_reach_the_stage(spark, tmp_path):
     got = {r.file: r for r in api.extract(pdf.scan_folder(spark, str(folder)), reader=read, model=model).collect()}
     assert json.loads(got["a.pdf"].structured)["fields"]["invoiceNumber"] == "M-9" and got["c.pdf"].structured is None and got["a.pdf"].envelope.text.startswith("Nº")
     assert documents.lacks_fields(F.struct("invoice_number", "total")) is not None
+
+
+def said_by_a_model(body):
+    return reply(body, invoiceNumber="M-9", total="8,00")
+
+
+def read_aloud(data, language):
+    return ["Nº Factura: OCR-1"] if language == "eng" else []
+
+
+def test_the_command_line_renames_and_asks(spark, tmp_path, capsys):
+    from ledgerleaf.__main__ import main
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    page = "%PDF-1.7\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages/Kids[3 0 R]/Count 1>> endobj\n3 0 obj <</Type/Page/Parent 2 0 R/Contents 4 0 R>> endobj\n4 0 obj <<>>\nstream\nBT (TEXT) Tj ET\nendstream endobj\n"
+    for name, text in (("one", "words"), ("M-9", "others"), ("scan", " ")):
+        (folder / f"{name}.pdf").write_bytes(page.replace("TEXT", text).encode("latin-1"))
+    main([str(folder), "--out", str(tmp_path / "out"), "--rename", "--pattern", "{numero}", "--ocr", f"{__name__}:read_aloud", "--llm", f"{__name__}:said_by_a_model", "--store", str(tmp_path / "store")])
+    assert "moves" in capsys.readouterr().out
+    # The file that has its name already keeps it; numbers that rules find come before a model's.
+    assert sorted(os.listdir(folder)) == ["M-9-1.pdf", "M-9.pdf", "OCR-1.pdf"]
+    table = "".join(open(tmp_path / "out" / f).read() for f in sorted(os.listdir(tmp_path / "out")) if f.startswith("part-"))
+    assert all(f"\n{f}," in table for f in os.listdir(folder))
+    with pytest.raises(SystemExit):
+        main([str(folder), "--llm", f"{__name__}:said_by_a_model"])
