@@ -721,3 +721,57 @@ def rename_rings(spark, sf_dir):
     number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("int")
     made = moves.select("file", F.coalesce("at_last", "new_name").alias("new_name"))
     return made.select("file", "new_name", F.when(number("file") % 10 == 9, 1).alias("last"))
+
+
+# Wider inputs: all headers, footers and fragments of tickets, all tax labels, numbers at their bound, the single total.
+
+
+def _choose(values: tuple[str, ...], k: Column) -> Column:
+    """One of the values by a number."""
+    return F.get(F.array(*map(F.lit, values)), k % len(values))
+
+
+@query("""WITH n AS (SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS key, CAST(coalesce(n, 0) AS BIGINT) AS items_detected FROM orders LEFT JOIN n ON o_orderkey = n.key""")
+def ticket_shapes(spark, sf_dir):
+    """Every header with every footer; rows before the header and after the footer are no items."""
+    docs = render.with_lines(spark, sf_dir)
+    stray = "STRAY ROW 1 1,0000 1,0000 7% 0,0700 1,0700"
+    k = (F.col("key") % 35).cast("int")
+    text = F.replace(render.ticket(docs), F.lit(R.TICKET_STARTS[0]), F.concat(F.lit(stray + "\n"), _choose(R.TICKET_STARTS, k)))
+    text = F.concat(F.regexp_replace(text, r"Total Factura [^\n]*\z", ""), _choose(R.TICKET_ENDS, k), F.lit(" x\n" + stray))
+    return docs.select("key", F.size(items.ticket_items(text)["items"]).cast("long").alias("items_detected"))
+
+
+@query("""WITH n AS (SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS key, CAST(0 AS BIGINT) AS items_detected, CAST(coalesce(n, 0) AS BIGINT) AS items_skipped FROM orders LEFT JOIN n ON o_orderkey = n.key""")
+def ticket_fragments(spark, sf_dir):
+    """Rows whose description has any of the fragments that no product has, in small letters too, or is too short, too long or full of digits."""
+    docs = render.with_lines(spark, sf_dir)
+    # One fragment has a sign that no description may have, so that its row begins after it; another in capitals ends the items.
+    some = tuple(x for x in R.NOT_PRODUCTS if "º" not in x)
+    names = (*(x for x in some if x not in R.TICKET_ENDS), *map(str.lower, some), "AB", "L" + "o" * 70, "A" + "1" * 21)
+    k = (F.col("key") % len(names)).cast("int")
+    docs = docs.withColumn("lines", F.transform("lines", lambda x: x.withField("name", _choose(names, k))))
+    return docs.select("key", items.ticket_items(render.ticket(docs)).alias("p")).select("key", F.size("p.items").cast("long").alias("items_detected"), F.col("p.skipped").cast("long").alias("items_skipped"))
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT key, CASE key % 6 WHEN 0 THEN 'IVA' WHEN 1 THEN 'IVA' WHEN 2 THEN 'TAX' WHEN 3 THEN 'TAX' WHEN 4 THEN 'IGIC' END AS tax_label, tax, CASE WHEN key % 4 < 2 THEN 'F' || repeat('9', CAST(62 + key % 4 AS INTEGER)) WHEN key % 4 = 2 THEN 'G-' || key END AS invoice_number FROM f""", numbers="tax")
+def generic_labels(spark, sf_dir):
+    """All spellings of the tax label, of which the dotted one names no tax; numbers up to their bound, and longer ones passed over for a later line."""
+    docs = render.orders(spark, sf_dir)
+    k = F.col("key")
+    label = _choose(("IVA (21%)", "iva", "Tax", "TAXES -", "IGIC (7%)", "I.G.I.C."), k.cast("int"))
+    said = F.concat(F.lit("F"), F.repeat(F.lit("9"), (62 + k % 4).cast("int")))
+    later = F.when(k % 4 == 2, F.concat(F.lit("\nN.º factura G-0\nNº de factura: G-"), k.cast("string"))).otherwise(F.lit(""))
+    text = F.concat(F.lit("Nº Factura: "), said, later, F.lit("\n"), label, F.lit(": "), render.number(F.col("tax"), 2), F.lit(" euros\n"))
+    docs = docs.select("key", fields.generic_fields(text).alias("f"))
+    return docs.select("key", "f.tax_label", F.col("f.totals.tax").alias("tax"), "f.invoice_number")
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT key, CASE WHEN key % 2 = 0 THEN total END AS subtotal, total FROM f""", numbers="subtotal total")
+def vendor_single_total(spark, sf_dir):
+    """The alternative of one vendor's totals: a net and a gross amount on one line, or the invoice's amount alone."""
+    docs = render.orders(spark, sf_dir)
+    amount = render.number(F.col("total"), 2)
+    text = F.concat(F.lit("ACASTIMAR, S.L.\n"), F.when(F.col("key") % 2 == 0, F.concat(F.lit("Importe neto BaseIVA "), amount, F.lit(" "), amount)).otherwise(F.concat(F.lit("Importe Factura(EUR):"), amount)))
+    docs = docs.select("key", fields.vendor_fields(text, F.lit("acastimar")).alias("f"))
+    return docs.select("key", F.col("f.totals.subtotal").alias("subtotal"), F.col("f.totals.total").alias("total"))
