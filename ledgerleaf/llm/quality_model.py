@@ -168,15 +168,16 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col
     """Whole texts of each label in the order of the MD5 of their ids, none of them held out.
 
     Of each class the first ``per_class``, and of these as many as come before
-    their bytes reach ``sample_bytes``: the bound ends the sample at a place that
-    the ids alone decide, and leaves out no text for its length.
+    their bytes reach ``sample_bytes``.  Labelled texts that are longer than
+    ``sample_bytes`` by themselves are scored, but not learned from, so that what
+    comes to the driver is bounded.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).filter(f"id IS NOT NULL AND y IN (0, 1) AND crc32(cast(id AS string)) % 3 <> {HELD_OUT}")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     key = F.md5(F.col("id").cast("string").cast("binary"))
     # 2 * per_class rows at most.
     sample = known.filter("y = 0").orderBy(key).limit(per_class).union(known.filter("y = 1").orderBy(key).limit(per_class))
-    texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data")).filter("data IS NOT NULL")
+    texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data")).filter(F.octet_length("data") <= sample_bytes)
     found = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("data").alias("data"))
     before = Window.partitionBy("y").orderBy(key, "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = found.withColumn("before", F.coalesce(F.sum(F.octet_length("data")).over(before), F.lit(0))).filter(F.col("before") < sample_bytes).select("id", "y", "data").collect()
