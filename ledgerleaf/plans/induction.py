@@ -4,7 +4,8 @@ Every printed value of a sample that has the shape of a number, a date or an
 amount gives anchors: the words before it, some of them skipped.  A rule takes
 what follows the first place of its label, so of each sample and anchor only
 the first value counts; one aggregation over the samples tells how often that
-is the known value (support) and how often not (precision).  The best anchor of
+is the known value (support) and how often not (precision).  A first one over
+the known values alone tells which labels can have enough support at all.  The best anchor of
 each slot becomes a rule, which is compiled and tried on samples that it was
 not chosen by; only then it may be appended to a rule table.
 """
@@ -29,6 +30,8 @@ SLOTS = {"number": "number", "date": "date", "subtotal": "amount", "tax": "amoun
 LABEL_WORDS, SKIPPED_WORDS, SKIPPED_CHARS = 4, 2, 40
 #: Share of the samples with a known value that a rule must find, and of what it finds that must be right.
 LEAST_SUPPORT, LEAST_PRECISION = 0.5, 0.95
+#: Labels that are looked for by name; with more of them all anchors are counted.
+MOST_LABELS = 5_000
 #: One sample of so many is kept to check the rules by.
 CHECKED_BY = 3
 #: Values as they are printed, in the short forms of patterns; a number has a digit, an amount begins with one.
@@ -69,33 +72,79 @@ def _anchors(before: Column, kind: str) -> Column:
     return T.bind(F.slice(words, F.greatest(F.size(words) - LABEL_WORDS - SKIPPED_WORDS + 1, F.lit(1)), F.lit(LABEL_WORDS + SKIPPED_WORDS)), of)
 
 
-def _values(known: DataFrame, kind: str) -> DataFrame:
-    """``file, label, skipped, words, value`` of each sample and anchor, with the first value behind the anchor."""
+def _printed(text: Column, kind: str) -> Column:
+    """``array<struct<before, value>>``: the printed values of a text in their order, each with what stands before it from the last one on."""
     pattern = T.pattern(PRINTED[kind])
-    parts = F.arrays_zip(F.slice(F.split("text", pattern), 1, F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("before"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("value"))
-    seen = known.select("file", F.posexplode(parts).alias("at", "x")).select("file", "at", F.col("x.value").alias("value"), F.explode(_anchors(F.col("x.before"), kind)).alias("a"))
-    return seen.groupBy("file", "a.label", "a.skipped", "a.words").agg(F.min_by("value", "at").alias("value"))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern).alias("before"))
+    return T.bind(parts, lambda p: F.transform(p["values"], lambda v, k: F.struct(F.get(p["before"], k).alias("before"), v.alias("value"))))
 
 
-def counted_anchors(samples: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """``slot, label, skipped, words, support, seen, known`` of all anchors of the samples' values.
+def _values(known: DataFrame, kind: str, slots: list[str], labels: list[str] | None) -> DataFrame:
+    """``label, skipped, words, value`` and the slots of each sample and anchor, with the first value behind the anchor.
+
+    A sample's anchors are reduced in its row, so that only what is counted is
+    shuffled.  ``labels`` are those of interest (null: all).
+    """
+
+    def of(values: Column) -> Column:
+        found = lambda x: _anchors(x["before"], kind)
+        wanted = found if labels is None else lambda x: F.filter(found(x), lambda a: a["label"].isin(labels))
+        return F.flatten(F.transform(values, lambda x, at: F.transform(wanted(x), lambda a: F.struct(a["label"].alias("label"), a["skipped"].alias("skipped"), at.alias("at"), a["words"].alias("words"), x["value"].alias("value")))))
+
+    def firsts(anchors: Column) -> Column:
+        return F.filter(anchors, lambda a, k: (k == 0) | ~T.bind(F.get(anchors, k - 1), lambda b: (a["label"] == b["label"]) & (a["skipped"] == b["skipped"])))
+
+    anchors = T.bind(F.sort_array(T.bind(_printed(F.col("text"), kind), of)), firsts)
+    # The outer form keeps the pattern scan from being evaluated again in a filter below it.
+    return known.select(*slots, F.explode_outer(anchors).alias("a")).filter("a IS NOT NULL").select("a.label", "a.skipped", "a.words", "a.value", *slots)
+
+
+def _read(value: Column, kind: str) -> Column:
+    return {"number": lambda: value, "date": lambda: T.vendor_date(value), "amount": lambda: T.spanish_amount(value)}[kind]()
+
+
+def _slots(kind: str) -> list[str]:
+    return [s for s, k in SLOTS.items() if k == kind]
+
+
+def _sizes(known: DataFrame) -> DataFrame:
+    """``slot, known``: how many samples have a known value."""
+    return known.select(F.explode(F.array(*[F.when(F.col(s).isNotNull(), F.lit(s)) for s in SLOTS])).alias("slot")).filter("slot IS NOT NULL").groupBy("slot").agg(F.count("*").alias("known"))
+
+
+def _frequent_labels(known: DataFrame, kind: str, least_support: float) -> list[str] | None:
+    """The labels that may have the support: they stand before that many known values, first or not; null if there are too many to name."""
+    slots = _slots(kind)
+    seen = known.select(*slots, F.explode_outer(_printed(F.col("text"), kind)).alias("x")).withColumn("read", _read(F.col("x.value"), kind))
+    hit = F.filter(F.array(*[F.when(F.col(s) == F.col("read"), F.lit(s)) for s in slots]), lambda s: s.isNotNull())
+    hits = seen.select(hit.alias("hit"), "x.before").filter(F.size("hit") > 0)
+    met = hits.select(F.explode("hit").alias("slot"), "before").select("slot", F.explode_outer(_anchors(F.col("before"), kind)).alias("a")).filter("a IS NOT NULL")
+    counts = met.groupBy("slot", "a.label", "a.skipped").agg(F.count("*").alias("most"))
+    fit = counts.join(F.broadcast(_sizes(known)), "slot").filter(F.col("most") >= least_support * F.col("known"))
+    labels = [r["label"] for r in fit.select("label").distinct().limit(MOST_LABELS + 1).collect()]
+    return labels if len(labels) <= MOST_LABELS else None
+
+
+def counted_anchors(samples: DataFrame, file: str = "file", text: str = "text", least_support: float = 0.0) -> DataFrame:
+    """``slot, label, skipped, words, support, seen, known`` of the anchors of the samples' values.
 
     ``support`` samples have the known value behind the label, ``seen`` have the
-    label before any value, ``known`` have a known value at all.  File names
-    tell samples apart.
+    label before any value, ``known`` have a known value at all.  A row is a
+    sample.  With ``least_support``, anchors that can't have that share of the
+    known values as support may be left out, so that labels with a sample's own
+    words are neither kept nor shuffled.
     """
     known = _known(samples, file, text)
-    read = {"number": F.col("value"), "date": T.vendor_date(F.col("value")), "amount": T.spanish_amount(F.col("value"))}
     out = None
     for kind in ("number", "date", "amount"):
-        slots = [s for s, k in SLOTS.items() if k == kind]
-        met = _values(known, kind).join(known.select("file", *slots), "file").withColumn("read", read[kind])
+        slots = _slots(kind)
+        labels = _frequent_labels(known, kind, least_support) if least_support > 0 else None
+        met = _values(known, kind, slots, labels).withColumn("read", _read(F.col("value"), kind))
         hits = [F.struct(F.lit(s).alias("slot"), F.col(s).isNotNull().alias("known"), (F.col(s) == F.col("read")).alias("hit")) for s in slots]
         rows = met.select("label", "skipped", "words", F.explode(F.array(*hits)).alias("h")).filter("h.known")
         rows = rows.groupBy(F.col("h.slot").alias("slot"), "label", "skipped", "words").agg(F.count_if("h.hit").alias("support"), F.count("*").alias("seen"))
         out = rows if out is None else out.unionByName(rows)
-    sizes = known.select(F.explode(F.array(*[F.when(F.col(s).isNotNull(), F.lit(s)) for s in SLOTS])).alias("slot")).filter("slot IS NOT NULL").groupBy("slot").agg(F.count("*").alias("known"))
-    return out.join(F.broadcast(sizes), "slot")
+    return out.join(F.broadcast(_sizes(known)), "slot")
 
 
 def best_anchors(counts: DataFrame, least_support: float = LEAST_SUPPORT, least_precision: float = LEAST_PRECISION) -> DataFrame:
@@ -137,7 +186,7 @@ def propose(samples: DataFrame, name: str, markers: list[str], known: tuple[R.Ve
     if claimed["lacking"] or not claimed["n"]:
         raise ValueError("samples without a marker of the vendor" if claimed["n"] else "no samples")
     kept = F.pmod(F.xxhash64("file"), F.lit(CHECKED_BY)) == 0
-    best = {r["slot"]: r.asDict() for r in best_anchors(counted_anchors(rows.filter(~kept)), least_support, least_precision).collect()}
+    best = {r["slot"]: r.asDict() for r in best_anchors(counted_anchors(rows.filter(~kept), least_support=least_support), least_support, least_precision).collect()}
     if not best:
         raise ValueError("no label stands before the known values")
     made = {slot: _labelled(r["label"], r["skipped"], slot) for slot, r in best.items()}

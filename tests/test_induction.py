@@ -88,3 +88,12 @@ def test_wrong_samples_are_refused(spark):
     # Slots that samples don't know have no rule.
     some = induction.propose(frame(spark, [(*r[:2], None, r[3], None, None, r[6]) for r in rows]), "Energía Boreal", ["ENERGÍA BOREAL"])
     assert {r["slot"] for r in some.report} == {"date", "total"} and some.vendor.fields.number is None
+
+
+def test_labels_that_can_not_be_frequent_are_left_out(spark):
+    """The anchors with enough support are counted as without the bound; the others are neither kept nor shuffled."""
+    rows = frame(spark, samples(40))
+    of = lambda df: {tuple(r) for r in df.filter("support >= 0.5 * known").select("slot", "label", "skipped", "words", "support", "seen", "known").collect()}
+    every, some = induction.counted_anchors(rows), induction.counted_anchors(rows, least_support=0.5)
+    assert of(some) == of(every) and len(of(every)) > 10
+    assert some.count() < every.count() / 2
