@@ -117,44 +117,51 @@ def rename_plan(rows: DataFrame, existing: DataFrame, file: str = "file", target
         used = staged(used.union(lost.select("b", "n")).distinct(), "rename-taken")
 
 
-def _followed(edges: DataFrame, rounds: int) -> DataFrame:
-    """``file, next, hops, least`` after 2^rounds steps along ``edges`` (file, next): how many there were, and the least file met.
+def _followed(edges: DataFrame) -> DataFrame:
+    """``file, next, hops, least`` along ``edges`` (file, next) to the end, or around a ring: how many steps there were, and the least file met.
 
     Each round joins every path with the path of the same length that begins
-    where it ends; paths that have ended (null) take no part.
+    where it ends; paths that have ended (null) take no part.  While a chain
+    goes on, some of its paths end in each round; and once twice the steps meet
+    no lesser file on any path of a ring, all of them have met its least.  So a
+    round without either is the last: rings need as many as their length has
+    binary digits, however many files there are.
     """
-    state = edges.select("file", "next", F.col("next").isNotNull().cast("long").alias("hops"), F.col("file").alias("least"))
-    for _ in range(rounds):
-        state = staged(state, "rename-paths")
+    state = staged(edges.select("file", "next", F.col("next").isNotNull().cast("long").alias("hops"), F.col("file").alias("least"), F.lit(True).alias("new")), "rename-paths")
+    while not state.filter("new AND next IS NOT NULL").isEmpty():
         ahead = state.select(F.col("file").alias("f"), F.col("next").alias("n"), F.col("hops").alias("h"), F.col("least").alias("l"))
-        on = state.filter("next IS NOT NULL").join(ahead, F.col("next") == F.col("f")).select("file", F.col("n").alias("next"), (F.col("hops") + F.col("h")).alias("hops"), F.least("least", "l").alias("least"))
-        state = on.unionByName(state.filter("next IS NULL"))
-    return staged(state, "rename-paths")
+        # Merged, as paths are never broadcast: that would send them to the driver in each round.
+        on = state.filter("next IS NOT NULL").join(ahead.hint("merge"), F.col("next") == F.col("f"))
+        moved = on.select("file", F.col("n").alias("next"), (F.col("hops") + F.col("h")).alias("hops"), F.least("least", "l").alias("least"), (F.col("n").isNull() | (F.col("l") < F.col("least"))).alias("new"))
+        step = staged(moved.unionByName(state.filter("next IS NULL").withColumn("new", F.lit(False))), "rename-paths")
+        if step.filter("new").isEmpty():
+            return step.drop("new")
+        # What ended or fell in this round may still be followed by others.
+        state = step.withColumn("new", F.lit(True))
+    return state.drop("new")
 
 
 def rename_order(plan: DataFrame) -> DataFrame:
     """``step, file, new_name``: in the order of the steps every name is free when it is used.
 
     A file whose new name is another's old one follows that other; the steps of
-    a chain are found by pointer doubling, in as many rounds as its length has
-    binary digits.  Of a ring the first file by name steps aside, under a name
+    a chain are found by pointer doubling, in as many rounds as the longest one
+    has binary digits.  Of a ring the first file by name steps aside, under a name
     of its own, before the others move up, and is the last to get its name.
     Files that keep their name are left out.
     """
     moves = staged(plan.filter("file <> new_name").select("file", "new_name"), "rename-moves")
     holders = moves.select(F.col("file").alias("next"), F.lower("file").alias("held"))
-    edges = moves.join(holders, (F.lower("new_name") == F.col("held")) & (F.col("file") != F.col("next")), "left").select("file", "new_name", "next").dropDuplicates(["file"])
+    edges = moves.join(holders.hint("merge"), (F.lower("new_name") == F.col("held")) & (F.col("file") != F.col("next")), "left").select("file", "new_name", "next").dropDuplicates(["file"])
     edges = staged(edges, "rename-edges")
-    chained = edges.filter("next IS NOT NULL").count()
-    rounds = chained.bit_length()
-    paths = _followed(edges, rounds)
-    # What has not ended after as many steps as there are files goes in a ring.
+    paths = _followed(edges)
+    # What has not ended by then goes in a ring.
     rings = staged(paths.filter("next IS NOT NULL").select(F.col("file").alias("f"), F.col("least").alias("first")), "rename-rings")
-    cut = edges.join(rings, F.col("file") == F.col("f"), "left").withColumn("next", F.when(F.col("first").isNull() | (F.col("next") != F.col("first")), F.col("next"))).select("file", "new_name", "next", "first")
+    cut = edges.join(rings.hint("merge"), F.col("file") == F.col("f"), "left").withColumn("next", F.when(F.col("first").isNull() | (F.col("next") != F.col("first")), F.col("next"))).select("file", "new_name", "next", "first")
     cut = staged(cut, "rename-cut")
-    steps = _followed(cut.select("file", "next"), rounds).select(F.col("file").alias("f"), (F.col("hops") + 1).alias("step"))
+    steps = _followed(cut.select("file", "next")).select(F.col("file").alias("f"), (F.col("hops") + 1).alias("step"))
     aside = F.concat(F.lit(".moving-"), F.sha2("file", 256))
-    ordered = cut.join(steps, F.col("file") == F.col("f")).withColumn("apart", F.coalesce(F.col("file") == F.col("first"), F.lit(False)))
+    ordered = cut.join(steps.hint("merge"), F.col("file") == F.col("f")).withColumn("apart", F.coalesce(F.col("file") == F.col("first"), F.lit(False)))
     moved = ordered.select("step", F.when(F.col("apart"), aside).otherwise(F.col("file")).alias("file"), "new_name")
     return moved.unionByName(ordered.filter("apart").select(F.lit(0).cast("long").alias("step"), "file", aside.alias("new_name")))
 

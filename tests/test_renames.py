@@ -100,3 +100,16 @@ def test_no_page_is_lost(spark):
     rows = [("d", 1, "one"), ("d", 5, "five"), ("d", 9, "nine"), ("e", 2, "b"), ("e", 2, "a"), ("e", None, "last"), ("e", 1, None), ("e", None, None), (None, 3, "x")] + [("f", k, f"p{k}") for k in range(9, 0, -1)]
     got = {r.doc: (r.declared, r.pages) for r in budget.gather_pages(spark.createDataFrame(rows, "doc string, page int, text string"), "doc", "page", "text", 4).collect()}
     assert got == {"d": (3, ["one", "five", "nine"]), "e": (5, [None, "a", "b", "last"]), "f": (9, ["p1", "p2", "p3", "p4"]), None: (1, ["x"])}
+
+
+def test_as_many_rounds_as_the_longest_ring_needs(spark, monkeypatch):
+    """Many short rings: the rounds don't grow with their number, and no path is broadcast."""
+    written = []
+    monkeypatch.setattr(naming, "staged", lambda df, name, real=naming.staged: (written.append(name), real(df, name))[1])
+    n = 4000
+    name = lambda c: F.format_string("r%05d.pdf", c)
+    k = F.col("id")
+    plan = spark.range(n).select(name(k).alias("file"), name(F.when(k % 4 == 3, k - 3).otherwise(k + 1)).alias("new_name"))
+    order = [(r.step, r.file, r.new_name) for r in naming.rename_order(plan).collect()]
+    assert written.count("rename-paths") <= 12
+    assert carried_out(order, [f"r{j:05d}.pdf" for j in range(n)]) == {f"r{j:05d}.pdf" for j in range(n)}
