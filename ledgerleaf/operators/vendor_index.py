@@ -27,8 +27,9 @@ from ledgerleaf.functions.staging import staged
 from ledgerleaf.plans import rule_table
 from ledgerleaf.plans import shapes as S
 
-#: Characters of a piece; a marker has the longest that fits into one of its literal runs.
-SIZES = (8, 5, 3, 2, 1)
+#: Characters of a piece; a marker has the longest that fits into one of its literal runs.  Short pieces of long markers
+#: are shared by many, each of which is tried on whatever text has the piece.
+SIZES = (24, 16, 8, 5, 3, 2, 1)
 #: Filed markers (some hundred bytes each) are broadcast up to this number, beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 INDEX = "vendor string, priority int, pattern string, size int, piece string"
@@ -140,22 +141,29 @@ def _cut_by(size: int) -> Callable[[Column], Column]:
 def filed(markers: DataFrame) -> DataFrame:
     """The index of ``markers`` (vendor, priority, marker): each under its rarest piece; see INDEX.
 
-    Null and blank markers are left out, repeated ones filed once.  A marker
+    Null and blank markers are left out, repeated ones filed once, for the
+    first of their vendors.  A marker
     without any literal, or with alternatives, is an error.
     """
-    rows = markers.select("vendor", F.col("priority").cast("int").alias("priority"), "marker").filter("marker IS NOT NULL AND vendor IS NOT NULL").distinct().withColumn("c", _compiled(F.col("marker")))
+    rows = markers.select("vendor", F.col("priority").cast("int").alias("priority"), "marker").filter("marker IS NOT NULL AND vendor IS NOT NULL")
+    # Where one of several vendors with the same marker fits, all do, and the first is taken.
+    rows = rows.groupBy("marker").agg(F.min(F.struct(F.col("priority").isNotNull().alias("has"), "priority", "vendor")).alias("v")).select("v.vendor", "v.priority", "marker")
+    # Compiling costs time, not bytes, by which small partitions would be merged into one.
+    spark = rows.sparkSession
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "marker").withColumn("c", _compiled(F.col("marker")))
     longest = F.array_max(F.transform("c.literals", F.length))
     size = F.coalesce(*[F.when(longest >= n, F.lit(n)) for n in SIZES], F.raise_error(F.concat(F.lit("a marker without a literal: "), F.col("marker"))).cast("int"))
-    rows = staged(rows.select("vendor", "priority", F.col("c.pattern").alias("pattern"), "c.literals", size.alias("size")), "markers")
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("id"), "vendor", "priority", F.col("c.pattern").alias("pattern"), "c.literals", size.alias("size")), "markers")
     each = None
     for n in SIZES:
         cut = F.array_distinct(F.flatten(F.transform("literals", _cut_by(n))))
-        part = rows.filter(F.col("size") == n).select("vendor", "priority", "pattern", "size", F.explode(cut).alias("piece"))
+        part = rows.filter(F.col("size") == n).select("id", F.explode_outer(cut).alias("piece"))
         each = part if each is None else each.unionByName(part)
     common = each.groupBy("piece").agg(F.count("*").alias("n"))
-    # Pieces that very many markers share are joined by a shuffle that may be split.
+    # Pieces that very many markers share are joined by a shuffle that may be split.  Numbers stand for markers, so that no pattern is copied for each piece.
     known = each.join(staged(common, "marker-pieces").hint("merge"), "piece")
-    return staged(known.groupBy("vendor", "priority", "pattern", "size").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece")), "marker-index")
+    rarest = known.groupBy("id").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    return staged(rows.join(rarest, "id").select("vendor", "priority", "pattern", "size", "piece"), "marker-index")
 
 
 def candidates(texts: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
@@ -167,8 +175,9 @@ def candidates(texts: DataFrame, index: DataFrame, key: str, text: str) -> DataF
     # Keys and pieces alone are exploded, so that no text is copied.
     pieces = texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.explode(T.bind(folded(F.col(text)), cut)).alias("piece"))
     few = index.count() <= BROADCAST_ROWS
-    side = index.select("piece", F.struct("priority", "vendor", "pattern").alias("marker"))
-    hits = pieces.join(F.broadcast(side) if few else side.hint("merge"), "piece")
+    side = index.select(F.xxhash64("piece").alias("__h"), F.struct("priority", "vendor", "pattern").alias("marker"))
+    # Hashes are shuffled instead of pieces: one that two pieces share gives a candidate more, which its pattern refuses.
+    hits = pieces.select("__key", F.xxhash64("piece").alias("__h")).join(F.broadcast(side) if few else side.hint("merge"), "__h")
     return hits.groupBy("__key").agg(F.collect_set("marker").alias("markers"))
 
 

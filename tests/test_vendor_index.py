@@ -70,3 +70,13 @@ def test_literals_of_patterns():
     with pytest.raises(ValueError):
         vendor_index.literals("(a|b)c")
     assert vendor_index.fold("ſK İ ß ς Σ ª É") == vendor_index.fold("sk İ ß σ σ a e")
+
+
+def test_long_markers_have_few_candidates(spark):
+    """Markers that share most of their pieces, and equal markers of several vendors."""
+    rows = [(f"v{k} {b}", k, f"Supplier#{k:09d} Sucursal Núm. {b}") for k in range(20) for b in range(1, 51)] + [("other", -1, "Supplier#000000003  sucursal núm. 7"), ("later", 9, "Supplier#000000004 Sucursal Núm. 7")]
+    index = vendor_index.filed(spark.createDataFrame(rows, "vendor string, priority int, phrase string").select("vendor", "priority", vendor_index.phrase_pattern(F.col("phrase")).alias("marker")))
+    assert index.filter("vendor = 'later'").count() == 0
+    texts = spark.createDataFrame([(k, f"x SUPPLIER#{k:09d}\nSucursal num. 7 y") for k in range(2, 6)], "file long, text string")
+    assert all(len(r.markers) <= 2 for r in vendor_index.candidates(texts, index, "file", "text").collect())
+    assert {r.file: r.vendor for r in vendor_index.detect_vendors(texts, index).collect()} == {2: "v2 7", 3: "other", 4: "v4 7", 5: "v5 7"}
