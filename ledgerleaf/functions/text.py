@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 #: All characters that count as blank in document text, as the inside of a class.
 BLANK = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-_EDGES = rf"\A[{BLANK}]+|[{BLANK}]+\z"
+#: The same class as it is compiled: most characters are no blanks and are passed over by the first, cheap test.
+_BLANKS = rf"[[^!-~]&&[{BLANK}]]"
+_EDGES = rf"\A{_BLANKS}+|{_BLANKS}+\z"
 NOT_WORD_BEFORE, NOT_WORD_AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
 
@@ -25,6 +27,9 @@ def pattern(source: str, flags: str = "iu") -> str:
     """
     for short, long in (("_", f"[{BLANK}]+"), ("~", f"[{BLANK}]*"), ("%b", NOT_WORD_BEFORE), ("%e", NOT_WORD_AFTER)):
         source = source.replace(short, long)
+    # Blanks have no case; a class that folds it looks up both cases of each character that it is tried on.
+    plain, again = (f"(?-{flags})", f"(?{flags})") if flags else ("", "")
+    source = re.sub(rf"{re.escape(f'[{BLANK}]')}((?:[+*?]|\{{[0-9,]+\}})?[+?]?)", lambda m: plain + _BLANKS + m[1] + again, source)
     return f"(?{flags}s){source}" if flags else f"(?s){source}"
 
 
@@ -39,12 +44,12 @@ def trim_blanks(c: Column) -> Column:
 
 
 def rtrim_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{BLANK}]+\z", "")
+    return F.regexp_replace(c, rf"{_BLANKS}+\z", "")
 
 
 def collapse_blanks(c: Column) -> Column:
     """Each run of blanks as one space."""
-    return F.regexp_replace(c, f"[{BLANK}]+", " ")
+    return F.regexp_replace(c, f"{_BLANKS}+", " ")
 
 
 def strip_controls(c: Column) -> Column:

@@ -6,6 +6,9 @@ text column; no row leaves the JVM.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,13 +33,31 @@ def _after(line: Column, name: str) -> Column:
     return F.regexp_extract(line, _label(name) + r"(.*)\z", 1)
 
 
-#: Any label at all: most lines have none and are looked at once.
-ANY_LABEL = T.pattern(rf"(?:\A|[{T.BLANK}])(?:" + "|".join(R.LABELS.values()) + ")")
+def _said(line: Column, name: str) -> Column:
+    """Whether a line has a label; most lines lack its words, and those are looked for without a pattern."""
+    return _has(line["low"], R.LABEL_WORDS[name]) & line["line"].rlike(_label(name))
+
+
+def _has(low: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, [low.contains(w) for w in words])
+
+
+def _low(text: Column) -> Column:
+    """A text in which each letter that a pattern takes for one of A to Z, in whatever case, is that small letter."""
+    for odd, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
 
 
 def _labelled_lines(text: Column) -> Column:
-    """The lines with a label, each with the line below."""
-    return T.bind(_lines(text), lambda lines: F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.get(lines, i + 1).alias("below"))), lambda x: x["line"].rlike(ANY_LABEL)))
+    """The lines with a label's words, each with the line below."""
+    words = tuple(dict.fromkeys(w for name in R.LABELS for w in R.LABEL_WORDS[name]))
+
+    def shaped(both: Column) -> Column:
+        lines, low = both["lines"], both["low"]
+        return F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.get(lines, i + 1).alias("below"), F.get(low, i).alias("low"))), lambda x: _has(x["low"], words))
+
+    return T.bind(F.struct(_lines(text).alias("lines"), _lines(_low(text)).alias("low")), shaped)
 
 
 def _first(values: Column) -> Column:
@@ -51,7 +72,7 @@ def label_date(text: Column, name: str) -> Column:
 def _date_in(lines: Column, name: str) -> Column:
     def at(x: Column) -> Column:
         where = T.bind(_after(x["line"], name), lambda a: F.when(a.rlike(T.DAY_MONTH_YEAR), a).otherwise(F.coalesce(x["below"], a)))
-        return F.when(x["line"].rlike(_label(name)), T.day_month_year(where))
+        return F.when(_said(x, name), T.day_month_year(where))
 
     return _first(F.transform(lines, at))
 
@@ -63,12 +84,11 @@ def label_value(text: Column, name: str, most: int) -> Column:
 
 def _value_in(lines: Column, name: str, most: int) -> Column:
     def of(x: Column) -> Column:
-        value = T.trim_blanks(_after(x["line"], name))
-        value = F.regexp_replace(value, T.pattern(R.VALUE_STOP) + r".*\z", "")
+        value = F.regexp_replace(_after(x["line"], name), T.pattern(R.VALUE_STOP) + r".*\z", "")
         value = F.regexp_replace(value, rf"\A[{T.BLANK}:;.,]+", "")
         return T.trim_blanks(F.regexp_replace(value, T.pattern(R.CURRENCY_TAIL), ""))
 
-    values = F.transform(F.filter(lines, lambda x: x["line"].rlike(_label(name))), of)
+    values = F.transform(F.filter(lines, lambda x: _said(x, name)), of)
     return F.get(F.filter(values, lambda v: F.length(v).between(1, most)), F.lit(0))
 
 
@@ -87,7 +107,7 @@ def label_tax(text: Column) -> Column:
 
 def _tax_in(lines: Column) -> Column:
     word = lambda w: T.pattern(f"%b(?:{w})%e")
-    hits = F.filter(lines, lambda x: x["line"].rlike(_label("tax")))
+    hits = F.filter(lines, lambda x: _said(x, "tax"))
     return T.bind(F.regexp_extract(F.get(hits, F.lit(0))["line"], _label("tax"), 0), lambda head: F.when(head.rlike(word("igic")), "IGIC").when(head.rlike(word("iva")), "IVA").when(head.rlike(word("tax|taxes")), "TAX"))
 
 

@@ -122,3 +122,12 @@ def test_rules_from_labels(spark):
         templates.validated(v, spark.createDataFrame([("DOCTOR AGUA",)], "text string"))
     with pytest.raises(ValueError):
         templates.validated(v, spark.createDataFrame([("nothing",)], "text string"))
+
+
+def test_lines_are_passed_over_only_if_no_label_can_match(spark):
+    """Letters that patterns take for plain ones; blanks of all kinds in labels."""
+    said = ["Total: 1,00", "ſubtotal: 2,00", "BAſE IMPONIBLE 3,00", "İGİC (7%): 4,00", "ıva: 5,00", "I.G.I.C. 6,00", "TAXES - 7,00", "Nº FACTURA X-1", "n.factura y", "Fecha　de  factura: 1/2/2020", "FECHA FACTURACIÓN 1/2/2020", "fecha  simplificada 1.2.2020", "importe\tneto 8,00", "TOTAL € 9,00", "subtotalx", "", "xtotal 1,00"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, text string")
+    for name in R.LABELS:
+        got = rows.select("k", F.size(F.filter(fields._labelled_lines(F.col("text")), lambda x: fields._said(x, name))).alias("n"), F.col("text").rlike(fields._label(name)).cast("int").alias("want")).collect()
+        assert [r.n for r in got] == [r.want for r in got]
