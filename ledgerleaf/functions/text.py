@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +18,11 @@ from pyspark.sql import functions as F
 BLANK = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: The same class as it is compiled: most characters are no blanks and are passed over by the first, cheap test.
 _BLANKS = rf"[[^!-~]&&[{BLANK}]]"
+#: The characters of the class themselves.
+_BLANK_CHARS = " \t\n\v\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _EDGES = rf"\A{_BLANKS}+|{_BLANKS}+\z"
+#: Each by itself, as such a class is looked up at once, where ranges are tried in turn.
+_CONTROLS = "[" + "".join(f"\\x{k:02x}" for k in (*range(9), 11, 12, *range(14, 32), 127)) + "]"
 NOT_WORD_BEFORE, NOT_WORD_AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
 
@@ -43,6 +49,17 @@ def trim_blanks(c: Column) -> Column:
     return F.regexp_replace(c, _EDGES, "")
 
 
+def trim_bound(t: Column) -> Column:
+    """The same for a bound text: most have no blank at an edge, which is seen without a pattern that is tried on each character."""
+    blank = lambda edge: F.lit(_BLANK_CHARS).contains(edge)
+    return F.when(blank(F.substring(t, 1, 1)) | blank(F.substring(t, -1, 1)), trim_blanks(t)).otherwise(t)
+
+
+def trim_short(c: Column) -> Column:
+    """The same for cells and labels' values, without a pattern; it takes some bytes for each one of its text."""
+    return F.btrim(c, F.lit(_BLANK_CHARS))
+
+
 def rtrim_blanks(c: Column) -> Column:
     return F.regexp_replace(c, rf"{_BLANKS}+\z", "")
 
@@ -54,7 +71,7 @@ def collapse_blanks(c: Column) -> Column:
 
 def strip_controls(c: Column) -> Column:
     """Without control characters, but for tab, line feed and carriage return."""
-    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return F.regexp_replace(c, _CONTROLS, "")
 
 
 def safe_string(c: Column) -> Column:
@@ -69,12 +86,13 @@ def null_if_empty(c: Column) -> Column:
 
 def first_group(c: Column, java_pattern: str, group: int = 1) -> Column:
     """A group of the first match; null where nothing (or an empty group) matches."""
-    return null_if_empty(F.regexp_extract(c, java_pattern, group))
+    # Bound, as nullif() would look for it twice.
+    return bind(F.regexp_extract(c, java_pattern, group), lambda v: F.when(v != "", v))
 
 
 def find_from(c: Column, marker: str, start: Column | None = None) -> Column:
     """1-based place of the first occurrence at or after ``start``; null if there is none."""
-    return F.nullif(F.position(F.lit(marker), c, start if start is not None else F.lit(1)), F.lit(0))
+    return bind(F.position(F.lit(marker), c, start if start is not None else F.lit(1)), lambda p: F.when(p > 0, p))
 
 
 def truncated(c: Column, most: Column | int) -> Column:
@@ -88,6 +106,30 @@ def escape_pattern(text: str) -> str:
     return re.sub(r"([.*+?^${}()|\[\]\\/#&~-])", r"\\\1", text)
 
 
+def replaced(c: Column, what: str, by: str) -> Column:
+    """replace() for a bound text that seldom has ``what``: looking is cheaper than looking for what to replace."""
+    return F.when(c.contains(what), F.replace(c, F.lit(what), F.lit(by))).otherwise(c)
+
+
+#: Letters that a pattern takes, in whatever case, for one of A to Z.
+_ODD_LETTERS = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
+
+
+def low_letters(c: Column) -> Column:
+    """A bound text in which each letter that a pattern takes for one of A to Z, in whatever case, is that small letter."""
+    plain = c
+    for odd, letter in _ODD_LETTERS.items():
+        plain = F.replace(plain, F.lit(odd), F.lit(letter))
+    return F.lower(F.when(reduce(or_, [c.contains(x) for x in _ODD_LETTERS]), plain).otherwise(c))
+
+
+def any_of(words: tuple[str, ...]) -> str:
+    """A pattern of literal words, which looks at one character before it tries those that begin with it."""
+    heads = {w[0]: [x[1:] for x in words if x[0] == w[0]] for w in words}
+    tried = "|".join(escape_pattern(h) + "(?:" + "|".join(map(escape_pattern, rest)) + ")" for h, rest in heads.items())
+    return f"(?=[{''.join(map(escape_pattern, heads))}])(?:{tried})"
+
+
 def escape_pattern_col(c: Column) -> Column:
     return F.regexp_replace(c, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
@@ -117,14 +159,15 @@ def spanish_amount(c: Column, kind: str = "decimal(12,2)") -> Column:
 
     def of(kept: Column) -> Column:
         whole = F.when(kept.contains(",") & kept.contains("."), F.replace(kept, F.lit("."), F.lit(""))).otherwise(kept)
-        return F.regexp_replace(whole, r"\A([^,]*),", "$1.").try_cast(kind)
+        # With a second comma or point it is no number, whichever of them becomes the point.
+        return F.replace(whole, F.lit(","), F.lit(".")).try_cast(kind)
 
-    return bind(F.regexp_replace(c, r"[^0-9,.]", ""), of)
+    return bind(F.regexp_replace(c, "[^0123456789,.]", ""), of)
 
 
 def tabular_number(c: Column, kind: str = "decimal(18,4)") -> Column:
-    """A number of a tabular ticket: dots dropped, the first comma is the point."""
-    return F.regexp_replace(F.replace(c, F.lit("."), F.lit("")), r"\A([^,]*),", "$1.").try_cast(kind)
+    """A number of a tabular ticket: dots dropped, the comma is the point; with a second one it is no number."""
+    return F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast(kind)
 
 
 #: An amount that starts a value, with nothing numeric after it.

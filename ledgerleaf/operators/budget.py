@@ -25,21 +25,26 @@ def page_budget(pages: Column, declared: Column, max_pages: Column | int = R.DEF
 
     def step(s: Column, page: Column) -> Column:
         left = F.greatest(max_chars - s["used"], F.lit(0))
-        piece = F.substring(page, F.lit(1), F.least(F.lit(R.PAGE_CHARS), left))
-        took = F.length(piece)
-        return F.struct(
-            F.when(left > 0, F.concat(s["pieces"], F.array(piece))).otherwise(s["pieces"]).alias("pieces"),
-            (s["used"] + took).cast("int").alias("used"),
-            (s["hit"] | (F.length(page) > took) | (s["used"] + took >= max_chars)).alias("hit"),
-        )
 
-    trimmed = F.filter(F.transform(F.slice(F.coalesce(pages, F.array().cast("array<string>")), F.lit(1), F.greatest(attempted, F.lit(1))), T.trim_blanks), lambda p: F.length(p) > 0)
+        def taken(piece: Column) -> Column:
+            took = F.length(piece)
+            return F.struct(
+                F.when(left > 0, F.concat(s["pieces"], F.array(piece))).otherwise(s["pieces"]).alias("pieces"),
+                (s["used"] + took).cast("int").alias("used"),
+                (s["hit"] | (F.length(page) > took) | (s["used"] + took >= max_chars)).alias("hit"),
+            )
+
+        return T.bind(F.substring(page, F.lit(1), F.least(F.lit(R.PAGE_CHARS), left)), taken)
+
+    trimmed = F.filter(F.transform(F.slice(F.coalesce(pages, F.array().cast("array<string>")), F.lit(1), F.greatest(attempted, F.lit(1))), T.trim_bound), lambda p: F.length(p) > 0)
     start = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("used"), F.lit(False).alias("hit"))
     walked = F.aggregate(trimmed, start, step)
 
     def of(w: Column) -> Column:
-        joined = T.strip_controls(F.array_join(w["pieces"], "\n\n"))
-        chars_hit = w["hit"] | (F.length(joined) > max_chars)
+        return T.bind(T.strip_controls(F.array_join(w["pieces"], "\n\n")), lambda joined: result(w["hit"], joined))
+
+    def result(hit: Column, joined: Column) -> Column:
+        chars_hit = hit | (F.length(joined) > max_chars)
         pages_hit = F.coalesce(declared, F.lit(0)) > attempted
         reason = F.when(pages_hit & chars_hit, "maxPagesAndMaxChars").when(pages_hit, "maxPages").when(chars_hit, "maxChars")
         return F.struct(

@@ -51,7 +51,8 @@ def with_text(files: DataFrame, reader: Reader, max_pages: int = R.PIPELINE_PAGE
     read = read.withColumn("extracted", F.when(F.col("error").isNull(), budget.page_budget(F.col("read.pages"), F.col("read.declared"), max_pages, max_chars)))
     if ocr is not None:
         blank = F.col("extracted").isNotNull() & (T.trim_blanks(F.col("extracted.text")) == "")
-        read = read.withColumn("__ocr", T.null_if_empty(ocr(F.when(blank, F.col("content")))))
+        # Generated, as a function of Python must not be merged into a lambda that uses its text once.
+        read = read.select("*", F.explode(F.array(ocr(F.when(blank, F.col("content"))))).alias("__said")).withColumn("__ocr", T.null_if_empty(F.col("__said")))
         by_ocr = F.col("extracted").withField("text", F.col("__ocr")).withField("joined", F.col("__ocr"))
         read = read.withColumn("extracted", F.when(blank & F.col("__ocr").isNotNull(), by_ocr).otherwise(F.col("extracted")))
     return read.select("file", F.sha2("content", 256).alias("sha256"), "error", "extracted")
@@ -194,6 +195,8 @@ def envelopes(texts: DataFrame) -> DataFrame:
     docs = texts.withColumn("__vendor", fields.detect_vendor(body)).withColumn("__ticket", items.ticket_items(body))
     docs = docs.withColumn("__fields", fields.extract_fields(F.col("extracted.joined"), fields.detect_vendor(F.coalesce(F.col("extracted.joined"), F.lit("")))))
     tabular = F.size(F.col("__ticket.items")) >= R.MIN_TABULAR_ITEMS
+    # A ticket vendor's items are those already found.
+    by_ticket = F.coalesce(F.col("__vendor").isin([v.name for v in R.VENDORS if v.tabular]), F.lit(False))
     by = attribution(F.col("__vendor"), F.col("__ticket.items"), F.col("__fields.matched"))
     return docs.select(
         "file",
@@ -203,7 +206,7 @@ def envelopes(texts: DataFrame) -> DataFrame:
             F.coalesce("extracted.truncated", F.lit(False)).alias("truncated"),
             budget.truncation(F.col("extracted")).alias("truncation"),
             F.col("__fields").alias("invoice_fields"),
-            F.when(tabular, F.col("__ticket.items")).otherwise(items.vendor_items(body, F.col("__vendor"))).alias("line_items"),
+            F.when(tabular | by_ticket, F.col("__ticket.items")).otherwise(items.vendor_items(body, F.col("__vendor"))).alias("line_items"),
             by["parser"].alias("parser"),
             items.ticket_stats(F.col("__ticket")).alias("parser_stats"),
             by["source"].alias("source"),

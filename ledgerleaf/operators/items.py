@@ -2,7 +2,8 @@
 
 A document's items stay an array in its row: no explode, no shuffle, however
 many documents there are.  A row pattern is applied twice to a match: once to
-find it in the region, once to part it into its columns.
+find it in the region, once to part it into its columns.  A text that is used
+in several places is bound, so that it is made once.
 """
 
 from __future__ import annotations
@@ -46,21 +47,26 @@ def _item(**values: Column) -> Column:
 
 def ticket_region(text: Column) -> Column:
     """After the first known header, in order of preference, up to the earliest footer; all of it without a header."""
-    start = F.coalesce(*[T.find_from(text, m) + len(m) for m in R.TICKET_STARTS])
 
-    def after(s: Column) -> Column:
-        end = F.least(*[T.find_from(text, m, s) for m in R.TICKET_ENDS])
-        n = F.least(F.coalesce(end, F.length(text) + 1) - s, F.lit(R.REGION_CHARS))
-        return F.when(s.isNull(), text).otherwise(F.substring(text, F.coalesce(s, F.lit(1)), F.coalesce(n, F.lit(0))))
+    def region(t: Column) -> Column:
+        start = F.coalesce(*[T.find_from(t, m) + len(m) for m in R.TICKET_STARTS])
+        return T.bind(start, lambda s: F.when(s.isNull(), t).otherwise(before_end(F.substring(t, s, F.length(t)))))
 
-    return T.bind(start, after)
+    def before_end(rest: Column) -> Column:
+        # What is after the cap can't move the earliest footer before it.
+        return F.substring(F.regexp_replace(rest, f"(?s){T.any_of(R.TICKET_ENDS)}.*\\z", ""), F.lit(1), F.lit(R.REGION_CHARS))
+
+    return T.bind(text, region)
 
 
 def plausible_description(d: Column) -> Column:
-    d = T.trim_blanks(d)
-    listed = "|".join(T.escape_pattern(x) for x in R.NOT_PRODUCTS)
+    return T.bind(T.trim_short(d), _plausible)
+
+
+def _plausible(d: Column) -> Column:
+    """Of a trimmed description."""
     low, high = R.DESCRIPTION_CHARS
-    return F.length(d).between(low, high) & ~F.upper(d).rlike(listed) & (F.regexp_count(d, F.lit("[0-9]")) <= R.DESCRIPTION_DIGITS)
+    return F.length(d).between(low, high) & ~F.upper(d).rlike(T.any_of(R.NOT_PRODUCTS)) & ~d.rlike(f"(?:[0-9][^0-9]*+){{{R.DESCRIPTION_DIGITS + 1}}}")
 
 
 def ticket_items(text: Column) -> Column:
@@ -69,15 +75,15 @@ def ticket_items(text: Column) -> Column:
     Implausible descriptions are skipped and counted; of rows with the same
     description, units and total the first stays, and later ones aren't counted.
     """
-    rows = F.transform(rows_of(ticket_region(text), T.pattern(S.row(R.TICKET_CELLS), ""), len(R.TICKET_CELLS)), lambda p: F.struct(T.trim_blanks(T.collapse_blanks(F.get(p, F.lit(0)))).alias("d"), p.alias("p")))
+    rows = F.transform(rows_of(ticket_region(text), T.pattern(S.row(R.TICKET_CELLS), ""), len(R.TICKET_CELLS)), lambda p: F.struct(T.trim_short(T.collapse_blanks(F.get(p, F.lit(0)))).alias("d"), p.alias("p")))
 
     def typed(r: Column) -> Column:
         part = lambda k: F.get(r["p"], F.lit(k))
         n = lambda k: T.tabular_number(part(k), AMOUNT)
-        return _item(description=r["d"], units=n(1), unit_price=n(2), base=n(3), tax_label=T.trim_blanks(part(4)), tax_amount=n(5), amount=n(6))
+        return _item(description=r["d"], units=n(1), unit_price=n(2), base=n(3), tax_label=T.trim_short(part(4)), tax_amount=n(5), amount=n(6))
 
     def of(all_rows: Column) -> Column:
-        good = F.filter(all_rows, lambda r: plausible_description(r["d"]))
+        good = F.filter(all_rows, lambda r: _plausible(r["d"]))
 
         def firsts(g: Column) -> Column:
             keys = F.transform(g, lambda r: F.concat_ws("|", r["d"], F.get(r["p"], F.lit(1)), F.get(r["p"], F.lit(6))))
@@ -105,23 +111,27 @@ def bounded_region(text: Column, start: str, end: str) -> Column:
     """From a start marker (included) up to an end marker after it, capped; without the start: the text's beginning."""
     cap = F.lit(R.REGION_CHARS)
 
-    def of(s: Column) -> Column:
-        stop = T.find_from(text, end, F.coalesce(s, F.lit(1)))
-        n = F.least(F.coalesce(stop, F.length(text) + 1) - s, cap)
-        return F.when(s.isNull(), F.substring(text, F.lit(1), cap)).otherwise(F.substring(text, F.coalesce(s, F.lit(1)), F.coalesce(n, F.lit(0))))
+    def of(t: Column, s: Column) -> Column:
+        n = F.least(F.coalesce(T.find_from(t, end, s), F.length(t) + 1) - s, cap)
+        return F.when(s.isNull(), F.substring(t, F.lit(1), cap)).otherwise(F.substring(t, s, n))
 
-    return T.bind(T.find_from(text, start), of)
+    return T.bind(text, lambda t: T.bind(T.find_from(t, start), lambda s: of(t, s)))
 
 
 def clean_description(c: Column) -> Column:
     """Without serial numbers, a leading run of column headers, and all up to a telephone number."""
-    for word in ("n[úu]mero", "n[úu]meros"):
-        c = F.regexp_replace(c, T.pattern(f"{word}_de_serie~:~[A-Z0-9]+"), "")
-    c = T.trim_blanks(T.collapse_blanks(c))
-    tokens = "|".join(T.escape_pattern(t) for t in sorted(R.HEADER_WORDS, key=len, reverse=True))
-    c = F.regexp_replace(c, rf"\A(?:(?:{tokens})\.?[{T.BLANK}]+)+", "")
-    c = F.regexp_replace(c, T.pattern(rf"\A.*?Tel[ée]fono~:~[0-9{T.BLANK}]+"), "")
-    return T.trim_blanks(c)
+
+    def without_numbers(d: Column) -> Column:
+        for word in ("n[úu]mero", "n[úu]meros"):
+            d = F.regexp_replace(d, T.pattern(f"{word}_de_serie~:~[A-Z0-9]+"), "")
+        return d
+
+    # Patterns that fold cases are tried only where their letters are.
+    with_letters = lambda v, letters, made: T.bind(v, lambda d: F.when(T.low_letters(d).contains(letters), made(d)).otherwise(d))
+    c = T.trim_short(T.collapse_blanks(with_letters(c, "serie", without_numbers)))
+    tokens = T.any_of(tuple(sorted(R.HEADER_WORDS, key=len, reverse=True)))
+    c = F.regexp_replace(c, rf"\A(?:{tokens}\.?[{T.BLANK}]+)+", "")
+    return T.trim_short(with_letters(c, "fono", lambda d: F.regexp_replace(d, T.pattern(rf"\A.*?Tel[ée]fono~:~[0-9{T.BLANK}]+"), "")))
 
 
 def layout_items(text: Column, rules: R.ItemRules) -> Column:
@@ -140,13 +150,17 @@ def layout_items(text: Column, rules: R.ItemRules) -> Column:
 
 def vendor_items(text: Column, vendor: Column, vendors: tuple[R.Vendor, ...] = R.VENDORS) -> Column:
     """The line items by the vendor's layout; an empty list for an unknown vendor or one without a layout."""
-    out = None
-    for v in vendors:
-        made = ticket_items(text)["items"] if v.tabular else layout_items(text, v.items) if v.items else None
-        if made is not None:
-            out = F.when(vendor == v.name, made) if out is None else out.when(vendor == v.name, made)
     none = F.array().cast(f"array<{ITEM_TYPE}>")
-    return out.otherwise(none) if out is not None else none
+
+    def of(t: Column) -> Column:
+        out = None
+        for v in vendors:
+            made = ticket_items(t)["items"] if v.tabular else layout_items(t, v.items) if v.items else None
+            if made is not None:
+                out = F.when(vendor == v.name, made) if out is None else out.when(vendor == v.name, made)
+        return out.otherwise(none) if out is not None else none
+
+    return T.bind(text, of)
 
 
 # Articles.
@@ -165,13 +179,14 @@ def model_articles(items: Column) -> Column:
 
 def longer_list(items: Column, others: Column) -> Column:
     """``others`` only if it has more entries."""
-    return F.when(F.size(F.coalesce(others, F.array().cast(f"array<{ARTICLE_TYPE}>"))) > F.size(items), others).otherwise(items)
+    both = F.struct(items.alias("own"), others.alias("more"))
+    return T.bind(both, lambda b: F.when(F.size(F.coalesce(b["more"], F.array().cast(f"array<{ARTICLE_TYPE}>"))) > F.size(b["own"]), b["more"]).otherwise(b["own"]))
 
 
 def reconciled_total(total: Column, items: Column) -> Column:
     """The printed total or, if there is none, the items' rounded sum; null if an amount is missing or the sum isn't positive."""
     s = F.aggregate(items, F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + x["amount"]).cast("decimal(28,4)"))
-    return F.coalesce(total, F.when((F.size(items) > 0) & (s > 0), F.round(s, 2).cast("decimal(12,2)")))
+    return F.coalesce(total, T.bind(s, lambda x: F.when((F.size(items) > 0) & (x > 0), F.round(x, 2).cast("decimal(12,2)"))))
 
 
 def items_text(items: Column) -> Column:

@@ -29,6 +29,11 @@ def phrase(text: str) -> str:
     return "".join(out)
 
 
+def listed(chars: str) -> str:
+    """The inside of a class with each character of its Latin ranges by itself: they are looked up at once, where ranges are tried in turn."""
+    return re.sub(r"([0-9A-Za-z\u00c0-\u00ff])-([0-9A-Za-z\u00c0-\u00ff])", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), chars)
+
+
 def phrases(*parts: str) -> str:
     """Phrases one after the other, with or without blanks between them."""
     return ANY.join(map(phrase, parts))
@@ -72,7 +77,7 @@ class Cell:
                     return f"[{self.chars}]" + self._times(self.least, self.most)
                 return f"[{self.first}][{self.chars}]" + self._times(self.least - 1, None if self.most is None else self.most - 1)
             case "name":
-                return f"[{self.first}][{self.chars}]{{0,{self.most - 1}}}?"
+                return f"[{listed(self.first)}][{listed(self.chars)}]{{0,{self.most - 1}}}?"
             case "tax":  # a short name in capitals, or a rate
                 return "[A-Z][A-Z0-9 ().%]{0,8}|[0-9]{1,2}%"
             case "text":

@@ -377,6 +377,41 @@ def test_row_patterns_are_scanned_once(spark):
     assert plan.count("regexp_extract_all(replace(") == 1
 
 
+def _made(spark, column):
+    """How often a long expression over ``text``, marked by a reverse(), stands in a plan."""
+    df = spark.createDataFrame([("a", "b")], "text string, vendor string")
+    return df.select(column(F.reverse("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("reverse(")
+
+
+def test_a_text_is_made_once(spark):
+    """Texts, pages and lists that are expressions stand once in a plan, however often they are needed."""
+    assert _made(spark, items.ticket_items) == 1
+    assert _made(spark, lambda t: items.vendor_items(t, F.col("vendor"))) == 1
+    assert _made(spark, items.plausible_description) == 1
+    assert _made(spark, lambda t: T.first_group(t, "(a)")) == 1
+    assert _made(spark, lambda t: T.labelled_amount(t, 100)) == 1
+    assert _made(spark, lambda t: items.longer_list(items.articles(items.vendor_items(t, F.col("vendor"))), items.articles(items.vendor_items(F.lit("x"), F.col("vendor"))))) == 1
+    plan = spark.createDataFrame([("a",)], "text string").select(budget.page_budget(F.array("text"), F.lit(1)).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\x1f\x7f]") == 1
+
+
+def test_words_trims_and_edges(spark):
+    words = ("TOTAL (", "TOTAL  (", "A+B", "ÁB", "A")
+    texts = ["x TOTAL  (y", "TOTL [", "aA+Bc", "ÁB", "áb", "", None]
+    assert run(spark, texts, lambda c: F.regexp_extract(c, T.any_of(words), 0)) == ["TOTAL  (", "", "A+B", "ÁB", "", "", None]
+    edges = [" \t\u00a0\ufeffa b\u2003\n", "a", "\u3000", "", None, "\x1fa\x1f"]
+    assert run(spark, edges, T.trim_short) == ["a b", "a", "", "", None, "\x1fa\x1f"] == run(spark, edges, T.trim_blanks) == run(spark, edges, lambda c: T.bind(c, T.trim_bound))
+    assert run(spark, ["1,2,3", "1.234,5", "1,5", "12", "", None], T.tabular_number) == [None, D("1234.5"), D("1.5"), D("12"), None, None]
+    assert run(spark, ["1,2,3", "1.234,50 €", "1,5", "1.298", "1.2.3", ""], T.spanish_amount) == [None, D("1234.50"), D("1.50"), D("1.30"), None, None]
+    described = ["Pump NÚMERO DE SERIE : AB12 big", "Pump número de \u017ferie: X9", "IMPORTE Total. Pump", "Caja Tel\u00e9FONO: 600 1 Pump", "  Pump  big "]
+    assert run(spark, described, items.clean_description) == ["Pump big", "Pump", "Pump", "Pump", "Pump big"]
+
+
+def test_regions_end_at_the_first_footer_and_the_cap(spark):
+    texts = [f"x {HEAD} a Total Factura b Inscrita en el Registro", f"Total Factura {HEAD} ab", HEAD + "a" * 70_000 + "Total Factura", "no header Total Factura", None]
+    assert run(spark, texts, items.ticket_region) == [" a ", " ab", "a" * R.REGION_CHARS, "no header Total Factura", None]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_against_sql(spark, small, name):
     con = duckdb.connect()
