@@ -6,6 +6,7 @@ text column; no row leaves the JVM.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -21,11 +22,14 @@ MONEY = "decimal(12,2)"
 
 
 def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\r?\n")
+    # By one plain character, for which no pattern is compiled for each text.
+    return F.split(T.replaced(text, "\r\n", "\n"), "\n")
 
 
 def _label(name: str) -> str:
-    return T.pattern(rf"(?:\A|[{T.BLANK}])" + R.LABELS[name])
+    # The label's first letter is looked at before what stands before it.
+    firsts = "".join(dict.fromkeys(x[0] for x in re.sub(r"\A\(\?:|\)[^)]*\Z", "", R.LABELS[name]).split("|")))
+    return T.pattern(rf"(?=[{firsts}])(?<![^{T.BLANK}])" + R.LABELS[name])
 
 
 def _after(line: Column, name: str) -> Column:
@@ -42,22 +46,17 @@ def _has(low: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, [low.contains(w) for w in words])
 
 
-def _low(text: Column) -> Column:
-    """A text in which each letter that a pattern takes for one of A to Z, in whatever case, is that small letter."""
-    for odd, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
-        text = F.replace(text, F.lit(odd), F.lit(plain))
-    return F.lower(text)
-
-
 def _labelled_lines(text: Column) -> Column:
     """The lines with a label's words, each with the line below."""
     words = tuple(dict.fromkeys(w for name in R.LABELS for w in R.LABEL_WORDS[name]))
 
     def shaped(both: Column) -> Column:
         lines, low = both["lines"], both["low"]
-        return F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.get(lines, i + 1).alias("below"), F.get(low, i).alias("low"))), lambda x: _has(x["low"], words))
+        one = lambda x, i: F.when(x.rlike(T.any_of(words)), F.struct(F.get(lines, i).alias("line"), F.get(lines, i + 1).alias("below"), x.alias("low")))
+        return F.filter(F.transform(low, one), lambda x: x.isNotNull())
 
-    return T.bind(F.struct(_lines(text).alias("lines"), _lines(_low(text)).alias("low")), shaped)
+    both = lambda t: F.struct(_lines(t).alias("lines"), F.transform(_lines(t), T.low_letters).alias("low"))
+    return T.bind(T.bind(F.coalesce(text, F.lit("")), both), shaped)
 
 
 def _first(values: Column) -> Column:
@@ -86,9 +85,10 @@ def _value_in(lines: Column, name: str, most: int) -> Column:
     def of(x: Column) -> Column:
         value = F.regexp_replace(_after(x["line"], name), T.pattern(R.VALUE_STOP) + r".*\z", "")
         value = F.regexp_replace(value, rf"\A[{T.BLANK}:;.,]+", "")
-        return T.trim_blanks(F.regexp_replace(value, T.pattern(R.CURRENCY_TAIL), ""))
+        return T.trim_short(F.regexp_replace(value, T.pattern(R.CURRENCY_TAIL), ""))
 
-    values = F.transform(F.filter(lines, lambda x: _said(x, name)), of)
+    # A line without the label has nothing after it, and is passed over as one with an empty value.
+    values = F.transform(F.filter(lines, lambda x: _has(x["low"], R.LABEL_WORDS[name])), of)
     return F.get(F.filter(values, lambda v: F.length(v).between(1, most)), F.lit(0))
 
 

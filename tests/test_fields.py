@@ -131,3 +131,13 @@ def test_lines_are_passed_over_only_if_no_label_can_match(spark):
     for name in R.LABELS:
         got = rows.select("k", F.size(F.filter(fields._labelled_lines(F.col("text")), lambda x: fields._said(x, name))).alias("n"), F.col("text").rlike(fields._label(name)).cast("int").alias("want")).collect()
         assert [r.n for r in got] == [r.want for r in got]
+
+
+def test_lines_are_parted_without_a_pattern(spark):
+    """A pattern would be compiled for each text, and a value looked for twice by each label."""
+    df = spark.createDataFrame([("x",)], "text string")
+    plan = df.select(fields.generic_fields(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert ", \r?\n" not in plan and plan.count("imponible|importe") == 1
+    texts = ["a\rTotal 1,00\r\nTotal 2,00\n", " TOTAL 3,00", "xTotal 4,00 Ktotal 5,00", "İGIC 1,00\nimporte\ttotal 6,00", "Totally\nSubtotal 7,00", "\r\n\r\n"]
+    assert [v and float(v) for v in run(spark, texts, lambda t: fields.label_amount(t, "total"))] == [1.0, 3.0, None, 6.0, None, None]
+    assert [v and float(v) for v in run(spark, texts, lambda t: fields.label_amount(t, "tax"))] == [None, None, None, 1.0, None, None]
