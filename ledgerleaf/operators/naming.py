@@ -59,18 +59,54 @@ def running_sum(df: DataFrame, by: str, order: list[str], value: str, name: str
     return out.select(*df.columns, (F.col("__local") + F.coalesce("__base", F.lit(0))).cast("long").alias(name))
 
 
+#: Numbers are counted in blocks of so many, so that a base's are not in one task.
+BLOCK = 16384
+#: A join's side is broadcast only after a count of its rows.
+MOST_BROADCAST = 200_000
+
+
+def _if_few(df: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def _in_blocks(df: DataFrame, by: str) -> DataFrame:
+    """``df`` (b, ``by``, one) with ``block``, and ``base``: the sum of ``one`` over the blocks of its ``b`` before."""
+    rows = df.withColumn("block", F.floor(F.col(by) / BLOCK))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.groupBy("b", "block").agg(F.sum("one").alias("n")).select("b", "block", earlier.alias("base"))
+
+
 def _numbered(todo: DataFrame, used: DataFrame) -> DataFrame:
     """``todo`` (file, t, base, root) with ``number``: of each base the free numbers, in the order of the files.
 
-    ``used`` has the numbers taken (b, n), 0 for the name itself.  Below the
-    j-th of them there are n - j free numbers, so the free number of rank k is k
-    plus how many have no more than k free ones below: ranks and taken numbers
-    are merged in one order and counted, however many there are of either.
+    ``used`` has the numbers taken (b, n), each once, 0 for the name itself.
+    Below the j-th of them there are n - j free numbers, so the free number of
+    rank k is k plus how many have no more than k free ones below.  Both are
+    counted in blocks of numbers: those of a block in their order, those of the
+    blocks before as a sum.  A block has no more rows than its numbers, however
+    many there are, as taken numbers with as many free ones below are one row.
     """
-    taken = running_sum(used.withColumn("one", F.lit(1)), "b", ["n"], "one").select("b", (F.col("n") - F.col("before")).alias("v"), F.lit(0).alias("kind"), F.lit(1).alias("one"), *[F.lit(None).cast("string").alias(c) for c in ("file", "t", "base", "root")])
-    wishes = running_sum(todo.select(F.lower("base").alias("b"), "file", "t", "base", "root", F.lit(1).alias("one")), "b", ["file"], "one").select("b", F.col("before").alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("one"), "file", "t", "base", "root")
-    merged = running_sum(taken.unionByName(wishes), "b", ["v", "kind", "file"], "one")
-    return merged.filter("kind = 1").select("file", "t", "base", "root", (F.col("v") + F.col("before")).alias("number"))
+    ones = used.withColumn("one", F.lit(1))
+    bases = _in_blocks(ones, "n")
+    rank = F.row_number().over(Window.partitionBy("b", "block").orderBy("n")) - 1
+    ranked = ones.withColumn("block", F.floor(F.col("n") / BLOCK)).withColumn("local", rank).join(bases, ["b", "block"])
+    runs = ranked.groupBy("b", (F.col("n") - F.col("local") - F.col("base")).cast("long").alias("v")).agg(F.sum("one").cast("long").alias("one"))
+    runs = staged(runs, "rename-runs")
+    wishes = running_sum(todo.select(F.lower("base").alias("b"), "file", "t", "base", "root", F.lit(1).alias("one")), "b", ["file"], "one")
+    wishes = wishes.select("b", F.col("before").alias("v"), F.lit(0).cast("long").alias("one"), F.struct("file", "t", "base", "root").alias("w"))
+    # Each block that has wishes also gets, before its first number, what is taken in the blocks before it.
+    most = todo.groupBy(F.lower("base").alias("b")).agg(F.floor((F.count("*") - 1) / BLOCK).alias("last"))
+    blocks = most.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block"))
+    taken = runs.groupBy("b", F.floor(F.col("v") / BLOCK).alias("block")).agg(F.sum("one").alias("n"))
+    order = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.join(taken, ["b", "block"], "left").select("b", "block", F.sum(F.coalesce("n", F.lit(0))).over(order).alias("one"))
+    nobody = F.lit(None).cast(wishes.schema["w"].dataType).alias("w")
+    carried = carried.select("b", (F.col("block") * BLOCK).alias("v"), F.coalesce("one", F.lit(0)).cast("long").alias("one"), nobody)
+    both = runs.select("b", "v", "one", nobody).unionByName(carried).unionByName(wishes).withColumn("block", F.floor(F.col("v") / BLOCK))
+    # Rows of one number count for each other: what is taken counts for the wish of that rank.
+    below = F.sum("one").over(Window.partitionBy("b", "block").orderBy("v"))
+    return both.withColumn("below", below).filter("w IS NOT NULL").select("w.*", (F.col("v") + F.col("below")).alias("number"))
 
 
 def rename_plan(rows: DataFrame, existing: DataFrame, file: str = "file", target: str = "new_name", reuse_freed: bool = False) -> DataFrame:
@@ -92,21 +128,27 @@ def rename_plan(rows: DataFrame, existing: DataFrame, file: str = "file", target
     right = F.lower("file") == F.lower("t")
     todo = wanted.filter(~right).withColumn("base", F.regexp_replace("t", r"(?i)\.pdf\z", "")).withColumn("root", F.regexp_replace(F.lower("base"), _ROOT, ""))
     todo = staged(todo, "rename-wishes")
+    # A base's names are contested only by other bases of its root.
+    bases = staged(todo.groupBy(F.lower("base").alias("b"), "root").agg(F.count("*").alias("n")), "rename-bases")
+    shared = staged(bases.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "rename-roots")
     there = existing.select(F.col(file).alias("name"))
     if reuse_freed:
         there = there.join(todo.select(F.col("file").alias("name")).distinct(), "name", "left_anti")
-    taken = there.select(F.lower("name").alias("name")).union(wanted.filter(right).select(F.lower("t"))).distinct()
+    taken = there.select(F.lower("name").alias("name")).union(wanted.filter(right).select(F.lower("t")))
 
-    # The numbers that are taken for a base: 0 is the name itself.
+    # The numbers that are taken for a base that is wished for: 0 is the name itself.
     part = lambda k: F.regexp_extract("name", r"\A(.*)-([1-9][0-9]{0,8})\.pdf\z", k)
-    numbers = taken.select(part(1).alias("b"), part(2).try_cast("long").alias("n")).filter("n IS NOT NULL")
-    used = staged(numbers.union(taken.select(F.regexp_replace("name", r"\.pdf\z", "").alias("b"), F.lit(0).cast("long").alias("n"))).distinct(), "rename-taken")
+    named = F.array(F.struct(part(1).alias("b"), part(2).try_cast("long").alias("n")), F.struct(F.regexp_replace("name", r"\.pdf\z", "").alias("b"), F.lit(0).cast("long").alias("n")))
+    numbers = taken.select(F.explode(named).alias("x")).select("x.b", "x.n").filter("n IS NOT NULL")
+    used = staged(numbers.join(_if_few(bases.select("b")), "b", "left_semi").distinct(), "rename-taken")
     new = F.when(F.col("number") == 0, F.col("t")).otherwise(F.concat("base", F.lit("-"), F.col("number").cast("string"), F.lit(".pdf")))
+    if shared.isEmpty():
+        return _numbered(todo, used).select("file", new.alias("new_name"))
     settled = None
     while True:
         plan = staged(_numbered(todo, used).withColumn("new_name", new), "rename-round")
         # A name is contested by as many bases as it has numbers to its end: few, whatever the number of files.
-        contested = plan.groupBy(F.lower("new_name").alias("name")).agg(F.min("file").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        contested = plan.join(shared, "root", "left_semi").groupBy(F.lower("new_name").alias("name")).agg(F.min("file").alias("first"), F.count("*").alias("n")).filter("n > 1")
         lost = staged(plan.join(contested, F.lower("new_name") == F.col("name")).filter("file <> first").select("root", F.lower("base").alias("b"), F.col("number").alias("n")), "rename-lost")
         again = lost.select("root").distinct()
         done = plan.join(again, "root", "left_anti").select("file", "new_name")

@@ -113,3 +113,23 @@ def test_as_many_rounds_as_the_longest_ring_needs(spark, monkeypatch):
     order = [(r.step, r.file, r.new_name) for r in naming.rename_order(plan).collect()]
     assert written.count("rename-paths") <= 12
     assert carried_out(order, [f"r{j:05d}.pdf" for j in range(n)]) == {f"r{j:05d}.pdf" for j in range(n)}
+
+
+@pytest.mark.parametrize("block", (3, 16384))
+def test_only_names_that_are_wished_for_are_looked_at(spark, monkeypatch, block):
+    """Numbers of other names are not dealt with; blocks of numbers, however small, give what a loop gives."""
+    rng = random.Random(block)
+    rows = [(f"f{k:03}.pdf", f"{rng.choice(['x', 'X', 'y', 'y-z'])}.pdf") for k in range(60)]
+    names = [f for f, _ in rows] + [f"x-{k}.pdf" for k in (*range(1, 12), *range(20, 90, 7))] + ["y.pdf", "y-2.pdf", "Y-Z-40.pdf"] + [f"other-{k}.pdf" for k in range(1, 301)]
+    written = {}
+
+    def counted(df, name, made=naming.staged):
+        out = made(df, name)
+        written[name] = max(out.count(), written.get(name, 0))
+        return out
+
+    monkeypatch.setattr(naming, "staged", counted)
+    monkeypatch.setattr(naming, "BLOCK", block, raising=False)
+    got = naming.rename_plan(spark.createDataFrame(rows, PLAN), spark.createDataFrame([(f,) for f in names], "file string")).collect()
+    assert {r.file: r.new_name for r in got} == loop(rows, names) and len(got) == len(rows)
+    assert written["rename-taken"] == 24
