@@ -16,29 +16,56 @@ from pyspark.sql import functions as F
 
 #: All characters that count as blank in document text, as the inside of a class.
 BLANK = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: The characters of the class themselves.
+BLANK_CHARS = " \t\n\v\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: The same class as it is compiled: most characters are no blanks and are passed over by the first, cheap test.
 _BLANKS = rf"[[^!-~]&&[{BLANK}]]"
-#: The characters of the class themselves.
-_BLANK_CHARS = " \t\n\v\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: The same within a line, which no line feed parts.
+_LINE_BLANKS = _BLANKS.replace(r"\s", r" \t\x0b\f\r")
 _EDGES = rf"\A{_BLANKS}+|{_BLANKS}+\z"
 #: Each by itself, as such a class is looked up at once, where ranges are tried in turn.
 _CONTROLS = "[" + "".join(f"\\x{k:02x}" for k in (*range(9), 11, 12, *range(14, 32), 127)) + "]"
-NOT_WORD_BEFORE, NOT_WORD_AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
+#: Letters that a pattern takes, in whatever case, for one of A to Z.
+_ODD_LETTERS = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
+_WORD = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_"
 
 
-def pattern(source: str, flags: str = "iu") -> str:
-    """A Java pattern from a rule's: ``_`` is a run of blanks, ``~`` any blanks, ``%b``/``%e`` word edges in ASCII.
+def pattern(source: str, flags: str = "iu", lines: bool = False) -> str:
+    """A Java pattern from a rule's: ``_`` is a run of blanks, ``~`` any blanks, ``%b``/``%e`` word edges in ASCII, ``%a`` the text's start or a place after a blank.
 
-    ``iu`` folds accented letters too; pass ``""`` for exact case.
+    ``iu`` folds accented letters too; pass ``""`` for exact case.  With ``lines``
+    a run of blanks ends with its line.
     """
-    for short, long in (("_", f"[{BLANK}]+"), ("~", f"[{BLANK}]*"), ("%b", NOT_WORD_BEFORE), ("%e", NOT_WORD_AFTER)):
-        source = source.replace(short, long)
-    # Blanks have no case; a class that folds it looks up both cases of each character that it is tried on.
+    # Blanks have no case, and of words all letters are given; a class that folds case looks up both cases of each character that it is tried on.
     plain, again = (f"(?-{flags})", f"(?{flags})") if flags else ("", "")
-    source = re.sub(rf"{re.escape(f'[{BLANK}]')}((?:[+*?]|\{{[0-9,]+\}})?[+?]?)", lambda m: plain + _BLANKS + m[1] + again, source)
+    word = f"{plain}[{_WORD}{''.join(_ODD_LETTERS) if flags else ''}]"
+    for short, long in (("_", f"[{BLANK}]+"), ("~", f"[{BLANK}]*"), ("%b", f"(?<!{word})"), ("%e", f"(?!{word})")):
+        source = source.replace(short, long)
+    blanks = _LINE_BLANKS if lines else _BLANKS
+    source = re.sub(rf"{re.escape(f'[{BLANK}]')}((?:[+*?]|\{{[0-9,]+\}})?[+?]?)", lambda m: plain + blanks + m[1] + again, source)
+    source = source.replace("%a", rf"(?:(?<={plain}{_BLANKS})|\A)")
     return f"(?{flags}s){source}" if flags else f"(?s){source}"
 
 
+def starting(firsts: str, more: str = "") -> str:
+    """For a pattern that folds case: what follows may begin with one of these, in either case.
+
+    Few characters pass this cheap test: those of Latin-1 are looked up at once, and all beyond are let through.
+    """
+    each = dict.fromkeys(c for x in firsts for c in (*x.lower(), *x.upper()) if ord(c) < 256)
+    return f"(?-iu)(?=[{''.join(map(escape_pattern, each))}\\u0100-\\uffff]{more})(?iu)"
+
+
+def needed(source: str, fold: bool = True) -> str | None:
+    """The longest piece (in small letters, with ``fold``) that is in any text in which a rule's pattern is found; null if that isn't plain to see."""
+    bare = re.sub(r"\\x[0-9A-Fa-f]{2}|\\[^0-9A-Za-z]|%[abe]|[_~]", " ", source.replace(f"[{BLANK}]", "[ ]"))
+    bare = re.sub(r"\[[^\]\[\\]*\][+*?]?", " ", bare)
+    if re.search(r"[\\|(){}\[\]*?^$]", bare):
+        return None
+    longest = max(re.findall("[0-9A-Za-z]{3,}", bare), key=len, default=None)
+    return longest.lower() if longest and fold else longest
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value made once for each row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -51,13 +78,13 @@ def trim_blanks(c: Column) -> Column:
 
 def trim_bound(t: Column) -> Column:
     """The same for a bound text: most have no blank at an edge, which is seen without a pattern that is tried on each character."""
-    blank = lambda edge: F.lit(_BLANK_CHARS).contains(edge)
+    blank = lambda edge: F.lit(BLANK_CHARS).contains(edge)
     return F.when(blank(F.substring(t, 1, 1)) | blank(F.substring(t, -1, 1)), trim_blanks(t)).otherwise(t)
 
 
 def trim_short(c: Column) -> Column:
     """The same for cells and labels' values, without a pattern; it takes some bytes for each one of its text."""
-    return F.btrim(c, F.lit(_BLANK_CHARS))
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def rtrim_blanks(c: Column) -> Column:
@@ -111,10 +138,6 @@ def replaced(c: Column, what: str, by: str) -> Column:
     return F.when(c.contains(what), F.replace(c, F.lit(what), F.lit(by))).otherwise(c)
 
 
-#: Letters that a pattern takes, in whatever case, for one of A to Z.
-_ODD_LETTERS = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
-
-
 def low_letters(c: Column) -> Column:
     """A bound text in which each letter that a pattern takes for one of A to Z, in whatever case, is that small letter."""
     plain = c
@@ -190,14 +213,18 @@ DAY_MONTH_YEAR = "[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}"
 
 def day_month_year(c: Column) -> Column:
     """The first d/m/yyyy or d.m.yyyy of a text as a date; null if it is none of 1900 to 2100."""
-    found = F.replace(F.regexp_extract(c, DAY_MONTH_YEAR, 0), F.lit("."), F.lit("/"))
-    date = bind(found, lambda m: F.when(m.rlike(r"/[0-9]{4}\z"), F.try_to_date(m, "d/M/yyyy")))
+    return found_day(F.regexp_extract(c, DAY_MONTH_YEAR, 0))
+
+
+def found_day(c: Column) -> Column:
+    """The same for a text that is as ``DAY_MONTH_YEAR``, or empty."""
+    date = bind(F.replace(c, F.lit("."), F.lit("/")), lambda m: F.when(F.length(F.substring_index(m, "/", -1)) == 4, F.try_to_date(m, "d/M/yyyy")))
     return bind(date, lambda d: F.when(F.year(d).between(1900, 2100), d))
 
 
 def vendor_date(c: Column) -> Column:
     """yyyy-mm-dd, dd/mm/yyyy or dd-mm-yyyy as a date; impossible dates are null."""
-    return bind(trim_blanks(c), _vendor_date)
+    return bind(bind(c, trim_bound), _vendor_date)
 
 
 def _vendor_date(c: Column) -> Column:
@@ -210,8 +237,9 @@ def _vendor_date(c: Column) -> Column:
 def csv_cell(c: Column) -> Column:
     """A CSV cell: null as empty, formulas disarmed by an apostrophe, quoted where needed."""
     s = F.coalesce(c.cast("string"), F.lit(""))
-    s = F.when(s.rlike(r"\A[=+\-@]"), F.concat(F.lit("'"), s)).otherwise(s)
-    return F.when(s.rlike(r'[",\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
+    any_in = lambda signs, has: reduce(or_, [has(F.lit(x)) for x in signs])
+    s = F.when(any_in("=+-@", s.startswith), F.concat(F.lit("'"), s)).otherwise(s)
+    return F.when(any_in('",\n', s.contains), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
 
 
 def filename_part(c: Column, fallback: Column | str) -> Column:

@@ -7,6 +7,7 @@ text column; no row leaves the JVM.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -26,89 +27,107 @@ def _lines(text: Column) -> Column:
     return F.split(T.replaced(text, "\r\n", "\n"), "\n")
 
 
-def _label(name: str) -> str:
+def _unfinished(name: str) -> str:
+    """A label's pattern, which ends with its line, so that it can be looked for in a whole text."""
     # The label's first letter is looked at before what stands before it.
     firsts = "".join(dict.fromkeys(x[0] for x in re.sub(r"\A\(\?:|\)[^)]*\Z", "", R.LABELS[name]).split("|")))
-    return T.pattern(rf"(?=[{firsts}])(?<![^{T.BLANK}])" + R.LABELS[name])
+    return T.starting(firsts) + "%a" + R.LABELS[name].replace("[^)]", r"[^)\n]")
 
 
-def _after(line: Column, name: str) -> Column:
-    """What follows the first hit of a label in a line."""
-    return F.regexp_extract(line, _label(name) + r"(.*)\z", 1)
+def _label(name: str) -> str:
+    return T.pattern(_unfinished(name), lines=True)
 
 
-def _said(line: Column, name: str) -> Column:
-    """Whether a line has a label; most lines lack its words, and those are looked for without a pattern."""
-    return _has(line["low"], R.LABEL_WORDS[name]) & line["line"].rlike(_label(name))
+def _date_pattern(name: str) -> str:
+    """The group is the first date after a label in its line or, if that has none, in the line below."""
+    return T.pattern(_unfinished(name) + rf"(?=(?:[^\n]*?|[^\n]*+\n[^\n]*?)({T.DAY_MONTH_YEAR}))[^\n]*+", lines=True)
+
+
+def _value_pattern(name: str) -> str:
+    """The group is what follows a label in its line up to the next label, without signs before it and currency after it; none if that label is next."""
+    stop, currency = R.VALUE_STOP.removeprefix("%b"), R.CURRENCY_TAIL.removesuffix(r"\z")
+    # What follows a label is a text of its own: a next label right behind it needs no word's edge.
+    # The value grows over characters that none of what may end it begins with, which is seen at once.
+    may_end = T.starting(_STOP_FIRSTS + T.BLANK_CHARS, r"|\z")
+    return T.pattern(_unfinished(name) + rf"(?:{stop}|(?:[:;.,]|_)*+([^\n]*?){may_end}(?:{currency})?~(?={T.starting(_STOP_FIRSTS)}%b{stop}|\n|\z))[^\n]*+", lines=True)
+
+
+_STOP_FIRSTS = "".join(dict.fromkeys(x[0] for x in re.sub(r"\A%b\(\?:|\)[^)]*\Z", "", R.VALUE_STOP).split("|")))
 
 
 def _has(low: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, [low.contains(w) for w in words])
 
 
+def _said(line: Column, name: str) -> Column:
+    """Whether a line has a label; most lines lack its words, and those are looked for without a pattern."""
+    return _has(line["low"], R.LABEL_WORDS[name]) & line["line"].rlike(_label(name))
+
+
 def _labelled_lines(text: Column) -> Column:
-    """The lines with a label's words, each with the line below."""
+    """The lines with a label's words, each with the line below: what a search of the whole text is held against."""
     words = tuple(dict.fromkeys(w for name in R.LABELS for w in R.LABEL_WORDS[name]))
 
-    def shaped(both: Column) -> Column:
-        lines, low = both["lines"], both["low"]
-        one = lambda x, i: F.when(x.rlike(T.any_of(words)), F.struct(F.get(lines, i).alias("line"), F.get(lines, i + 1).alias("below"), x.alias("low")))
-        return F.filter(F.transform(low, one), lambda x: x.isNotNull())
+    def shaped(lines: Column) -> Column:
+        one = lambda x, i: F.struct(x.alias("line"), F.get(lines, i + 1).alias("below"), T.low_letters(x).alias("low"))
+        return F.filter(F.transform(lines, one), lambda x: x["low"].rlike(T.any_of(words)))
 
-    both = lambda t: F.struct(_lines(t).alias("lines"), F.transform(_lines(t), T.low_letters).alias("low"))
-    return T.bind(T.bind(F.coalesce(text, F.lit("")), both), shaped)
+    return T.bind(T.bind(F.coalesce(text, F.lit("")), _lines), shaped)
+
+
+def _scanned(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of a text whose lines end in line feeds alone, and of its small letters; null counts as empty.
+
+    Each label is looked for in the whole text at once, and only if its words are there.
+    """
+    lines = T.bind(F.coalesce(text, F.lit("")), lambda t: T.replaced(t, "\r\n", "\n"))
+    return T.bind(lines, lambda t: T.bind(T.low_letters(t), lambda low: body(t, low)))
 
 
 def _first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
+def _found(text: Column, low: Column, name: str, java_pattern: str) -> Column:
+    """The pattern's group beside each line's first label of this name; null without its words."""
+    return F.when(_has(low, R.LABEL_WORDS[name]), F.regexp_extract_all(text, F.lit(java_pattern), F.lit(1)))
+
+
 def label_date(text: Column, name: str) -> Column:
     """The date beside a label or, if that line has none, on the line below; later labels are tried if it is invalid."""
-    return T.bind(_labelled_lines(text), lambda lines: _date_in(lines, name))
-
+    return _scanned(text, lambda t, low: _date_in(t, low, name))
 
-def _date_in(lines: Column, name: str) -> Column:
-    def at(x: Column) -> Column:
-        where = T.bind(_after(x["line"], name), lambda a: F.when(a.rlike(T.DAY_MONTH_YEAR), a).otherwise(F.coalesce(x["below"], a)))
-        return F.when(_said(x, name), T.day_month_year(where))
 
-    return _first(F.transform(lines, at))
+def _date_in(text: Column, low: Column, name: str) -> Column:
+    return _first(F.transform(_found(text, low, name, _date_pattern(name)), T.found_day))
 
 
 def label_value(text: Column, name: str, most: int) -> Column:
     """The text beside a label up to the next label, without currency; empty or longer ones are passed over."""
-    return T.bind(_labelled_lines(text), lambda lines: _value_in(lines, name, most))
-
+    return _scanned(text, lambda t, low: _value_in(t, low, name, most))
 
-def _value_in(lines: Column, name: str, most: int) -> Column:
-    def of(x: Column) -> Column:
-        value = F.regexp_replace(_after(x["line"], name), T.pattern(R.VALUE_STOP) + r".*\z", "")
-        value = F.regexp_replace(value, rf"\A[{T.BLANK}:;.,]+", "")
-        return T.trim_short(F.regexp_replace(value, T.pattern(R.CURRENCY_TAIL), ""))
 
-    # A line without the label has nothing after it, and is passed over as one with an empty value.
-    values = F.transform(F.filter(lines, lambda x: _has(x["low"], R.LABEL_WORDS[name])), of)
-    return F.get(F.filter(values, lambda v: F.length(v).between(1, most)), F.lit(0))
+def _value_in(text: Column, low: Column, name: str, most: int) -> Column:
+    return F.get(F.filter(_found(text, low, name, _value_pattern(name)), lambda v: F.length(v).between(1, most)), F.lit(0))
 
 
 def label_amount(text: Column, name: str) -> Column:
-    return T.bind(_labelled_lines(text), lambda lines: _amount_in(lines, name))
+    return _scanned(text, lambda t, low: _amount_in(t, low, name))
 
 
-def _amount_in(lines: Column, name: str) -> Column:
-    return T.labelled_amount(_value_in(lines, name, R.VALUE_CHARS), R.MOST_TOTAL)
+def _amount_in(text: Column, low: Column, name: str) -> Column:
+    return T.labelled_amount(_value_in(text, low, name, R.VALUE_CHARS), R.MOST_TOTAL)
 
 
 def label_tax(text: Column) -> Column:
     """IGIC, IVA or TAX by the first line with a tax label; null if that label is spelled otherwise."""
-    return T.bind(_labelled_lines(text), _tax_in)
+    return _scanned(text, _tax_in)
 
 
-def _tax_in(lines: Column) -> Column:
+def _tax_in(text: Column, low: Column) -> Column:
     word = lambda w: T.pattern(f"%b(?:{w})%e")
-    hits = F.filter(lines, lambda x: _said(x, "tax"))
-    return T.bind(F.regexp_extract(F.get(hits, F.lit(0))["line"], _label("tax"), 0), lambda head: F.when(head.rlike(word("igic")), "IGIC").when(head.rlike(word("iva")), "IVA").when(head.rlike(word("tax|taxes")), "TAX"))
+    head = F.when(_has(low, R.LABEL_WORDS["tax"]), F.regexp_extract(text, _label("tax"), 0))
+    return T.bind(head, lambda h: F.when(h.rlike(word("igic")), "IGIC").when(h.rlike(word("iva")), "IVA").when(h.rlike(word("tax|taxes")), "TAX"))
 
 
 def named(**values: Column) -> Column:
@@ -119,23 +138,25 @@ def named(**values: Column) -> Column:
 def generic_fields(text: Column) -> Column:
     """The seven generic slots as a struct, with the list of those found."""
 
-    def slots(lines: Column) -> Column:
-        found = {
-            "invoice_date": _date_in(lines, "invoice_date"),
-            "simplified_invoice_date": _date_in(lines, "simplified_invoice_date"),
-            "invoice_number": _value_in(lines, "invoice_number", R.NUMBER_CHARS),
-            "subtotal": _amount_in(lines, "subtotal"),
-            "tax_label": _tax_in(lines),
-            "tax": _amount_in(lines, "tax"),
-            "total": _amount_in(lines, "total"),
-        }
-        return T.bind(F.struct(*[v.alias(k) for k, v in found.items()]), lambda s: shaped(s, tuple(found)))
+    return _scanned(text, _slots)
+
+
+def _slots(text: Column, low: Column) -> Column:
+    found = {
+        "invoice_date": _date_in(text, low, "invoice_date"),
+        "simplified_invoice_date": _date_in(text, low, "simplified_invoice_date"),
+        "invoice_number": _value_in(text, low, "invoice_number", R.NUMBER_CHARS),
+        "subtotal": _amount_in(text, low, "subtotal"),
+        "tax_label": _tax_in(text, low),
+        "tax": _amount_in(text, low, "tax"),
+        "total": _amount_in(text, low, "total"),
+    }
 
     def shaped(s: Column, order: tuple[str, ...]) -> Column:
         plain = [s[k].alias(k) for k in ("invoice_date", "simplified_invoice_date", "invoice_number", "tax_label")]
         return F.struct(*plain, F.struct(*[s[k].alias(k) for k in TOTALS]).alias("totals"), named(**{k: s[k] for k in order}).alias("matched"))
 
-    return T.bind(_labelled_lines(text), slots)
+    return T.bind(F.struct(*[v.alias(k) for k, v in found.items()]), lambda s: shaped(s, tuple(found)))
 
 
 # Vendors.
@@ -143,7 +164,17 @@ def generic_fields(text: Column) -> Column:
 
 def detect_vendor(text: Column, vendors: tuple[R.Vendor, ...] = R.VENDORS) -> Column:
     """The first vendor, by priority, of which any marker occurs; null for none."""
-    return F.coalesce(*[F.when(text.rlike(T.pattern("|".join(v.markers))), F.lit(v.name)) for v in vendors])
+    return T.bind(text, lambda t: T.bind(T.low_letters(t), lambda low: _vendor_of(t, low, vendors)))
+
+
+def _vendor_of(text: Column, low: Column, vendors: tuple[R.Vendor, ...]) -> Column:
+    def any_marker(markers: tuple[str, ...]) -> Column:
+        has = text.rlike(T.pattern("|".join(markers)))
+        # Most texts lack the longest words of a vendor's markers, which is seen without a pattern.
+        words = [T.needed(m) for m in markers]
+        return _has(low, tuple(words)) & has if all(words) else has
+
+    return F.coalesce(*[F.when(any_marker(v.markers), F.lit(v.name)) for v in vendors])
 
 
 def _vendor_totals(text: Column, rules: R.FieldRules) -> Column:
@@ -165,7 +196,8 @@ def _vendor_totals(text: Column, rules: R.FieldRules) -> Column:
 
 def vendor_fields(text: Column, vendor: Column, vendors: tuple[R.Vendor, ...] = R.VENDORS) -> Column:
     """The fields by the vendor's own rules; a null struct if the vendor has none."""
-    tax_label = F.when(text.rlike(T.pattern("%bIGIC%e")), "IGIC").when(text.rlike(T.pattern("%bIVA%e")), "IVA")
+    word = lambda w: text.rlike(T.pattern(f"{T.starting(w[0])}%b{w}%e"))
+    tax_label = F.when(word("IGIC"), "IGIC").when(word("IVA"), "IVA")
     out = None
     for v in vendors:
         if v.fields:
@@ -198,13 +230,15 @@ def merge_fields(generic: Column, vendor: Column) -> Column:
 def extract_fields(text: Column, vendor: Column | None = None) -> Column:
     """Generic and vendor fields of a text, merged; null text counts as empty."""
 
-
-    def of(t: Column) -> Column:
-        by = vendor if vendor is not None else detect_vendor(t)
-        both = T.bind(by, lambda v: F.struct(generic_fields(t).alias("g"), vendor_fields(t, v).alias("v")))
+    def of(t: Column, low: Column) -> Column:
+        lines = T.replaced(t, "\r\n", "\n")
+        generic = T.bind(lines, lambda x: _slots(x, low))
+        by = vendor if vendor is not None else _vendor_of(t, low, R.VENDORS)
+        both = T.bind(by, lambda v: F.struct(generic.alias("g"), vendor_fields(t, v).alias("v")))
         return T.bind(both, lambda s: merge_fields(s["g"], s["v"]))
 
-    return T.bind(F.coalesce(text, F.lit("")), of)
+    # Ends of lines are no part of what is looked for in small letters.
+    return T.bind(F.coalesce(text, F.lit("")), lambda t: T.bind(T.low_letters(t), lambda low: of(t, low)))
 
 
 def fill_from_model(fields: Column, number: Column, date: Column, total: Column) -> Column:

@@ -141,3 +141,23 @@ def test_lines_are_parted_without_a_pattern(spark):
     texts = ["a\rTotal 1,00\r\nTotal 2,00\n", " TOTAL 3,00", "xTotal 4,00 Ktotal 5,00", "İGIC 1,00\nimporte\ttotal 6,00", "Totally\nSubtotal 7,00", "\r\n\r\n"]
     assert [v and float(v) for v in run(spark, texts, lambda t: fields.label_amount(t, "total"))] == [1.0, 3.0, None, 6.0, None, None]
     assert [v and float(v) for v in run(spark, texts, lambda t: fields.label_amount(t, "tax"))] == [None, None, None, 1.0, None, None]
+
+
+def test_labels_are_looked_for_in_the_whole_text_at_once(spark):
+    """A pattern for each label and line, and more for each value, would be what most time goes into."""
+    df = spark.createDataFrame([("x",)], "text string")
+    plan = df.select(fields.generic_fields(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("regexp_replace") == 0 and plan.count("regexp_extract_all(") == 6
+    # What stands in another line, or behind the next label, is no part of a value or label.
+    texts = ["Total\n12,00", "Total:\n\nTotal 3,00 EUR\r\n", "IGIC (7%\n8) 5,00", "importe\ntotal 6,00", "Totaliva 4,00", "Total 7,00 igic 1,00", "Total 8,00 eur eur", "Total 9,00 € Fecha  factura", "Total: ; 2,00 "]
+    assert [v and float(v) for v in run(spark, texts, lambda t: fields.label_amount(t, "total"))] == [None, 3.0, None, 6.0, None, 7.0, 8.0, 9.0, 2.0]
+    texts = ["Fecha factura\nFecha factura 1/2/2020 3/4/2020", "Fecha\nfactura 1/2/2020", "Fecha factura\n\n1/2/2020", "Fecha factura\nsimplificada 1/2/2020", "Fecha factura 1/2/20 3/4/2020\nFecha factura: 5/6/2020"]
+    assert run(spark, texts, lambda t: fields.label_date(t, "invoice_date")) == [dt.date(2020, 2, 1), None, None, dt.date(2020, 2, 1), dt.date(2020, 6, 5)]
+
+
+def test_vendors_are_looked_for_where_their_words_are(spark):
+    from ledgerleaf.functions import text as T
+
+    assert [T.needed(m) for v in R.VENDORS for m in v.markers] == ["mercadona", "canarias", "miller", "aparcamientos", "parque", "acastimar", "factura", "doctoragua", "doctor", "b52537339"]
+    assert [T.needed(p) for p in ("ab", "abc|xyz", "abcd?", "a[bc]d", "(abc)", r"\dabc", "%babc%e", "abc_defg")] == [None, None, None, None, None, None, "abc", "defg"]
+    assert run(spark, ["acaſtimar,s.l.", "MERCADONA S.A.", "POL.IN.MİLLER", "doctor", "B5253733"], fields.detect_vendor) == ["acastimar", "mercadona", "miller", None, None]
