@@ -8,6 +8,9 @@ in several places is bound, so that it is made once.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,9 +137,22 @@ def clean_description(c: Column) -> Column:
     return T.trim_short(with_letters(c, "fono", lambda d: F.regexp_replace(d, T.pattern(rf"\A.*?Tel[ée]fono~:~[0-9{T.BLANK}]+"), "")))
 
 
+def _row_pieces(cells: tuple[S.Cell, ...]) -> tuple[str, ...]:
+    """What any row of these cells has in it."""
+    pieces = [T.needed(c.ends, fold=False) for c in cells] + [c.tail for c in cells] + ["," for c in cells if c.kind == "decimal"]
+    return tuple(dict.fromkeys(x for x in pieces if x))
+
+
 def layout_items(text: Column, rules: R.ItemRules) -> Column:
     """The rows of one vendor's layout."""
-    rows = rows_of(bounded_region(text, rules.start, rules.end), T.pattern(S.row(rules.cells), ""), len(rules.cells))
+
+    def found(region: Column) -> Column:
+        rows = rows_of(region, T.pattern(S.row(rules.cells), ""), len(rules.cells))
+        pieces = _row_pieces(rules.cells)
+        # A description may start at any character, which is tried only where a row's signs are.
+        return F.when(reduce(and_, [region.contains(x) for x in pieces]), rows).otherwise(F.array().cast("array<array<string>>")) if pieces else rows
+
+    rows = T.bind(bounded_region(text, rules.start, rules.end), found)
 
     def typed(p: Column) -> Column:
         out = {}

@@ -432,3 +432,13 @@ def test_queries_against_sql(spark, small, name):
     assert cols == sorted(b.columns)
     rows = lambda d: sorted(tuple("-" if pd.isna(x) else f"{x:.6f}" if isinstance(x, float) else str(x).replace(" 00:00:00", "") for x in r) for r in d[cols].itertuples(index=False))
     assert rows(a) == rows(b)
+
+
+def test_rows_are_looked_for_where_their_signs_are(spark):
+    """A row's description may start anywhere, so that the pattern is tried at each character of a region without rows."""
+    by = {v.name: v for v in R.VENDORS}
+    assert [items._row_pieces(by[n].items.cells) for n in ("miller", "empark", "acastimar")] == [("DULO",), ("%",), (",",)]
+    texts = ["Refª pan MODULO  Nº : A1 5 1,00 2,00 7,00 Recibo Resumen", "Refª pan MÓDULO Nº:A1 5 1,00 2,00 7,00", "Refª pan módulo Nº : A1 5 1,00 2,00 7,00", "Refª pan 5 1,00 2,00 7,00", ""]
+    assert run(spark, texts, lambda t: F.size(items.layout_items(t, by["miller"].items))) == [1, 1, 0, 0, 0]
+    cells = ["=1", "+1", "-1", "@a", "a,b", 'a"b', "a\nb", "a=b", "'", "", None]
+    assert run(spark, cells, T.csv_cell) == ["'=1", "'+1", "'-1", "'@a", '"a,b"', '"a""b"', '"a\nb"', "a=b", "'", "", ""]
