@@ -180,12 +180,14 @@ def bounded_int(c: Column, fallback: int, hard_max: int) -> Column:
 def spanish_amount(c: Column, kind: str = "decimal(12,2)") -> Column:
     """An amount as printed by vendors: with dots and commas, dots are thousands; else the first comma is the point."""
 
-    def of(kept: Column) -> Column:
-        whole = F.when(kept.contains(",") & kept.contains("."), F.replace(kept, F.lit("."), F.lit(""))).otherwise(kept)
-        # With a second comma or point it is no number, whichever of them becomes the point.
-        return F.replace(whole, F.lit(","), F.lit(".")).try_cast(kind)
+    return bind(F.regexp_replace(c, "[^0123456789,.]", ""), lambda kept: plain_amount(kept, kind))
 
-    return bind(F.regexp_replace(c, "[^0123456789,.]", ""), of)
+
+def plain_amount(kept: Column, kind: str = "decimal(12,2)") -> Column:
+    """The same for a bound text that has nothing but digits, dots and commas."""
+    whole = F.when(kept.contains(",") & kept.contains("."), F.replace(kept, F.lit("."), F.lit(""))).otherwise(kept)
+    # With a second comma or point it is no number, whichever of them becomes the point.
+    return F.replace(whole, F.lit(","), F.lit(".")).try_cast(kind)
 
 
 def tabular_number(c: Column, kind: str = "decimal(18,4)") -> Column:
@@ -224,10 +226,11 @@ def found_day(c: Column) -> Column:
 
 def vendor_date(c: Column) -> Column:
     """yyyy-mm-dd, dd/mm/yyyy or dd-mm-yyyy as a date; impossible dates are null."""
-    return bind(bind(c, trim_bound), _vendor_date)
+    return bind(bind(c, trim_bound), bound_vendor_date)
 
 
-def _vendor_date(c: Column) -> Column:
+def bound_vendor_date(c: Column) -> Column:
+    """The same for a bound text without blanks at its edges."""
     return F.when(c.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_date(c, "yyyy-MM-dd")).when(c.rlike(r"\A([0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})\z"), F.try_to_date(F.replace(c, F.lit("-"), F.lit("/")), "dd/MM/yyyy"))
 
 

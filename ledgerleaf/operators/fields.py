@@ -167,6 +167,11 @@ def detect_vendor(text: Column, vendors: tuple[R.Vendor, ...] = R.VENDORS) -> Co
     return T.bind(text, lambda t: T.bind(T.low_letters(t), lambda low: _vendor_of(t, low, vendors)))
 
 
+def detect_vendors(text: Column, **groups: tuple[R.Vendor, ...]) -> Column:
+    """A struct with the first vendor of each group, by its name, of a bound text."""
+    return T.bind(T.low_letters(text), lambda low: F.struct(*[_vendor_of(text, low, vendors).alias(name) for name, vendors in groups.items()]))
+
+
 def _vendor_of(text: Column, low: Column, vendors: tuple[R.Vendor, ...]) -> Column:
     def any_marker(markers: tuple[str, ...]) -> Column:
         has = text.rlike(T.pattern("|".join(markers)))
@@ -196,6 +201,11 @@ def _vendor_totals(text: Column, rules: R.FieldRules) -> Column:
 
 def vendor_fields(text: Column, vendor: Column, vendors: tuple[R.Vendor, ...] = R.VENDORS) -> Column:
     """The fields by the vendor's own rules; a null struct if the vendor has none."""
+    # Bound, as each vendor is compared with it.
+    return T.bind(vendor, lambda by: _fields_by(text, by, vendors))
+
+
+def _fields_by(text: Column, vendor: Column, vendors: tuple[R.Vendor, ...]) -> Column:
     word = lambda w: text.rlike(T.pattern(f"{T.starting(w[0])}%b{w}%e"))
     tax_label = F.when(word("IGIC"), "IGIC").when(word("IVA"), "IVA")
     out = None

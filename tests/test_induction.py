@@ -3,11 +3,14 @@
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions import text as T
 from ledgerleaf.operators import fields
 from ledgerleaf.plans import induction, rule_table
+from ledgerleaf.plans import rules as R
 
 SCHEMA = "file string, text string, number string, date date, subtotal decimal(12,2), tax decimal(12,2), total decimal(12,2)"
 
@@ -97,3 +100,35 @@ def test_labels_that_can_not_be_frequent_are_left_out(spark):
     every, some = induction.counted_anchors(rows), induction.counted_anchors(rows, least_support=0.5)
     assert of(some) == of(every) and len(of(every)) > 10
     assert some.count() < every.count() / 2
+
+
+def test_samples_of_one_layout_are_counted_as_one(spark):
+    """A task hands on a few rows for all of its samples, though each has a word of its own before a value."""
+    texts = [f"ENERGÍA BOREAL\nRef. X{k}Y{k} del documento EN-{k:04}\nEmitida con fecha 02-01-2020\nA pagar {k},50 EUR\n" for k in range(300)]
+    rows = spark.createDataFrame([(f"s{k}", t, f"EN-{k:04}", datetime.date(2020, 1, 2), None, None, k + 0.5) for k, t in enumerate(texts)], SCHEMA.replace("decimal(12,2)", "double"))
+    known = induction._known(rows, "file", "text")
+    taken = known.select(*induction._samples(known)).toArrow().to_batches()
+    wanted = induction._frequent(known.select(*induction._samples(known)), {s: 300 for s in induction.SLOTS}, 0.5)
+    assert ("documento", 0) in wanted["number"] and ("fecha", 0) in wanted["date"] and ("a pagar", 0) in wanted["amount"]
+    schema = pa.schema([("kind", pa.string()), ("slots", pa.int32()), ("told", pa.list_(pa.struct([("tail", pa.string()), ("hits", pa.int32())]))), ("n", pa.int64())])
+    out = [r for b in induction._summed(induction._shapes(wanted), schema)(taken) for r in b.to_pylist()]
+    assert len(out) <= 6 and {kind: sum(r["n"] for r in out if r["kind"] == kind) for kind in induction.KINDS} == dict.fromkeys(induction.KINDS, 300)
+
+
+def test_values_are_taken_and_read_as_by_the_engine(spark):
+    """The tasks' patterns, amounts and dates are those of the engine's own expressions, over texts of signs that matter."""
+    rng = random.Random(5)
+    some = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    texts = [some("0123456789" * 3 + "/-.,, \nAzıſİK_é", rng.randrange(60)) for _ in range(1500)] + [f"x{some('.,-/ 1', 1)}0{rng.randrange(10)}/12/199{rng.randrange(10)}{some('0/ ,', 1)}" for _ in range(200)]
+    java = {"number": rf"%b(?=[A-Z/\-.]*[0-9]){R.ANY_NUMBER.source()}", "date": f"(?<![0-9])(?:{R.ANY_DATE.source()})(?![0-9])", "amount": "%b(?<![.,])[0-9][0-9.,]*"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[F.regexp_extract_all("t", F.lit(T.pattern(p)), F.lit(0)).alias(k) for k, p in java.items()]).collect()
+    for r in got:
+        assert {k: induction.PRINTED[k].split(r.t)[1::2] for k in java} == {k: r[k] for k in java}
+    amounts = sorted({v for r in got for v in r["amount"]} | {"0,995", "0,994", "9999999999,99", "9999999999,995", "0" * 20 + "1,2", "1.", "1,2,3", "1.234,5"})
+    for r in spark.createDataFrame([(v,) for v in amounts], "v string").select("v", (T.spanish_amount(F.col("v")) * 100).cast("long").alias("c")).collect():
+        assert induction._cents(r.v) == r.c, r.v
+    dates = sorted({v for r in got for v in r["date"]})
+    assert len(dates) > 50
+    for r in spark.createDataFrame([(v,) for v in dates], "v string").select("v", F.date_format(T.vendor_date(F.col("v")), "yyyy-MM-dd").alias("d")).collect():
+        assert r.d is None or induction._day(r.v) == r.d
+    assert all(induction._single_spaced(x + "a" + x + x + "b") == " a b" for x in T.BLANK_CHARS)
