@@ -5,7 +5,9 @@ amount gives anchors: the words before it, some of them skipped.  A rule takes
 what follows the first place of its label, so of each sample and anchor only
 the first value counts; one aggregation over the samples tells how often that
 is the known value (support) and how often not (precision).  A first one over
-the known values alone tells which labels can have enough support at all.  The best anchor of
+the known values alone tells which labels can have enough support at all.  Tasks
+find the values and count samples by what stands before these; anchors are made
+of the counts.  The best anchor of
 each slot becomes a rule, which is compiled and tried on samples that it was
 not chosen by; only then it may be appended to a rule table.
 """
